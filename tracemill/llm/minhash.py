@@ -209,3 +209,13 @@ def near_documents(docs: DataFrame, words: int = 5, percent: int = 80, positions
     out = stash(all_rows.select("doc_id", "n", "cid").join(named, "cid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")), "near")
     unstash(all_rows, sketches, met, seen, star, rest)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def keep_first(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs whose id names their group; of rows that repeat an id one stays. Rows without an id stay."""
+    found = near_documents(docs.select("doc_id", "text"), **options)
+    kept = found.where("kept").groupBy("doc_id").agg(F.count("*").alias("times"))
+    out = docs.join(kept, "doc_id", "left_semi")
+    if not kept.where("times > 1").isEmpty():
+        out = out.dropDuplicates(["doc_id"])
+    return out.select(docs.columns).unionByName(docs.where("doc_id is null"))

@@ -72,12 +72,9 @@ def said(spans: list[Span]) -> str:
 
 
 def features(s: str) -> str:
-    """A small closed set of shapes."""
-    d = "".join(_digits(s))
-    parts = s.split("@")
-    size = next(n for n, top in enumerate((0, 3, 7, 15, 19, 10**9)) if len(d) <= top)
-    dotted = min(4, s.count("."))
-    return " ".join(("at%d" % min(2, len(parts) - 1), "dom" if len(parts) == 2 and "." in parts[1].strip(".,;") else "nodom", f"size{size}", f"dots{dotted}", "plus" if s[0] == "+" else "noplus", "gap" if re.search("[ ()-]", s) else "nogap", "luhn" if size == 4 and luhn(d) else "noluhn"))
+    """A small closed set of shapes, without what the patterns themselves decide by (plus sign, domain, check digit)."""
+    size = next(n for n, top in enumerate((0, 3, 7, 15, 19, 10**9)) if len("".join(_digits(s))) <= top)
+    return f"at{min(2, s.count('@'))} {'' if '@' in s else 'no'}name size{0 if '@' in s else size} dots{min(3, s.count('.')) if '@' not in s else 0} {'gap' if re.search('[ ()-]', s) else 'nogap'}"
 
 
 def resembles(s: str) -> str | None:
@@ -94,7 +91,7 @@ def mentions(text: str, base: list[Span]) -> list[tuple[int, int, str, int]]:
     by_start = sorted(base, key=lambda s: s[1])
     out, at = [], 0
     for m in _mention(text):
-        s = m[0].strip("()[]<>{}.,;:!?\"'|#$%&*")
+        s = m[0].strip("()[]<>{}.,;:!?\"'|#$%&*") if "@" in m[0] else m[0]
         if not s:
             continue
         start = m.start() + m[0].index(s)
@@ -118,8 +115,9 @@ def skip_edges(found: list[tuple[int, int, str, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def fit(docs: DataFrame, sample: int = 20_000, steps: int = 300) -> dict:
-    """docs: doc_id, text. Weights: unary by feature, transition and skip potentials, all 5 wide."""
+def fit(docs: DataFrame, sample: int = 20_000, steps: int = 300, agreement: float = 4.0) -> dict:
+    """docs: doc_id, text. Weights: unary by feature, transition and skip potentials, all 5 wide. `agreement` is the prior
+    of skip edges for equal labels: base labels alone can't teach it, as what they miss counts as none there."""
     n = docs.count()
     picked = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < 1_000_003 * min(1.0, sample / max(1, n))).select("text")
 
@@ -159,7 +157,7 @@ def fit(docs: DataFrame, sample: int = 20_000, steps: int = 300) -> dict:
                 m[int(r["of"]), r["label"]] += r["n"]
         m = (m + m.T) / 2
         pair[what] = np.log(m / m.sum()) - np.log(m.sum(axis=1, keepdims=True) / m.sum()) - np.log(m.sum(axis=0, keepdims=True) / m.sum())
-    return {"unary": {f: w[k] for f, k in place.items()}, **pair}
+    return {"unary": {f: w[k] for f, k in place.items()}, "chain": pair["chain"], "skip": pair["skip"] + agreement * np.eye(wide)}
 
 
 def marginals(found: list[tuple[int, int, str, int]], skips: list[tuple[int, int]], model: dict, rounds: int = 12) -> np.ndarray:
