@@ -11,6 +11,10 @@ Repeated rows are packed as often as they occur. An empty table gives no pieces.
 
 from __future__ import annotations
 
+import json
+import re
+import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,35 +24,57 @@ from pyspark.sql import DataFrame
 from .runtime import map_batches
 from .text import Memo
 
-ODD_SPACE = "\x1c\x1d\x1e\x1f"  # str.split() takes these for white space, the tokenizer doesn't
+ODD_SPACE = re.compile("[\x1c-\x1f]").search  # str.split() takes these for white space, the tokenizer doesn't
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
 class WordTokens:
-    """Ids of texts, memoised by white-space-separated chunk: the tokenizer drops white space and no rule crosses it."""
+    """Ids of texts, the end id appended. The tokenizer drops white space, lower-cases and cuts texts into word parts.
 
-    def __init__(self, path: str, end_id: int, most: int = 250_000):
+    Texts of Latin-1 characters, for which that cutting is plain, are cut here, and the ids of chunks between white space
+    and of word parts are memoised (no rule crosses white space): the tokenizer's model sees new parts only. Other
+    texts, and those that spell out added tokens, go through the tokenizer whole.
+    """
+
+    def __init__(self, path: str, end_id: int, most: int = 1_000_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end, self.most = Tokenizer.from_file(path), np.uint32(end_id).tobytes(), most
-        self.known: dict[str, bytes] = {}
+        self.whole, self.end = Tokenizer.from_file(path), np.uint32(end_id).tobytes()
+        spec = json.loads(self.whole.to_str())
+        self.added = [x["content"] for x in spec["added_tokens"]]
+        bare = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": None, "added_tokens": []}))
+        chars = [chr(c) for c in range(256)]
+        letters, numbers = (re.escape("".join(c for c in chars if unicodedata.category(c)[0] == kind)) for kind in "LN")
+        self.parts = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\\t-\\r \x85\xa0{letters}{numbers}]+").findall
+        shown = byte_letters()
+        cut = bare.model.tokenize
+        self.part_ids = Memo(lambda w: array("I", [t.id for t in cut(w.encode().decode("latin-1").translate(shown))]).tobytes(), most)
+        self.chunk_ids = Memo(lambda c: b"".join(map(self.part_ids.__getitem__, self.parts(c))), most // 2)
+
+    def __call__(self, text: str) -> bytes:
+        if not latin(text) or any(a in text for a in self.added):
+            return self._whole(text)
+        text = text.lower()
+        chunks = self.parts(text) if ODD_SPACE(text) else text.split()
+        return b"".join(map(self.chunk_ids.__getitem__, chunks)) + self.end
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes() + self.end
+
+
+def latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+        return True
+    except UnicodeEncodeError:
+        return False
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        for text in texts:
-            if any(c in text for c in ODD_SPACE):
-                yield self._encode([text])[0] + self.end
-                continue
-            ws = text.split()
-            new = list({w for w in ws if w not in self.known})
-            if len(self.known) + len(new) > self.most:
-                self.known = {}
-                new = list(set(ws))
-            if new:
-                self.known.update(zip(new, self._encode(new), strict=True))
-            yield b"".join(map(self.known.__getitem__, ws)) + self.end
+def byte_letters() -> dict[int, int]:
+    """The letters that byte-level vocabularies write for bytes: printable ones stand for themselves, others follow from 256."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: b for b in plain} | {b: 256 + n for n, b in enumerate(others)}
 
 
 _loaded = Memo(lambda key: WordTokens(*key), 8)
@@ -151,9 +177,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int
             return size
 
         for b in batches:
-            texts = [x or "" for x in b.column(1).to_pylist()]
-            for doc, ids in zip(b.column(0).to_pylist(), tokens(texts), strict=True):
-                held += closed(packer.add(doc, ids))
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                held += closed(packer.add(doc, tokens(text.as_py() or "")))
                 if held >= 1 << 20:
                     yield dict(zip(names, zip(*out), strict=True))
                     out, held = [], 0
