@@ -136,8 +136,9 @@ def dense_jaccard(a: Column, b: Column) -> Column:
 
 
 def pearson(x: Column, y: Column) -> Column:
-    """Aggregate: correlation, 0 without variance."""
-    return clamp(F.coalesce(F.try_divide(F.covar_pop(x, y), F.sqrt(F.var_pop(x) * F.var_pop(y))), F.lit(0.0)), -1.0, 1.0)
+    """Aggregate: correlation, 0 where a variance is below 1e-12."""
+    r = F.try_divide(F.covar_pop(x, y), F.sqrt(F.var_pop(x) * F.var_pop(y)))
+    return F.when((F.var_pop(x) > 1e-12) & (F.var_pop(y) > 1e-12), clamp(F.coalesce(r, F.lit(0.0)), -1.0, 1.0)).otherwise(0.0)
 
 
 def entropy_of(p: Column) -> Column:

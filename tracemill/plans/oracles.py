@@ -163,7 +163,7 @@ def r(*names, digits=6):
 
 
 SAME = join((f"CASE WHEN tool_{c} > 0 THEN -tool_{c} * log2(tool_{c}) ELSE 0 END" for c in CATEGORIES), "+")
-CORR = join((f"SELECT '{x}' AS feature_a, '{y}' AS feature_b, round(coalesce(least(1, greatest(-1, covar_pop({x}, {y}) / nullif(sqrt(var_pop({x}) * var_pop({y})), 0))), 0), 5) AS r FROM vecs HAVING count(*) >= 2" for i, x in enumerate(VECTOR) for y in VECTOR[i:]), " UNION ALL ")
+CORR = join((f"SELECT '{x}' AS feature_a, '{y}' AS feature_b, CASE WHEN var_pop({x}) > 1e-12 AND var_pop({y}) > 1e-12 THEN round(least(1, greatest(-1, covar_pop({x}, {y}) / sqrt(var_pop({x}) * var_pop({y})))), 5) ELSE 0 END AS r FROM vecs HAVING count(*) >= 2" for i, x in enumerate(VECTOR) for y in VECTOR[i:]), " UNION ALL ")
 CURVE = f"""{GRAPH},
 grid AS (SELECT trace_id, n, CAST(unnest(range(10)) AS INTEGER) AS w FROM totals),
 curve AS (SELECT g.trace_id, g.w AS "window", count(s.trace_id) AS n_states, coalesce(avg(s.edit_density), 0) AS edit_density FROM grid g LEFT JOIN states s ON s.trace_id = g.trace_id
@@ -200,7 +200,7 @@ ORACLES: dict[str, str] = {
     "state_candidates": f"WITH {GRAPH} SELECT * FROM cands",
     "state_features": f"WITH {GRAPH} SELECT trace_id, candidate_idx, first_idx, last_idx, n_calls, {r(*MEANS)} FROM feats",
     "behavior_states": f"WITH {GRAPH} SELECT trace_id, state_idx, first_idx, last_idx, n_candidates, primary_phase, {r('stability', 'edit_density', 'read_write_ratio', 'failure_rate')} FROM states",
-    "transitions": f"WITH {GRAPH} SELECT trace_id, pos AS "at", 's' || pos AS from_state, 's' || nxt AS to_state, from_phase, to_phase, CASE to_phase WHEN 'locate' THEN 'read' WHEN 'modify' THEN 'edit' WHEN 'verify' THEN 'test' WHEN 'commit' THEN 'commit' ELSE 'unknown' END AS trigger_tool FROM trans WHERE nxt IS NOT NULL",
+    "transitions": f"WITH {GRAPH} SELECT trace_id, pos AS \"at\", 's' || pos AS from_state, 's' || nxt AS to_state, from_phase, to_phase, CASE to_phase WHEN 'locate' THEN 'read' WHEN 'modify' THEN 'edit' WHEN 'verify' THEN 'test' WHEN 'commit' THEN 'commit' ELSE 'unknown' END AS trigger_tool FROM trans WHERE nxt IS NOT NULL",
     "transition_edges": f"WITH {GRAPH} SELECT trace_id, from_phase, to_phase, count(*) AS n, count(*)::DOUBLE AS avg_cost FROM trans WHERE nxt IS NOT NULL GROUP BY ALL",
     "behavior_verdict": f"WITH {VERDICT} SELECT trace_id, {r('phase_entropy', 'loop_ratio', 'transition_entropy', 'reversal_ratio')}, state_count, oscillations, transitions, array_to_string(l, ',') AS hits, CASE WHEN len(list_filter(l, lambda x: x LIKE '%:high')) > 0 THEN 'Degraded' WHEN len(l) >= 2 THEN 'Watch' ELSE 'Pass' END AS verdict FROM h",
     "tool_entropy": f"WITH {FULL} SELECT trace_id, {r('tool_entropy')} FROM tent",
