@@ -1,10 +1,9 @@
-"""What the operators share: shipping this package, tables written to the shared folder, Arrow batches."""
+"""What the operators share: shipping this package, scratch tables, Arrow batches."""
 
 from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
@@ -13,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from ..sources.scratch import new_path, stash, unstash
+
 _shipped: set[str] = set()
 
 
@@ -30,42 +31,6 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tracemill-shared-"))
-        found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tracemill-{name}-{uuid.uuid4().hex}"
-
-
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends here, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    back._tracemill_path = path
-    return back
-
-
-def unstash(*tables: DataFrame) -> None:
-    """Remove written tables that nothing reads any more."""
-    for t in tables:
-        remove(t.sparkSession, t._tracemill_path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def arrow_schema(ddl: T.StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -87,6 +52,4 @@ def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterable[
     return df.mapInArrow(run, struct)
 
 
-def collect_rows(df: DataFrame) -> list:
-    """For results whose size a parameter bounds."""
-    return df.collect()
+__all__ = ["map_batches", "new_path", "ship", "stash", "unstash"]
