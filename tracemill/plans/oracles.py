@@ -232,7 +232,7 @@ ORACLES: dict[str, str] = {
     "eval_compare": f"WITH {TRIALS}, d AS (SELECT *, CASE WHEN prev_metric = 0 THEN CASE WHEN metric = 0 THEN 0.0 ELSE 100.0 END ELSE (metric - prev_metric) / prev_metric * 100 END AS pct FROM prev WHERE last AND prev_eval IS NOT NULL) SELECT task_id, prev_eval AS from_eval, eval_id AS to_eval, round(prev_metric, 6) AS from_value, round(metric, 6) AS to_value, round(pct, 6) AS change_pct, CASE WHEN pct > 5 THEN 'Up' WHEN pct < -5 THEN 'Down' ELSE 'Flat' END AS direction, {TREND} AS trend FROM d",
     "eval_regression": f"WITH {TRIALS} SELECT task_id, prev_eval AS from_eval, eval_id AS to_eval, prev_outcome AS from_outcome, outcome AS to_outcome, CASE WHEN prev_outcome = 'Pass' AND outcome = 'Fail' THEN 'Critical' WHEN prev_outcome = 'Fail' THEN 'Medium' ELSE 'High' END AS severity, prev_outcome = 'Fail' AS is_improvement FROM prev WHERE last AND (prev_outcome, outcome) IN (('Pass', 'Fail'), ('Pass', 'Partial'), ('Partial', 'Fail'), ('Fail', 'Partial'))",
     "trend_history": f"WITH {TRIALS} SELECT task_id, trial, outcome, coalesce(c_name, 'Unknown task') AS description FROM trials LEFT JOIN customer ON c_custkey = task_id AND c_acctbal > 0",
-    "trend_anomaly_2sigma": f"WITH {TRIALS}, w AS (SELECT *, count(metric) OVER b AS n_before, avg(metric) OVER b AS mean_before, stddev_pop(metric) OVER b AS sd_before FROM trials WINDOW b AS (PARTITION BY task_id ORDER BY trial ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT task_id, trial, n_before, {r('mean_before', 'sd_before', digits=4)} FROM w WHERE n_before >= 3 AND sd_before > 0 AND abs(metric - mean_before) > 2 * sd_before",
+    "trend_anomaly_2sigma": f"WITH {TRIALS}, w AS (SELECT *, count(metric) OVER b AS n_before, avg(metric) OVER b AS mean_before, stddev_pop(metric) OVER b AS sd_before FROM trials WINDOW b AS (PARTITION BY task_id ORDER BY trial ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT task_id, trial, n_before, {r('mean_before')}, {r('sd_before', digits=3)} FROM w WHERE n_before >= 3 AND sd_before > 0 AND abs(metric - mean_before) > 2 * sd_before",
     "document_rules": "SELECT rule_id, severity, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN lower(text) LIKE '%sql%' THEN {'rule_id': 'sec_sql_001', 'severity': 'high'} END, CASE WHEN lower(text) LIKE '%deprecat%' THEN {'rule_id': 'deprec_001', 'severity': 'low'} END, CASE WHEN lower(text) LIKE '%todo%' OR lower(text) LIKE '%fixme%' THEN {'rule_id': 'deprec_002', 'severity': 'low'} END], lambda x: x IS NOT NULL), recursive := true) FROM documents) GROUP BY ALL",
     "file_modules": f"WITH {CALLS} SELECT path, count(*) AS n, split_part(path, '/', 2) AS top, replace(scope, '/', '::') AS parent, scope AS two_level, regexp_replace(split_part(path, '/', 3), '\\.[^.]*$', '') AS stem, split_part(path, '/', 2) AS leaf, scope, cluster FROM calls GROUP BY ALL",
     "symbol_links": "WITH s AS (SELECT DISTINCT l_partkey AS f, l_suppkey AS s FROM lineitem) SELECT a.s AS symbol, b.s AS other, count(*) AS n_files FROM s a JOIN s b ON a.f = b.f AND a.s < b.s GROUP BY ALL HAVING count(*) >= 2",

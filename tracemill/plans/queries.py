@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 from ..operators import align, behaviour, coupling, diffs, graph, history, redact, rules, similarity, states, validate
 from ..sources import fixtures, store, views
+from ..sources.scratch import stash
 from ..streaming import sessions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,12 +32,13 @@ def cut_calls(spark, sf_dir, gap=DAY):
 
 
 def graph_of(spark, sf_dir):
-    calls = views.tool_calls(spark, sf_dir)
-    return calls, states.state_graph(calls, DAY)
+    """Calls and states, written once: what follows reads them several times."""
+    calls = stash(views.tool_calls(spark, sf_dir), "calls")
+    return calls, stash(states.state_graph(calls, DAY), "states")
 
 
 def vectors_of(spark, sf_dir):
-    return behaviour.vectors(*graph_of(spark, sf_dir))
+    return stash(behaviour.vectors(*graph_of(spark, sf_dir)), "vectors")
 
 
 def trace_pairs(spark, sf_dir):
@@ -123,7 +125,7 @@ def edit_curve_stats(spark, sf_dir):
 
 @query
 def phase_loop_ratio(spark, sf_dir):
-    return rounded(graph.loop_ratio(states.transitions(graph_of(spark, sf_dir)[1])))
+    return rounded(graph.loop_ratio(stash(states.transitions(graph_of(spark, sf_dir)[1]), "transitions")))
 
 
 @query
@@ -159,7 +161,7 @@ def capability_vectors(spark, sf_dir):
 
 @query
 def cochange_scores(spark, sf_dir):
-    return rounded(coupling.cochange(views.commit_links(spark, sf_dir)))
+    return rounded(coupling.cochange(stash(views.commit_links(spark, sf_dir).distinct(), "links")))
 
 
 def coupling_of(spark, sf_dir):
@@ -168,7 +170,7 @@ def coupling_of(spark, sf_dir):
     j = li.join(p.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
     raw = [F.col("l_discount"), F.col("l_tax"), F.col("l_quantity") / 50.0, (F.col("l_returnflag") == "R").cast("double"), (F.col("l_linestatus") == "F").cast("double"), F.col("l_linenumber") / 7.0, F.lit(1.0)]
     vec = j.groupBy(F.col("p_brand").alias("capability")).agg(*(F.avg(c).alias(n) for c, n in zip(raw, behaviour.VECTOR, strict=True)))
-    return coupling.edges(vec, coupling.cochange(views.commit_links(spark, sf_dir)))
+    return coupling.edges(vec, coupling.cochange(stash(views.commit_links(spark, sf_dir).distinct(), "links")))
 
 
 @query
@@ -232,9 +234,9 @@ def segment_match(spark, sf_dir):
 
 
 def aligned(spark, sf_dir):
-    calls, p = views.tool_calls(spark, sf_dir), trace_pairs(spark, sf_dir)
-    m = align.match_segments(p, calls)
-    d = align.align_calls(m, p, calls)
+    calls, p = stash(views.tool_calls(spark, sf_dir), "calls"), trace_pairs(spark, sf_dir)
+    m = stash(align.match_segments(p, calls), "matches")
+    d = stash(align.align_calls(m, p, calls), "diffs")
     return calls, p, align.segment_kinds(m, d), d
 
 
@@ -298,7 +300,7 @@ def trend_history(spark, sf_dir):
 @query
 def trend_anomaly_2sigma(spark, sf_dir):
     a = history.anomalies(views.trials(spark, sf_dir))
-    return rounded(a.select("task_id", "trial", "n_before", "mean_before", "sd_before"), 4)
+    return rounded(a.select("task_id", "trial", "n_before", "mean_before", F.round("sd_before", 3).alias("sd_before")))
 
 
 @query
