@@ -3,8 +3,8 @@
 The best segmentation maximises the sum of the model's piece scores; a character without a piece costs ten less than the
 least score and is written as byte pieces. The decoder keeps back-pointers for a window only: whenever the paths of all
 boundaries that a later piece could still start from meet in one boundary, the ids up to it are committed and forgotten.
-Where no piece spans a boundary (before a run of spaces, around a line break) all paths meet by construction; texts are
-cut there and the ids of the parts memoised.
+No piece spans the boundary before a run of spaces, so all paths meet there by construction; texts are cut there and the ids
+of the parts memoised.
 
 White space becomes '▁' and one is put in front; decoding undoes both, so a text comes back as it was unless it holds '▁'
 itself. Null and empty texts have no ids; a null decodes to null. Ties go to the longer last piece. No limit on length.
@@ -13,6 +13,7 @@ itself. Null and empty texts have no ids; a null decodes to null. Ties go to the
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ SPACE = "▁"
 
 
 class Pieces:
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 600_000):
         from sentencepiece import SentencePieceProcessor
 
         m = SentencePieceProcessor(model_file=path)
@@ -39,58 +40,52 @@ class Pieces:
         self.of_byte = {i: b for b, i in self.bytes.items()}
         self.unknown = min(s for s in self.scores.values() if s > -1e8) - 10
         self.longest = max(map(len, self.ids))
-        inner = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
-        cuts = [f"(?<=[^{SPACE}])(?={SPACE})"] if not any(b[1] == SPACE != b[0] for b in inner) else []
-        cuts += ["(?<=\n)|(?=\n)"] if not any("\n" in b for b in inner) else []
-        self.cut = re.compile("|".join(cuts)).split if cuts else lambda t: [t]
-        self.memo = Memo(lambda part: np.fromiter(self.stream(part), dtype="<u4").tobytes(), most)
+        self.suffixes = {p[k:] for p in self.ids for k in range(len(p))}
+        apart = not any(SPACE in p.lstrip(SPACE) for p in self.ids)  # no piece goes on into the next run of spaces
+        self.cut = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall if apart else lambda t: [t]
+        self.memo = Memo(lambda part: array("I", self.stream(part)).tobytes(), most)
 
     def stream(self, chars: Iterable[str], stats: dict | None = None) -> Iterator[int]:
         """Ids of a stream of characters. stats gets the longest window that was held."""
-        window: list[str] = []  # characters from `start` on
-        start = 0
-        best, back = {0: 0.0}, {0: 0}
-        n, wait = 0, self.longest
+        score, suffixes, longest = self.scores.get, self.suffixes, self.longest
+        window, best, back, m, wait = "", [0.0], [0], 0, self.longest
         for c in chars:
-            window.append(c)
-            n += 1
-            top, frm = None, n - 1
-            for i in range(max(start, n - self.longest), n):
-                s = self.scores.get("".join(window[i - start :]))
-                if s is None and i == n - 1:
-                    s = self.unknown
-                if s is not None and i in best and (top is None or best[i] + s > top):
-                    top, frm = best[i] + s, i
-            if top is not None:
-                best[n], back[n] = top, frm
-            if n - start >= wait:
-                live = {k for k in range(max(start, n - self.longest + 1), n + 1) if k in best}
+            window += c
+            k, m = m, m + 1
+            s = score(c)
+            top, frm = best[k] + (self.unknown if s is None else s), k
+            while k and m - k < longest:  # longer pieces that end here, while any piece ends so
+                k -= 1
+                part = window[k:]
+                if part not in suffixes:
+                    break
+                s = score(part)
+                if s is not None and best[k] + s >= top:
+                    top, frm = best[k] + s, k
+            best.append(top)
+            back.append(frm)
+            if m >= wait:
+                live = set(range(max(0, m - longest + 1), m + 1))
                 while len(live) > 1:
                     k = max(live)
                     live.discard(k)
                     live.add(back[k])
                 meet = live.pop()
                 if stats is not None:
-                    stats["window"] = max(stats.get("window", 0), n - start)
-                if meet > start:
-                    yield from self.path(window, start, meet, back)
-                    for k in range(start, meet):
-                        best.pop(k, None)
-                        back.pop(k, None)
-                    window = window[meet - start :]
-                    start, shift = meet, best[meet]
-                    for k in best:
-                        best[k] -= shift
-                wait = n - start + self.longest
-        yield from self.path(window, start, n, back)
-
-    def path(self, window: list[str], start: int, end: int, back: dict[int, int]) -> list[int]:
+                    stats["window"] = max(stats.get("window", 0), m)
+                if meet:
+                    yield from self.path(window, meet, back)
+                    window, best, back, m = window[meet:], [x - best[meet] for x in best[meet:]], [x - meet for x in back[meet:]], m - meet
+                wait = m + longest
+        yield from self.path(window, m, back)
+
+    def path(self, window: str, end: int, back: list[int]) -> list[int]:
         cuts = [end]
-        while cuts[-1] > start:
+        while cuts[-1]:
             cuts.append(back[cuts[-1]])
         out = []
         for a, b in zip(cuts[:0:-1], cuts[-2::-1], strict=True):
-            p = "".join(window[a - start : b - start])
+            p = window[a:b]
             out += [self.ids[p]] if p in self.ids else [self.bytes[x] for x in p.encode("utf-8")]
         return out
 
@@ -98,7 +93,7 @@ class Pieces:
         """Little-endian unsigned 32-bit ids."""
         if not text:
             return b""
-        return b"".join(map(self.memo.__getitem__, (p for p in self.cut(SPACE + text.replace(" ", SPACE)) if p)))
+        return b"".join(map(self.memo.__getitem__, self.cut(SPACE + text.replace(" ", SPACE))))
 
     def decode(self, ids: bytes) -> str:
         out, raw = [], bytearray()
