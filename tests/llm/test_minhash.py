@@ -53,12 +53,30 @@ def test_near_documents_like_brute_force(spark):
     assert sorted(got, key=str) == brute(rows, 3, 85)
 
 
-def test_exhaustive_cells_find_what_the_star_misses(spark):
+def test_families_hold_partners_of_other_groups(spark):
     rows = [(node, c, c, 5, bytes([c % 3] * 128), 10) for node in (1, 2) for c in range(5)]
     members = spark.createDataFrame([r[:4] for r in rows], "node bigint, cid bigint, root bigint, n_members bigint")
     sketches = spark.createDataFrame([(c, None, n, s) for _, c, _, _, s, n in rows[:5]], "cid bigint, rep bigint, n bigint, sig binary")
     for cell in (2, 256):
-        assert sorted(map(tuple, minhash.across(members, sketches, 85, 128, cell).collect())) == [(0, 3), (1, 4)]
+        got = {}
+        for r in minhash.families(members, sketches, 85, 128, cell).collect():
+            got.setdefault(r.family, set()).add(r.cid)
+        assert sorted(map(sorted, got.values())) == [[0, 3], [1, 4]]
+
+
+def test_links_of_a_family_join_its_groups(spark):
+    g = np.random.default_rng(6)
+    base = g.integers(0, 2**60, 200, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[: 200 - 8 * k], g.integers(0, 2**60, 8 * k, dtype=np.uint64)])) for k in range(6)] + [base] * 300
+    root = [*range(6), *[77] * 300]
+    rows = [(1, c, root[c], len(s), minhash.sketch(s, 128).tobytes(), s.tobytes()) for c, s in enumerate(sets)]
+    members = spark.createDataFrame(rows, "family bigint, cid bigint, root bigint, n bigint, sig binary, members binary")
+    for cell in (3, 128):
+        got = minhash.family_links(members, 85, 128, cell).collect()
+        joined = {77}
+        for _ in range(9):
+            joined |= {root[x] for r in got for x in (r.a, r.b) if {root[r.a], root[r.b]} & joined}
+        assert joined == {77, 0, 1, 2} and all(minhash.alike(sets[r.a], sets[r.b], 85) for r in got)
 
 
 def test_empty(spark):

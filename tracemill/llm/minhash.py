@@ -6,11 +6,13 @@ Every text's distinct shingles give a class id (equal sets: one class) and `posi
 so `depth` times. A pair at the threshold shares one child per node on average, and so meets in a tree with probability
 0.31 at depth 4; 32 trees miss it with probability 1e-5, and closer pairs less often.
 
-Nodes are compared in two passes. First every member with the node's least member, on full sets; confirmed links merge
-groups. Then only nodes whose members lie in different groups are left (a node of copies of one text has dropped out
-whatever its size): they are compared exhaustively in cells of bounded size, across groups only. In both passes sketches
-first drop pairs whose estimate lies four standard deviations below the threshold or whose sizes exclude it; every link
-is confirmed on the full sets of 64-bit shingle hashes. Components come from `components`.
+Nodes are compared in passes. In two star passes each document meets the least member among its nodes that lies in another
+group, and confirmed links merge groups. Then only nodes whose members lie in different groups are left (a node of copies of
+one text has dropped out whatever its size). They are compared exhaustively, in cells of bounded size and across groups
+only, on sketches: documents with a partner in sight form families, and the full sets of a family are compared in cells,
+until its links are known. Sketches drop pairs whose estimate lies four standard deviations below the threshold or whose
+sizes exclude it; every link is confirmed on full sets of 64-bit shingle hashes. No pass emits the pairs of a group.
+Components come from `components`.
 
 Null or blank texts have an empty set and link with nothing. Texts with fewer words than a shingle are one shingle. Repeated
 rows are copies. Null ids link but name no component, and are never kept. Empty tables give no rows.
@@ -81,10 +83,20 @@ def set_id(s: np.ndarray) -> int | None:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 if len(s) else None
 
 
+def sight(percent: int, positions: int) -> float:
+    """Equal tokens that a pair at the threshold has, less four standard deviations."""
+    p = percent / 100
+    return positions * (p - 4 * (p * (1 - p) / positions) ** 0.5)
+
+
+def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def in_sight(pairs: DataFrame, sketches: DataFrame, percent: int, positions: int) -> DataFrame:
     """Pairs (a, b) whose sizes and sketches allow a link."""
-    p = percent / 100
-    least = positions * (p - 4 * (p * (1 - p) / positions) ** 0.5)
+    least = sight(percent, positions)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
         for b in batches:
@@ -98,9 +110,9 @@ def in_sight(pairs: DataFrame, sketches: DataFrame, percent: int, positions: int
     return map_batches(joined.select("a", "b", "x", "y"), run, "a bigint, b bigint")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
-    """Of pairs (a, b), those whose full sets are similar enough. Sets are made anew from the texts that pairs need."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+def full_sets(ids: DataFrame, docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+    """(cid, members) of the class ids, made anew from one text of each: a bitmap of their doc_ids lets few others pass."""
+    ids = ids.distinct()
     wanted = docs.sparkSession.sparkContext.broadcast(bitmap.build(ids.join(classes, "cid").select(F.coalesce("rep", F.lit(-1)).alias("rep")), "rep"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
@@ -111,18 +123,17 @@ def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int,
                 yield {"cid": [set_id(s) for s in sets], "members": [s.tobytes() for s in sets]}
 
     found = map_batches(docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)), "text"), run, "cid bigint, members binary")
-    sets = stash(found.where("cid is not null").join(ids, "cid").groupBy("cid").agg(F.first("members").alias("members")), "sets")
+    return stash(found.where("cid is not null").join(ids, "cid").groupBy("cid").agg(F.first("members").alias("members")), "sets")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+    """Of pairs (a, b), those whose full sets are similar enough."""
+    sets = full_sets(pairs.select(F.explode(F.array("a", "b")).alias("cid")), docs, classes, words)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
         for b in batches:
-            out: dict[str, list] = {"a": [], "b": []}
-            for a, c, x, y in zip(*(b.column(n).to_pylist() for n in range(4)), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= percent * (len(x) + len(y) - both):
-                    out["a"].append(a)
-                    out["b"].append(c)
-            yield out
+            keep = pa.array([alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)], pa.bool_())
+            yield {c: b.column(c).filter(keep).to_pylist() for c in ("a", "b")}
 
     joined = pairs.join(sets.select(F.col("cid").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("cid").alias("b"), F.col("members").alias("y")), "b")
     out = stash(map_batches(joined.select("a", "b", "x", "y"), check, "a bigint, b bigint"), "confirmed")
@@ -130,46 +141,94 @@ def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int,
     return out
 
 
-def across(members: DataFrame, sketches: DataFrame, percent: int, positions: int, cell: int = 256) -> DataFrame:
-    """members: node, cid, root, n_members. All pairs of a node in different groups that sizes and sketches allow, by cells."""
-    p = percent / 100
-    least = positions * (p - 4 * (p * (1 - p) / positions) ** 0.5)
+def keyed_runs(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[list[tuple]]:
+    """Runs of rows with equal first `key` columns, of rows that come sorted by them."""
+    held: list[tuple] = []
+    for b in batches:
+        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if held and held[0][:key] != row[:key]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def top(up: dict[int, int], x: int) -> int:
+    while up.setdefault(x, x) != x:
+        up[x] = x = up[up[x]]
+    return x
+
+
+def fitting(x: int, ys: np.ndarray, root: np.ndarray, n: np.ndarray, sig: np.ndarray, percent: int, least: float) -> np.ndarray:
+    """Of the rows ys, those in other groups than row x that sizes and sketches allow."""
+    ys = ys[(root[ys] != root[x]) & (100 * np.minimum(n[ys], n[x]) >= percent * np.maximum(n[ys], n[x]))]
+    return ys[(sig[ys] == sig[x]).sum(axis=1) >= least]
+
+
+def families(members: DataFrame, sketches: DataFrame, percent: int, positions: int, cell: int = 256) -> DataFrame:
+    """members: node, cid, root, n_members. (cid, family) of all that have a partner in sight: in a node of theirs and another
+    group. Partners share a family. Cells of a node return one row for each such member, not their pairs."""
+    least = sight(percent, positions)
     chunks = F.ceil(F.col("n_members") / cell).cast("int")
     placed = members.withColumns({"own": F.pmod(F.xxhash64("cid"), chunks).cast("int"), "over": F.explode(F.sequence(F.lit(0), chunks - 1))})
     placed = placed.select("node", F.least("own", "over").alias("i"), F.greatest("own", "over").alias("j"), "own", "cid", "root").join(sketches, "cid")
     placed = placed.select("node", "i", "j", "own", "cid", "root", "n", "sig").repartition("node", "i", "j").sortWithinPartitions("node", "i", "j")
 
-    def pairs(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        i, j = rows[0][1], rows[0][2]
-        own, cid, root, n = (np.array([r[k] for r in rows]) for k in (3, 4, 5, 6))
-        sig = np.frombuffer(b"".join(r[7] for r in rows), np.uint8).reshape(-1, positions)
-        xs, ys = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        out = []
-        for x in xs:
-            y = ys[(root[ys] != root[x]) & (100 * np.minimum(n[ys], n[x]) >= percent * np.maximum(n[ys], n[x]))]
-            y = y[(cid[y] > cid[x])] if i == j else y
-            y = y[(sig[y] == sig[x]).sum(axis=1) >= least]
-            out.append(np.column_stack([np.full(len(y), cid[x]), cid[y]]))
-        both = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        return both.min(axis=1), both.max(axis=1)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
+        out: dict[str, list] = {"a": [], "b": []}
+        for rows in keyed_runs(batches, 3):
+            own, cid, root, n = (np.array([r[k] for r in rows]) for k in (3, 4, 5, 6))
+            sig = np.frombuffer(b"".join(r[7] for r in rows), np.uint8).reshape(-1, positions)
+            up: dict[int, int] = {}
+            ys = np.flatnonzero(own == rows[0][2])
+            for x in np.flatnonzero(own == rows[0][1]):
+                for y in fitting(x, ys, root, n, sig, percent, least):
+                    up[top(up, int(y))] = top(up, int(x))
+            out["a"] += [int(cid[k]) for k in up]
+            out["b"] += [int(cid[top(up, k)]) for k in list(up)]
+            if len(out["a"]) > 10_000:
+                yield out
+                out = {"a": [], "b": []}
+        yield out
+
+    return components(map_batches(placed, run, "a bigint, b bigint")).withColumnRenamed("id", "cid").withColumnRenamed("root", "family")
+
+
+def family_links(members: DataFrame, percent: int, positions: int, cell: int = 128) -> DataFrame:
+    """members: family, cid, root, n, sig, members (the full set). Confirmed links that join groups of a family.
+
+    The largest group of a family is compared with the others only, they with all. Both are dealt to chunks of a bounded
+    size, and a cell of two chunks is one comparison: pairs in sight are checked on full sets, unless links have joined
+    their groups already. A cell returns the links that join groups."""
+    least = sight(percent, positions)
+    groups = members.groupBy("family", "root").agg(F.count("*").alias("size"))
+    sizes = groups.groupBy("family").agg(F.max(F.struct("size", "root")).alias("top"), F.sum("size").alias("all"))
+    sizes = sizes.where("top.size < all").select("family", F.col("top.root").alias("largest"), F.ceil((F.col("all") - F.col("top.size")) / cell).cast("int").alias("m"), F.ceil(F.col("top.size") / cell).cast("int").alias("l"))
+    p = members.join(sizes, "family").withColumn("big", F.col("root") == F.col("largest"))
+    chunk = F.when(F.col("big"), F.col("m") + F.pmod(F.xxhash64("cid"), F.col("l"))).otherwise(F.pmod(F.xxhash64("cid"), F.col("m"))).cast("int")
+    p = p.withColumn("own", chunk).withColumn("over", F.explode(F.when(F.col("big"), F.sequence(F.lit(0), F.col("m") - 1)).otherwise(F.sequence(F.lit(0), F.col("m") + F.col("l") - 1))))
+    p = p.select("family", F.least("own", "over").alias("i"), F.greatest("own", "over").alias("j"), "own", "cid", "root", "n", "sig", "members")
+    p = p.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
-        held: list[tuple] = []
-        for b in batches:
-            a_out, b_out = [], []
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if held and held[0][:3] != row[:3]:
-                    a, c = pairs(held) if len(held) > 1 else ([], [])
-                    a_out.extend(a)
-                    b_out.extend(c)
-                    held = []
-                held.append(row)
-            yield {"a": a_out, "b": b_out}
-        if len(held) > 1:
-            a, c = pairs(held)
-            yield {"a": list(a), "b": list(c)}
-
-    return map_batches(placed, run, "a bigint, b bigint").distinct()
+        for rows in keyed_runs(batches, 3):
+            own, cid, root, n = (np.array([r[k] for r in rows]) for k in (3, 4, 5, 6))
+            sig = np.frombuffer(b"".join(r[7] for r in rows), np.uint8).reshape(-1, positions)
+            sets = [np.frombuffer(r[8], np.uint64) for r in rows]
+            up: dict[int, int] = {}
+            out: dict[str, list] = {"a": [], "b": []}
+            ys = np.flatnonzero(own == rows[0][2])
+            for x in np.flatnonzero(own == rows[0][1]):
+                for y in fitting(x, ys, root, n, sig, percent, least):
+                    u, v = top(up, int(root[x])), top(up, int(root[y]))
+                    if u != v and alike(sets[x], sets[y], percent):
+                        up[u] = v
+                        out["a"].append(int(cid[x]))
+                        out["b"].append(int(cid[y]))
+            yield out
+
+    return map_batches(p, run, "a bigint, b bigint")
 
 
 def near_documents(docs: DataFrame, words: int = 5, percent: int = 80, positions: int = 128, trees: int = 32, depth: int = 4) -> DataFrame:
@@ -192,22 +251,31 @@ def near_documents(docs: DataFrame, words: int = 5, percent: int = 80, positions
             yield {"node": both[:, 0], "cid": both[:, 1]}
 
     seen = stash(map_batches(full.select("cid", "nodes"), visits, "node bigint, cid bigint").distinct().join(met, "node"), "visits")
-    star = seen.where("cid <> lo").select(F.col("lo").alias("a"), F.col("cid").alias("b")).distinct()
-    star = stash(in_sight(star, sketches, percent, positions), "star")
-    links = confirmed(star, docs, classes, words, percent)
-    groups = stash(components(links), "groups")
-    lying = seen.join(groups.withColumnRenamed("id", "cid"), "cid", "left").select("node", "cid", F.coalesce("root", "cid").alias("root"))
-    mixed = lying.groupBy("node").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n_members")).where("r0 < r1").select("node", "n_members")
-    rest = stash(across(lying.join(mixed, "node"), sketches, percent, positions).join(star, ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        more = confirmed(rest, docs, classes, words, percent)
+    links, groups, done = None, None, []
+    lying = seen.withColumn("root", F.col("cid")).withColumn("first", F.struct(F.col("lo").alias("root"), F.col("lo").alias("cid")))
+    for _ in range(2):
+        star = lying.where(F.col("first.root") != F.col("root")).groupBy("cid").agg(F.min("first.cid").alias("a")).select("a", F.col("cid").alias("b"))
+        star = stash(in_sight(star, sketches, percent, positions), "star")
+        more = confirmed(star, docs, classes, words, percent)
+        links = more if links is None else links.unionByName(more)
+        groups = stash(components(links), "groups")
+        done += [star]
+        lying = seen.select("node", "cid").join(groups.withColumnRenamed("id", "cid"), "cid", "left").select("node", "cid", F.coalesce("root", "cid").alias("root"))
+        first = lying.groupBy("node").agg(F.min(F.struct("root", "cid")).alias("first"), F.max("root").alias("last"), F.count("*").alias("n_members")).where("first.root < last")
+        lying = lying.join(first, "node")
+    kin = stash(families(lying.select("node", "cid", "root", "n_members"), sketches, percent, positions), "families")
+    if not kin.isEmpty():
+        sets = full_sets(kin.select("cid"), docs, classes, words)
+        people = kin.join(groups.withColumnRenamed("id", "cid"), "cid", "left").select("family", "cid", F.coalesce("root", "cid").alias("root")).join(sketches.select("cid", "n", "sig"), "cid").join(sets, "cid")
+        more = stash(family_links(people, percent, positions), "confirmed")
         if not more.isEmpty():
             groups = stash(components(links.unionByName(more)), "groups")
+        unstash(sets)
     own = classes.join(groups.withColumnRenamed("id", "cid"), "cid").select("cid", "rep", "root")
     named = own.join(own.groupBy("root").agg(F.min("rep").alias("least")), "root").select("cid", "least")
     named = classes.join(named, "cid", "left").select("cid", F.coalesce("least", "rep").alias("component_id"))
     out = stash(all_rows.select("doc_id", "n", "cid").join(named, "cid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")), "near")
-    unstash(all_rows, sketches, met, seen, star, rest)
+    unstash(all_rows, sketches, met, seen, kin, *done)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
