@@ -166,13 +166,25 @@ def fitting(x: int, ys: np.ndarray, root: np.ndarray, n: np.ndarray, sig: np.nda
     return ys[(sig[ys] == sig[x]).sum(axis=1) >= least]
 
 
+def dealt_to_cells(members: DataFrame, key: str, cell: int) -> DataFrame:
+    """members: key, cid, root, and more. Rows with i, j and own: a cell (key, i, j) holds two chunks of at most about `cell` rows.
+
+    All pairs of different groups of a key share a cell: the largest group is met with the others only, they with all."""
+    groups = members.groupBy(key, "root").agg(F.count("*").alias("size"))
+    sizes = groups.groupBy(key).agg(F.max(F.struct("size", "root")).alias("top"), F.sum("size").alias("all")).where("top.size < all")
+    sizes = sizes.select(key, F.col("top.root").alias("largest"), F.ceil((F.col("all") - F.col("top.size")) / cell).cast("int").alias("m"), F.ceil(F.col("top.size") / cell).cast("int").alias("l"))
+    p = members.join(sizes, key).withColumn("big", F.col("root") == F.col("largest"))
+    chunk = F.when(F.col("big"), F.col("m") + F.pmod(F.xxhash64("cid"), F.col("l"))).otherwise(F.pmod(F.xxhash64("cid"), F.col("m"))).cast("int")
+    over = F.when(F.col("big"), F.sequence(F.lit(0), F.col("m") - 1)).otherwise(F.sequence(F.lit(0), F.col("m") + F.col("l") - 1))
+    p = p.withColumn("own", chunk).withColumn("over", F.explode(over))
+    return p.withColumns({"i": F.least("own", "over"), "j": F.greatest("own", "over")}).drop("largest", "m", "l", "big", "over")
+
+
 def families(members: DataFrame, sketches: DataFrame, percent: int, positions: int, cell: int = 256) -> DataFrame:
-    """members: node, cid, root, n_members. (cid, family) of all that have a partner in sight: in a node of theirs and another
+    """members: node, cid, root. (cid, family) of all that have a partner in sight: in a node of theirs and another
     group. Partners share a family. Cells of a node return one row for each such member, not their pairs."""
     least = sight(percent, positions)
-    chunks = F.ceil(F.col("n_members") / cell).cast("int")
-    placed = members.withColumns({"own": F.pmod(F.xxhash64("cid"), chunks).cast("int"), "over": F.explode(F.sequence(F.lit(0), chunks - 1))})
-    placed = placed.select("node", F.least("own", "over").alias("i"), F.greatest("own", "over").alias("j"), "own", "cid", "root").join(sketches, "cid")
+    placed = dealt_to_cells(members.select("node", "cid", "root"), "node", cell).join(sketches, "cid")
     placed = placed.select("node", "i", "j", "own", "cid", "root", "n", "sig").repartition("node", "i", "j").sortWithinPartitions("node", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
@@ -198,17 +210,11 @@ def families(members: DataFrame, sketches: DataFrame, percent: int, positions: i
 def family_links(members: DataFrame, percent: int, positions: int, cell: int = 128) -> DataFrame:
     """members: family, cid, root, n, sig, members (the full set). Confirmed links that join groups of a family.
 
-    The largest group of a family is compared with the others only, they with all. Both are dealt to chunks of a bounded
-    size, and a cell of two chunks is one comparison: pairs in sight are checked on full sets, unless links have joined
-    their groups already. A cell returns the links that join groups."""
+    In a cell, pairs in sight are checked on full sets, unless links have joined their groups already. It returns the links
+    that join groups."""
     least = sight(percent, positions)
-    groups = members.groupBy("family", "root").agg(F.count("*").alias("size"))
-    sizes = groups.groupBy("family").agg(F.max(F.struct("size", "root")).alias("top"), F.sum("size").alias("all"))
-    sizes = sizes.where("top.size < all").select("family", F.col("top.root").alias("largest"), F.ceil((F.col("all") - F.col("top.size")) / cell).cast("int").alias("m"), F.ceil(F.col("top.size") / cell).cast("int").alias("l"))
-    p = members.join(sizes, "family").withColumn("big", F.col("root") == F.col("largest"))
-    chunk = F.when(F.col("big"), F.col("m") + F.pmod(F.xxhash64("cid"), F.col("l"))).otherwise(F.pmod(F.xxhash64("cid"), F.col("m"))).cast("int")
-    p = p.withColumn("own", chunk).withColumn("over", F.explode(F.when(F.col("big"), F.sequence(F.lit(0), F.col("m") - 1)).otherwise(F.sequence(F.lit(0), F.col("m") + F.col("l") - 1))))
-    p = p.select("family", F.least("own", "over").alias("i"), F.greatest("own", "over").alias("j"), "own", "cid", "root", "n", "sig", "members")
+    p = dealt_to_cells(members, "family", cell)
+    p = p.select("family", "i", "j", "own", "cid", "root", "n", "sig", "members")
     p = p.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
@@ -261,9 +267,9 @@ def near_documents(docs: DataFrame, words: int = 5, percent: int = 80, positions
         groups = stash(components(links), "groups")
         done += [star]
         lying = seen.select("node", "cid").join(groups.withColumnRenamed("id", "cid"), "cid", "left").select("node", "cid", F.coalesce("root", "cid").alias("root"))
-        first = lying.groupBy("node").agg(F.min(F.struct("root", "cid")).alias("first"), F.max("root").alias("last"), F.count("*").alias("n_members")).where("first.root < last")
+        first = lying.groupBy("node").agg(F.min(F.struct("root", "cid")).alias("first"), F.max("root").alias("last")).where("first.root < last")
         lying = lying.join(first, "node")
-    kin = stash(families(lying.select("node", "cid", "root", "n_members"), sketches, percent, positions), "families")
+    kin = stash(families(lying.select("node", "cid", "root"), sketches, percent, positions), "families")
     if not kin.isEmpty():
         sets = full_sets(kin.select("cid"), docs, classes, words)
         people = kin.join(groups.withColumnRenamed("id", "cid"), "cid", "left").select("family", "cid", F.coalesce("root", "cid").alias("root")).join(sketches.select("cid", "n", "sig"), "cid").join(sets, "cid")
