@@ -38,22 +38,31 @@ def vocabulary(path: str) -> dict[str, int]:
     return {m.id_to_piece(i): i for i in range(m.get_piece_size()) if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i))}
 
 
+def prefixes(path: str) -> dict[str, int]:
+    """Every start of a piece, with the id where it is a piece itself, else -1."""
+    pieces = _vocabularies[path]
+    return {p[:k]: pieces.get(p[:k], -1) for p in pieces for k in range(1, len(p) + 1)}
+
+
 _vocabularies = Memo(vocabulary, 4)
+_prefixes = Memo(prefixes, 4)
 
 
-def lattice(word: str, pieces: dict[str, int], longest: int) -> list[tuple[int, int, int]]:
+def lattice(word: str, starts: dict[str, int]) -> list[tuple[int, int, int]]:
     """Edges (from, to, piece id) of '▁' + word; -1 for a character without a piece. From sorted ascending."""
     w = "▁" + word
-    n, out = len(w), []
+    n, out, get = len(w), [], starts.get
     for i in range(n):
-        single = False
-        for j in range(i + 1, min(n, i + longest) + 1):
-            p = pieces.get(w[i:j])
-            if p is not None:
+        p = get(w[i], -1)
+        out.append((i, i + 1, p))
+        j = i + 2
+        while j <= n:
+            p = get(w[i:j])
+            if p is None:
+                break
+            if p >= 0:
                 out.append((i, j, p))
-                single |= j == i + 1
-        if not single:
-            out.append((i, i + 1, -1))
+            j += 1
     return out
 
 
@@ -78,6 +87,12 @@ def forward(edges: list[tuple[int, int, int]], probs: list[float]) -> tuple[list
 
 
 def log_prob(edges: list[tuple[int, int, int]], probs: list[float]) -> float:
+    if edges[-1][1] < 24:  # too short to need rescaling
+        a = [1.0] + [0.0] * edges[-1][1]
+        for i, j, p in edges:
+            a[j] += a[i] * (probs[p] if p >= 0 else UNKNOWN)
+        if a[-1] > TINY:
+            return math.log(a[-1])
     a, scale = forward(edges, probs)
     return math.log(a[-1]) + scale[-1] if a[-1] > 0 else scale[-1] - 700.0
 
@@ -113,8 +128,7 @@ def fit(train: DataFrame, vocab: str, sample: int = 1500, rounds: int = 3, floor
         now = spark.sparkContext.broadcast(probs)
 
         def step(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[dict[str, list]]:
-            pieces = _vocabularies[vocab]
-            longest = max(map(len, pieces))
+            starts = _prefixes[vocab]
             seen: dict[str, Counter] = {}
             got: dict[str, dict[int, float]] = {}
 
@@ -122,7 +136,7 @@ def fit(train: DataFrame, vocab: str, sample: int = 1500, rounds: int = 3, floor
                 for lang, words in seen.items():
                     p = now.value[place[lang]].tolist()
                     for w, n in words.items():
-                        expected(lattice(w, pieces, longest), p, n, got.setdefault(lang, {}))
+                        expected(lattice(w, starts), p, n, got.setdefault(lang, {}))
                 seen.clear()
 
             for b in batches:
@@ -146,17 +160,16 @@ def fit(train: DataFrame, vocab: str, sample: int = 1500, rounds: int = 3, floor
 class WordScores(dict):
     """Word -> row of a table of log probabilities by language, made when first asked for; forgets all when full."""
 
-    def __init__(self, vocab: str, probs: np.ndarray, most: int = 400_000):
+    def __init__(self, vocab: str, probs: np.ndarray, most: int = 700_000):
         super().__init__()
-        self.pieces, self.most = _vocabularies[vocab], most
-        self.longest = max(map(len, self.pieces))
+        self.starts, self.most = _prefixes[vocab], most
         self.probs = [p.tolist() for p in probs]
         self.table, self.rows = np.zeros((1024, len(probs))), 0
 
     def __missing__(self, word: str) -> int:
         if self.rows == len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        edges = lattice(word, self.pieces, self.longest)
+        edges = lattice(word, self.starts)
         self.table[self.rows] = [log_prob(edges, p) for p in self.probs]
         self[word] = self.rows
         self.rows += 1
@@ -183,7 +196,7 @@ class WordScores(dict):
 _scorers: dict[bytes, WordScores] = {}
 
 
-def predict(docs: DataFrame, vocab: str, langs: list[str], probs: np.ndarray, most: int = 400_000) -> DataFrame:
+def predict(docs: DataFrame, vocab: str, langs: list[str], probs: np.ndarray, most: int = 700_000) -> DataFrame:
     """docs with lang_pred and score appended, every other column kept as it is."""
     model = docs.sparkSession.sparkContext.broadcast(probs)
     key = np.float64(probs.sum() + len(langs)).tobytes() + probs[:, :4000].tobytes()[:64]
