@@ -59,6 +59,20 @@ def test_gradient_sums_like_a_loop():
     assert np.array_equal(a, seen) and np.allclose(b, hoped, atol=1e-3)
 
 
+def test_own_class_is_scored_as_among_all_classes():
+    g = np.random.default_rng(4)
+    w = g.normal(size=(maxent.ROWS, maxent.CLASSES)).astype(np.float32)
+    f, kind = g.integers(0, maxent.ROWS, size=(1100, 5)).astype(np.int32), g.integers(0, maxent.CLASSES, 1100)
+    assert np.allclose(maxent.own_scores(w, f, kind), maxent.class_scores(w, f)[np.arange(1100), kind], atol=1e-5)
+
+
+def test_twenty_common_words_are_told_apart(spark):
+    cycle = [f"w{k}same" for k in range(20)]
+    data = [(i, " ".join((cycle * 4)[i % 20 : i % 20 + 40])) for i in range(600)]
+    got = maxent.score_documents(spark.createDataFrame(data, "doc_id bigint, text string").repartition(3)).where("held_out").collect()
+    assert sum(r.score for r in got) > -0.25 * sum(r.n_tokens for r in got)
+
+
 def test_nothing_to_learn(spark):
     assert maxent.score_documents(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
     r = maxent.score_documents(spark.createDataFrame([(i, "a b") for i in range(60) if zlib.crc32(str(i).encode()) % 7 == 2], "doc_id bigint, text string")).first()

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .runtime import map_batches, stash
 from .text import mix, words
 
-SINGLE, CLASSES, ROWS, SLICES = 12, 32, 1 << 13, 128
+SINGLE, CLASSES, ROWS, SLICES = 24, 64, 1 << 13, 256
 END = b""
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _KIND = mix(np.arange(1, 6, dtype=np.uint64) * _A)
@@ -123,16 +123,33 @@ def features(v: Vocabulary, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def class_scores(w: np.ndarray, f: np.ndarray) -> np.ndarray:
-    """Log probabilities of all classes at each token."""
-    z = w[f[:, 0]]
+def raw_scores(w: np.ndarray, f: np.ndarray) -> np.ndarray:
+    """Sums of the weight rows active at each token, less the largest class."""
+    z = w.take(f[:, 0], axis=0)
+    row = np.empty_like(z)
     for k in range(1, f.shape[1]):
-        z += w[f[:, k]]
+        z += w.take(f[:, k], axis=0, out=row, mode="clip")
     z -= z.max(axis=1, keepdims=True)
+    return z
+
+
+def class_scores(w: np.ndarray, f: np.ndarray) -> np.ndarray:
+    """Log probabilities of all classes at each token."""
+    z = raw_scores(w, f)
     z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
     return z
 
 
+def own_scores(w: np.ndarray, f: np.ndarray, kind: np.ndarray, block: int = 512) -> np.ndarray:
+    """Log probability of each token's own class; blocks stay in the cache."""
+    out = np.empty(len(f), w.dtype)
+    for k in range(0, len(f), block):
+        z = raw_scores(w, f[k : k + block])
+        own = z[np.arange(len(z)), kind[k : k + block]]
+        out[k : k + block] = own - np.log(np.exp(z, out=z).sum(axis=1))
+    return out
+
+
 def chunks(texts: Iterator[str | None], v: Vocabulary, most: int = 4096) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
     """Batches of texts: lengths (a long text may come in parts, the last with its length positive and others negative), places, rows."""
     sizes, ats, fs, held = [], [], [], 0
@@ -256,7 +273,7 @@ def score_documents(docs: DataFrame, head_size: int = 200_000, rounds: int = 4,
 
         for sizes, at, f in chunks(texts(), v):
             kind, count = v.kind[at], v.count[at]
-            logs = class_scores(weights, f)[np.arange(len(at)), kind].astype(np.float64) / log10 - class_log[kind]
+            logs = own_scores(weights, f, kind).astype(np.float64) / log10 - class_log[kind]
             head_log = np.log10(np.maximum(count, 0) + 1)
             start = 0
             for size in sizes:
