@@ -77,6 +77,15 @@ def test_messages_agree_with_all_labellings_on_a_tree():
     assert np.allclose(p, want / want.sum(axis=1, keepdims=True), atol=1e-6)
 
 
+def test_a_label_reaches_fifty_repeats():
+    n = len(pii.KINDS) + 1
+    model = {"unary": {"bias": np.zeros(n)}, "chain": np.zeros((n, n)), "skip": 8.0 * np.eye(n)}
+    for lead in ("", "in 12 or 345 words "):
+        text = "write to anna.b@mail.example.com. " + f"{lead}or to anna.b@mail now. " * 50
+        spans = pii.all_spans(text, pii.base_spans(text), model)
+        assert sum(k == "email" for k, _, _ in spans) == 51
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     assert pii.find(docs, pii.fit(docs), ["doc_id"]).count() == 0

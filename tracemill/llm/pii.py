@@ -160,28 +160,36 @@ def fit(docs: DataFrame, sample: int = 20_000, steps: int = 300, agreement: floa
     return {"unary": {f: w[k] for f, k in place.items()}, "chain": pair["chain"], "skip": pair["skip"] + agreement * np.eye(wide)}
 
 
-def marginals(found: list[tuple[int, int, str, int]], skips: list[tuple[int, int]], model: dict, rounds: int = 12) -> np.ndarray:
-    """Loopy sum-product over the chain and the skip edges; mentions with a label are observed."""
+def marginals(found: list[tuple[int, int, str, int]], skips: list[tuple[int, int]], model: dict, rounds: int = 200, close: float = 1e-6) -> np.ndarray:
+    """Loopy sum-product over the chain and the skip edges; mentions with a label are observed. A round goes through the mentions
+    forward and back, so that a label crosses the whole text in it. Rounds end when no message moves by `close`; from the
+    tenth on messages are damped, and `rounds` bounds those that never settle."""
     n, wide = len(found), len(KINDS) + 1
     zero = np.zeros(wide)
     unary = np.array([np.where(np.arange(wide) == m[3], 0.0, -50.0) if m[3] else model["unary"]["bias"] + sum((model["unary"].get(f, zero) for f in features(m[2]).split()), zero) for m in found])
-    a = np.array([*range(n - 1), *(e[0] for e in skips)], dtype=np.int64)
-    b = np.array([*range(1, n), *(e[1] for e in skips)], dtype=np.int64)
-    pots = np.exp(np.concatenate([np.repeat(model["chain"][None], n - 1, axis=0), np.repeat(model["skip"][None], len(skips), axis=0)]))
-    frm, to = np.concatenate([a, b]), np.concatenate([b, a])
-    pots = np.concatenate([pots, pots.transpose(0, 2, 1)])
-    back = np.concatenate([np.arange(len(a)) + len(a), np.arange(len(a))])
-    msg = np.zeros((len(frm), wide))
-    for _ in range(rounds):
-        belief = unary.copy()
-        np.add.at(belief, to, msg)
-        out = belief[frm] - msg[back]
-        out = np.exp(out - out.max(axis=1, keepdims=True))
-        new = np.log(np.einsum("ek,ekl->el", out, pots) + 1e-300)
-        new -= new.max(axis=1, keepdims=True)
-        msg = (msg + new) / 2
+    chain, skip = np.exp(model["chain"]), np.exp(model["skip"])
+    edges = [(k, k + 1, chain) for k in range(n - 1)] + [(a, b, skip) for a, b in skips]
+    msg = np.zeros((2 * len(edges), wide))  # of edge e: 2e to its later end, 2e + 1 to its earlier one
+    ahead: list[list] = [[] for _ in found]
+    behind: list[list] = [[] for _ in found]
+    for e, (a, b, pot) in enumerate(edges):
+        ahead[a].append((2 * e, b, pot))
+        behind[b].append((2 * e + 1, a, pot.T))
     belief = unary.copy()
-    np.add.at(belief, to, msg)
+    for turn in range(rounds):
+        moved = 0.0
+        for order, out in ((range(n), ahead), (range(n - 1, -1, -1), behind)):
+            for k in order:
+                for e, to, pot in out[k]:
+                    x = belief[k] - msg[e ^ 1]
+                    new = np.log(np.exp(x - x.max()) @ pot + 1e-300)
+                    new -= new.max()
+                    step = (new - msg[e]) / (1 if turn < 10 else 2)
+                    belief[to] += step
+                    msg[e] += step
+                    moved = max(moved, float(np.abs(step).max()))
+        if moved < close:
+            break
     p = np.exp(belief - belief.max(axis=1, keepdims=True))
     return p / p.sum(axis=1, keepdims=True)
 
