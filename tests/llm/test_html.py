@@ -30,3 +30,11 @@ def test_extract(spark):
     got = sorted((str(r.page_id), r.text, r.n_chars) for r in html.extract(pages).collect())
     assert got == [("1", "", 0), ("1", PROSE, len(PROSE)), ("None", "x", 1)]
     assert html.extract(pages.limit(0)).count() == 0
+
+
+def test_a_language_without_stop_words_keeps_its_text():
+    one = "Wczoraj rano mieszkańcy miasta spotkali nowego burmistrza przed starym ratuszem."
+    two = "Burmistrz obiecał naprawę mostu oraz budowę szkoły jeszcze przed końcem roku."
+    menu = "<div>" + " ".join(f'<a href="/{k}">Wiadomości i sport {k}</a>' for k in range(5)) + "</div>"
+    page = f"<body><nav>all of the news that is for you and for the others in it</nav>{menu}<div><p>{one}</p><p>{two}</p></div></body>"
+    assert html.main_text(page) == f"{one} {two}"

@@ -4,7 +4,8 @@ A page is cut into blocks at block-level tags. First each block is decided on it
 length make it good or bad, and blocks in navigation, page headers, footers, asides, forms, notices, adverts or comments
 are bad. Blocks that are short, or lie in an article and lack stop words, stay open. In the second pass open blocks take
 the label of their nearest decided neighbours on both sides; where these differ, an article's block is good, another's
-takes the nearer one. On a page without any decided block, open blocks are good.
+takes the nearer one. On a page without any decided block, open blocks are good. Where no block of a page that could be text reaches the
+stop-word density, as in a language that the list lacks, its blocks are decided by length and link density only.
 
 A null page is empty, and its text is the empty string. Unclosed comments, scripts and tags run to the end of the page. Pages of
 any length are read whole.
@@ -158,16 +159,18 @@ def blocks(page: str) -> list[Block]:
 
 def decide(found: list[Block]) -> list[Block]:
     """Both passes; returns the blocks, labelled."""
+    measured = []
     for b in found:
-        n = len(b.text)
         words = _words(b.text.lower())
         density = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
-        share = b.linked / max(1, len(b.text.replace(" ", "")))
+        measured.append((b, len(b.text), density, b.linked / max(1, len(b.text.replace(" ", "")))))
+    known = any(density >= STOPPED and n >= SHORT and share <= LINKED and not b.bad for b, n, density, share in measured)
+    for b, n, density, share in measured:
         if b.bad or (share > LINKED and not b.article):
             b.label = "bad"
-        elif n >= LONG and density >= STOPPED and share <= LINKED:
+        elif n >= LONG and (density >= STOPPED or not known) and share <= LINKED:
             b.label = "good"
-        elif n >= SHORT and density < STOPPED and not b.article and n < 4 * LONG:
+        elif n >= SHORT and density < STOPPED and known and not b.article and n < 4 * LONG:
             b.label = "bad" if density < STOPPED / 2 else ""
     decided = [k for k, b in enumerate(found) if b.label]
     labels = {k: found[k].label for k in decided}
