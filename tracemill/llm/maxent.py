@@ -1,18 +1,23 @@
 """A hashed maximum-entropy language model with a class-factored softmax.
 
-log p(word | past) = log p(class | past) + log p(word | class). The first factor is a softmax over `CLASSES` classes whose
-scores sum one hashed weight row for each active feature: a bias, the last word, the last two, and skips to the second and
-third last. The second is the smoothed share of the word's count in its class. The most frequent words are classes of
-their own; the others are classed by a hash of their last bytes.
-
-Counts cover all training rows, by a grouped sum of partial counts. Weights are trained in `rounds` distributed updates:
-each takes its own share of the training rows, so that every row is used once; tasks sum observed and expected feature counts, which
-are added up in slices, and the weights take a preconditioned gradient step. Scoring runs in sparse numpy batches. The
-`head` most frequent words are shipped with the model, a size that the parameter bounds; the counts of all others meet the
-documents' rare words in a join.
+log p(word | past) = log p(class | past) + log p(slot | class, past) + log p(word | slot). The first factor is a softmax over
+`CLASSES` classes whose scores sum one hashed weight row for each active feature: a bias, the last word, the last two, and
+skips to the second and third last. The second is a softmax over the `SLOTS` slots of that class, with rows for the class
+alone, with its last word and with its second last. The `SINGLE` most frequent words are classes of their own, the others
+are classed by a hash of their last bytes; the `OWN` most frequent words of each class have slots of their own, the others
+share slots by a hash. The third is the smoothed share of the word's count in its slot: 1 for a slot of one word.
+
+Counts cover all training rows, by a grouped sum of partial counts. Weight rows grow with the number of distinct words, up to
+what `weight_rows` lets be shipped. Weights are trained in `rounds` distributed updates: each takes its own share of
+the training rows, so that every row is used once; tasks sum observed and expected feature counts, which are added up in slices,
+and the weights take a preconditioned gradient step. Scoring runs in sparse numpy batches. The `head` most frequent words are
+shipped with the model, a size that the parameter bounds; the counts of all others meet the documents' rare words in a
+join.
 
 Null texts count as empty: one end token. Words unseen in training have count 0. Null ids count as training rows. Without any training
-row every base probability is 1. Repeated rows count as often as they occur. Words are matched by 64-bit hashes.
+row every base probability is 1. Repeated rows count as often as they occur. Words are matched by 64-bit hashes. Of words with equal counts the one of the smaller
+hash comes first. Long texts are scored in parts that know the words before them. Other columns are ignored, so names can't clash; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,6 +25,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +36,12 @@ from pyspark.sql import functions as F
 from .runtime import map_batches, stash
 from .text import mix, words
 
-SINGLE, CLASSES, ROWS, SLICES = 24, 64, 1 << 13, 256
+SINGLE, CLASSES = 24, 64  # classes of one word each, and all classes
+OWN, SLOTS = 16, 32  # slots of one word each in a class, and all its slots
+PER = 32  # weight rows in a slice of the gradient
 END = b""
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_KIND = mix(np.arange(1, 6, dtype=np.uint64) * _A)
+_KIND = mix(np.arange(1, 9, dtype=np.uint64) * _A)
 
 
 def word_hash(w: bytes) -> int:
@@ -44,15 +52,20 @@ def word_class(w: bytes) -> int:
     return SINGLE + zlib.crc32(w[-2:]) % (CLASSES - SINGLE)
 
 
+def hashed_slot(h: np.ndarray) -> np.ndarray:
+    return (OWN + (h >> np.uint64(40)) % np.uint64(SLOTS - OWN)).astype(np.int64)
+
+
 def counted(train: DataFrame) -> DataFrame:
-    """h, class, c of all words, from counts made within tasks."""
+    """h, leaf (class and hashed slot), c of all words, from counts made within tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
         held: Counter = Counter()
 
         def rows() -> dict[str, list]:
-            h = np.fromiter(map(word_hash, held), dtype=np.uint64, count=len(held)).view(np.int64)
-            return {"h": h, "class": [word_class(w) for w in held], "c": list(held.values())}
+            h = np.fromiter(map(word_hash, held), dtype=np.uint64, count=len(held))
+            kind = np.fromiter(map(word_class, held), dtype=np.int64, count=len(held))
+            return {"h": h.view(np.int64), "leaf": kind * SLOTS + hashed_slot(h), "c": list(held.values())}
 
         for b in batches:
             for t in b.column(0):
@@ -63,7 +76,8 @@ def counted(train: DataFrame) -> DataFrame:
                     held.clear()
         yield rows()
 
-    return map_batches(train.select("text"), run, "h bigint, class int, c bigint").groupBy("h").agg(F.first("class").alias("class"), F.sum("c").alias("c"))
+    parts = map_batches(train.select("text"), run, "h bigint, leaf int, c bigint")
+    return parts.groupBy("h").agg(F.first("leaf").alias("leaf"), F.sum("c").alias("c"))
 
 
 class Vocabulary(dict):
@@ -77,7 +91,7 @@ class Vocabulary(dict):
     def reset(self) -> None:
         self.clear()
         self.fresh: list[bytes] = []
-        self.h, self.kind, self.count, self.rows = (np.zeros((1 << 16, *more), kind) for kind, more in ((np.uint64, ()), (np.int64, ()), (np.int64, ()), (np.int32, (3,))))
+        self.h, self.leaf, self.count = (np.zeros(1 << 16, kind) for kind in (np.uint64, np.int32, np.int64))
 
     def __missing__(self, w: bytes) -> int:
         self[w] = n = len(self)
@@ -85,46 +99,74 @@ class Vocabulary(dict):
         return n
 
     def places(self, ws: list[bytes]) -> np.ndarray:
-        if len(self) > self.most:
-            self.reset()
         out = np.fromiter(map(self.__getitem__, ws), dtype=np.int64, count=len(ws))
         if self.fresh:
             h = np.fromiter(map(word_hash, self.fresh), dtype=np.uint64, count=len(self.fresh))
-            kind = np.fromiter(map(word_class, self.fresh), dtype=np.int64, count=len(self.fresh))
+            leaf = np.fromiter(map(word_class, self.fresh), dtype=np.int64, count=len(self.fresh)) * SLOTS + hashed_slot(h)
             known, count = self.head["h"], np.full(len(h), -1)  # -1: not in the head
             if len(known):
                 at = np.minimum(np.searchsorted(known, h), len(known) - 1)
                 hit = known[at] == h
                 count[hit] = self.head["c"][at[hit]]
-                kind[hit] = self.head["class"][at[hit]]
-            rows = np.stack([mix(h * _A + k) & np.uint64(ROWS - 1) for k in (_KIND[0], _KIND[2], _KIND[3])], axis=1)
+                leaf[hit] = self.head["leaf"][at[hit]]
             while len(self) > len(self.h):
-                self.h, self.kind, self.count, self.rows = (np.concatenate([x, np.zeros_like(x)]) for x in (self.h, self.kind, self.count, self.rows))
+                self.h, self.leaf, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.h, self.leaf, self.count))
             new = slice(len(self) - len(h), len(self))
-            self.h[new], self.kind[new], self.count[new], self.rows[new] = h, kind, count, rows
+            self.h[new], self.leaf[new], self.count[new] = h, leaf, count
             self.fresh = []
         return out
 
 
-def features(v: Vocabulary, at: np.ndarray) -> np.ndarray:
-    """Weight rows active at each token of a text: n x 5. Before the text's start a feature has a row of its own."""
-    n = len(at)
-    out = np.zeros((n, 5), dtype=np.int32)  # row 0: the bias
-    out[:, 1:] = np.arange(1, 5)
-    if n > 1:
-        out[1:, 1] = v.rows[at[:-1], 0]
-        two = v.h[at[:-1]].copy()
-        two[1:] ^= mix(v.h[at[:-2]] + _B)
-        out[1:, 2] = mix(two * _A + _KIND[1]) & np.uint64(ROWS - 1)
-    if n > 2:
-        out[2:, 3] = v.rows[at[:-2], 1]
-    if n > 3:
-        out[3:, 4] = v.rows[at[:-3], 2]
+class Batch:
+    """Tokens of several texts in a row. `sizes`: tokens of each text; negative where the text goes on in the next batch."""
+
+    def __init__(self, v: Vocabulary):
+        self.v, self.sizes, self.parts, self.held = v, [], [], 0
+
+    def add(self, at: np.ndarray, start: int, end: int) -> None:
+        """Tokens start..end of a text whose places are `at`; up to three before them serve as their past."""
+        lead = max(0, start - 3)
+        self.parts.append((at[lead:end], start - lead, lead))
+        self.sizes.append(end - start if end == len(at) else start - end)
+        self.held += end - start
+
+    def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places, number of past words in the text (3 at most), and the hashes of the last three words (0: none)."""
+        at = np.concatenate([p[0] for p in self.parts])
+        n = [len(p[0]) for p in self.parts]
+        begin = np.cumsum([0, *n[:-1]])
+        past = np.arange(len(at)) - np.repeat(begin - [p[2] for p in self.parts], n)
+        h = self.v.h[at]
+        back = np.zeros((3, len(at)), dtype=np.uint64)
+        for k in (1, 2, 3):
+            back[k - 1, k:] = h[:-k]
+            back[k - 1][past < k] = 0
+        keep = np.arange(len(at)) >= np.repeat(begin + [p[1] for p in self.parts], n)
+        return at[keep], past[keep], back[:, keep]
+
+
+def class_features(past: np.ndarray, back: np.ndarray, rows: int) -> np.ndarray:
+    """Weight rows active at each token: n x 5. Row 0: the bias; rows 1 to 4 stand for words before the text's start."""
+    out = np.empty((len(past), 5), dtype=np.int32)
+    out[:, 0] = 0
+    two = back[0] ^ mix(back[1] + _B)
+    for k, (x, need) in enumerate(((back[0], 1), (two, 1), (back[1], 2), (back[2], 3))):
+        out[:, k + 1] = np.where(past < need, k + 1, 5 + mix(x * _A + _KIND[k]) % np.uint64(rows - 5))
+    return out
+
+
+def slot_features(kind: np.ndarray, back: np.ndarray, rows: int) -> np.ndarray:
+    """Weight rows of the second factor: the class alone, with the last word, with the second last."""
+    out = np.empty((len(kind), 3), dtype=np.int32)
+    out[:, 0] = kind
+    own = mix(kind.astype(np.uint64) + _KIND[6])
+    for k in (0, 1):
+        out[:, k + 1] = CLASSES + mix(back[k] * _A + _KIND[4 + k] ^ own) % np.uint64(rows - CLASSES)
     return out
 
 
 def raw_scores(w: np.ndarray, f: np.ndarray) -> np.ndarray:
-    """Sums of the weight rows active at each token, less the largest class."""
+    """Sums of the weight rows active at each token, less the largest."""
     z = w.take(f[:, 0], axis=0)
     row = np.empty_like(z)
     for k in range(1, f.shape[1]):
@@ -133,72 +175,86 @@ def raw_scores(w: np.ndarray, f: np.ndarray) -> np.ndarray:
     return z
 
 
-def class_scores(w: np.ndarray, f: np.ndarray) -> np.ndarray:
-    """Log probabilities of all classes at each token."""
-    z = raw_scores(w, f)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-    return z
-
-
-def own_scores(w: np.ndarray, f: np.ndarray, kind: np.ndarray, block: int = 512) -> np.ndarray:
-    """Log probability of each token's own class; blocks stay in the cache."""
+def own_scores(w: np.ndarray, f: np.ndarray, own: np.ndarray, block: int = 512) -> np.ndarray:
+    """Log probability of each token's own outcome; blocks stay in the cache."""
     out = np.empty(len(f), w.dtype)
     for k in range(0, len(f), block):
         z = raw_scores(w, f[k : k + block])
-        own = z[np.arange(len(z)), kind[k : k + block]]
-        out[k : k + block] = own - np.log(np.exp(z, out=z).sum(axis=1))
+        mine = z[np.arange(len(z)), own[k : k + block]]
+        out[k : k + block] = mine - np.log(np.exp(z, out=z).sum(axis=1))
     return out
 
 
-def chunks(texts: Iterator[str | None], v: Vocabulary, most: int = 4096) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
-    """Batches of texts: lengths (a long text may come in parts, the last with its length positive and others negative), places, rows."""
-    sizes, ats, fs, held = [], [], [], 0
+def batched(texts: Iterator[str | None], v: Vocabulary, most: int = 8192) -> Iterator[Batch]:
+    out = Batch(v)
     for t in texts:
         ws = words(t)
         ws.append(END)
         if len(v) + len(ws) > v.most:  # places of one batch belong to one state of the vocabulary
-            if held:
-                yield sizes, np.concatenate(ats), np.concatenate(fs)
-                sizes, ats, fs, held = [], [], [], 0
+            if out.held:
+                yield out
+                out = Batch(v)
             v.reset()
         at = v.places(ws)
-        f = features(v, at)
         for k in range(0, len(at), most):
-            part = len(at[k : k + most])
-            sizes.append(part if k + most >= len(at) else -part)
-            ats.append(at[k : k + most])
-            fs.append(f[k : k + most])
-            held += part
-            if held >= most:
-                yield sizes, np.concatenate(ats), np.concatenate(fs)
-                sizes, ats, fs, held = [], [], [], 0
-    if held:
-        yield sizes, np.concatenate(ats), np.concatenate(fs)
-
-
-def feature_sums(kind: np.ndarray, f: np.ndarray, w: np.ndarray, seen: np.ndarray, hoped: np.ndarray) -> None:
-    """Adds observed and expected counts of (row, class)."""
-    flat = f.T.ravel().astype(np.int64)
-    seen += np.bincount(flat * CLASSES + np.tile(kind, f.shape[1]), minlength=ROWS * CLASSES).reshape(ROWS, CLASSES)
-    p = np.concatenate([np.exp(class_scores(w, f[k : k + 4096])) for k in range(0, len(f), 4096)]).T.astype(np.float64)
-    for k in range(CLASSES):
-        hoped[:, k] += np.bincount(flat, weights=np.tile(p[k], f.shape[1]), minlength=ROWS)
-
-
-def updated(train: DataFrame, w: np.ndarray, head: dict[str, np.ndarray], rate: float, smooth: float) -> np.ndarray:
+            out.add(at, k, min(len(at), k + most))
+            if out.held >= most:
+                yield out
+                out = Batch(v)
+    if out.held:
+        yield out
+
+
+def feature_sums(own: np.ndarray, f: np.ndarray, w: np.ndarray, seen: np.ndarray, hoped: np.ndarray) -> None:
+    """Adds observed and expected counts of (row, outcome)."""
+    if not len(own):
+        return
+    wide = w.shape[1]
+    p = np.concatenate([raw_scores(w, f[k : k + 512]) for k in range(0, len(f), 512)])
+    np.exp(p, out=p)
+    p /= p.sum(axis=1, keepdims=True)
+    for k in range(f.shape[1]):
+        np.add.at(seen.reshape(-1), f[:, k].astype(np.int64) * wide + own, np.float32(1))
+        if k == 0 and f[0, 0] == f[-1, 0] and (f[:, 0] == f[0, 0]).all():
+            hoped[f[0, 0]] += p.sum(axis=0)
+            continue
+        order = np.argsort(f[:, k], kind="stable")
+        rows = f[order, k]
+        first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+        hoped[rows[first]] += np.add.reduceat(p.take(order, axis=0), first, axis=0)
+
+
+def token_sums(batch: Batch, w: tuple[np.ndarray, np.ndarray], seen: list[np.ndarray], hoped: list[np.ndarray]) -> None:
+    """Adds the counts of both factors over a batch."""
+    at, past, back = batch.arrays()
+    leaf = batch.v.leaf[at]
+    kind, slot = leaf // SLOTS, leaf % SLOTS
+    feature_sums(kind, class_features(past, back, len(w[0])), w[0], seen[0], hoped[0])
+    inner = kind >= SINGLE
+    feature_sums(slot[inner], slot_features(kind[inner], back[:, inner], len(w[1])), w[1], seen[1], hoped[1])
+
+
+def moved(w: np.ndarray, seen: np.ndarray, hoped: np.ndarray, rate: float, smooth: float) -> np.ndarray:
+    """The preconditioned gradient step; a step is bounded."""
+    return w + np.clip(rate * (seen - hoped) / (hoped + smooth), -1.5, 1.5).astype(np.float32)
+
+
+def updated(train: DataFrame, w: tuple[np.ndarray, np.ndarray], head: dict[str, np.ndarray], rate: float, smooth: float) -> tuple[np.ndarray, np.ndarray]:
     """Weights after one distributed update on all rows of train."""
     shared = train.sparkSession.sparkContext.broadcast((w, head))
-    per = ROWS // SLICES
+    shapes = [x.shape for x in w]
 
     def gradients(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
         weights, known = shared.value
         v = Vocabulary(known)
-        seen, hoped = np.zeros((ROWS, CLASSES)), np.zeros((ROWS, CLASSES))
-        for _, at, f in chunks((t.as_py() for b in batches for t in b.column(0)), v, 65536):
-            feature_sums(v.kind[at], f, weights, seen, hoped)
-        cut = [np.stack([x[s * per : (s + 1) * per] for x in (seen, hoped)]).astype("<f4") for s in range(SLICES)]
-        full = [s for s in range(SLICES) if cut[s].any()]
-        yield {"slice": full, "sums": [zlib.compress(cut[s].tobytes(), 1) for s in full]}
+        seen, hoped = ([np.zeros(s, np.float32) for s in shapes] for _ in range(2))
+        for batch in batched((t.as_py() for b in batches for t in b.column(0)), v, 32768):
+            token_sums(batch, weights, seen, hoped)
+        for factor, (x, y) in enumerate(zip(seen, hoped, strict=True)):
+            cut = [np.stack([x[k : k + PER], y[k : k + PER]]) for k in range(0, len(x), PER)]
+            full = [k for k, c in enumerate(cut) if c.any()]
+            for some in (full[k : k + 128] for k in range(0, len(full), 128)):
+                yield {"slice": [2 * k + factor for k in some], "sums": [zlib.compress(cut[k].astype("<f4").tobytes(), 1) for k in some]}
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
         total: dict[int, np.ndarray] = {}
@@ -206,28 +262,79 @@ def updated(train: DataFrame, w: np.ndarray, head: dict[str, np.ndarray], rate:
             for s, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 got = np.frombuffer(zlib.decompress(x.as_py()), "<f4").astype(np.float64)
                 total[s] = total[s] + got if s in total else got
-        yield {"slice": list(total), "sums": [x.astype("<f8").tobytes() for x in total.values()]}
+        yield {"slice": list(total), "sums": [x.astype("<f4").tobytes() for x in total.values()]}
 
     parts = map_batches(train.select("text"), gradients, "slice int, sums binary").repartition("slice")
-    w = w.copy()
+    w = tuple(x.copy() for x in w)
     for r in map_batches(parts, added, "slice int, sums binary").collect():
-        seen, hoped = np.frombuffer(r["sums"], "<f8").reshape(2, per, CLASSES)
-        at = slice(r["slice"] * per, (r["slice"] + 1) * per)
-        w[at] += np.clip(rate * (seen - hoped) / (hoped + smooth), -1.5, 1.5).astype(np.float32)
+        k, x = r["slice"] // 2 * PER, w[r["slice"] % 2]
+        seen, hoped = np.frombuffer(r["sums"], "<f4").reshape(2, -1, x.shape[1])
+        x[k : k + PER] = moved(x[k : k + PER], seen, hoped, rate, smooth)
     shared.destroy()
     return w
 
 
+def weight_rows(distinct: int, most: int = 1 << 15) -> int:
+    """Rows of a weight table: a power of two that grows with the distinct words; `most` bounds what is shipped."""
+    return min(most, max(1 << 13, 1 << max(0, distinct // 16 - 1).bit_length()))
+
+
+def with_slots(top: dict[str, np.ndarray], n_of: np.ndarray, v_of: np.ndarray) -> np.ndarray:
+    """Leaves of the head words, which come by falling count: the first are classes of their own, the next of each class have
+    slots of their own. Moves their counts in n_of and v_of."""
+    leaf, used = top["leaf"].copy(), np.zeros(CLASSES, np.int64)
+    for k, (old, c) in enumerate(zip(top["leaf"].tolist(), top["c"].tolist(), strict=True)):
+        kind = old // SLOTS
+        if k < SINGLE:
+            new = k * SLOTS
+        elif used[kind] < OWN:
+            new = kind * SLOTS + used[kind]
+            used[kind] += 1
+        else:
+            continue
+        leaf[k] = new
+        n_of[old], v_of[old], n_of[new], v_of[new] = n_of[old] - c, v_of[old] - 1, c, 1
+    return leaf
+
+
+def first_weights(n_of: np.ndarray, v_of: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Biases from the counts of classes, and of slots in them; a slot of its own without a word can't occur."""
+    w = np.zeros((rows, CLASSES), np.float32), np.zeros((rows, SLOTS), np.float32)
+    mass = n_of + v_of + 1.0
+    mass[(v_of == 0) & (np.arange(len(mass)) % SLOTS < OWN)] = 0
+    mass = mass.reshape(CLASSES, SLOTS)
+    kinds = (n_of + v_of).reshape(CLASSES, SLOTS).sum(axis=1) + 1.0
+    w[0][0] = np.log(kinds / kinds.sum())
+    w[1][:CLASSES] = np.where(mass > 0, np.log(np.maximum(mass, 1e-9) / np.maximum(mass.sum(axis=1, keepdims=True), 1)), -30)
+    return w
+
+
+def token_logs(w: tuple[np.ndarray, np.ndarray], past: np.ndarray, back: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+    """Natural log of p(class) p(slot | class) at each token."""
+    kind, slot = leaf // SLOTS, leaf % SLOTS
+    out = own_scores(w[0], class_features(past, back, len(w[0])), kind).astype(np.float64)
+    inner = np.flatnonzero(kind >= SINGLE)
+    out[inner] += own_scores(w[1], slot_features(kind[inner], back[:, inner], len(w[1])), slot[inner])
+    return out
+
+
 def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-def score_documents(docs: DataFrame, head_size: int = 200_000, rounds: int = 4, rate: float = 0.5, smooth: float = 4.0) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    train = docs.where(~held_out())
-    table = stash(counted(train), "counts")
+@dataclass
+class Model:
+    """What scoring needs: the weights of both factors, the head words, log10 of each leaf's mass, and counts of the training rows."""
+
+    weights: tuple[np.ndarray, np.ndarray]
+    head: dict[str, np.ndarray]
+    leaf_log: np.ndarray
+    tokens: int
+    distinct: int
+
+
+def fitted(train: DataFrame, table: DataFrame, head_size: int = 200_000, rounds: int = 4, rate: float = 0.5, smooth: float = 4.0) -> Model:
+    """train: doc_id, text; table: what `counted` gives for it."""
     size = F.floor(F.log2("c") * 16).cast("int")  # counts by size, to find the least count of the head
     by_size = sorted(((r["size"], r["n"]) for r in table.groupBy(size.alias("size")).agg(F.count("*").alias("n")).collect()), reverse=True)
     room, least = head_size, float("inf")
@@ -238,29 +345,35 @@ def score_documents(docs: DataFrame, head_size: int = 200_000, rounds: int = 4,
         least = k
     top = table.where(size >= least).toPandas() if least < float("inf") else table.limit(0).toPandas()
     top = top.sort_values(["c", "h"], ascending=[False, True], ignore_index=True)
-    head = {"h": top["h"].to_numpy(np.int64).view(np.uint64), "c": top["c"].to_numpy(np.int64), "class": top["class"].to_numpy(np.int64)}
-    head["class"][:SINGLE] = np.arange(len(head["class"][:SINGLE]))
-    sums = table.groupBy("class").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()
-    n_of, v_of = np.zeros(CLASSES), np.zeros(CLASSES)
-    for r in sums:
-        n_of[r["class"]], v_of[r["class"]] = r["n"], r["v"]
-    for k, (own, c) in enumerate(zip(top["class"].tolist()[:SINGLE], head["c"].tolist(), strict=False)):
-        n_of[own], v_of[own], n_of[k], v_of[k] = n_of[own] - c, v_of[own] - 1, c, 1
+    head = {"h": top["h"].to_numpy(np.int64).view(np.uint64), "c": top["c"].to_numpy(np.int64), "leaf": top["leaf"].to_numpy(np.int64)}
+    n_of, v_of = np.zeros(CLASSES * SLOTS), np.zeros(CLASSES * SLOTS)
+    for r in table.groupBy("leaf").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():
+        n_of[r["leaf"]], v_of[r["leaf"]] = r["n"], r["v"]
+    head["leaf"] = with_slots(head, n_of, v_of)
     order = np.argsort(head["h"])
     head = {k: x[order] for k, x in head.items()}
     n_all, v_all = int(n_of.sum()), int(v_of.sum())
-    w = np.zeros((ROWS, CLASSES), np.float32)
-    w[0] = np.log((n_of + v_of + 1) / (n_all + v_all + CLASSES))
+    w = first_weights(n_of, v_of, weight_rows(v_all))
     for k in range(rounds if n_all else 0):
         w = updated(train.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)) == k), w, head, rate, smooth)
-    model = spark.sparkContext.broadcast((w, head, np.log10(n_of + v_of + 1)))
-    base_log, log10 = np.log10(n_all + v_all + 1), np.log(10)
+    return Model(w, head, np.log10(n_of + v_of + 1), n_all, v_all)
+
+
+def score_documents(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row."""
+    spark = docs.sparkSession
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    train = docs.where(~held_out())
+    table = stash(counted(train), "counts")
+    model = fitted(train, table, **options)
+    shared = spark.sparkContext.broadcast(model)
+    base_log, log10, n_all = np.log10(model.tokens + model.distinct + 1), np.log(10), model.tokens
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
         from pyspark import TaskContext
 
-        weights, known, class_log = model.value
-        v, row = Vocabulary(known), TaskContext.get().partitionId() << 33
+        m = shared.value
+        v, row = Vocabulary(m.head), TaskContext.get().partitionId() << 33
         ids: list = []
         empty = lambda: {k: [] for k in ("row", "doc_id", "n_tokens", "n_known", "base", "score", "tail", "times")}
         out, now, rare, at_doc = empty(), [0, 0, 0.0, 0.0], [], 0
@@ -271,12 +384,13 @@ def score_documents(docs: DataFrame, head_size: int = 200_000, rounds: int = 4,
                 for t in b.column(1):
                     yield t.as_py()
 
-        for sizes, at, f in chunks(texts(), v):
-            kind, count = v.kind[at], v.count[at]
-            logs = own_scores(weights, f, kind).astype(np.float64) / log10 - class_log[kind]
+        for batch in batched(texts(), v):
+            at, past, back = batch.arrays()
+            leaf, count = v.leaf[at], v.count[at]
+            logs = token_logs(m.weights, past, back, leaf) / log10 - m.leaf_log[leaf]
             head_log = np.log10(np.maximum(count, 0) + 1)
             start = 0
-            for size in sizes:
+            for size in batch.sizes:
                 s = slice(start, start + abs(size))
                 start += abs(size)
                 lg = head_log[s].sum()
