@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import re
 
 import numpy as np
@@ -77,6 +78,71 @@ def test_messages_agree_with_all_labellings_on_a_tree():
     assert np.allclose(p, want / want.sum(axis=1, keepdims=True), atol=1e-6)
 
 
+def exact(found, skips, model):
+    """Marginals by summing over all labellings."""
+    n = len(pii.KINDS) + 1
+    alone = [pii.unary(m[2], model) for m in found]
+    want = np.zeros((len(found), n))
+    for labels in itertools.product(*([m[3]] if m[3] else range(n) for m in found)):
+        weight = sum(u[k] for u, k, m in zip(alone, labels, found, strict=True) if not m[3])
+        weight += sum(model["chain"][a, b] for a, b in itertools.pairwise(labels)) + sum(model["skip"][labels[a], labels[b]] for a, b in skips)
+        want[range(len(found)), labels] += np.exp(weight)
+    return want / want.sum(axis=1, keepdims=True)
+
+
+def test_messages_over_skip_edges_against_all_labellings():
+    g = np.random.default_rng(3)
+    n = len(pii.KINDS) + 1
+    text = "call +1 437 555-0689 or 437 555-0689, not 20 or 1234567 but 4375550689; joe.x@mail.com, joe.x@mail"
+    found = pii.mentions(text, pii.base_spans(text))
+    skips = pii.skip_edges(found)
+    assert len(skips) == 3 and len(found) == 7
+    for strength, chained, close in ((2.0, 0.0, 1e-5), (0.5, 0.3, 0.05)):  # without a chain it is a forest, else it has loops
+        skip = strength * g.normal(size=(n, n))
+        chain = chained * g.normal(size=(n, n))
+        model = {"unary": {"bias": g.normal(size=n), "number": g.normal(size=n)}, "chain": chain, "skip": skip + skip.T}
+        assert np.abs(pii.marginals(found, skips, model) - exact(found, skips, model)).max() < close
+
+
+def test_bound_of_reach_never_hides_a_span():
+    g = np.random.default_rng(4)
+    n = len(pii.KINDS) + 1
+    text = "call +1 437 555-0689 or 437 555-0689, not 20 or 1234567; joe.x@mail.com, joe.x@mail"
+    found = pii.mentions(text, pii.base_spans(text))
+    skips = pii.skip_edges(found)
+    seen = set()
+    for _ in range(200):
+        skip = 3 * g.normal(size=(n, n))
+        model = {"unary": {"bias": 2 * g.normal(size=n)}, "chain": g.normal(size=(n, n)), "skip": skip + skip.T}
+        p = pii.marginals(found, skips, model)
+        open_ = [k for k, m in enumerate(found) if not m[3]]
+        hit = bool((p[open_, 1:] >= 0.9).any())
+        seen.add(hit)
+        assert pii.in_reach(found, skips, model, 0.9) or not hit
+    assert seen == {True, False}
+
+
+def test_planted_variants_are_found_and_plain_texts_left_alone(spark):
+    g = np.random.default_rng(6)
+    docs, planted = [], {}
+    for i in range(600):
+        name, call, card = f"p{i}.q{i % 7}", f"{g.integers(200, 999)} 555-{g.integers(1000, 9999)}", "4111111111111111"
+        docs.append((i, f"in {i} words, {name}@mail{i % 9}.example.com and +1 {call} or {card} of 1{i:03d}9807915762804 x"))
+    for i in range(600, 660):
+        name, call = f"r{i}.s", f"{g.integers(200, 999)} 555-{g.integers(1000, 9999)}"
+        planted[i] = [f"{name} (at) mail.example.com", call, f"{name}@mail"]
+        docs.append((i, f"from {name}@mail.example.com, +1 {call}: that is {planted[i][0]}, {planted[i][1]}, {planted[i][2]}, not @user or 2021"))
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    model = pii.fit(frame)
+    assert np.array_equal(model["skip"], model["skip"].T) and (np.diag(model["skip"])[1:] > 0)[[0, 3]].all()
+    text = dict(docs)
+    got = {r.doc_id: [text[r.doc_id][int(a) : int(b)] for _, a, b in (s.split(":") for s in r.spans.split(","))] for r in pii.find(frame, model, ["doc_id"]).collect()}
+    for i, want in planted.items():
+        assert set(want) <= set(got[i]) and len(got[i]) == 5, (want, got[i])
+    for i in range(600):
+        assert len(got[i]) == len(pii.base_spans(text[i])), (text[i], got[i])
+
+
 def test_a_label_reaches_fifty_repeats():
     n = len(pii.KINDS) + 1
     model = {"unary": {"bias": np.zeros(n)}, "chain": np.zeros((n, n)), "skip": 8.0 * np.eye(n)}
