@@ -39,14 +39,32 @@ def test_empty(spark):
 
 def test_level_is_the_one_of_least_squares():
     g = np.random.default_rng(2)
-    p = packing.SquaresPacker(32, 10**6)
-    for size in g.integers(1, 32, 2000).tolist():
-        def squares(h, size=size):
-            n = p.levels.copy()
-            n[h] -= h > 0
-            n[h + size] += h + size < 32
-            return int((n[:32] ** 2).sum())
-
-        allowed = [h for h in range(1, 32 - size + 1) if p.levels[h]] + [0]
-        assert squares(p.level_for(size)) == min(map(squares, allowed))
-        list(p.place((0, 0, b"\0" * 4 * size, size)))
+    for step in (1, 8):
+        p = packing.SquaresPacker(256, 10**6, step)
+        for size in g.integers(1, 256, 2000).tolist():
+
+            def squares(h, size=size):
+                n = list(p.levels)
+                fill = size + (p.open[h][-1][0] if h else 0)
+                n[h] -= h > 0
+                if fill < 256:
+                    n[p.level_of(fill)] += 1
+                return sum(x * x for x in n[1:])
+
+            allowed = [h for h in range(1, len(p.levels)) if p.levels[h] and p.open[h][-1][0] + size <= 256] + [0]
+            assert squares(p.level_for(size)) == min(map(squares, allowed))
+            list(p.place((0, 0, b"\0" * 4 * size, size)))
+            assert p.levels == [len(x) for x in p.open] and all(p.level_of(f) == h for h, x in enumerate(p.open) for f, _ in x)
+
+
+@pytest.mark.parametrize("docs,share", [(500, 0.05), (4000, 0.02)])
+def test_few_ids_are_open_at_the_end(docs, share):
+    """Lengths like those of the documents: the level array places nearly all ids, and most documents stay whole."""
+    g = np.random.default_rng(5)
+    p, pieces = packing.SquaresPacker(4096, 2048), 0
+    sizes = np.minimum(60_000, g.lognormal(6.4, 1.0, docs)).astype(int) + 1
+    for k, n in enumerate(sizes.tolist()):
+        pieces += sum(map(len, p.add(k, b"\0" * 4 * n)))
+    pieces += sum(map(len, p.flush()))
+    assert p.placed == sizes.sum() and p.relaid < share * p.placed
+    assert pieces < 1.4 * docs

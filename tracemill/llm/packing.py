@@ -1,12 +1,14 @@
 """Sum-of-squares online packing of token ids into windows.
 
-Every task packs the documents it reads, with no shuffle. A level array counts the partially filled windows of every
-fill level; a document's last part goes to the level for which the sum of squared counts becomes least. Full windows are
-written at once. What is open at the end of a task (or when `open_limit` windows are open) is laid end to end and cut at
-the window size, and the last rest is cut at powers of two, which need no padding: so the padding is nil.
+Every task packs the documents it reads, with no shuffle. A level array counts the partially filled windows by fill, in 64
+levels; a document's last part goes to the level for which the sum of squared counts becomes least. Full windows are written at
+once. A window whose gap is below one level is filled with the head of the next document, so few windows are open at any
+time: what is open at a task's end (a fortieth of 500 documents, a three-hundredth of 10,000) or when `open_limit` windows are
+open is laid end to end and cut at the window size, and the last rest is cut at powers of two, which need no padding.
 
 Nulls: a null text counts as empty, and holds the end id only; a null id stays null. Ties go to the fullest level.
-Repeated rows are packed as often as they occur. An empty table gives no pieces. Extra columns are ignored.
+Repeated rows are packed as often as they occur. An empty table gives no pieces. Long texts fill windows of their own, and their
+last part goes by the rule. Extra columns are ignored, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -83,44 +85,60 @@ _loaded = Memo(lambda key: WordTokens(*key), 8)
 class SquaresPacker:
     """Windows of one task. Pieces are (doc, start, ids, doc_tokens); closed windows are lists of pieces."""
 
-    def __init__(self, window: int, open_limit: int):
-        self.window, self.open_limit = window, open_limit
-        self.levels = np.zeros(window + 1, dtype=np.int64)
-        self.open: dict[int, list[list]] = {}
-        self.n_open = 0
+    def __init__(self, window: int, open_limit: int, step: int | None = None):
+        self.window, self.open_limit, self.step = window, open_limit, step or max(1, window // 64)
+        self.open: list[list[tuple[int, list]]] = [[] for _ in range(self.level_of(window) + 1)]
+        self.levels = [0] * len(self.open)
+        self.n_open = self.placed = self.relaid = 0
 
-    def level_for(self, size: int) -> int:
-        """The fill level (0: a new window) whose use makes the sum of squared counts least."""
-        w, n = self.window, self.levels
-        now = n[1 : w - size + 1]
-        cost = 2 * (n[1 + size : w + 1] - now) + 2
-        cost[-1:] = 1 - 2 * now[-1:]  # this window gets full and leaves the sum
-        cost[now == 0] = np.iinfo(np.int64).max
-        best = len(cost) - 1 - int(cost[::-1].argmin()) if len(cost) else -1
-        return best + 1 if best >= 0 and cost[best] <= 2 * n[size] + 1 else 0
+    def level_of(self, fill: int) -> int:
+        return -(-fill // self.step)
 
-    def place(self, piece: tuple) -> Iterator[list]:
-        size = len(piece[2]) // 4
-        h = self.level_for(size)
-        if h:
-            pieces = self.open[h].pop()
-            self.levels[h] -= 1
-            self.n_open -= 1
-            pieces.append(piece)
-        else:
-            pieces = [piece]
-        if h + size == self.window:
+    def level_for(self, size: int) -> int:
+        """The fill level (0: a new window) whose use makes the sum of squared counts least. Ties go to the fullest."""
+        n, best, least = self.levels, 0, 2 * self.levels[self.level_of(size)] + 1
+        for h in range(len(n) - 1, 0, -1):
+            if n[h] and (fill := self.open[h][-1][0] + size) <= self.window:
+                to = self.level_of(fill)
+                cost = 1 - 2 * n[h] if fill == self.window else 0 if to == h else 2 * (n[to] - n[h]) + 2
+                if cost < least or cost == least and not best:
+                    best, least = h, cost
+        return best
+
+    def take(self, h: int) -> tuple[int, list]:
+        self.levels[h] -= 1
+        self.n_open -= 1
+        return self.open[h].pop()
+
+    def put(self, fill: int, pieces: list) -> Iterator[list]:
+        if fill == self.window:
             yield pieces
             return
-        self.open.setdefault(h + size, []).append(pieces)
-        self.levels[h + size] += 1
+        h = self.level_of(fill)
+        self.open[h].append((fill, pieces))
+        self.levels[h] += 1
         self.n_open += 1
         if self.n_open > self.open_limit:
             yield from self.flush(last=False)
 
+    def place(self, piece: tuple) -> Iterator[list]:
+        """A window of the top level, whose gap is below one level, is filled with the piece's head; the rest goes by the rule."""
+        size = len(piece[2]) // 4
+        self.placed += size
+        while self.levels[-1] and self.open[-1][-1][0] + size > self.window:
+            fill, pieces = self.take(len(self.open) - 1)
+            doc, start, ids, n = piece
+            gap = self.window - fill
+            yield [*pieces, (doc, start, ids[: gap * 4], n)]
+            piece, size = (doc, start + gap, ids[gap * 4 :], n), size - gap
+        h = self.level_for(size)
+        fill, pieces = self.take(h) if h else (0, [])
+        yield from self.put(fill + size, [*pieces, piece])
+
     def add(self, doc, ids: bytes) -> Iterator[list]:
         n, step = len(ids) // 4, self.window * 4
         for at in range(0, len(ids) - step + 1, step):
+            self.placed += self.window
             yield [(doc, at // 4, ids[at : at + step], n)]
         if n % self.window:
             at = n // self.window * self.window
@@ -128,10 +146,11 @@ class SquaresPacker:
 
     def flush(self, last: bool = True) -> Iterator[list]:
         """Lay all open windows end to end, cut at the window size; the rest stays open, or is cut at powers of two."""
-        pieces = [p for h in sorted(self.open, reverse=True) for w in self.open[h] for p in w]
+        pieces = [p for level in reversed(self.open) for _, w in level for p in w]
         total = sum(len(p[2]) for p in pieces) // 4
-        self.open, self.n_open = {}, 0
-        self.levels[:] = 0
+        self.relaid += total
+        self.open = [[] for _ in self.open]
+        self.levels, self.n_open = [0] * len(self.open), 0
         sizes = [self.window] * (total // self.window)
         rest = total % self.window
         sizes += [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1] if last else [rest] * bool(rest)
@@ -146,8 +165,7 @@ class SquaresPacker:
                 left -= take
                 piece = (doc, start + take, ids[take * 4 :], n) if take * 4 < len(ids) else next(queue, None)
             if not last and size < self.window:
-                self.open, self.n_open = {size: [out]}, 1
-                self.levels[size] = 1
+                yield from self.put(size, out)
             else:
                 yield out
 
