@@ -1,3 +1,8 @@
+import re
+from html.parser import HTMLParser
+
+import numpy as np
+
 from tracemill.llm import html
 
 PROSE = "It was the best of the times and it was the worst of times, for all of them and for us"
@@ -38,3 +43,133 @@ def test_a_language_without_stop_words_keeps_its_text():
     menu = "<div>" + " ".join(f'<a href="/{k}">Wiadomości i sport {k}</a>' for k in range(5)) + "</div>"
     page = f"<body><nav>all of the news that is for you and for the others in it</nav>{menu}<div><p>{one}</p><p>{two}</p></div></body>"
     assert html.main_text(page) == f"{one} {two}"
+
+
+def test_names_that_only_mention_a_part_are_content():
+    for attributes in ('class="content no-sidebar"', 'class="with-header"', 'data-id="share-1"', 'class="login-wall article-body"', 'class="has-nav-left"', "id=post-1", 'data-x="a" class=main-column'):
+        assert html.main_text(f"<div {attributes}><p>{PROSE}</p></div><div><p>{PROSE} two</p></div>") == f"{PROSE} {PROSE} two", attributes
+    for attributes in ('class="x site-footer"', 'id="sidebar-left"', "class=navBar", 'class="cookie-banner fixed"', 'class="related-posts"', "class='AD'", 'role="navigation"', "class=comment-list"):
+        assert html.main_text(f"<div><p>{PROSE} two</p></div><div {attributes}><p>{PROSE}</p></div>") == f"{PROSE} two", attributes
+
+
+def test_a_name_does_not_drop_most_of_the_prose():
+    long = f"<p>{PROSE}.</p>" * 6
+    assert html.main_text(f'<div class="widget">{long}</div><p>{PROSE}</p>') == " ".join([PROSE + "."] * 6 + [PROSE])
+    assert html.main_text(f'<div class="widget">{long}</div><article><p>{PROSE}</p></article>') == PROSE
+    assert html.main_text(f'<div class="comments">{long}</div><p>{PROSE}</p>') == PROSE
+
+
+def test_a_slash_does_not_end_a_script():
+    assert html.main_text(f'<script src="a.js"/>var secret = 1;</script><p>{PROSE}</p>') == PROSE
+    assert html.main_text(f"<div/><p>{PROSE}</p><svg/><p>{PROSE}</p>") == f"{PROSE} {PROSE}"
+
+
+class Plain(HTMLParser):
+    """Blocks by the library's parser, with the whole stack of open elements each: (text, linked characters, elements)."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.stack, self.found, self.now, self.raw, self.link = [], [], [], None, False
+
+    def cut(self):
+        text = " ".join("".join(t for t, _ in self.now).split())
+        if text:
+            self.found.append((text, sum(len("".join(t.split())) for t, link in self.now if link), list(self.stack)))
+        self.now = []
+
+    def handle_starttag(self, tag, attrs):
+        if self.raw:
+            return
+        if tag in ("script", "style", "title"):
+            self.raw = tag
+            if tag == "title":
+                self.cut()
+        elif tag == "a":
+            self.link = True
+        elif tag == "br":
+            self.now.append(("\n", False))
+        elif tag not in ("b", "meta"):
+            self.cut()
+            while self.stack and (self.stack[-1][0] == "p" or self.stack[-1][0] == tag == "li"):
+                self.stack.pop()
+            self.stack.append((tag, dict(attrs)))
+
+    def handle_endtag(self, tag):
+        if self.raw:
+            self.raw = None if tag == self.raw else self.raw
+        elif tag == "a":
+            self.link = False
+        elif tag not in ("b", "br", "meta"):
+            self.cut()
+            at = [k for k, (t, _) in enumerate(self.stack) if t == tag]
+            if at:
+                del self.stack[at[-1] :]
+
+    def handle_data(self, data):
+        if not self.raw:
+            self.now.append((data, self.link))
+
+
+def plain_text(page):
+    """The rules once more, by looking up every neighbour of every block."""
+    p = Plain()
+    p.feed(page)
+    p.close()
+    p.cut()
+    rows = []
+    for text, linked, stack in p.found:
+        bad = any(t in ("nav", "footer", "aside", "form", "head") or a.get("class") in ("ad", "comments", "sidebar") or (t == "header" and "article" not in [x for x, _ in stack[:k]]) for k, (t, a) in enumerate(stack))
+        article = any(t == "article" for t, _ in stack)
+        words = re.findall(r"[^\W\d_]+", text.lower())
+        stops = sum(w in html.STOP_WORDS for w in words) / max(1, len(words))
+        rows.append([text, bad, article, stops, linked / max(1, len(text.replace(" ", "")))])
+    known = any(s >= 0.2 and len(t) >= 40 and share <= 0.4 and not bad for t, bad, _, s, share in rows)
+    labels = []
+    for t, bad, article, s, share in rows:
+        if bad or (share > 0.4 and not article):
+            labels.append("bad")
+        elif len(t) >= 70 and (s >= 0.2 or not known) and share <= 0.4:
+            labels.append("good")
+        else:
+            labels.append("bad" if 40 <= len(t) < 280 and s < 0.1 and known and not article else "")
+    out = []
+    for k, (t, _, article, _, _) in enumerate(rows):
+        label = labels[k]
+        if not label:
+            sides = [next((j for j in order if labels[j]), None) for order in (range(k - 1, -1, -1), range(k + 1, len(rows)))]
+            near = [j for j in sides if j is not None and not (article and rows[j][1])]
+            kinds = {labels[j] for j in near}
+            if not near:
+                label = "good" if article or "good" not in labels else "bad"
+            elif len(kinds) == 1:
+                label = kinds.pop()
+            else:
+                left, right = k - sides[0], sides[1] - k
+                label = "good" if article else "bad" if left == right else labels[sides[0] if left < right else sides[1]]
+        if label == "good":
+            out.append(t)
+    return " ".join(out)
+
+
+def test_random_pages_equal_a_plain_implementation():
+    g = np.random.default_rng(9)
+    text = [PROSE, "Of it.", "Zzz qqq www kkk jjj xxx vvv yyy ppp lll mmm nnn", "&copy; 2020 &amp; more", "the of and", "Kkk " * 90, PROSE[:45]]
+
+    def block(depth):
+        kind = g.integers(0, 9)
+        body = text[g.integers(0, len(text))]
+        if depth and kind < 4:
+            tag = ["div", "section", "article", "nav", "footer", "aside", "header", "form", 'div class="ad"', 'div class="comments"'][g.integers(0, 10)]
+            end = "" if g.random() < 0.05 else f"</{tag.split()[0]}>"
+            return f"<{tag}>" + "".join(block(depth - 1) for _ in range(g.integers(0, 5))) + end
+        if kind == 4:
+            return f'<ul><li><a href="x">{body}</a><li>{body}</ul>'
+        return ["<p>{}", "<p><b>{}<br></p>", "<div>{}</div>", "<script>var a='</p>';</script><p>{}</p>"][kind % 4].format(body)
+
+    seen = 0
+    for _ in range(1500):
+        page = "<html><head><title>The title of it</title><style>p{}</style></head><body>" + "".join(block(2) for _ in range(g.integers(1, 8)))
+        want = plain_text(page)
+        seen += bool(want)
+        assert html.main_text(page) == want, page
+    assert seen > 800

@@ -2,19 +2,23 @@
 
 A page is cut into blocks at block-level tags. First each block is decided on its own: link density, stop-word density and
 length make it good or bad, and blocks in navigation, page headers, footers, asides, forms, notices, adverts or comments
-are bad. Blocks that are short, or lie in an article and lack stop words, stay open. In the second pass open blocks take
-the label of their nearest decided neighbours on both sides; where these differ, an article's block is good, another's
-takes the nearer one. On a page without any decided block, open blocks are good. Where no block of a page that could be text reaches the
-stop-word density, as in a language that the list lacks, its blocks are decided by length and link density only.
+are bad. Elements say what they are by tag, role, or the words of a class or id that name a block; an element that only a layout name makes bad
+keeps its text where it holds more than half of the page's prose and no article lies outside. Blocks that are short, or lie in an article
+and lack stop words, stay open. In the second pass open blocks take the label of their nearest decided neighbours on both sides;
+where these differ, an article's block is good, another's takes the nearer one. On a page without any decided block, open blocks are
+good. Where no block of a page that could be text reaches the stop-word density, as in a language that the list lacks, its blocks
+are decided by length and link density only.
 
 A null page is empty, and its text is the empty string. Unclosed comments, scripts and tags run to the end of the page. Pages of
-any length are read whole.
+any length are read whole. Equal distances to a good and a bad neighbour make a block bad. Repeated rows give equal results each;
+an empty table gives no rows; columns of pages named text or n_chars give way to the results.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,23 +37,31 @@ STOP_WORDS = frozenset(
 # Names of elements.
 BLOCK_TAGS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 RAW_TAGS = frozenset("script style noscript template textarea title iframe svg math object canvas audio video noembed noframes xmp".split())
+FOREIGN = frozenset(("svg", "math"))  # only these elements end by a slash
 VOID_TAGS = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BAD_TAGS = frozenset("nav footer aside form menu head dialog select button fieldset".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 BAD_NAMES = frozenset(
     """ad ads advert adverts advertisement advertising adsbygoogle banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies
     disclaimer disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination paywall popup
-    promo promotion promoted related reply replies respond share sharing sidebar signup skip social sponsor sponsored sponsor subscribe
+    promo promotion promoted related reply replies respond share sharing sidebar signup skip social sponsor sponsored subscribe
     subscription teaser toolbar topbar widget""".split()
 )
+# Words of names that say where or what shape a block is (the word before them says which), and that say it lacks a part or has one.
+SHAPES = frozenset("area articles bar block box boxes btn button buttons col column container content dialog form group holder icons inner item items left links list main outer panel posts right section slot stories top unit wrap wrapper zone".split())
+CONDITIONS = frozenset("can has have hide hides is js no non not show shows with without".split())
+ALWAYS = frozenset(  # names that no amount of prose overrules: comments, adverts, notices
+    """comment comments commentlist disqus reply replies respond ad ads advert adverts advertisement advertising adsbygoogle consent cookie cookies
+    gdpr newsletter notice notices notification paywall popup promo promoted promotion sponsor sponsored subscribe subscription""".split()
+)
 GOOD_TAGS = frozenset(("article", "main"))
 SHORT, LONG = 40, 70  # characters
 LINKED, STOPPED = 0.4, 0.2  # shares
 
 _tag = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>?""")
-_attribute = re.compile(r"""(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I).findall
+_attribute = re.compile(r"""(?<![^\s"'])(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I).findall
 _hidden = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I).search
-_names = re.compile("[a-z]+").findall
+_names = re.compile("[A-Z]*[a-z]+|[A-Z]+").findall
 _words = re.compile(r"[^\W\d_]+").findall
 
 
@@ -81,7 +93,7 @@ def pieces(page: str) -> Iterator[tuple[str, str, str]]:
         if not name:
             continue
         close, attributes = m[1] or m[4], (m[3] or m[6] or "")
-        if not close and name in RAW_TAGS and not attributes.endswith("/"):
+        if not close and name in RAW_TAGS and not (name in FOREIGN and attributes.endswith("/")):
             end = re.compile(f"</{re.escape(name)}(?=[\\s/>])[^>]*>", re.I).search(page, at)
             at = end.end() if end else n
             yield "raw", name, ""
@@ -89,39 +101,65 @@ def pieces(page: str) -> Iterator[tuple[str, str, str]]:
             yield ("close" if close else "open"), name, attributes
 
 
-def bad_element(name: str, attributes: str, in_article: bool) -> bool:
+def role_of(name: str) -> str:
+    """What a class name or id says its block is: its last word that is no shape; nothing where it states a condition."""
+    parts = [x.lower() for x in _names(name)]
+    if not parts or parts[0] in CONDITIONS:
+        return ""
+    while len(parts) > 1 and parts[-1] in SHAPES:
+        parts.pop()
+    return parts[-1]
+
+
+def bad_element(name: str, attributes: str, in_article: bool) -> str:
+    """Why an element's blocks are no main text: "element" (its tag, role, a name in ALWAYS or being hidden) or "name"; "" if nothing says so."""
     if name in BAD_TAGS or (name == "header" and not in_article):
-        return True
+        return "element"
     if not attributes or name in ("html", "body", "article", "main"):
-        return False
+        return ""
     if _hidden(attributes):
-        return True
+        return "element"
+    why = ""
     for key, value in _attribute(attributes):
-        value = value.strip("\"'").lower()
-        if value in BAD_ROLES if key.lower() == "role" else any(x in BAD_NAMES and not (x == "header" and in_article) for x in _names(value)):
-            return True
-    return False
+        value = value.strip("\"'")
+        if key.lower() == "role":
+            if value.lower() in BAD_ROLES:
+                return "element"
+            continue
+        for role in map(role_of, value.split()):
+            if role in ALWAYS:
+                return "element"
+            if role in BAD_NAMES and not (role == "header" and in_article):
+                why = "name"
+    return why
 
 
 class Block:
-    __slots__ = ("text", "linked", "bad", "article", "label")
+    """`marks`: numbers of the elements around it that only a name makes bad."""
+
+    __slots__ = ("text", "linked", "bad", "article", "label", "marks")
 
-    def __init__(self, parts: list[tuple[str, bool]], bad: bool, article: bool):
+    def __init__(self, parts: list[tuple[str, bool]], bad: bool, article: bool, marks: frozenset[int] = frozenset()):
         self.text = " ".join(entities.unescape("".join(p for p, _ in parts)).split())
         self.linked = sum(len("".join(p.split())) for p, link in parts if link)
-        self.bad, self.article, self.label = bad, article, ""
+        self.bad, self.article, self.label, self.marks = bad, article, "", marks
+
+    def prose(self) -> int:
+        """Characters, if the block is long and has few links."""
+        n = len(self.text)
+        return n if n >= LONG and self.linked <= LINKED * n else 0
 
 
 def blocks(page: str) -> list[Block]:
-    stack: list[tuple[str, bool, bool]] = [("", False, False)]  # name, bad, in an article
+    stack: list[tuple[str, bool, bool, frozenset[int]]] = [("", False, False, frozenset())]  # name, bad, in an article, marks
     out: list[Block] = []
     parts: list[tuple[str, bool]] = []
-    link = 0
+    link = marked = 0
 
     def cut() -> None:
         nonlocal parts
         if parts:
-            b = Block(parts, stack[-1][1], stack[-1][2])
+            b = Block(parts, *stack[-1][1:])
             if b.text:
                 out.append(b)
             parts = []
@@ -144,8 +182,10 @@ def blocks(page: str) -> list[Block]:
                 if block and name not in VOID_TAGS:
                     while stack[-1][0] == "p" or (stack[-1][0] == name and name in ("li", "dt", "dd", "tr", "td", "th", "option")):
                         stack.pop()
-            if name not in VOID_TAGS and (block or bad) and not attributes.endswith("/"):
-                stack.append((name, stack[-1][1] or bad, stack[-1][2] or name in GOOD_TAGS))
+            if name not in VOID_TAGS and (block or bad):
+                _, over, article, marks = stack[-1]
+                marked += bad == "name"
+                stack.append((name, over or bad == "element", article or name in GOOD_TAGS, marks | {marked} if bad == "name" else marks))
         else:
             depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name), 0)
             if depth:
@@ -154,7 +194,22 @@ def blocks(page: str) -> list[Block]:
             elif name in BLOCK_TAGS:
                 cut()
     cut()
-    return out
+    return judged_by_name(out)
+
+
+def judged_by_name(found: list[Block]) -> list[Block]:
+    """Elements that only a name makes bad are bad, unless one holds more than half of the page's prose and no article lies outside."""
+    held: Counter = Counter()
+    total = articles = 0
+    for b in found:
+        if not b.bad and (n := b.prose()):
+            total += n
+            held.update(dict.fromkeys(b.marks, n))
+            articles += n if b.article and not b.marks else 0
+    lifted = {m for m, n in held.items() if 2 * n > total and not articles}
+    for b in found:
+        b.bad = b.bad or bool(b.marks - lifted)
+    return found
 
 
 def decide(found: list[Block]) -> list[Block]:
@@ -201,6 +256,7 @@ def main_text(page: str | None) -> str:
 
 def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """Columns `keep`, text and n_chars for every page."""
+    keep = tuple(k for k in keep if k not in ("text", "n_chars"))
     rows = pages.select(*keep, F.col("html").alias("_html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
