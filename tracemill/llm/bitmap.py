@@ -1,4 +1,7 @@
-"""A bitmap of hashed keys with a fixed number of bits: it passes every key put in, and few others until it fills up."""
+"""A bitmap of hashed keys: it passes every key put in, and few others.
+
+It has 16 bits a key, within LEAST and MOST: above 2^24 keys more of the others pass, and nothing else changes.
+"""
 
 from __future__ import annotations
 
@@ -8,12 +11,13 @@ from pyspark.sql import functions as F
 
 from .runtime import ship
 
-BITS = 26  # 8 MB, whatever the input's size
+LEAST, MOST = 16, 28  # powers of two: 8 KB to 32 MB
 
 
-def build(keys: DataFrame, key: str, bits: int = BITS) -> bytes:
+def build(keys: DataFrame, key: str) -> bytes:
     """keys: a bigint column without nulls. The driver gets 2^(bits-6) words at most."""
     ship(keys.sparkSession)
+    bits = min(MOST, max(LEAST, 4 + keys.count().bit_length()))
     at = F.pmod(F.xxhash64(key), F.lit(1 << bits))
     word = F.floor(at / 64).cast("int").alias("word")
     got = keys.select(word, (at % 64).cast("int").alias("at")).withColumn("bit", F.expr("shiftleft(1L, at)")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
