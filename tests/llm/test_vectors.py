@@ -49,7 +49,7 @@ def key(r):
 def test_near_vectors_like_brute_force(spark):
     rows = hard_rows()
     for tile_rows in (40, 10_000):
-        got = [tuple(r) for r in vecdup.near_vectors(frame(spark, rows).repartition(3), 0.9, tile_rows).collect()]
+        got = [tuple(r) for r in vecdup.near_vectors(frame(spark, rows).repartition(3), 0.9, tile_rows=tile_rows).collect()]
         assert sorted(got, key=key) == sorted(brute_near(rows, 0.9), key=key)
 
 
@@ -92,3 +92,18 @@ def test_scores_of_any_size_are_exact():
         want = [[sum(int(x) * int(y) for x, y in zip(r, s)) for s in c] for r in q]
         got = [row.tolist() for _, scores in topk.accumulate(q, c, 2) for row in scores]
         assert [[int(x) for x in r] for r in got] == want
+
+
+def test_far_leaves_are_never_met(spark):
+    """Ten directions far apart: most pairs of leaves are passed over, and no link is lost."""
+    g = np.random.default_rng(7)
+    centres = np.eye(10)[:, :10] * 5
+    rows = [(k, [float(np.float32(x)) for x in centres[k % 10] + g.normal(size=10) * 0.2]) for k in range(500)]
+    sample = [np.array(v) for _, v in rows]
+    df = frame(spark, rows).selectExpr("vec_id AS id", "1L AS extra", "embedding AS v").repartition(3)
+    blocks = vecdup.dealt(df, vecdup.trees(sample, 16))
+    met, passed = vecdup.met_tiles(blocks, 1 << 20, 20, 0.9)
+    assert len(met) >= 10 and passed > len(met) * (len(met) - 1) / 4
+    assert sum(m[2] for m in met) > len(met)  # large leaves have chunks
+    got = [tuple(r) for r in vecdup.near_vectors(frame(spark, rows), 0.9, tile_rows=20).collect()]
+    assert sorted(got, key=key) == sorted(brute_near(rows, 0.9), key=key)

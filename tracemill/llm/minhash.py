@@ -4,7 +4,8 @@ Every text's distinct shingles give a class id (equal sets: one class) and `posi
 `trees` independent trees a document walks from the root: a node chooses tokens (position and value) with probability
 1 / (threshold * positions) each, by a hash of the path, and the document goes to the child of each chosen token; it does
 so `depth` times. A pair at the threshold shares one child per node on average, and so meets in a tree with probability
-0.31 at depth 4; 32 trees miss it with probability 1e-5, and closer pairs less often.
+0.31 at depth 4; 32 trees miss it with probability 1e-5, and closer pairs less often. Depth and number of trees grow with the
+number of documents (`forest`).
 
 Nodes are compared in passes. In two star passes each document meets the least member among its nodes that lies in another
 group, and confirmed links merge groups. Then only nodes whose members lie in different groups are left (a node of copies of
@@ -15,11 +16,13 @@ sizes exclude it; every link is confirmed on full sets of 64-bit shingle hashes.
 Components come from `components`.
 
 Null or blank texts have an empty set and link with nothing. Texts with fewer words than a shingle are one shingle. Repeated
-rows are copies. Null ids link but name no component, and are never kept. Empty tables give no rows.
+rows are copies. Null ids link but name no component, and are never kept. Empty tables give no rows. Long texts are hashed whole,
+in one pass. Of equal texts and of a group the smallest id stays. Other columns are ignored, so their names can't clash.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import bitmap
 from .components import components
-from .runtime import map_batches, stash, unstash
+from .runtime import attach, map_batches, stash, unstash
 from .text import as_long, mix, shingle_set
 
 _STEP, _POS = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -61,6 +64,16 @@ def chosen_paths(sig: np.ndarray, trees: int, depth: int, threshold: float) -> n
     return nodes
 
 
+def forest(docs: int, miss: float = 1e-5) -> tuple[int, int]:
+    """Number and depth of the trees. A level tells 256 tokens apart: the depth lets unrelated texts fall to different nodes, and
+    the number makes up for pairs at the threshold that part on the way (children in common: one a node on average)."""
+    depth = max(4, 1 + -(-max(1, docs).bit_length() // 8))
+    meet = 1.0
+    for _ in range(depth):
+        meet = 1 - math.exp(-meet)
+    return max(32, math.ceil(math.log(miss) / math.log(1 - meet))), depth
+
+
 def prints(docs: DataFrame, words: int, percent: int, positions: int, trees: int, depth: int) -> DataFrame:
     """doc_id, n (shingles), cid (null: empty set), sig, nodes."""
 
@@ -237,13 +250,16 @@ def family_links(members: DataFrame, percent: int, positions: int, cell: int = 1
     return map_batches(p, run, "a bigint, b bigint")
 
 
-def near_documents(docs: DataFrame, words: int = 5, percent: int = 80, positions: int = 128, trees: int = 32, depth: int = 4) -> DataFrame:
+def near_documents(docs: DataFrame, words: int = 5, percent: int = 80, positions: int = 128) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text)."""
+    total = docs.count()
+    trees, depth = forest(total)
     all_rows = stash(prints(docs, words, percent, positions, trees, depth), "prints")
     full = all_rows.where("cid is not null")
-    sketches = full.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    sketches = full.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.count("*").alias("copies"))
     sketches = stash(sketches, "sketches")
     classes = sketches.select("cid", "rep")
+    written, sketches = sketches, sketches.drop("copies")
     met = stash(full.select(F.explode("nodes").alias("node"), "cid").groupBy("node").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo < hi").select("node", "lo"), "met")
     shared = docs.sparkSession.sparkContext.broadcast(bitmap.build(met, "node"))
 
@@ -279,17 +295,20 @@ def near_documents(docs: DataFrame, words: int = 5, percent: int = 80, positions
         unstash(sets)
     own = classes.join(groups.withColumnRenamed("id", "cid"), "cid").select("cid", "rep", "root")
     named = own.join(own.groupBy("root").agg(F.min("rep").alias("least")), "root").select("cid", "least")
-    named = classes.join(named, "cid", "left").select("cid", F.coalesce("least", "rep").alias("component_id"))
-    out = stash(all_rows.select("doc_id", "n", "cid").join(named, "cid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")), "near")
-    unstash(all_rows, sketches, met, seen, kin, *done)
+    named = written.select("cid", "rep", "copies").join(named, "cid", "left").select("cid", F.coalesce("least", "rep").alias("component_id"), "copies")
+    out = stash(attach(all_rows.select("doc_id", "n", "cid"), named, ["cid"], "copies", total).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")), "near")
+    unstash(all_rows, written, met, seen, kin, *done)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs whose id names their group; of rows that repeat an id one stays. Rows without an id stay."""
-    found = near_documents(docs.select("doc_id", "text"), **options)
-    kept = found.where("kept").groupBy("doc_id").agg(F.count("*").alias("times"))
-    out = docs.join(kept, "doc_id", "left_semi")
-    if not kept.where("times > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id"])
-    return out.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    """One row of docs for each group of texts: that of the smallest id (null is largest); of rows with equal ids any one, all
+    columns from it. Rows without words stay, as they link with nothing."""
+    if docs.groupBy("doc_id").agg(F.count("*").alias("times")).where("doc_id is null or times > 1").isEmpty():
+        kept = near_documents(docs.select("doc_id", "text"), **options).where("kept")
+        return docs.join(kept.select(F.col("doc_id").alias("_id")), F.col("doc_id") == F.col("_id"), "left_semi")
+    numbered = stash(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    found = near_documents(numbered.select(F.col("_row").alias("doc_id"), "text"), **options).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group"))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row")
+    first = found.join(numbered.select("_row", "doc_id"), "_row").groupBy("_group").agg(F.min(order)["_row"].alias("_row"))
+    return numbered.join(first.select("_row"), "_row", "left_semi").select(docs.columns)

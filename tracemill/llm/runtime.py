@@ -10,6 +10,7 @@ from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.scratch import new_path, stash, unstash
@@ -52,4 +53,20 @@ def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterable[
     return df.mapInArrow(run, struct)
 
 
-__all__ = ["map_batches", "new_path", "ship", "stash", "unstash"]
+def attach(rows: DataFrame, table: DataFrame, keys: list[str], copies: str, total: int) -> DataFrame:
+    """rows with the columns of table that belong to their keys (null without); table has a row a key, and in `copies` how many
+    rows have it. Keys of more than a ten-thousandth of all `total` rows, 10,000 at most, meet their rows by broadcast, the others in
+    a shuffle, and rows with a null key in none: so no task gets more of a key than its share."""
+    often = F.col(copies) > total / 10_000
+    hot = F.broadcast(table.where(often).drop(copies))
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    new = [f for f in table.schema if f.name not in (*keys, copies)]
+    near = rows.where(known).join(hot, keys)
+    far = rows.where(known).join(hot.select(keys), keys, "left_anti").join(table.where(~often).drop(copies), keys, "left")
+    bare = rows.where(~known).withColumns({f.name: F.lit(None).cast(f.dataType) for f in new})
+    return near.unionByName(far).unionByName(bare)
+
+
+__all__ = ["attach", "map_batches", "new_path", "ship", "stash", "unstash"]
