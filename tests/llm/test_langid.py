@@ -41,6 +41,29 @@ def test_expected_uses_are_posteriors():
     assert math.isclose(got[pieces["▁than"]], 2 * (1 - share / segmentations("▁than", pieces, probs)), rel_tol=1e-9)
 
 
+def test_long_words_are_trained_on():
+    """Expected uses cover each character once, however far the probabilities have to be rescaled."""
+    pieces = langid.vocabulary(PATH)
+    size = {i: len(p) for p, i in pieces.items()}
+    starts = langid.prefixes(PATH)
+    for probs in ([1e-5] * 32000, [1 / (3 + i) for i in range(32000)]):
+        for word in ("than", "ab" * 2000, "nationing" * 500):
+            got = {}
+            langid.expected(langid.lattice(word, starts), probs, 1.0, got)
+            assert math.isclose(sum(x * size[p] for p, x in got.items()), len(word) + 1, rel_tol=1e-6)
+
+
+def test_models_do_not_share_scores(spark):
+    """The same worker scores with two models whose rows are swapped."""
+    docs = spark.createDataFrame([(i, SAID[k]) for i, k in enumerate(("en", "de"))], "doc_id bigint, text string").coalesce(1)
+    langs, probs = langid.fit(spark.createDataFrame(rows()[:300], "doc_id bigint, text string, lang string, source string, score double"), PATH)
+    one = [r.lang_pred for r in langid.predict(docs, PATH, langs, probs).collect()]
+    two = [r.lang_pred for r in langid.predict(docs, PATH, langs, probs[[1, 0, 2]]).collect()]
+    assert one == ["en", "de"] and two == ["de", "en"] and langs[:2] == ["de", "en"]
+    with pytest.raises(ValueError):
+        langid.fit(spark.createDataFrame([(i, "a", f"l{i}") for i in range(5)], "doc_id bigint, text string, lang string"), PATH, most_languages=4)
+
+
 def rows():
     out = []
     for i in range(300):

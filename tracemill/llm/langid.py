@@ -8,11 +8,14 @@ where there are fewer); each step runs on the executors and brings back one numb
 
 Null texts and texts without a letter, and all texts where no training row exists, give `und` with score 0. Ties go to
 the first language in alphabetical order. Rows with null ids or languages are predicted and never trained on. Words of
-any length are walked in full; probabilities are rescaled on the way.
+any length are walked in full, in training and prediction; probabilities are rescaled on the way. Repeated rows count as often as
+they occur. An empty table gives no rows. Columns of docs named like a result give way to it. More than `most_languages`
+languages are an error.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -97,25 +100,50 @@ def log_prob(edges: list[tuple[int, int, int]], probs: list[float]) -> float:
     return math.log(a[-1]) + scale[-1] if a[-1] > 0 else scale[-1] - 700.0
 
 
-def expected(edges: list[tuple[int, int, int]], probs: list[float], times: float, into: dict[int, float]) -> None:
-    """Adds the expected number of uses of each piece. Words too improbable for plain floats are left out of training."""
-    a, scale = forward(edges, probs)
-    if a[-1] <= 0 or scale[-1]:
-        return
-    b = [0.0] * len(a)
-    b[-1] = 1.0
+def backward(edges: list[tuple[int, int, int]], probs: list[float]) -> tuple[list[float], list[float]]:
+    """Sums over segmentations from each boundary on, rescaled like those of `forward`."""
+    n = edges[-1][1]
+    b, scale = [0.0] * (n + 1), [0.0] * (n + 1)
+    b[n], at, shift = 1.0, n, 0.0
     for i, j, p in reversed(edges):
+        if i != at:  # all edges from `at` are summed
+            scale[at] = shift
+            if 0 < b[at] < TINY:
+                up = 1 / b[at]
+                shift -= math.log(up)
+                for k in range(at, min(n + 1, at + 64)):
+                    b[k] *= up
+                    scale[k] = shift
+            at = i
         b[i] += b[j] * (probs[p] if p >= 0 else UNKNOWN)
+    scale[0] = shift
+    return b, scale
+
+
+def expected(edges: list[tuple[int, int, int]], probs: list[float], times: float, into: dict[int, float]) -> None:
+    """Adds the expected number of uses of each piece."""
+    a, scale = forward(edges, probs)
+    if a[-1] <= 0:
+        return  # no segmentation has a probability that a float can hold even when rescaled
+    b, behind = backward(edges, probs)
     for i, j, p in edges:
         if p >= 0:
-            into[p] = into.get(p, 0.0) + times * a[i] * probs[p] * b[j] / a[-1]
+            x = a[i] * probs[p] * b[j]
+            if scale[-1] or behind[0]:  # rescaled on the way
+                logs = math.log(a[i]) + math.log(probs[p]) + math.log(b[j]) - math.log(a[-1]) if a[i] and probs[p] and b[j] else -math.inf
+                x = math.exp(logs + scale[i] + behind[j] - scale[-1])
+            else:
+                x /= a[-1]
+            into[p] = into.get(p, 0.0) + times * x
 
 
-def fit(train: DataFrame, vocab: str, sample: int = 1500, rounds: int = 3, floor: float = 0.05) -> tuple[list[str], np.ndarray]:
+def fit(train: DataFrame, vocab: str, sample: int = 1500, rounds: int = 3, floor: float = 0.05, most_languages: int = 256) -> tuple[list[str], np.ndarray]:
     """train: doc_id, text, lang. The languages and their piece probabilities."""
     spark = train.sparkSession
     train = train.where("lang is not null and text is not null")
-    sizes = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count("*").alias("n")).limit(most_languages + 1).collect()}
+    if len(sizes) > most_languages:
+        raise ValueError(f"more than {most_languages} languages: the model holds a row of piece probabilities for each")
     langs = sorted(sizes)
     if not langs:
         return [], np.zeros((0, 0))
@@ -199,7 +227,8 @@ _scorers: dict[bytes, WordScores] = {}
 def predict(docs: DataFrame, vocab: str, langs: list[str], probs: np.ndarray, most: int = 700_000) -> DataFrame:
     """docs with lang_pred and score appended, every other column kept as it is."""
     model = docs.sparkSession.sparkContext.broadcast(probs)
-    key = np.float64(probs.sum() + len(langs)).tobytes() + probs[:, :4000].tobytes()[:64]
+    key = hashlib.sha256(repr((vocab, langs, probs.shape)).encode() + probs.tobytes()).digest()
+    docs = docs.drop("lang_pred", "score")
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
@@ -231,5 +260,6 @@ def held_out() -> Column:
 def identify(docs: DataFrame, vocab: str, keep: list[str], **options) -> DataFrame:
     """Columns `keep`, held_out, lang_pred and score, trained on the rows of docs that aren't held out."""
     langs, probs = fit(docs.where(~held_out() & F.col("doc_id").isNotNull()).select("doc_id", "text", "lang"), vocab, **options)
+    keep = [k for k in keep if k not in ("held_out", "lang_pred", "score")]
     rows = docs.select(*keep, *(["text"] if "text" not in keep else []), held_out().alias("held_out"))
     return predict(rows, vocab, langs, probs).select(*keep, "held_out", "lang_pred", "score")

@@ -1,13 +1,17 @@
 """SentencePiece encoding and decoding by streaming Viterbi over a public vocabulary.
 
 The best segmentation maximises the sum of the model's piece scores; a character without a piece costs ten less than the
-least score and is written as byte pieces. The decoder keeps back-pointers for a window only: whenever the paths of all
-boundaries that a later piece could still start from meet in one boundary, the ids up to it are committed and forgotten.
-No piece spans the boundary before a run of spaces, so all paths meet there by construction; texts are cut there and the ids
-of the parts memoised.
+least score and is written as byte pieces. A model of merges, as the one of the registered query, has ranks for scores: there the
+ids are valid pieces that decode to the text, but not those that merging in order of rank would give.
+
+The decoder keeps back-pointers for a window only: whenever the paths of all boundaries that a later piece could still start
+from meet in one boundary, the ids up to it are committed and forgotten. No piece spans the boundary before a run of spaces, so all
+paths meet there by construction; texts are cut there and the ids of the parts memoised. `stream` takes a text uncut as well,
+with equal ids.
 
 White space becomes '▁' and one is put in front; decoding undoes both, so a text comes back as it was unless it holds '▁'
-itself. Null and empty texts have no ids; a null decodes to null. Ties go to the longer last piece. No limit on length.
+itself. Null and empty texts have no ids; a null decodes to null. Ties go to the longer last piece. No limit on length. Repeated
+rows give equal results each, an empty table gives no rows, and a column named like a result gives way to it.
 """
 
 from __future__ import annotations
@@ -46,7 +50,7 @@ class Pieces:
         self.memo = Memo(lambda part: array("I", self.stream(part)).tobytes(), most)
 
     def stream(self, chars: Iterable[str], stats: dict | None = None) -> Iterator[int]:
-        """Ids of a stream of characters. stats gets the longest window that was held."""
+        """Ids of a stream of characters. stats gets the longest window that was held, and how often ids were committed before the end."""
         score, suffixes, longest = self.scores.get, self.suffixes, self.longest
         window, best, back, m, wait = "", [0.0], [0], 0, self.longest
         for c in chars:
@@ -73,6 +77,7 @@ class Pieces:
                 meet = live.pop()
                 if stats is not None:
                     stats["window"] = max(stats.get("window", 0), m)
+                    stats["commits"] = stats.get("commits", 0) + (meet > 0)
                 if meet:
                     yield from self.path(window, meet, back)
                     window, best, back, m = window[meet:], [x - best[meet] for x in best[meet:]], [x - meet for x in back[meet:]], m - meet
@@ -118,6 +123,7 @@ def _fields(df: DataFrame) -> str:
 
 def encode(docs: DataFrame, model: str, text_col: str = "text") -> DataFrame:
     """docs with piece_ids binary put first."""
+    docs = docs.drop("piece_ids")
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
@@ -130,6 +136,7 @@ def encode(docs: DataFrame, model: str, text_col: str = "text") -> DataFrame:
 
 def decode(docs: DataFrame, model: str, ids_col: str = "piece_ids") -> DataFrame:
     """docs with decoded string put first."""
+    docs = docs.drop("decoded")
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
