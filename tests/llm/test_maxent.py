@@ -115,19 +115,24 @@ def test_features_of_parts_equal_those_of_whole_texts():
 
 
 def test_gradient_sums_like_a_loop():
+    """Observed counts equal a loop's; expected ones, drawn, agree with its probabilities in the mean."""
     g = np.random.default_rng(2)
     w = g.normal(size=(128, maxent.CLASSES)).astype(np.float32)
     f, kind = g.integers(0, 40, size=(300, 5)).astype(np.int32), g.integers(0, maxent.CLASSES, 300)
     f[:, 0] = 0
     seen, hoped = np.zeros((128, maxent.CLASSES), np.float32), np.zeros((128, maxent.CLASSES), np.float32)
-    maxent.feature_sums(kind, f, w, seen, hoped)
+    times = 200
+    for k in range(times):
+        maxent.feature_sums(kind, f, w, seen, hoped, np.random.default_rng(k))
     a, b = np.zeros_like(seen), np.zeros_like(seen)
     for i in range(300):
         p = [softmax_at(w, f[i], j) for j in range(maxent.CLASSES)]
         for k in range(5):
             a[f[i, k], kind[i]] += 1
             b[f[i, k]] += p
-    assert np.array_equal(a, seen) and np.allclose(b, hoped, atol=1e-2)
+    assert np.array_equal(a * times, seen)
+    assert np.allclose(b.sum(axis=1), hoped.sum(axis=1) / times, rtol=1e-4)
+    assert np.abs(b - hoped / times).max() < 5 * np.sqrt(b.max() / maxent.DRAWS / times)
 
 
 def test_twenty_common_words_are_told_apart(spark):

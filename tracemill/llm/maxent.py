@@ -9,8 +9,8 @@ share slots by a hash. The third is the smoothed share of the word's count in it
 
 Counts cover all training rows, by a grouped sum of partial counts. Weight rows grow with the number of distinct words, up to
 what `weight_rows` lets be shipped. Weights are trained in `rounds` distributed updates: each takes its own share of
-the training rows, so that every row is used once; tasks sum observed and expected feature counts, which are added up in slices,
-and the weights take a preconditioned gradient step. Scoring runs in sparse numpy batches. The `head` most frequent words are
+the training rows, so that every row is used once; tasks sum observed and expected feature counts (the latter from outcomes drawn from the
+model at each token), which are added up in slices, and the weights take a preconditioned gradient step. Scoring runs in sparse numpy batches. The `head` most frequent words are
 shipped with the model, a size that the parameter bounds; the counts of all others meet the documents' rare words in a
 join.
 
@@ -39,6 +39,7 @@ from .text import mix, words
 SINGLE, CLASSES = 24, 64  # classes of one word each, and all classes
 OWN, SLOTS = 16, 32  # slots of one word each in a class, and all its slots
 PER = 32  # weight rows in a slice of the gradient
+DRAWS = 4  # outcomes drawn for a token
 END = b""
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _KIND = mix(np.arange(1, 9, dtype=np.uint64) * _A)
@@ -205,33 +206,31 @@ def batched(texts: Iterator[str | None], v: Vocabulary, most: int = 8192) -> Ite
         yield out
 
 
-def feature_sums(own: np.ndarray, f: np.ndarray, w: np.ndarray, seen: np.ndarray, hoped: np.ndarray) -> None:
-    """Adds observed and expected counts of (row, outcome)."""
-    if not len(own):
-        return
-    wide = w.shape[1]
-    p = np.concatenate([raw_scores(w, f[k : k + 512]) for k in range(0, len(f), 512)])
-    np.exp(p, out=p)
-    p /= p.sum(axis=1, keepdims=True)
-    for k in range(f.shape[1]):
-        np.add.at(seen.reshape(-1), f[:, k].astype(np.int64) * wide + own, np.float32(1))
-        if k == 0 and f[0, 0] == f[-1, 0] and (f[:, 0] == f[0, 0]).all():
-            hoped[f[0, 0]] += p.sum(axis=0)
-            continue
-        order = np.argsort(f[:, k], kind="stable")
-        rows = f[order, k]
-        first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-        hoped[rows[first]] += np.add.reduceat(p.take(order, axis=0), first, axis=0)
-
-
-def token_sums(batch: Batch, w: tuple[np.ndarray, np.ndarray], seen: list[np.ndarray], hoped: list[np.ndarray]) -> None:
+def feature_sums(own: np.ndarray, f: np.ndarray, w: np.ndarray, seen: np.ndarray, hoped: np.ndarray, draws: np.random.Generator) -> None:
+    """Adds observed counts of (row, outcome), and expected ones from DRAWS outcomes of each token, drawn from the model in even
+    steps of its distribution: their mean is the expectation, at a cost that does not grow with the number of outcomes."""
+    wide, share = w.shape[1], np.float32(1 / DRAWS)
+    up_to = np.triu(np.ones((wide, wide), np.float32))
+    for at in range(0, len(own), 512):
+        rows, mine = f[at : at + 512].astype(np.int64) * wide, own[at : at + 512]
+        p = raw_scores(w, f[at : at + 512])
+        sums = np.exp(p, out=p) @ up_to
+        np.add.at(seen.reshape(-1), rows + mine[:, None], np.float32(1))
+        u = draws.random(len(p), dtype=np.float32)
+        most = sums[:, -1] * np.float32(1 - 1e-6)
+        for k in range(DRAWS):
+            drawn = (sums <= ((k + u) * share * most)[:, None]).argmin(axis=1)
+            np.add.at(hoped.reshape(-1), rows + drawn[:, None], share)
+
+
+def token_sums(batch: Batch, w: tuple[np.ndarray, np.ndarray], seen: list[np.ndarray], hoped: list[np.ndarray], draws: np.random.Generator) -> None:
     """Adds the counts of both factors over a batch."""
     at, past, back = batch.arrays()
     leaf = batch.v.leaf[at]
     kind, slot = leaf // SLOTS, leaf % SLOTS
-    feature_sums(kind, class_features(past, back, len(w[0])), w[0], seen[0], hoped[0])
+    feature_sums(kind, class_features(past, back, len(w[0])), w[0], seen[0], hoped[0], draws)
     inner = kind >= SINGLE
-    feature_sums(slot[inner], slot_features(kind[inner], back[:, inner], len(w[1])), w[1], seen[1], hoped[1])
+    feature_sums(slot[inner], slot_features(kind[inner], back[:, inner], len(w[1])), w[1], seen[1], hoped[1], draws)
 
 
 def moved(w: np.ndarray, seen: np.ndarray, hoped: np.ndarray, rate: float, smooth: float) -> np.ndarray:
@@ -245,11 +244,13 @@ def updated(train: DataFrame, w: tuple[np.ndarray, np.ndarray], head: dict[str,
     shapes = [x.shape for x in w]
 
     def gradients(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
+        from pyspark import TaskContext
+
         weights, known = shared.value
-        v = Vocabulary(known)
+        v, draws = Vocabulary(known), np.random.default_rng(TaskContext.get().partitionId())  # a task that runs again draws the same
         seen, hoped = ([np.zeros(s, np.float32) for s in shapes] for _ in range(2))
         for batch in batched((t.as_py() for b in batches for t in b.column(0)), v, 32768):
-            token_sums(batch, weights, seen, hoped)
+            token_sums(batch, weights, seen, hoped, draws)
         for factor, (x, y) in enumerate(zip(seen, hoped, strict=True)):
             cut = [np.stack([x[k : k + PER], y[k : k + PER]]) for k in range(0, len(x), PER)]
             full = [k for k, c in enumerate(cut) if c.any()]
