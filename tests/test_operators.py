@@ -5,10 +5,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracemill.functions import exprs as X
-from tracemill.operators import align, behaviour, diffs, graph, history, redact, rules, similarity, states, validate
-from tracemill.sources import fixtures, logs, store
+from tracemill.functions import modules as M
+from tracemill.operators import align, behaviour, code, diffs, graph, history, redact, registry, rules, similarity, states, validate
+from tracemill.sources import logs, store
 from tracemill.streaming import sessions
 
+from . import fixtures
+
 
 def one(spark, col, **values):
     names = {k: F.lit(v) for k, v in values.items()}
@@ -91,8 +94,74 @@ def test_diff_tables(spark):
     assert not {x for x in s if x[1] in ("hidden", "_private", "private")}
     hits = {(r.symbol, r.rule_id) for r in rules.matches(diffs.raw_changes(diffs.lines(fixtures.diffs(spark)))).collect()}
     assert {("login_user", "sec_auth_001"), ("removeMe", "breaking_001"), ("hashIt", "sec_crypto_001"), ("Session", "sec_token_001"), ("TestApp", "misc_test_001")} <= hits
-    edges = {(r.a, r.b, r.weight) for r in diffs.dependency_edges(diffs.lines(fixtures.diffs(spark))).collect()}
-    assert edges == {("auth", "tests", 1)}
+
+
+def test_modules_by_path(spark):
+    """Each rule, on paths and answers of its own."""
+    cases = {
+        M.module_short: {"src/auth/login.rs": "src/auth", "src/x.rs": "src", "crates/a/b.rs": "crates", "README.md": "README.md", "/x/y": ""},
+        M.module_from_path: {"src/auth/login.rs": "src/auth", "src/x.rs": "src/x.rs", "crates/a/b/c.rs": "crates/a/b", "crates/a": "crates/a", "web/x.ts": "web/x.ts"},
+        M.module_group: {"src/auth/login.rs": "src/auth", "crates/core/src/lib.rs": "crates/core", "crates/a": "crates/a", "README.md": "."},
+        M.cluster_module: {"src/auth/handler.rs": "auth", "crates/core/src/lib.rs": "crates", "tests/integration/test_auth.rs": "integration", "./lib/x.js": "x.js", "src": "src", "": ""},
+        M.rust_module: {"src/auth/login.rs": "auth", "src/x.rs": "x", "crates/k/src/f.rs": "f", "x.rs": None, "src/a/b/c.rs": "a"},
+        M.path_module: {"src/web/app.ts": "web/app", "lib/x.js": "x", "src": None, "a.d/f": "a", "/abs/x.go": "//abs/x", "README": "README"},
+        X.language: {"a/b.MJS": "javascript", "x.Rs": "rust", ".rs": "unknown", "a.tsx": "typescript", "a.b.py": "python", "go": "unknown"},
+        graph.is_entry_point: {"a/main.rs": True, "app.ts": True, "src/bin": True, "lib.rs": False, "a/main.js": False, "index.ts": True},
+        graph.node_phase: {"ReadFile": "input", "checkAll": "validation", "save_db": "persistence", "Render": "output", "compute": "business_logic"},
+        graph.trigger: {"main": "CLI", "user_handler": "HTTP", "worker": "MQ", "Handler": "CLI"},
+    }
+    for rule, want in cases.items():
+        got = spark.createDataFrame([(p,) for p in want], "p string").select("p", rule(F.col("p")).alias("m")).collect()
+        assert {r.p: r.m for r in got} == want, rule
+
+
+def test_imports_and_dependencies(spark):
+    lines = {"use crate::store::users;": "store/users", "use super::a::{b, c};": "a/{b, c}", "use std::io;;": "std/io", "use {a, b};": None, "use crate;": "crate", "from a.b import c": "a/b", "  import x.y as z": "x/y", "import q from './w'": "q", "const m = require('./z') ;": "./z", "require(": None, "let x = 1;": None}
+    got = spark.createDataFrame([(x,) for x in lines], "c string").select("c", code.imported(F.col("c")).alias("i")).collect()
+    assert {r.c: r.i for r in got} == lines
+    files = [(1, "src/auth/a.rs", "use src::store::x;\nuse src::store::y;"), (1, "src/store/b.rs", "import auth"), (1, "web/c.js", "x"), (2, "src/a.rs", "use src;")]
+    got = code.dependencies(spark.createDataFrame(files, "project int, file string, content string")).collect()
+    assert [tuple(r) for r in got] == [(1, "src/auth", "src/store", 3.0)]
+
+
+def test_all_metrics_are_compared(spark):
+    names = [m[0] for m in history.METRICS]
+    rows = [(1, 1, 10, *[100.0] * 10), (1, 2, 11, *[110.0, 90.0, 104.0, 120.0, 80.0, 100.0, 0.0, 120.0, 94.0, 106.0]), (2, 1, 20, *[1.0] * 10), (3, 1, 30, *[0.0] * 10), (3, 2, 31, *[None] * 8, 0.0, 5.0)]
+    got = history.compare_metrics(spark.createDataFrame(rows, "task_id int, trial int, eval_id int, " + ", ".join(f"{n} double" for n in names))).collect()
+    by = {(r.task_id, r.metric): (r.change_pct, r.direction) for r in got}
+    assert [by[1, n][1] for n in names] == ["Up", "Down", "Flat", "Down", "Up", "Flat", "Up", "Up", "Down", "Up"]
+    assert by[3, "additions"] == (0.0, "Flat") and by[3, "deletions"] == (100.0, "Up") and len(by) == 12
+
+
+def test_registry_and_versions(spark):
+    r = registry.Registry().with_tool("deploy").with_tool("deploy").upgraded(registry.Remap(1, 2, {0: 3}, {0: 9, 1: 2}))
+    assert (r.version, r.parent, len(r.tools)) == (2, 1, 6)
+    v = spark.createDataFrame([(1, [0, 1, 4, 7], [1.0, 2.0, 3.0, 4.0]), (2, [7], [1.0]), (1, [], [])], "registry_version int, indices array<int>, values array<double>")
+    got = [(x.registry_version, x.indices, x["values"]) for x in registry.reproject(v, r).collect()]
+    assert got == [(2, [3, 2, 4], [1.0, 2.0, 3.0]), (2, [7], [1.0]), (2, [], [])]
+    meets = {"^0.4": True, "0.4.3": False, "~0.4": True, ">=0.3, <0.4": False, "=0.4.2": True, ">0.4": False, "<=0.4": True, "*": True, "0.4.*": True, "^1": False, "x": False, "^0.0.3": False}
+    got = spark.createDataFrame([(x,) for x in meets], "q string").select("q", registry.satisfies(F.col("q"), (0, 4, 2)).alias("ok")).collect()
+    assert {x.q: x.ok for x in got} == meets
+
+
+def test_clusters_and_history(spark):
+    changed = spark.createDataFrame([(1, "src/auth/a.rs")], "project int, file string")
+    symbols = spark.createDataFrame([(1, "s", "src/store/b.rs", True), (1, "t", "web/c.ts", False), (1, "u", "doc/d.md", False)], "project int, symbol string, file string, added boolean")
+    tasks = spark.createDataFrame([(1, "web", 2)], "project int, module string, n_tasks int")
+    nodes = code.clusters(changed, symbols, tasks)
+    assert {(r.module, r.n_symbols, r.cluster_type) for r in nodes.collect()} == {("auth", 0, "Changed"), ("store", 1, "Changed"), ("web", 1, "Active"), ("doc", 1, "Cold")}
+    links = code.cluster_links(spark.createDataFrame([(1, "a", "f"), (1, "b", "f"), (1, "c", "g")], "project int, module string, file string"))
+    assert [tuple(r) for r in links.collect()] == [(1, "a", "b", 0.5)]
+    assert code.cluster_summary(nodes, links).collect()[0].asDict() == {"project": 1, "n_modules": 4, "n_changed": 2, "n_active": 1, "n_cold": 1, "avg_coupling": 0.5}
+    log = spark.createDataFrame([("2024-01-01 x",), ("",), (" src/a/b.rs",), ("src/a/c.rs",), ("x.md",)], "line string")
+    assert {tuple(r) for r in code.module_changes(log).collect()} == {("src/a", 2), ("x.md", 1)}
+
+
+def test_deep_chains_have_layers(spark):
+    n = 40
+    nodes = spark.createDataFrame([("g", f"n{i:03d}") for i in range(n)], "graph string, node string")
+    edges = spark.createDataFrame([("g", f"n{i:03d}", f"n{i - 1:03d}") for i in range(1, n)], "graph string, node string, dep string")
+    assert sorted((r.node, r.layer) for r in graph.layers(nodes, edges).collect()) == [(f"n{i:03d}", i) for i in range(n)]
 
 
 def test_history(spark):

@@ -74,9 +74,10 @@ def file_cluster(path: Column) -> Column:
 
 
 def language(path: Column) -> Column:
+    """By the extension, whatever its case; a leading dot starts no extension."""
     # Languages by extension.
-    names = {"rs": "rust", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "py": "python", "go": "go", "java": "java"}
-    ext = F.regexp_extract(path, r"\.([^./]*)$", 1)
+    names = {"rs": "rust", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "py": "python", "go": "go", "java": "java"}
+    ext = F.lower(F.regexp_extract(path, r"[^/]\.([^./]*)/*$", 1))
     return case(*((ext == e, name) for e, name in names.items()), otherwise="unknown")
 
 
@@ -199,32 +200,6 @@ def preview(text: Column, chars: int = 200) -> Column:
     return F.when(F.length(text) > chars, F.concat(F.substring(text, 1, chars), F.lit("..."))).otherwise(text)
 
 
-def top_module(path: Column) -> Column:
-    """First folder below src/ or the first folder."""
-    rest = F.regexp_replace(path, r"^src/", "")
-    return F.when(rest.contains("/"), F.regexp_extract(rest, r"^([^/]*)/", 1)).otherwise(F.regexp_replace(rest, r"\.[^.]*$", ""))
-
-
-def parent_module(path: Column) -> Column:
-    """The folder path joined by '::'."""
-    return F.replace(F.regexp_extract(path, r"^(.*)/[^/]*$", 1), F.lit("/"), F.lit("::"))
-
-
-def two_level_module(path: Column) -> Column:
-    """The first two folders."""
-    return F.array_join(F.slice(F.split(path, "/"), 1, 2), "/")
-
-
-def stem_module(path: Column) -> Column:
-    """The file's name without its extension."""
-    return F.regexp_replace(F.regexp_extract(path, r"([^/]*)$", 1), r"\.[^.]*$", "")
-
-
-def leaf_module(path: Column) -> Column:
-    """The name of the folder that holds the file; '' at the top."""
-    return F.regexp_extract(path, r"([^/]*)/[^/]*$", 1)
-
-
 def task_category(message: Column) -> Column:
     m = F.lower(message)
     has = lambda *words: reduce(lambda a, b: a | b, [m.contains(w) for w in words])

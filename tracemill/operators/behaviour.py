@@ -112,3 +112,12 @@ def vectors(calls: DataFrame, states: DataFrame) -> DataFrame:
     return j.select("trace_id", *(c.alias(v) for c, v in zip(scaled[:-1], VECTOR, strict=False)), F.col("stability"))
 
 
+
+
+def graph_metrics(states: DataFrame, edges: DataFrame) -> DataFrame:
+    """By trace: path_length (states), state_count, and structural_entropy, the entropy of transitions over kinds of edges (0 without)."""
+    total = Window.partitionBy("trace_id")
+    p = F.col("n") / F.sum("n").over(total)
+    h = edges.withColumn("_h", -p * F.log2(p)).groupBy("trace_id").agg(F.sum("_h").alias("structural_entropy"))
+    n = states.groupBy("trace_id").agg(F.count("*").alias("path_length")).withColumn("state_count", F.col("path_length"))
+    return n.join(h, "trace_id", "left").fillna(0.0, ["structural_entropy"])

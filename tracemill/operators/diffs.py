@@ -112,29 +112,6 @@ def is_breaking(change_type: Column) -> Column:
     return change_type.isin(*BREAKING)
 
 
-def imports(diff_lines: DataFrame) -> DataFrame:
-    """Imported names of added lines."""
-    c = F.trim("content")
-    name = X.case(
-        (c.rlike(r"^use\s"), F.regexp_extract(c, r"^use\s+([^;{\s]+)", 1)),
-        (c.rlike(r"^from\s"), F.regexp_extract(c, r"^from\s+(\S+)", 1)),
-        (c.rlike(r"^import\s.*\sfrom\s"), F.regexp_extract(c, r"from\s+['\"]([^'\"]+)", 1)),
-        (c.rlike(r"^import\s"), F.regexp_extract(c, r"^import\s+['\"]?([^\s;'\"]+)", 1)),
-        (c.contains("require("), F.regexp_extract(c, r"require\(['\"]([^'\"]+)", 1)),
-        otherwise="",
-    )
-    return diff_lines.where("line_kind = 'add'").select("diff_id", "file", name.alias("import")).where("import <> ''").distinct()
-
-
-def dependency_edges(diff_lines: DataFrame, most: int = 10) -> DataFrame:
-    """Changed modules joined where an import names another; weight by unordered pair, cut at `most`."""
-    mods = diff_lines.select("diff_id", X.top_module(F.col("file")).alias("module")).distinct()
-    imp = imports(diff_lines).select("diff_id", X.top_module(F.col("file")).alias("src"), "import")
-    hit = F.col("import").startswith(F.col("module")) | F.col("module").contains(F.col("import"))
-    j = imp.join(mods, "diff_id").where(hit & (F.col("src") != F.col("module")))
-    return j.groupBy("diff_id", F.least("src", "module").alias("a"), F.greatest("src", "module").alias("b")).agg(F.least(F.count("*"), F.lit(most)).alias("weight"))
-
-
 def file_tree(files: DataFrame) -> DataFrame:
     """path to nodes: node, parent ('' at the top), depth, is_file."""
     parts = F.split("path", "/")

@@ -1,11 +1,14 @@
 """Dependency graphs: layers, cycles, fan-in and fan-out, flows and failure propagation.
 
-Layers, reachability and cycles grow by joins of a frontier with the edges, in rounds that a parameter bounds. Layers write
-each round to the shared folder, so that the plan stays as small as one round.
+Layers, reachability and cycles grow by joins of a frontier with the edges. Layers and reachability end when a round adds
+nothing, and write each round to the shared folder, so that a plan reads tables and repeats no round.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import count
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,18 +22,23 @@ def missing_dependencies(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(nodes.select(F.col("node").alias("dep")), "dep", "left_anti").select("node", "dep")
 
 
-def layers(nodes: DataFrame, edges: DataFrame, most: int = 1000) -> DataFrame:
-    """Longest dependency chain of each node (graph, node, layer); -1 for nodes on or behind a cycle."""
-    placed = nodes.select("graph", "node").join(edges.select("graph", "node").distinct(), ["graph", "node"], "left_anti").withColumn("layer", F.lit(0))
-    for k in range(1, most):
-        done = placed.select("graph", F.col("node").alias("dep"), F.lit(True).alias("ok"))
-        waiting = edges.join(placed.select("graph", "node"), ["graph", "node"], "left_anti")
-        ready = waiting.join(done, ["graph", "dep"], "left").groupBy("graph", "node").agg(F.min(F.coalesce("ok", F.lit(False)).cast("int")).alias("ok")).where("ok = 1")
-        new = stash(ready.select("graph", "node", F.lit(k).alias("layer")), "layer")
-        if new.isEmpty():
+def layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Longest dependency chain of each node (graph, node, layer); -1 for nodes on or behind a cycle or a missing node. A round for
+    each layer, until one adds nothing; rounds carry counts of dependencies that are still open, and are written."""
+    wants = edges.select("graph", "node", "dep").distinct()
+    n = wants.groupBy("graph", "node").agg(F.count("*").alias("n"))
+    rest = stash(nodes.select("graph", "node").distinct().join(n, ["graph", "node"], "left").fillna(0, ["n"]), "open")
+    placed = []
+    for k in count():
+        ready = rest.where("n = 0").select("graph", "node")
+        if ready.isEmpty():
             break
-        placed = placed.unionByName(new)
-    return nodes.select("graph", "node").join(placed, ["graph", "node"], "left").fillna(-1, ["layer"])
+        placed.append(ready.withColumn("layer", F.lit(k)))
+        met = wants.join(ready.withColumnRenamed("node", "dep"), ["graph", "dep"]).groupBy("graph", "node").agg(F.count("*").alias("met"))
+        left = rest.where("n > 0").join(met, ["graph", "node"], "left").select("graph", "node", (F.col("n") - F.coalesce("met", F.lit(0))).alias("n"))
+        rest = stash(left, "open")
+    stuck = rest.select("graph", "node", F.lit(-1).alias("layer"))
+    return reduce(DataFrame.unionByName, placed, stuck)
 
 
 def cycles(edges: DataFrame, most: int = 5) -> DataFrame:
@@ -58,9 +66,9 @@ def loop_ratio(trans: DataFrame, frm: str = "from_phase", to: str = "to_phase")
 
 
 def fan_in_out(edges: DataFrame) -> DataFrame:
-    """Nodes with outgoing edges: fan_out, fan_in, high_coupling (over 10) and risk (over 20: high)."""
-    out = edges.groupBy("graph", "node").agg(F.countDistinct("dep").alias("fan_out"))
-    inn = edges.groupBy("graph", F.col("dep").alias("node")).agg(F.countDistinct("node").alias("fan_in"))
+    """Nodes with outgoing edges: fan_out, fan_in (every edge counts), high_coupling (over 10) and risk (over 20: high)."""
+    out = edges.groupBy("graph", "node").agg(F.count("dep").alias("fan_out"))
+    inn = edges.groupBy("graph", F.col("dep").alias("node")).agg(F.count("node").alias("fan_in"))
     j = out.join(inn, ["graph", "node"], "left").fillna(0, ["fan_in"])
     both = F.col("fan_in") + F.col("fan_out")
     return j.withColumns({"high_coupling": both > 10, "risk": X.case((both > 20, "high"), (both > 10, "medium"), otherwise="low")})
@@ -87,11 +95,11 @@ def flows(edges: DataFrame, entries: DataFrame, steps: int = 20) -> DataFrame:
     return edges.groupBy("graph").cogroup(entries.groupBy("graph")).applyInPandas(run, f"graph {kind}, entry string, path string, n_nodes int")
 
 
-def blocked(edges: DataFrame, status: DataFrame, most: int = 1000) -> DataFrame:
+def blocked(edges: DataFrame, status: DataFrame) -> DataFrame:
     """Nodes that can't run: a dependency failed, is missing, or is itself blocked. status: graph, node, ok."""
     bad = edges.join(status.select("graph", F.col("node").alias("dep"), "ok"), ["graph", "dep"], "left").where(~F.coalesce("ok", F.lit(False))).select("graph", "node").distinct()
     bad = last = stash(bad, "blocked")
-    for _ in range(most):
+    while True:
         new = edges.join(last.select("graph", F.col("node").alias("dep")), ["graph", "dep"]).select("graph", "node").distinct().join(bad, ["graph", "node"], "left_anti")
         last = stash(new, "blocked")
         if last.isEmpty():
@@ -105,10 +113,20 @@ def run_risk(failed, skipped):
 
 
 def node_phase(name):
-    """By words in a node's name."""
+    """By words in a node's name; the first phase with a word in it."""
     n = F.lower(name)
-    return X.case((n.rlike("init|setup|config|load"), "init"), (n.rlike("handle|process|run|exec"), "process"), (n.rlike("save|write|persist|store"), "persist"), (n.rlike("send|emit|respond|render"), "output"), otherwise="other")
+    # Words of phases, in order.
+    words = {"input": "read|parse|input", "validation": "valid|check|verify", "persistence": "save|write|store|db", "output": "output|print|render|display"}
+    return X.case(*((n.rlike(w), phase) for phase, w in words.items()), otherwise="business_logic")
+
+
+def trigger(entry):
+    """What starts a flow, by words in its entry's name, in this case."""
+    # Words of triggers, in order.
+    words = {"CLI": "main|cli", "HTTP": "handler|route|controller", "MQ": "consumer|worker"}
+    return X.case(*((entry.rlike(w), kind) for kind, w in words.items()), otherwise="CLI")
 
 
 def is_entry_point(path):
-    return path.rlike(r"(^|/)(main\.(rs|go|py|ts|js)|lib\.rs|index\.(ts|js)|app\.py|__main__\.py)$")
+    # How the paths of entry points end.
+    return path.rlike(r"(main\.rs|main\.go|main\.py|index\.ts|app\.ts)$") | (path == "src/bin")

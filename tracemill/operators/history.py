@@ -37,11 +37,32 @@ def trends(trials: DataFrame) -> DataFrame:
     return with_previous(trials).withColumn("trend", trend_of(F.col("prev_outcome"), F.col("outcome"))).drop("_last")
 
 
-def metric_change(prev: Column, now: Column, lower_is_better: bool = False) -> tuple[Column, Column]:
-    """Percentage and direction: Up, Down or Flat within 5 percent; Better or Worse where lower is better."""
+# Metrics, and whether they need the tool pattern, need its vector, and are better when lower.
+METRICS = (
+    ("n_toolcalls", True, False, False), ("n_tokens", True, False, False), ("duration_ms", True, False, False),
+    ("tool_entropy", True, True, True), ("phase_entropy", True, True, True), ("loop_ratio", True, True, True), ("backtrack_ratio", True, True, True),
+    ("state_stability_score", True, True, False), ("additions", False, False, False), ("deletions", False, False, False),
+)
+
+
+def metric_change(prev: Column, now: Column, lower_is_better: Column | bool = False) -> tuple[Column, Column]:
+    """Percentage and direction: Up, Down or Flat within 5 percent; where lower is better, a fall is Up and a rise Down."""
     pct = F.when(prev == 0, F.when(now == 0, 0.0).otherwise(100.0)).otherwise(X.ratio(now - prev, prev) * 100.0)
-    up, down = ("Worse", "Better") if lower_is_better else ("Up", "Down")
-    return pct, X.case((pct > 5.0, up), (pct < -5.0, down), otherwise="Flat")
+    sign = F.when(F.lit(lower_is_better) if isinstance(lower_is_better, bool) else lower_is_better, -pct).otherwise(pct)
+    return pct, X.case((sign > 5.0, "Up"), (sign < -5.0, "Down"), otherwise="Flat")
+
+
+def compare_metrics(evals: DataFrame) -> DataFrame:
+    """evals: task_id, trial, eval_id and the columns of METRICS. A row per task and metric of its last evaluation against the one before; a
+    metric has none where one side lacks it. One window by task, then the metrics unpivoted."""
+    names = [m[0] for m in METRICS]
+    w = by_task()
+    e = evals.withColumns({f"p_{n}": F.lag(n).over(w) for n in names} | {"from_eval": F.lag("eval_id").over(w), "_next": F.lead("eval_id").over(w)})
+    e = e.where("_next is null and from_eval is not null")
+    each = F.array(*(F.struct(F.lit(n).alias("metric"), F.col(f"p_{n}").cast("double").alias("a"), F.col(n).cast("double").alias("b"), F.lit(low).alias("low")) for n, _, _, low in METRICS))
+    m = e.select("task_id", "from_eval", F.col("eval_id").alias("to_eval"), F.explode(each).alias("m")).where("m.a is not null and m.b is not null")
+    pct, direction = metric_change(F.col("m.a"), F.col("m.b"), F.col("m.low"))
+    return m.select("task_id", "from_eval", "to_eval", "m.metric", F.col("m.a").alias("from_value"), F.col("m.b").alias("to_value"), pct.alias("change_pct"), direction.alias("direction"))
 
 
 def compare(trials: DataFrame) -> DataFrame:

@@ -134,3 +134,10 @@ def phase_runs(calls: DataFrame) -> DataFrame:
     c = calls.select("trace_id", "idx", X.tool_category(F.col("tool_name")).alias("label"))
     c = c.withColumn("new", F.coalesce((F.lag("label").over(w) != F.col("label")).cast("int"), F.lit(0))).withColumn("run_idx", F.sum("new").over(w).cast("int"))
     return c.groupBy("trace_id", "run_idx").agg(F.min("label").alias("label"), F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"), F.count("*").alias("n_calls"))
+
+
+def phase_distribution(cands: DataFrame, calls: DataFrame) -> DataFrame:
+    """Shares of the phases of a candidate's calls: trace_id, candidate_idx, phase, share; phases without a call have no row."""
+    c = calls.select("trace_id", "idx", X.tool_category(F.col("tool_name")).alias("phase"))
+    at = cands.select("trace_id", "candidate_idx", (F.col("last_idx") - F.col("first_idx") + 1).alias("n"), F.explode(F.sequence("first_idx", "last_idx")).alias("idx"))
+    return at.join(c, ["trace_id", "idx"]).groupBy("trace_id", "candidate_idx", "phase").agg((F.count("*") / F.max("n")).alias("share"))

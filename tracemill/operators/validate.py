@@ -33,10 +33,10 @@ def semantic(expected: DataFrame, actual: DataFrame) -> DataFrame:
 
 
 def best_matches(expected: DataFrame, actual: DataFrame) -> DataFrame:
-    """The most alike actual name of each expected one; ties go to the first name."""
+    """The most alike actual name of each expected one; ties go to the first name. Without any, null with score 0."""
     e = expected.select("case_id", F.col("name").alias("expected"), X.name_tokens(F.col("name")).alias("x"))
     a = actual.select("case_id", F.col("name").alias("actual"), X.name_tokens(F.col("name")).alias("y"))
-    j = e.join(a, "case_id").withColumn("score", X.set_jaccard(F.col("x"), F.col("y")))
+    j = e.join(a, "case_id", "left").withColumn("score", F.coalesce(X.set_jaccard(F.col("x"), F.col("y")), F.lit(0.0)))
     top = F.row_number().over(Window.partitionBy("case_id", "expected").orderBy(F.desc("score"), "actual"))
     return j.withColumn("_r", top).where("_r = 1").select("case_id", "expected", "actual", "score")
 

@@ -1,8 +1,11 @@
-"""The same queries as SQL for an independent engine: common table expressions by family, then a SELECT for each query."""
+"""The same queries as SQL for an independent engine: common table expressions by family, then a SELECT for each query.
+
+Of the library it uses the generated inputs only; every rule is written out again.
+"""
 
 from __future__ import annotations
 
-from ..sources.fixtures import ACTUAL, EDGES, EXPECTED, NODES
+from ..sources import generated as G
 
 CATEGORIES = ("locate", "modify", "verify", "commit", "other")
 CLUSTERS = ("rust", "ts_js", "python", "go", "doc", "src", "test", "other")
@@ -141,21 +144,21 @@ def rows(name: str, cols: str, data) -> str:
     return f"{name}({cols}) AS (VALUES {join('(' + join(map(lit, r)) + ')' for r in data)})"
 
 
-DAG = f"{rows('nodes', 'graph, node', NODES)}, {rows('edges', 'graph, node, dep', EDGES)}"
-CASES = f"{rows('expected', 'case_id, name, status, categories', EXPECTED)}, {rows('actual', 'case_id, name, status, categories', ACTUAL)}"
+DAG = f"nodes AS ({G.NODES}), edges AS ({G.EDGES})"
+CASES = "expected AS ({}), actual AS ({})".format(G.EXPECTED.format("['security']"), G.ACTUAL.format("['security']"))
 EXACT = f"""{CASES},
 miss AS (SELECT case_id, count(*) AS n_missing FROM expected e WHERE NOT EXISTS (SELECT 1 FROM actual a WHERE a.case_id = e.case_id AND a.name = e.name AND a.status = e.status AND a.categories = e.categories) GROUP BY ALL),
 extra AS (SELECT case_id, count(*) AS n_extra FROM actual a WHERE NOT EXISTS (SELECT 1 FROM expected e WHERE a.case_id = e.case_id AND a.name = e.name) GROUP BY ALL),
-exact0 AS (SELECT e.case_id, n_expected, n_actual, coalesce(n_missing, 0) AS n_missing, coalesce(n_extra, 0) AS n_extra FROM (SELECT case_id, count(*) AS n_expected FROM expected GROUP BY ALL) e
-  JOIN (SELECT case_id, count(*) AS n_actual FROM actual GROUP BY ALL) a USING (case_id) LEFT JOIN miss USING (case_id) LEFT JOIN extra USING (case_id)),
+exact0 AS (SELECT case_id, coalesce(n_expected, 0) AS n_expected, coalesce(n_actual, 0) AS n_actual, coalesce(n_missing, 0) AS n_missing, coalesce(n_extra, 0) AS n_extra FROM (SELECT case_id, count(*) AS n_expected FROM expected GROUP BY ALL) e
+  FULL JOIN (SELECT case_id, count(*) AS n_actual FROM actual GROUP BY ALL) a USING (case_id) LEFT JOIN miss USING (case_id) LEFT JOIN extra USING (case_id)),
 exact AS (SELECT *, n_missing = 0 AND NOT (n_actual > n_expected AND n_extra > 0) AS exact FROM exact0)"""
 JACC = "CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect({a}, {b})) / len(list_distinct(list_concat({a}, {b}))) END"
 TOKENS = "list_filter(regexp_split_to_array(lower({0}), '[_\\- ]+'), lambda x: length(x) >= 2)"
 SEMANTIC = f"""{EXACT},
 et AS (SELECT *, {TOKENS.format("name")} AS t FROM expected), atok AS (SELECT *, {TOKENS.format("name")} AS t FROM actual),
 scores AS (SELECT e.case_id, e.name AS expected, a.name AS actual, {JACC.format(a="e.t", b="a.t")} AS names, {JACC.format(a="e.categories", b="a.categories")} AS cats FROM et e LEFT JOIN atok a USING (case_id)),
-sem AS (SELECT case_id, avg(s) AS similarity FROM (SELECT case_id, expected, max(0.7::DOUBLE * names + 0.3::DOUBLE * cats) AS s FROM scores GROUP BY ALL) GROUP BY ALL),
-verdicts AS (SELECT case_id, similarity, CASE WHEN exact THEN 'pass' WHEN similarity > 0.85 THEN 'semantic_pass' ELSE 'fail' END AS verdict FROM exact JOIN sem USING (case_id))"""
+sem AS (SELECT case_id, avg(s) AS similarity FROM (SELECT case_id, expected, max(coalesce(0.7::DOUBLE * names + 0.3::DOUBLE * cats, 0)) AS s FROM scores GROUP BY ALL) GROUP BY ALL),
+verdicts AS (SELECT case_id, coalesce(similarity, 0) AS similarity, CASE WHEN exact THEN 'pass' WHEN similarity > 0.85 THEN 'semantic_pass' ELSE 'fail' END AS verdict FROM exact LEFT JOIN sem USING (case_id))"""
 
 
 def r(*names, digits=6):
@@ -233,13 +236,14 @@ ORACLES: dict[str, str] = {
     "eval_regression": f"WITH {TRIALS} SELECT task_id, prev_eval AS from_eval, eval_id AS to_eval, prev_outcome AS from_outcome, outcome AS to_outcome, CASE WHEN prev_outcome = 'Pass' AND outcome = 'Fail' THEN 'Critical' WHEN prev_outcome = 'Fail' THEN 'Medium' ELSE 'High' END AS severity, prev_outcome = 'Fail' AS is_improvement FROM prev WHERE last AND (prev_outcome, outcome) IN (('Pass', 'Fail'), ('Pass', 'Partial'), ('Partial', 'Fail'), ('Fail', 'Partial'))",
     "trend_history": f"WITH {TRIALS} SELECT task_id, trial, outcome, coalesce(c_name, 'Unknown task') AS description FROM trials LEFT JOIN customer ON c_custkey = task_id AND c_acctbal > 0",
     "trend_anomaly_2sigma": f"WITH {TRIALS}, w AS (SELECT *, count(metric) OVER b AS n_before, avg(metric) OVER b AS mean_before, stddev_pop(metric) OVER b AS sd_before FROM trials WINDOW b AS (PARTITION BY task_id ORDER BY trial ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT task_id, trial, n_before, {r('mean_before')}, {r('sd_before', digits=3)} FROM w WHERE n_before >= 3 AND sd_before > 0 AND abs(metric - mean_before) > 2 * sd_before",
-    "document_rules": "SELECT rule_id, severity, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN lower(text) LIKE '%sql%' THEN {'rule_id': 'sec_sql_001', 'severity': 'high'} END, CASE WHEN lower(text) LIKE '%deprecat%' THEN {'rule_id': 'deprec_001', 'severity': 'low'} END, CASE WHEN lower(text) LIKE '%todo%' OR lower(text) LIKE '%fixme%' THEN {'rule_id': 'deprec_002', 'severity': 'low'} END], lambda x: x IS NOT NULL), recursive := true) FROM documents) GROUP BY ALL",
-    "file_modules": f"WITH {CALLS} SELECT path, count(*) AS n, split_part(path, '/', 2) AS top, replace(scope, '/', '::') AS parent, scope AS two_level, regexp_replace(split_part(path, '/', 3), '\\.[^.]*$', '') AS stem, split_part(path, '/', 2) AS leaf, scope, cluster FROM calls GROUP BY ALL",
+    "document_rules": "SELECT rule_id, severity, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN lower(text) LIKE '%sql%' THEN {'rule_id': 'sec_sql_001', 'severity': 'high'} END, CASE WHEN lower(text) LIKE '%deprecat%' THEN {'rule_id': 'deprec_001', 'severity': 'low'} END, CASE WHEN lower(text) LIKE '%todo%' OR lower(text) LIKE '%fixme%' THEN {'rule_id': 'deprec_002', 'severity': 'low'} END], lambda x: x IS NOT NULL), recursive := true) FROM (SELECT text || CASE doc_id % 5 WHEN 0 THEN ' -- TODO' WHEN 1 THEN ' in Sql' WHEN 2 THEN ' deprecated, fixme' ELSE '' END AS text FROM documents)) GROUP BY ALL",
     "symbol_links": "WITH s AS (SELECT DISTINCT l_partkey AS f, l_suppkey AS s FROM lineitem) SELECT a.s AS symbol, b.s AS other, count(*) AS n_files FROM s a JOIN s b ON a.f = b.f AND a.s < b.s GROUP BY ALL HAVING count(*) >= 2",
-    "fan_in_out": "WITH e AS (SELECT o_custkey % 100 AS node, l_suppkey % 100 AS dep FROM lineitem JOIN orders ON l_orderkey = o_orderkey), o AS (SELECT node, count(DISTINCT dep) AS fan_out FROM e GROUP BY ALL), i AS (SELECT dep AS node, count(DISTINCT node) AS fan_in FROM e GROUP BY ALL) SELECT node, fan_out, coalesce(fan_in, 0) AS fan_in, fan_out + coalesce(fan_in, 0) > 10 AS high_coupling, CASE WHEN fan_out + coalesce(fan_in, 0) > 20 THEN 'high' WHEN fan_out + coalesce(fan_in, 0) > 10 THEN 'medium' ELSE 'low' END AS risk FROM o LEFT JOIN i USING (node)",
+    "fan_in_out": """WITH e0 AS (SELECT 'c' || o_custkey AS node, 's' || l_suppkey AS dep FROM lineitem JOIN orders ON l_orderkey = o_orderkey), e AS (SELECT * FROM e0 UNION ALL SELECT dep, node FROM e0),
+      o AS (SELECT node, count(*) AS fan_out FROM e GROUP BY ALL), i AS (SELECT dep AS node, count(*) AS fan_in FROM e GROUP BY ALL) SELECT node, fan_out, coalesce(fan_in, 0) AS fan_in,
+      fan_out + coalesce(fan_in, 0) > 10 AS high_coupling, CASE WHEN fan_out + coalesce(fan_in, 0) > 20 THEN 'high' WHEN fan_out + coalesce(fan_in, 0) > 10 THEN 'medium' ELSE 'low' END AS risk FROM o LEFT JOIN i USING (node)""",
     "dag_layers": f"WITH RECURSIVE {DAG}, walk AS (SELECT graph, node, 0 AS layer FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.graph = n.graph AND e.node = n.node) UNION SELECT e.graph, e.node, w.layer + 1 FROM walk w JOIN edges e ON e.graph = w.graph AND e.dep = w.node WHERE w.layer < 20), tops AS (SELECT graph, node, max(layer) AS layer FROM walk GROUP BY ALL) SELECT n.graph, n.node, CAST(coalesce(t.layer, -1) AS INTEGER) AS layer FROM nodes n LEFT JOIN tops t USING (graph, node)",
     "graph_cycles": f"WITH {DAG}, {cycle_sql('SELECT DISTINCT graph AS g, node AS a, dep AS b, 1 AS n FROM edges')} SELECT graph, path, length FROM cyc",
-    "blocked_nodes": f"WITH RECURSIVE {DAG}, bad AS (SELECT graph, node FROM edges e WHERE dep = 'a' OR NOT EXISTS (SELECT 1 FROM nodes n WHERE n.graph = e.graph AND n.node = e.dep) UNION SELECT e.graph, e.node FROM bad b JOIN edges e ON e.graph = b.graph AND e.dep = b.node) SELECT DISTINCT graph, node FROM bad",
+    "blocked_nodes": f"WITH RECURSIVE {DAG}, bad AS (SELECT graph, node FROM edges e WHERE dep = 'n2' OR NOT EXISTS (SELECT 1 FROM nodes n WHERE n.graph = e.graph AND n.node = e.dep) UNION SELECT e.graph, e.node FROM bad b JOIN edges e ON e.graph = b.graph AND e.dep = b.node) SELECT DISTINCT graph, node FROM bad",
     "missing_dependencies": f"WITH {DAG} SELECT node, dep FROM edges WHERE dep NOT IN (SELECT node FROM nodes)",
     "cluster_quality": f"WITH {FULL},{pairs('vecs', 'trace_id')} SELECT (SELECT count(DISTINCT trace_id % 3) FROM vecs) AS n_clusters, CASE WHEN (SELECT count(DISTINCT trace_id % 3) FROM vecs) < 2 THEN 1.0 ELSE round(coalesce(avg(similarity) FILTER (a % 3 = b % 3), 0) - coalesce(avg(similarity) FILTER (a % 3 <> b % 3), 0), 6) END AS quality FROM pairs",
     "exact_match": f"WITH {EXACT} SELECT * FROM exact",

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..operators import align, behaviour, coupling, diffs, graph, history, redact, rules, similarity, states, validate
-from ..sources import fixtures, store, views
+from ..functions import modules as M
+from ..operators import align, behaviour, code, coupling, diffs, graph, history, redact, rules, similarity, states, validate
+from ..sources import generated, store, views
 from ..sources.scratch import stash
 from ..streaming import sessions
 
@@ -305,57 +306,61 @@ def trend_anomaly_2sigma(spark, sf_dir):
 
 @query
 def diff_lines(spark, sf_dir):
-    return diffs.line_numbers(diffs.lines(fixtures.diffs(spark))).select("diff_id", "file", "change", "language", "hunk_idx", "line_idx", "line_kind", "content", "line_no")
+    return diffs.line_numbers(diffs.lines(generated.diffs(spark, sf_dir))).select("diff_id", "file", "change", "language", "hunk_idx", "line_idx", "line_kind", "content", "line_no")
 
 
 @query
 def diff_summary_lang(spark, sf_dir):
-    return diffs.summary_by_language(diffs.lines(fixtures.diffs(spark)))
+    return diffs.summary_by_language(diffs.lines(generated.diffs(spark, sf_dir)))
 
 
 @query
 def raw_changes(spark, sf_dir):
-    return diffs.raw_changes(diffs.lines(fixtures.diffs(spark)))
+    return diffs.raw_changes(diffs.lines(generated.diffs(spark, sf_dir)))
 
 
 @query
 def rule_matches(spark, sf_dir):
-    return rules.matches(diffs.raw_changes(diffs.lines(fixtures.diffs(spark)))).select("diff_id", "change_id", "symbol", "rule_id", "category", "severity")
+    return rules.matches(diffs.raw_changes(diffs.lines(generated.diffs(spark, sf_dir)))).select("diff_id", "change_id", "symbol", "rule_id", "category", "severity")
 
 
 @query
 def document_rules(spark, sf_dir):
-    """The content rules over all documents."""
-    d = views.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"), F.col("source").alias("file"), F.col("source").alias("symbol"), F.lit("unknown").alias("change_type"))
+    """The content rules over all documents, with a remark at the end of some."""
+    remark = X.case((F.col("doc_id") % 5 == 0, " -- TODO"), (F.col("doc_id") % 5 == 1, " in Sql"), (F.col("doc_id") % 5 == 2, " deprecated, fixme"), otherwise="")
+    d = views.table(spark, sf_dir, "documents").select("doc_id", F.concat("text", remark).alias("content"), F.col("source").alias("file"), F.col("source").alias("symbol"), F.lit("unknown").alias("change_type"))
     return rules.matches(d).groupBy("rule_id", "severity").agg(F.count("*").alias("n"))
 
 
 @query
 def capability_status(spark, sf_dir):
-    c = diffs.raw_changes(diffs.lines(fixtures.diffs(spark)))
+    c = diffs.raw_changes(diffs.lines(generated.diffs(spark, sf_dir)))
     return rules.capabilities(c, rules.matches(c)).withColumn("categories", F.array_join("categories", ","))
 
 
 @query
 def import_edges(spark, sf_dir):
-    return diffs.dependency_edges(diffs.lines(fixtures.diffs(spark)))
+    return code.dependencies(generated.sources(spark, sf_dir))
 
 
 @query
 def file_tree(spark, sf_dir):
-    return diffs.file_tree(diffs.lines(fixtures.diffs(spark)).select(F.col("file").alias("path")).distinct())
+    return diffs.file_tree(diffs.lines(generated.diffs(spark, sf_dir)).select(F.col("file").alias("path")).distinct())
 
 
 @query
 def behaviour_boundaries(spark, sf_dir):
-    return diffs.behaviour_boundaries(fixtures.diffs(spark))
+    return diffs.behaviour_boundaries(generated.diffs(spark, sf_dir))
 
 
 @query
 def file_modules(spark, sf_dir):
-    p = views.tool_calls(spark, sf_dir).groupBy("path").agg(F.count("*").alias("n"))
+    """Every rule for modules, on paths of many shapes."""
     c = F.col("path")
-    return p.select("path", "n", X.top_module(c).alias("top"), X.parent_module(c).alias("parent"), X.two_level_module(c).alias("two_level"), X.stem_module(c).alias("stem"), X.leaf_module(c).alias("leaf"), X.file_scope(c).alias("scope"), X.file_cluster(c).alias("cluster"))
+    lang = X.language(c)
+    rules = {"short": M.module_short(c), "full": M.module_from_path(c), "group": M.module_group(c), "cluster_module": M.cluster_module(c), "symbol_module": M.symbol_module(c, lang), "scope": X.file_scope(c), "cluster": X.file_cluster(c), "language": lang, "entry": graph.is_entry_point(c)}
+    p = generated.view(spark, sf_dir, generated.PATHS).groupBy("path").agg(F.count("*").alias("n"))
+    return p.select("path", "n", *(x.alias(name) for name, x in rules.items()))
 
 
 @query
@@ -368,38 +373,39 @@ def symbol_links(spark, sf_dir):
 
 @query
 def fan_in_out(spark, sf_dir):
-    """Customers and the suppliers of their orders, as callers and callees."""
+    """Customers and the suppliers of their orders, who call each other."""
     li, o = (views.table(spark, sf_dir, t) for t in ("lineitem", "orders"))
-    e = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.lit(0).alias("graph"), (F.col("o_custkey") % 100).alias("node"), (F.col("l_suppkey") % 100).alias("dep"))
-    return graph.fan_in_out(e).drop("graph")
+    e = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.lit(0).alias("graph"), F.concat(F.lit("c"), "o_custkey").alias("node"), F.concat(F.lit("s"), "l_suppkey").alias("dep"))
+    back = e.select("graph", F.col("dep").alias("node"), F.col("node").alias("dep"))
+    return graph.fan_in_out(e.unionByName(back)).drop("graph")
 
 
 @query
 def dag_layers(spark, sf_dir):
-    nodes, edges = fixtures.dags(spark)
+    nodes, edges = generated.dags(spark, sf_dir)
     return graph.layers(nodes, edges)
 
 
 @query
 def graph_cycles(spark, sf_dir):
-    return graph.cycles(fixtures.dags(spark)[1])
+    return graph.cycles(generated.dags(spark, sf_dir)[1])
 
 
 @query
 def blocked_nodes(spark, sf_dir):
-    nodes, edges = fixtures.dags(spark)
-    return graph.blocked(edges, nodes.withColumn("ok", F.col("node") != "a"))
+    nodes, edges = generated.dags(spark, sf_dir)
+    return graph.blocked(edges, nodes.withColumn("ok", F.col("node") != "n2"))
 
 
 @query
 def missing_dependencies(spark, sf_dir):
-    nodes, edges = fixtures.dags(spark)
+    nodes, edges = generated.dags(spark, sf_dir)
     return graph.missing_dependencies(nodes.select("node").distinct(), edges.select("node", "dep"))
 
 
 @query
 def flow_trace(spark, sf_dir):
-    _, edges = fixtures.dags(spark)
+    _, edges = generated.dags(spark, sf_dir)
     return graph.flows(edges.withColumn("seq", F.col("dep")), edges.select("graph", F.col("node").alias("entry")).distinct())
 
 
@@ -423,23 +429,23 @@ def cluster_quality(spark, sf_dir):
 
 @query
 def exact_match(spark, sf_dir):
-    return validate.exact(*fixtures.cases(spark))
+    return validate.exact(*generated.cases(spark, sf_dir))
 
 
 @query
 def semantic_match(spark, sf_dir):
-    e, a = fixtures.cases(spark)
+    e, a = generated.cases(spark, sf_dir)
     return rounded(validate.verdicts(validate.exact(e, a), validate.semantic(e, a)).select("case_id", "similarity", "verdict"))
 
 
 @query
 def best_matches(spark, sf_dir):
-    return rounded(validate.best_matches(*fixtures.cases(spark)))
+    return rounded(validate.best_matches(*generated.cases(spark, sf_dir)))
 
 
 @query
 def validation_suite(spark, sf_dir):
-    e, a = fixtures.cases(spark)
+    e, a = generated.cases(spark, sf_dir)
     return rounded(validate.suite(validate.verdicts(validate.exact(e, a), validate.semantic(e, a))))
 
 

@@ -57,6 +57,16 @@ def live(rows: DataFrame, key: list[str], version: list[str]) -> DataFrame:
     return latest(rows, key, version).where(~F.coalesce("deleted", F.lit(False)))
 
 
+def lookup(rows: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+    """Rows with one of the ids; for a few ids the planner sends them to the rows."""
+    return rows.join(ids.select(key).distinct(), key, "left_semi")
+
+
+def by_session(rows: DataFrame, order: str = "started_at") -> DataFrame:
+    """Rows with their position in their session, by time and then id."""
+    return rows.withColumn("position", F.row_number().over(Window.partitionBy("session_id").orderBy(order, "trace_id")))
+
+
 def listing(rows: DataFrame, order: str = "started_at", limit: int = 0, offset: int = 0, where: TraceFilter | None = None) -> DataFrame:
     """Newest first with the id as tie-break; limit 0 is all, and offset works without a limit."""
     out = (rows.where(where.condition()) if where else rows).orderBy(F.desc(order), "trace_id")
