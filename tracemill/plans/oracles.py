@@ -241,7 +241,7 @@ ORACLES: dict[str, str] = {
     "fan_in_out": """WITH e0 AS (SELECT 'c' || o_custkey AS node, 's' || l_suppkey AS dep FROM lineitem JOIN orders ON l_orderkey = o_orderkey), e AS (SELECT * FROM e0 UNION ALL SELECT dep, node FROM e0),
       o AS (SELECT node, count(*) AS fan_out FROM e GROUP BY ALL), i AS (SELECT dep AS node, count(*) AS fan_in FROM e GROUP BY ALL) SELECT node, fan_out, coalesce(fan_in, 0) AS fan_in,
       fan_out + coalesce(fan_in, 0) > 10 AS high_coupling, CASE WHEN fan_out + coalesce(fan_in, 0) > 20 THEN 'high' WHEN fan_out + coalesce(fan_in, 0) > 10 THEN 'medium' ELSE 'low' END AS risk FROM o LEFT JOIN i USING (node)""",
-    "dag_layers": f"WITH RECURSIVE {DAG}, walk AS (SELECT graph, node, 0 AS layer FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.graph = n.graph AND e.node = n.node) UNION SELECT e.graph, e.node, w.layer + 1 FROM walk w JOIN edges e ON e.graph = w.graph AND e.dep = w.node WHERE w.layer < 20), tops AS (SELECT graph, node, max(layer) AS layer FROM walk GROUP BY ALL) SELECT n.graph, n.node, CAST(coalesce(t.layer, -1) AS INTEGER) AS layer FROM nodes n LEFT JOIN tops t USING (graph, node)",
+    "dag_layers": f"WITH RECURSIVE {DAG}, walk AS (SELECT graph, node, 0 AS layer FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.graph = n.graph AND e.node = n.node) UNION SELECT e.graph, e.node, w.layer + 1 FROM walk w JOIN edges e ON e.graph = w.graph AND e.dep = w.node WHERE w.layer < 20), tops AS (SELECT graph, node, max(layer) AS layer FROM walk GROUP BY ALL), lost AS (SELECT graph, node FROM edges e WHERE NOT EXISTS (SELECT 1 FROM nodes n WHERE n.graph = e.graph AND n.node = e.dep) UNION SELECT e.graph, e.node FROM lost b JOIN edges e ON e.graph = b.graph AND e.dep = b.node) SELECT n.graph, n.node, CAST(CASE WHEN (n.graph, n.node) IN (SELECT (graph, node) FROM lost) THEN -1 ELSE coalesce(t.layer, -1) END AS INTEGER) AS layer FROM nodes n LEFT JOIN tops t USING (graph, node)",
     "graph_cycles": f"WITH {DAG}, {cycle_sql('SELECT DISTINCT graph AS g, node AS a, dep AS b, 1 AS n FROM edges')} SELECT graph, path, length FROM cyc",
     "blocked_nodes": f"WITH RECURSIVE {DAG}, bad AS (SELECT graph, node FROM edges e WHERE dep = 'n2' OR NOT EXISTS (SELECT 1 FROM nodes n WHERE n.graph = e.graph AND n.node = e.dep) UNION SELECT e.graph, e.node FROM bad b JOIN edges e ON e.graph = b.graph AND e.dep = b.node) SELECT DISTINCT graph, node FROM bad",
     "missing_dependencies": f"WITH {DAG} SELECT node, dep FROM edges WHERE dep NOT IN (SELECT node FROM nodes)",
