@@ -133,5 +133,7 @@ def source_tree(files: DataFrame, extensions: tuple[str, ...] = ("rs", "py", "ts
     from pyspark.sql import Window
 
     ok = F.regexp_extract("path", r"\.([^./]*)$", 1).isin(*extensions) & ~F.col("path").rlike(r"(^|/)(target|node_modules|\.git|dist|build|vendor)/")
+    # A file takes a byte at least (empty ones count as one), so no more than `budget` first paths can fit: a bounded head is summed.
+    head = files.where(ok).orderBy("path").limit(budget)
     w = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return files.where(ok).withColumn("running", F.sum("length").over(w)).where(F.col("running") <= budget)
+    return head.withColumn("running", F.sum(F.greatest("length", F.lit(1))).over(w)).where(F.col("running") <= budget)

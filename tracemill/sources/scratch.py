@@ -2,24 +2,50 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_made: set[str] = set()
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where it is unset."""
+    """spark.checkpoint.dir. Where it is unset, a folder of our own, on a single machine only: elsewhere nobody shares it."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     found = found or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tracemill-shared-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tracemill-{name}-{uuid.uuid4().hex}"
+    """A path for a table that lives as long as the application at most."""
+    path = f"{shared_dir(spark)}/tracemill-{name}-{uuid.uuid4().hex}"
+    _made.add(path)
+    return path
+
+
+@atexit.register
+def clear() -> None:
+    """Remove what is left, while the session still runs: results are lazy, so nothing can go earlier by itself."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        unlinked = [p for p in _made if _removed(spark, p)]
+        _made.difference_update(unlinked)
+
+
+def _removed(spark: SparkSession, path: str) -> bool:
+    try:
+        remove(spark, path)
+    except Exception:  # the session ends at the same time
+        return False
+    return True
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
@@ -34,6 +60,7 @@ def stash(df: DataFrame, name: str) -> DataFrame:
 def remove(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    _made.discard(path)
 
 
 def unstash(*tables: DataFrame) -> None:
