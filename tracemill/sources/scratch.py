@@ -36,7 +36,7 @@ def clear() -> None:
     """Remove what is left, while the session still runs: results are lazy, so nothing can go earlier by itself."""
     spark = SparkSession.getActiveSession()
     if spark is not None and spark.sparkContext._jsc is not None:
-        unlinked = [p for p in _made if _removed(spark, p)]
+        unlinked = [p for p in list(_made) if _removed(spark, p)]
         _made.difference_update(unlinked)
 
 
