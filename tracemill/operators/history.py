@@ -95,3 +95,28 @@ def anomalies(trials: DataFrame, least: int = 3, sigmas: float = 2.0) -> DataFra
     t = trials.withColumns({"n_before": F.count("metric").over(w), "mean_before": F.avg("metric").over(w), "sd_before": F.stddev_pop("metric").over(w)})
     off = F.abs(F.col("metric") - F.col("mean_before"))
     return t.where((F.col("n_before") >= least) & (F.col("sd_before") > 0) & (off > sigmas * F.col("sd_before")))
+
+
+# Rules of degradation: id, severity, metric, threshold in percent.
+GROWTH = (("R001", "high", "n_toolcalls", 100.0), ("R002", "high", "duration_ms", 100.0), ("R003", "medium", "n_tokens", 200.0), ("R005", "medium", "network_calls", 0.0))
+VALIDATION, CONFIDENCE = ("R004", "critical"), ("R006", "low", 30.0)
+
+
+def degradations(evals: DataFrame) -> DataFrame:
+    """evals: task_id, trial, eval_id, the metrics of GROWTH, validated (boolean), confidence (0 to 1). Each task's last evaluation against the
+    one before: rules hit, in order, and a verdict: Degraded by a critical rule, Watch by a high or medium one, else Pass. Growth from zero
+    counts as 100 percent; confidence falls in points of a hundred; a rule that lacks a side isn't hit. One window by task."""
+    w = by_task()
+    names = [m for _, _, m, _ in GROWTH] + ["validated", "confidence"]
+    e = evals.withColumns({f"p_{n}": F.lag(n).over(w) for n in names} | {"from_eval": F.lag("eval_id").over(w), "_next": F.lead("eval_id").over(w)})
+    e = e.where("_next is null and from_eval is not null")
+    hits = {rule: (kind, metric_change(F.col(f"p_{m}"), F.col(m))[0] > most) for rule, kind, m, most in GROWTH}
+    hits[VALIDATION[0]] = (VALIDATION[1], F.col("p_validated") & ~F.col("validated"))
+    hits[CONFIDENCE[0]] = (CONFIDENCE[1], F.round((F.col("p_confidence") - F.col("confidence")) * 100.0, 6) > CONFIDENCE[2])
+    known = {m: F.col(m).isNotNull() & F.col(f"p_{m}").isNotNull() for m in names}
+    need = {rule: known[m] for rule, _, m, _ in GROWTH} | {VALIDATION[0]: known["validated"], CONFIDENCE[0]: known["confidence"]}
+    hit = {rule: (kind, F.coalesce(need[rule] & cond, F.lit(False))) for rule, (kind, cond) in sorted(hits.items())}
+    some = lambda *kinds: F.greatest(F.lit(False), F.lit(False), *(c for k, c in hit.values() if k in kinds))
+    verdict = X.case((some("critical"), "Degraded"), (some("high", "medium"), "Watch"), otherwise="Pass")
+    rules = F.concat_ws(",", *(F.when(c, rule) for rule, (_, c) in hit.items()))
+    return e.select("task_id", "from_eval", F.col("eval_id").alias("to_eval"), rules.alias("rules"), verdict.alias("verdict"))

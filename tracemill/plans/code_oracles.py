@@ -115,4 +115,29 @@ ORACLES |= {
     "log_run_turns": f"WITH {TURNS} SELECT 'run' || conv AS session_id, count(*) AS n_turns, count(*) AS n_calls, '2024-01-01T00:00:' || lpad(min(turn)::VARCHAR, 2, '0') || 'Z' AS started_at, min('p' || role) AS prompt FROM turns WHERE conv % 7 <> 0 GROUP BY conv",
     "log_sessions": f"""WITH {TURNS} SELECT conv::VARCHAR AS session_id, md5(coalesce(arg_min(text, turn) FILTER (role = 'user'), '')) AS prompt_digest, CAST(count(*) FILTER (role <> 'user') AS INTEGER) AS n_calls, coalesce('d/f' || min(turn) FILTER (role <> 'user'), '') AS first_path FROM turns GROUP BY conv""",
 }
+
+GREW = "CASE WHEN a.{0} = 0 THEN CASE WHEN b.{0} = 0 THEN 0.0 ELSE 100.0 END ELSE (b.{0} - a.{0}) / a.{0} * 100.0 END > {1}"
+BOTH = "a.has AND b.has"
+FULL = "a.has AND b.has AND a.full_ AND b.full_"
+FROM_PATH = (
+    "CASE WHEN file LIKE 'src/%' THEN 'src/' || split_part(file, '/', 2) WHEN file LIKE 'crates/%/%' "
+    "THEN 'crates/' || split_part(file, '/', 2) || '/' || split_part(file, '/', 3) ELSE file END"
+)
+EXPORTED = f"""{HUNKS}, exported AS (SELECT diff_id, file, {FROM_PATH} AS module, CASE shape WHEN 0 THEN symbol ELSE 'gone' END AS name, 'fn' AS kind,
+  CASE line_kind WHEN 'add' THEN 'added' ELSE 'removed' END AS action, CAST(new_start + line_idx + 1 AS BIGINT) AS line
+  FROM dl WHERE line_kind <> 'ctx' AND shape <> 1 AND file NOT LIKE '%.py' AND file NOT LIKE '%.go'),
+daily AS (SELECT strftime(o_orderdate, '%Y-%m-%d') AS diff_id, module, action FROM exported e JOIN orders ON o_orderkey = e.diff_id)"""
+
+ORACLES |= {
+    "degrade_rules": f"""WITH {LAST}, c AS (SELECT a.task_id, a.e AS from_eval, b.e AS to_eval, {BOTH} AND {GREW.format('n', 100)} AS r1, {BOTH} AND {GREW.format('ms', 100)} AS r2,
+      {BOTH} AND {GREW.format('tokens', 200)} AS r3, {FULL} AND a.third > 0 AND b.third = 0 AS r4, {GREW.format('r', 0)} AS r5, {FULL} AND round((a.a / a.n - b.a / b.n) * 100, 6) > 30 AS r6
+      FROM eval1 a JOIN eval1 b ON a.task_id = b.task_id AND a.k = 2 AND b.k = 1)
+      SELECT task_id, from_eval, to_eval, concat_ws(',', CASE WHEN r1 THEN 'R001' END, CASE WHEN r2 THEN 'R002' END, CASE WHEN r3 THEN 'R003' END, CASE WHEN r4 THEN 'R004' END,
+      CASE WHEN r5 THEN 'R005' END, CASE WHEN r6 THEN 'R006' END) AS rules, CASE WHEN r4 THEN 'Degraded' WHEN r1 OR r2 OR r3 OR r5 THEN 'Watch' ELSE 'Pass' END AS verdict FROM c""",
+    "export_symbols": f"WITH {EXPORTED} SELECT * FROM exported",
+    "export_modules": f"""WITH {EXPORTED} SELECT diff_id, module, count(*) FILTER (action = 'added') AS n_added, count(*) FILTER (action = 'removed') AS n_removed
+      FROM daily GROUP BY ALL""",
+    "export_impact": f"""WITH {EXPORTED}, m AS (SELECT DISTINCT diff_id, module FROM daily) SELECT a.diff_id, a.module, b.module AS other, 1 AS strength
+      FROM m a JOIN m b ON a.diff_id = b.diff_id AND a.module < b.module""",
+}
 __all__ = ["ORACLES"]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..functions import modules as M
-from ..operators import behaviour, code, graph, history, registry, states
+from ..operators import behaviour, code, export, graph, history, registry, states
 from ..sources import generated, logs, store, views
 from .queries import QUERIES, graph_of, query, rounded
 
@@ -283,3 +283,31 @@ def log_sessions(spark, sf_dir):
     log = F.to_json(F.struct(F.array_sort(F.collect_list(message), lambda a, b: a["turn"] - b["turn"]).alias("messages")))
     good, _ = logs.sessions(t.groupBy("conv").agg(log.alias("raw")).select(F.col("conv").cast("string").alias("source"), "raw"))
     return good.select("session_id", F.md5(F.col("prompt").cast("binary")).alias("prompt_digest"), F.size("tool_calls").alias("n_calls"), F.coalesce(X.arg_path(F.get("tool_calls", F.lit(0))["args"]), F.lit("")).alias("first_path"))
+
+
+@query
+def degrade_rules(spark, sf_dir):
+    """Rules of degradation on each customer's last order against the one before."""
+    e = evaluations(spark, sf_dir).withColumns({"validated": F.col("backtrack_ratio") > 0, "network_calls": F.col("deletions"), "confidence": F.col("state_stability_score")})
+    return history.degradations(e)
+
+
+@query
+def export_symbols(spark, sf_dir):
+    return export.symbols(generated.diffs(spark, sf_dir))
+
+
+def daily_symbols(spark, sf_dir):
+    """Symbols by the day of their order instead of the order, so that a diff has many files."""
+    day = views.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("diff_id"), F.col("o_orderdate").cast("date").cast("string").alias("day"))
+    return export.symbols(generated.diffs(spark, sf_dir)).join(day, "diff_id").drop("diff_id").withColumnRenamed("day", "diff_id")
+
+
+@query
+def export_modules(spark, sf_dir):
+    return export.by_module(daily_symbols(spark, sf_dir))
+
+
+@query
+def export_impact(spark, sf_dir):
+    return export.impact(daily_symbols(spark, sf_dir))
