@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, infill, langid, maxent, minhash, packing, pieces, pii, tokcount, topk, vecdup, warc
+from . import html, infill, langid, maxent, minhash, packing, pieces, pii, resample, tokcount, topk, vecdup, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +73,10 @@ def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
 
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_pii": op2_pii,
@@ -86,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_topk": op10_topk,
     "op11_infill": op11_infill,
     "op12_token_counts": op12_token_counts,
+    "op13_resample": op13_resample,
 }
 FINITE = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
 REACH = "reach AS (SELECT id AS a, id AS b FROM ids UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b), comp AS (SELECT a AS id, min(b) AS component_id FROM reach GROUP BY a)"
@@ -98,6 +103,9 @@ def eight_hex(at: int) -> str:
     return "(" + " + ".join(f"(strpos('0123456789abcdef', h[{at + i}]) - 1)::BIGINT * {16 ** (7 - i)}" for i in range(8)) + ")"
 
 
+RUNS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+CRC_TABLE = "(SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) FROM range(256) r(i))"
+BYTES = "list_transform(range(1, strlen(f) + 1), lambda i: (strpos('0123456789ABCDEF', hex(encode(f))[2 * i - 1]) - 1) * 16 + strpos('0123456789ABCDEF', hex(encode(f))[2 * i]) - 1)"
 ORACLE_SQL: dict[str, str] = {
     "op3_embedding_dedup": f"""WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE {FINITE} AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
       ids AS (SELECT DISTINCT vec_id AS id FROM embeddings),
@@ -119,4 +127,13 @@ ORACLE_SQL: dict[str, str] = {
       p AS (SELECT *, substring(t, 1, a) AS p, substring(t, a + 1, b - a) AS m, substring(t, b + 1) AS s FROM c)
       SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM p""",
+    "op13_resample": f"""WITH w AS (SELECT doc_id, {RUNS} AS w FROM documents), x AS (SELECT {RUNS} AS w FROM benchmark), crc AS (SELECT {CRC_TABLE} AS t),
+      s AS (SELECT f, count(*) AS n FROM (SELECT unnest(w) AS f FROM w) GROUP BY f), t AS (SELECT f, count(*) AS n FROM (SELECT unnest(w) AS f FROM x) GROUP BY f),
+      d AS (SELECT f, coalesce(s.n, 0) AS s, coalesce(t.n, 0) AS t, xor(list_reduce({BYTES}, lambda c, b: xor(c >> 8, crc.t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 10000 AS bucket FROM s FULL JOIN t USING (f), crc),
+      b AS (SELECT bucket, sum(s)::DOUBLE AS s, sum(t)::DOUBLE AS t FROM d GROUP BY bucket), g AS (SELECT bucket, floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM b) + 10000) / ((s + 1) * ((SELECT sum(t) FROM b) + 10000))))::BIGINT AS gain FROM b),
+      h AS (SELECT doc_id, sum(gain)::BIGINT AS weight FROM (SELECT doc_id, unnest(w) AS f FROM w) JOIN d USING (f) JOIN g USING (bucket) GROUP BY doc_id),
+      z AS (SELECT doc_id, len(w) AS n, coalesce(weight, 0) AS weight, sha256('2024:' || doc_id) AS h FROM w LEFT JOIN h USING (doc_id)),
+      y AS (SELECT *, weight + floor(-1000 * ln(-ln(({eight_hex(1)} + 0.5) / 4294967296.0::DOUBLE)))::BIGINT AS score FROM z),
+      r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM y WHERE n >= 20)
+      SELECT y.doc_id, n::BIGINT AS n_features, weight, score, CASE WHEN rank <= (SELECT 10 * count(*) // 100 FROM r) THEN rank END AS rank FROM y LEFT JOIN r ON r.doc_id = y.doc_id""",
 }
