@@ -5,8 +5,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from tracemill.plans.code_oracles import ORACLES
-from tracemill.plans.code_queries import QUERIES
+from tracemill.plans.record_oracles import ORACLES
+from tracemill.plans.record_queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -39,12 +39,22 @@ CHANGES = "CASE o_orderkey % 4 WHEN 0 THEN 'modified' WHEN 1 THEN 'added' WHEN 2
 STARTS = ("CAST(o_custkey % 50 + 1 AS INT)", "CAST(o_custkey % 40 + 2 AS INT)")  # of the first hunk on the old and the new side; the second: 100 more
 NAME = "CASE o_orderkey % 3 WHEN 0 THEN 'log_metrics' WHEN 1 THEN 'serve' ELSE 'parseIt' END"
 
-GRAPH_NODES = "SELECT 'g' || CAST(p_partkey % 20 AS STRING) AS graph, CAST(floor(p_partkey / 20) AS INT) AS j FROM part"
+GRAPH_NODES = "SELECT 'g' || CAST(CAST(floor(p_partkey / 50) AS INT) AS STRING) AS graph, CAST(p_partkey % 50 AS INT) AS j FROM part"
 NODES = f"SELECT graph, 'n' || CAST(j AS STRING) AS node FROM ({GRAPH_NODES}) t"
 EDGES = f"""SELECT graph, 'n' || CAST(j AS STRING) AS node, 'n' || CAST(CAST(floor(j / 2) AS INT) AS STRING) AS dep FROM ({GRAPH_NODES}) t WHERE j > 1
   UNION SELECT graph, 'n' || CAST(j AS STRING) AS node, 'n' || CAST(CAST(floor(j / 3) AS INT) AS STRING) AS dep FROM ({GRAPH_NODES}) t WHERE j > 2
   UNION SELECT graph, 'n' || CAST(j AS STRING) AS node, 'zz' || CAST(j AS STRING) AS dep FROM ({GRAPH_NODES}) t WHERE j % 37 = 36
-  UNION SELECT graph, 'n1' AS node, 'n' || CAST(j AS STRING) AS dep FROM ({GRAPH_NODES}) t WHERE graph IN ('g3', 'g7') AND j IN (4, 9)"""
+  UNION SELECT graph, 'n1' AS node, 'n' || CAST(j AS STRING) AS dep FROM ({GRAPH_NODES}) t WHERE (graph LIKE '%3' OR graph LIKE '%7') AND j IN (4, 9)"""
+SKILLS = f"""SELECT graph, 'n' || CAST(j AS STRING) AS node, CASE j % 23 WHEN 18 THEN 'failed' WHEN 21 THEN 'timed_out' ELSE 'ok' END AS outcome, CAST(j AS BIGINT) AS own,
+  CASE WHEN j % 29 = 28 THEN 'in9' ELSE 'in' || CAST(j % 4 AS STRING) END AS input, CASE WHEN j % 17 = 13 THEN '1.1' ELSE '1.0' END AS version FROM ({GRAPH_NODES}) t"""
+
+CALLED = """SELECT o_custkey AS graph, 'o' || CAST(o_orderkey AS STRING) AS source, 'p' || CAST(l_partkey AS STRING) AS target FROM (SELECT o_custkey, o_orderkey FROM orders) o, (SELECT l_orderkey, l_partkey FROM lineitem) l WHERE l_orderkey = o_orderkey
+  UNION SELECT o_custkey AS graph, 'p' || CAST(l_partkey AS STRING) AS source, 'c' || CAST(o_custkey AS STRING) AS target FROM (SELECT o_custkey, o_orderkey FROM orders) o, (SELECT l_orderkey, l_partkey FROM lineitem) l WHERE l_orderkey = o_orderkey AND l_partkey % 40 = 0
+  UNION SELECT o_custkey AS graph, 'c' || CAST(o_custkey AS STRING) AS source, 'o' || CAST(o_orderkey AS STRING) AS target FROM orders"""
+CALLERS = "SELECT o_custkey AS graph, 'o' || CAST(o_orderkey AS STRING) AS node FROM orders"
+CAME_FROM = "CASE WHEN r = 1 THEN CAST(NULL AS INT) WHEN r % 9 = 3 THEN r * 2 WHEN r % 8 = 0 THEN -r ELSE CAST(floor(r / 2) AS INT) END"
+VERSIONS = f"""SELECT c * 10 + r % 3 AS id, r AS version, CASE WHEN {CAME_FROM} IS NOT NULL THEN c * 10 + {CAME_FROM} % 3 END AS from_id, {CAME_FROM} AS from_version
+  FROM (SELECT o_custkey AS c, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS INT) AS r FROM orders) t"""
 
 WORDS = "CASE {0} % 7 WHEN 0 THEN 'user_login' WHEN 1 THEN 'user logout' WHEN 2 THEN 'get-health' WHEN 3 THEN 'delete_user' WHEN 4 THEN 'parse_config' WHEN 5 THEN 'render_page' ELSE 'a_b_cc' END"
 STATUS = "CASE {0} % 3 WHEN 0 THEN 'added' WHEN 1 THEN 'removed' ELSE 'modified' END"

@@ -10,6 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import prefix
+
 CALL = "struct<index:int,message:struct<role:string,content:string,tool_calls:array<struct<id:string,type:string,function:struct<name:string,arguments:string>>>>,finish_reason:string>"
 COMPLETION = f"struct<id:string,object:string,model:string,created:bigint,choices:array<{CALL}>,usage:struct<prompt_tokens:bigint,completion_tokens:bigint,total_tokens:bigint>>"
 RUN_LOG = f"struct<run_id:string,turns:array<struct<index:int,prompt:string,response:{COMPLETION},timestamp:string>>>"
@@ -128,12 +130,13 @@ def golden_cases(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame(rows, "case_id string, title string, category string, name string, status string, categories array<string>")
 
 
-def source_tree(files: DataFrame, extensions: tuple[str, ...] = ("rs", "py", "ts", "go", "java"), budget: int = 131_072) -> DataFrame:
-    """files: path, length. Those of known extensions outside build folders, in path order, while their running size fits."""
-    from pyspark.sql import Window
+# Extensions of source files, and folders without any.
+SOURCE_EXTENSIONS = ("rs", "toml", "md", "json", "yaml", "yml", "html", "css", "js", "ts", "py", "go", "java", "c", "cpp", "h", "hpp")
+SKIPPED_FOLDERS = ("target", ".git", "node_modules", "__pycache__")
+
 
-    ok = F.regexp_extract("path", r"\.([^./]*)$", 1).isin(*extensions) & ~F.col("path").rlike(r"(^|/)(target|node_modules|\.git|dist|build|vendor)/")
-    # A file takes a byte at least (empty ones count as one), so no more than `budget` first paths can fit: a bounded head is summed.
-    head = files.where(ok).orderBy("path").limit(budget)
-    w = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return head.withColumn("running", F.sum(F.greatest("length", F.lit(1))).over(w)).where(F.col("running") <= budget)
+def source_tree(files: DataFrame, by: list[str] = (), order: list[str] = ("path",), extensions: tuple[str, ...] = SOURCE_EXTENSIONS, skipped: tuple[str, ...] = SKIPPED_FOLDERS, budget: int = 131_072) -> DataFrame:
+    """files: path, length. Those of known extensions outside the skipped folders, in path order, while their running size (running_bytes) fits
+    the budget; `by`: a budget for each."""
+    ok = F.regexp_extract("path", r"\.([^./]*)$", 1).isin(*extensions) & ~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, skipped)))
+    return prefix.within_budget(files.where(ok), list(order), F.col("length"), budget, by)
