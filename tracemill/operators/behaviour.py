@@ -77,17 +77,49 @@ def stability(states: DataFrame) -> DataFrame:
     return s.groupBy("trace_id").agg(F.coalesce(F.avg(cos), F.lit(1.0)).alias("stability"))
 
 
+def series(states: DataFrame, sizes: DataFrame) -> DataFrame:
+    """sizes: trace_id, total (calls), n_windows. (trace_id, window, n_states, edit_density, tool_*): means over the states whose middle lies in the
+    window's share of the trace, 0 without any. The shares are proportional ranges next to each other, so a middle lies in one window only,
+    and its number follows from it: windows meet states by equality."""
+    mid = F.floor((F.col("first_idx") + F.col("last_idx") + 1) / 2)
+    window = F.expr("((mid + 1) * n_windows - 1) div greatest(total, 1)").cast("int")
+    s = states.select("trace_id", "edit_density", *TOOL_COLS, mid.alias("mid")).join(sizes, "trace_id").withColumn("window", window)
+    means = s.groupBy("trace_id", "window").agg(F.count("*").alias("n_states"), *(F.avg(c).alias(c) for c in ("edit_density", *TOOL_COLS)))
+    grid = sizes.where("n_windows > 0").select("trace_id", F.explode(F.sequence(F.lit(0), F.col("n_windows").cast("int") - 1)).alias("window"))
+    return grid.join(means, ["trace_id", "window"], "left").fillna(0, ["n_states"]).fillna(0.0, ["edit_density", *TOOL_COLS])
+
+
 def edit_curve(states: DataFrame, calls: DataFrame, windows: int = 10) -> DataFrame:
     """Mean edit density of states by share of the trace: trace_id, window, n_states, edit_density."""
-    n = calls.groupBy("trace_id").agg(F.count("*").alias("n"))
-    mid = F.floor((F.col("first_idx") + F.col("last_idx") + 1) / 2)
-    s = states.join(n, "trace_id").select("trace_id", "edit_density", mid.alias("mid"), "n")
-    grid = n.select("trace_id", "n", F.explode(F.sequence(F.lit(0), F.lit(windows - 1))).alias("window"))
-    lo, hi = F.floor(F.col("window") * F.col("n") / windows), F.floor((F.col("window") + 1) * F.col("n") / windows)
-    grid = grid.select("trace_id", "window", lo.alias("lo"), hi.alias("hi"))
-    j = grid.join(s.drop("n"), "trace_id", "left").groupBy("trace_id", "window")
-    inside = (F.col("mid") >= F.col("lo")) & (F.col("mid") < F.col("hi"))
-    return j.agg(F.sum(F.coalesce(inside, F.lit(False)).cast("bigint")).alias("n_states"), F.coalesce(F.avg(F.when(inside, F.col("edit_density"))), F.lit(0.0)).alias("edit_density"))
+    sizes = calls.groupBy("trace_id").agg(F.count("*").alias("total")).withColumn("n_windows", F.lit(windows).cast("bigint"))
+    return series(states, sizes).select("trace_id", "window", "n_states", "edit_density")
+
+
+def time_series(states: DataFrame, trans: DataFrame, calls: DataFrame, width: int = 100) -> DataFrame:
+    """trans: trace_id, at (the ordinal of a transition). A row a window of `width` ordinals: series() with n_transitions. A trace without
+    transitions spans a hundred ordinals for each state; one with a single transition, or a width of 0, has windows as wide as it has states."""
+    n = calls.groupBy("trace_id").agg(F.count("*").alias("total")).join(states.groupBy("trace_id").agg(F.count("*").alias("k")), "trace_id")
+    t = trans.groupBy("trace_id").agg(F.min("at").alias("least"), F.max("at").alias("most"))
+    j = n.join(t, "trace_id", "left").withColumns({"least": F.coalesce("least", F.lit(0)).cast("bigint"), "most": F.coalesce("most", F.col("k") * 100).cast("bigint")})
+    span = F.col("most") - F.col("least")
+    wide = F.when((span == 0) | F.lit(width == 0), F.col("k")).otherwise(F.lit(width)).cast("bigint")
+    sizes = j.withColumns({"width": wide, "n_windows": F.when(span == 0, F.col("k")).otherwise(F.expr("(most - least)") / wide + 1).cast("bigint")})
+    moved = trans.join(sizes.select("trace_id", "least", "width"), "trace_id").select("trace_id", F.expr("(at - least) div width").cast("int").alias("window"))
+    counts = moved.groupBy("trace_id", "window").agg(F.count("*").alias("n_transitions"))
+    return series(states, sizes.select("trace_id", "total", "n_windows")).join(counts, ["trace_id", "window"], "left").fillna(0, ["n_transitions"])
+
+
+def trace_features(states: DataFrame, calls: DataFrame) -> DataFrame:
+    """By trace: means of the states' shares of tools, shares of phases, calls a state, and both counts."""
+    n = calls.groupBy("trace_id").agg(F.count("*").alias("total_tools"))
+    phases = [F.avg((F.col("primary_phase") == c).cast("double")).alias(f"phase_{c}") for c in X.CATEGORIES]
+    s = states.groupBy("trace_id").agg(F.count("*").alias("state_count"), *(F.avg(c).alias(c) for c in TOOL_COLS), *phases)
+    return n.join(s, "trace_id").withColumn("avg_tools_per_state", X.ratio(F.col("total_tools"), F.col("state_count")))
+
+
+def distributions(features: DataFrame) -> DataFrame:
+    """trace_features as vectors in the order of categories: trace_id, tools, phases."""
+    return features.select("trace_id", F.array(*TOOL_COLS).alias("tools"), F.array(*(f"phase_{c}" for c in X.CATEGORIES)).alias("phases"))
 
 
 def curve_stats(curve: DataFrame) -> DataFrame:

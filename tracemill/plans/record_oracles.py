@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..sources import generated as G
 from .code_oracles import ORACLES
-from .oracles import DAG
+from .oracles import CATEGORIES, DAG, GRAPH
 
 LOST = "lost AS (SELECT graph, node FROM edges e WHERE NOT EXISTS (SELECT 1 FROM nodes n WHERE n.graph = e.graph AND n.node = e.dep) UNION SELECT e.graph, e.node FROM lost b JOIN edges e ON e.graph = b.graph AND e.dep = b.node)"
 WALK = "walk AS (SELECT graph, node, 0 AS layer FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.graph = n.graph AND e.node = n.node) UNION SELECT e.graph, e.node, w.layer + 1 FROM walk w JOIN edges e ON e.graph = w.graph AND e.dep = w.node WHERE w.layer < 20)"
@@ -40,3 +40,61 @@ ORACLES |= {
     "source_budget": f"""WITH p AS ({G.PATHS}), k AS (SELECT *, sum(n % 997) OVER (PARTITION BY project ORDER BY path, n) AS total FROM p WHERE regexp_extract(path, '\\.([^./]*)$', 1) IN ('rs', 'toml', 'md', 'json', 'yaml', 'yml', 'html', 'css', 'js', 'ts', 'py', 'go', 'java', 'c', 'cpp', 'h', 'hpp'))
       SELECT project, path, n, total::BIGINT AS running_bytes FROM k WHERE total <= 4000""",
 }
+
+
+TOOL = [f"tool_{c}" for c in CATEGORIES]
+STEP = """CASE WHEN s.q THEN {p: s.p + length(k), o: s.o, q: k <> '"', b: s.b, l: s.l}
+  WHEN k IN ('{', '[') THEN {p: s.p + 1, o: CASE k WHEN '{' THEN '}' ELSE ']' END || s.o, q: false, b: CASE WHEN s.o = '' THEN s.p ELSE s.b END, l: s.l}
+  WHEN k IN ('}', ']') AND s.o[1] = k THEN {p: s.p + 1, o: s.o[2:], q: false, b: s.b, l: CASE WHEN length(s.o) = 1 THEN list_append(s.l, t[s.b + 1 : s.p + 1]) ELSE s.l END}
+  WHEN k IN ('}', ']') THEN {p: s.p + 1, o: '', q: false, b: s.b, l: s.l}
+  ELSE {p: s.p + length(k), o: s.o, q: k = '"' AND s.o <> '', b: s.b, l: s.l} END"""
+FOLD = f"""walk AS (SELECT conv_id, turn, t, regexp_extract_all(t, '\\\\(?s:.)|["{{}}\\[\\]\\\\]|[^"{{}}\\[\\]\\\\]+') AS ks, 1 AS i, {{p: 0::BIGINT, o: '', q: false, b: 0::BIGINT, l: []::VARCHAR[]}} AS s FROM texts
+  UNION ALL SELECT conv_id, turn, t, ks, i + 1, {STEP} FROM (SELECT *, ks[i] AS k FROM walk WHERE i <= len(ks)))"""
+
+
+def shown(action: str) -> str:
+    return f"SELECT l_orderkey AS eval_id, list(struct_pack(name := name, kind := 'function', file := file) ORDER BY name, file) AS l FROM (SELECT l_orderkey, 's' || l_partkey AS name, 'f' || l_suppkey AS file FROM lineitem WHERE (l_returnflag = 'R') = {action == 'removed'} QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY 's' || l_partkey, 'f' || l_suppkey) <= 2) GROUP BY ALL"
+
+
+RUN_SQL = ORACLES["skill_run"]
+ORACLES |= {
+    "stream_segments": ORACLES["state_segments"],
+    "stored_trials": """WITH r AS (SELECT o_custkey AS task_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS position, o_orderkey AS eval_id, CASE o_orderstatus WHEN 'F' THEN 'Pass' WHEN 'O' THEN 'Fail' ELSE 'NotEvaluated' END AS outcome, CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 2 END AS version FROM orders) SELECT * FROM r""",
+    "tasks_view": """SELECT c_custkey AS id, to_json(struct_pack(id := c_custkey, description := 'task of ' || c_name, category := CASE c_custkey % 6 WHEN 0 THEN 'bug_fix' WHEN 1 THEN 'refactor' WHEN 2 THEN 'test' WHEN 3 THEN 'doc' WHEN 4 THEN 'feature' ELSE 'general' END, modules := [lower(c_mktsegment), 'core'], success_criteria := ['balance over ' || floor(c_acctbal)::BIGINT, 'tests pass']))::VARCHAR AS json FROM customer""",
+    "trials_view": f"""WITH n AS (SELECT l_orderkey AS eval_id, count(*) AS n, sum(l_suppkey)::BIGINT AS tokens, count(*) FILTER (l_returnflag = 'R') AS gone FROM lineitem GROUP BY ALL),
+      e AS (SELECT o_custkey AS task_id, o_orderkey AS eval_id, trial_index, o_orderstatus AS outcome, strftime(o_orderdate, '%Y-%m-%d') AS created_at, n.* EXCLUDE (eval_id) FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)::INTEGER AS trial_index FROM orders) JOIN n ON n.eval_id = o_orderkey),
+      g AS (SELECT eval_id, list(struct_pack(name := name, passed := passed) ORDER BY name, passed) AS l FROM (SELECT l_orderkey AS eval_id, 'g' || l_linenumber AS name, l_returnflag <> 'R' AS passed FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY 'g' || l_linenumber, l_returnflag <> 'R') <= 2) GROUP BY ALL), p AS ({shown('added')}), m AS ({shown('removed')}),
+      d AS (SELECT task_id, e.eval_id, trial_index, struct_pack(trial_index := trial_index, eval_id := e.eval_id, outcome := outcome, grader_results := coalesce(g.l, []), tool_pattern := CASE WHEN outcome <> 'P' THEN struct_pack(total_tool_calls := n, total_tokens := tokens) END,
+        code_change := struct_pack(files := 1, additions := n - gone, deletions := gone, modules := ['m' || e.eval_id % 7], symbols_added := coalesce(p.l, []), symbols_removed := coalesce(m.l, [])), created_at := created_at, task := struct_pack(id := task_id, description := 'task ' || task_id)) AS doc
+        FROM e LEFT JOIN g USING (eval_id) LEFT JOIN p USING (eval_id) LEFT JOIN m USING (eval_id) QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY trial_index DESC) <= 3),
+      t AS (SELECT task_id, to_json(struct_pack(task_id := task_id, trials := list(doc ORDER BY trial_index)))::VARCHAR AS json FROM d GROUP BY task_id), k AS (SELECT task_id, count(*) AS n_trials FROM e GROUP BY ALL)
+      SELECT task_id, n_trials, md5(json) AS digest, length(json)::INTEGER AS n_chars FROM t JOIN k USING (task_id)""",
+    "capability_nodes": "SELECT l_orderkey AS change, l_linenumber::INTEGER AS ordinal, 'f' || (l_suppkey % 3) || '::s' || l_partkey AS id, 's' || l_partkey AS name, 'function' AS kind, 'f' || (l_suppkey % 3) AS file, CASE WHEN l_returnflag = 'R' THEN 'removed' ELSE 'added' END AS action FROM lineitem",
+    "capability_links": "SELECT a.l_orderkey AS change, 'f' || (a.l_suppkey % 3) || '::s' || a.l_partkey AS source, 'f' || (b.l_suppkey % 3) || '::s' || b.l_partkey AS target, 1 AS value FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey % 3 = b.l_suppkey % 3 AND a.l_linenumber < b.l_linenumber",
+    "json_in_text": f"""WITH RECURSIVE texts AS (SELECT conv_id, turn, regexp_replace(regexp_replace({G.REPLY}, '^\\s+', ''), '\\s+$', '') AS t FROM conversations WHERE text IS NOT NULL), {FOLD},
+      f AS (SELECT conv_id, turn, t, list_filter(s.l, lambda x: json_valid(x))[1] AS inline, strpos(t, '```json') AS j, strpos(t, '```') AS p FROM walk WHERE i > len(ks)),
+      b AS (SELECT *, substr(t, j + 7) AS after_j, substr(t, p + 3) AS after_p FROM f), c AS (SELECT *, trim(after_p[1 : strpos(after_p, '```') - 1], ' ' || chr(10)) AS block FROM b),
+      k AS (SELECT conv_id, turn, CASE WHEN j > 0 AND strpos(after_j, '```') > 0 THEN {{kind: 'fenced', raw: trim(after_j[1 : strpos(after_j, '```') - 1], ' ' || chr(10))}} WHEN p > 0 AND strpos(after_p, '```') > 0 THEN {{kind: 'fenced', raw: CASE WHEN contains(block, chr(10)) THEN trim(substr(block, strpos(block, chr(10)) + 1), ' ' || chr(10)) ELSE block END}}
+        WHEN t[1] IN ('{{', '[') AND t[-1] IN ('}}', ']') THEN {{kind: 'bare', raw: t}} WHEN inline IS NOT NULL THEN {{kind: 'inline', raw: inline}} END AS f FROM c)
+      SELECT conv_id, turn, f.kind AS kind, md5(f.raw) AS digest, coalesce(json_valid(f.raw), false) AS parses FROM k""",
+    "evidence_confidence": f"""WITH l1 AS ({G.EVIDENCE_SYMBOLS}), l2 AS ({G.EVIDENCE_RULES}), l3 AS ({G.EVIDENCE_TEXTS}),
+      a AS (SELECT capability, count(*) AS n, count(*) FILTER (visibility = 'pub') AS pub, count(*) FILTER (contains(fragment, symbol)) AS hit FROM l1 JOIN l3 USING (capability) GROUP BY ALL), b AS (SELECT capability, count(*) AS n, count(*) FILTER (severity = 'high') AS high FROM l2 GROUP BY ALL)
+      SELECT capability, round(coalesce(0.6 * CASE WHEN a.n <= 20 THEN 1.0 WHEN a.n <= 50 THEN 0.7 ELSE 0.4 END + 0.4 * a.pub / a.n, 0)::DOUBLE, 6) AS l1_score,
+      round(coalesce(0.5 * CASE WHEN b.n = 1 THEN 0.5 WHEN b.n <= 5 THEN 1.0 WHEN b.n <= 10 THEN 0.7 ELSE 0.4 END + 0.5 * b.high / b.n, 0)::DOUBLE, 6) AS l2_score,
+      round(CASE WHEN fragment IS NULL THEN 0 ELSE CASE WHEN fragment <> '' THEN 0.5 ELSE 0 END + 0.5 * coalesce(a.hit / a.n, 0) END::DOUBLE, 6) AS l3_score FROM l3 LEFT JOIN a USING (capability) LEFT JOIN b USING (capability)""",
+    "time_series": f"""WITH {GRAPH}, k AS (SELECT trace_id, count(*) AS k FROM states GROUP BY ALL), ev AS (SELECT trace_id, pos AS ord FROM trans WHERE nxt IS NOT NULL), m AS (SELECT trace_id, min(ord) AS lo, max(ord) AS hi FROM ev GROUP BY ALL),
+      z AS (SELECT trace_id, t.n, k, coalesce(lo, 0) AS lo, coalesce(hi, k * 100) - coalesce(lo, 0) AS span FROM k JOIN totals t USING (trace_id) LEFT JOIN m USING (trace_id)),
+      y AS (SELECT *, CASE WHEN span = 0 THEN k ELSE 4 END AS wide, CASE WHEN span = 0 THEN k ELSE span // 4 + 1 END AS nw FROM z), g AS (SELECT *, CAST(unnest(range(nw)) AS INTEGER) AS w FROM y),
+      c AS (SELECT g.trace_id, g.w, count(ord) AS n_transitions FROM g LEFT JOIN ev ON ev.trace_id = g.trace_id AND ord >= lo + w * wide AND ord < lo + (w + 1) * wide GROUP BY ALL)
+      SELECT g.trace_id, g.w AS "window", count(s.trace_id) AS n_states, {", ".join(f"round(coalesce(avg(s.{x}), 0), 6) AS {x}" for x in ("edit_density", *TOOL))}, any_value(n_transitions) AS n_transitions FROM g JOIN c USING (trace_id, w) LEFT JOIN states s ON s.trace_id = g.trace_id
+      AND (s.first_idx + s.last_idx + 1) // 2 >= g.w * g.n // g.nw AND (s.first_idx + s.last_idx + 1) // 2 < (g.w + 1) * g.n // g.nw GROUP BY g.trace_id, g.w""",
+    "trace_features": f"""WITH {GRAPH} SELECT s.trace_id, any_value(t.n) AS total_tools, count(*) AS state_count, {", ".join(f"round(avg({x}), 6) AS {x}" for x in TOOL)}, {", ".join(f"round(avg(CASE WHEN primary_phase = '{c}' THEN 1.0::DOUBLE ELSE 0 END), 6) AS phase_{c}" for c in CATEGORIES)},
+      round(any_value(t.n) / count(*), 6) AS avg_tools_per_state FROM states s JOIN totals t USING (trace_id) GROUP BY ALL""",
+    "skill_reports": f"""WITH r AS (SELECT *, coalesce(reason, '') AS why FROM ({RUN_SQL})), n AS (SELECT graph, count(*) AS total, count(*) FILTER (status = 'ok') AS ok, count(*) FILTER (status = 'skipped') AS skipped, count(*) FILTER (status IN ('failed', 'timed_out')) AS failed, count(DISTINCT layer) AS n_layers,
+        list(struct_pack(layer := layer, node := node, status := status, reason := why) ORDER BY layer, node) AS skills FROM r GROUP BY ALL), k AS (SELECT *, CASE WHEN failed > 0 THEN 'high' WHEN skipped > 0 THEN 'medium' ELSE 'low' END AS risk FROM n)
+      SELECT graph, risk, md5('# Run of ' || graph || chr(10) || chr(10) || '| Metric | Value |' || chr(10) || '|-|-|' || chr(10) || concat('| Skills | ', total, ' |', chr(10), '| OK | ', ok, ' |', chr(10), '| Skipped | ', skipped, ' |', chr(10), '| Failed | ', failed, ' |', chr(10), '| Layers | ', n_layers, ' |', chr(10), '| Risk | ', risk, ' |', chr(10))
+        || chr(10) || '## Skills' || chr(10) || chr(10) || array_to_string(list_transform(skills, lambda s: '- ' || s.layer || ' ' || s.node || ': ' || s.status || CASE WHEN s.reason <> '' THEN ' (' || s.reason || ')' ELSE '' END), chr(10)) || chr(10)) AS markdown,
+      md5('<!DOCTYPE html><title>' || graph || '</title><table>' || concat('<tr><th>Skills</th><td>', total, '</td></tr><tr><th>OK</th><td>', ok, '</td></tr><tr><th>Skipped</th><td>', skipped, '</td></tr><tr><th>Failed</th><td>', failed, '</td></tr><tr><th>Layers</th><td>', n_layers, '</td></tr><tr><th>Risk</th><td>', risk, '</td></tr>') || '</table><ul>'
+        || array_to_string(list_transform(skills, lambda s: '<li class="' || s.status || '">' || s.node || '</li>'), '') || '</ul>') AS html,
+      md5(to_json(struct_pack(graph := graph, summary := struct_pack(total := total, ok := ok, skipped := skipped, failed := failed, risk := risk), skills := skills))::VARCHAR) AS json FROM k""",
+}

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import prefix, reach
-from ..sources import generated, logs, views
+from ..functions import exprs as X
+from ..functions import jsontext
+from ..operators import behaviour, dashboard, evidence, prefix, reach, states
+from ..sources import generated, logs, reports, versioned, views
+from ..sources.scratch import new_path
+from ..streaming import segments
 from .code_queries import QUERIES
-from .queries import query, rounded
+from .queries import DAY, graph_of, query, rounded
 
 __all__ = ["QUERIES"]
 
@@ -56,3 +61,123 @@ def source_budget(spark, sf_dir):
     """The first source files of each project in path order that fit into four thousand bytes."""
     p = generated.view(spark, sf_dir, generated.PATHS).select("project", "path", (F.col("n") % 997).alias("length"), "n")
     return logs.source_tree(p, by=["project"], order=["path", "n"], budget=4_000).select("project", "path", "n", "running_bytes")
+
+
+@query
+def stream_segments(spark, sf_dir):
+    """The calls as a stream that comes in three parts by time; an end beyond all gaps closes the last segments."""
+    calls = views.tool_calls(spark, sf_dir).select("trace_id", "idx", F.col("ts").cast("timestamp").alias("ts"), "tool_name", "path")
+    folder, out, marks = (new_path(spark, n) for n in ("stream-in", "stream-out", "stream-checkpoint"))
+    first, second, last = calls.agg(F.percentile_approx("ts", [0.33, 0.66, 1.0])).first()[0]
+    end = spark.range(1).select(*((F.lit(last) + F.expr("INTERVAL 20 YEARS") if f.name == "ts" else F.lit(None).cast(f.dataType)).alias(f.name) for f in calls.schema))
+    ts, store = F.col("ts"), "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store, None)
+    segments.use_state(spark)
+    try:
+        for part in (calls.where(ts <= first), calls.where((ts > first) & (ts <= second)), calls.where(ts > second), end, end.withColumn("ts", ts + F.expr("INTERVAL 1 DAY"))):
+            part.write.mode("append").parquet(folder)
+            stream = spark.readStream.schema(calls.schema).parquet(folder)
+            rows = segments.segments(stream, DAY, late="0 seconds", close_after_ms=15 * 365 * DAY)
+            segments.to_table(rows, out, marks)
+    finally:
+        spark.conf.unset(store) if before is None else spark.conf.set(store, before)
+    return spark.read.schema(rows.schema).parquet(out)
+
+
+@query
+def stored_trials(spark, sf_dir):
+    """Orders as evaluations that are stored open, and again when they are decided, with a compaction between; listed by task."""
+    o = views.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("eval_id"), F.col("o_custkey").alias("task_id"), F.col("o_orderdate").alias("at"), "o_orderstatus")
+    outcome = X.case((F.col("o_orderstatus") == "F", "Pass"), (F.col("o_orderstatus") == "O", "Fail"), otherwise="NotEvaluated")
+    t = versioned.Table(spark, new_path(spark, "trials"), ["eval_id"], ["version"])
+    t.append(o.select("eval_id", "task_id", "at", F.lit("NotEvaluated").alias("outcome"), F.lit(1).alias("version")))
+    t.append(o.where("o_orderstatus <> 'P' and eval_id % 2 = 0").select("eval_id", "task_id", "at", outcome.alias("outcome"), F.lit(2).alias("version")))
+    t.compact()
+    t.append(o.where("o_orderstatus <> 'P' and eval_id % 2 = 1").select("eval_id", "task_id", "at", outcome.alias("outcome"), F.lit(2).alias("version")))
+    rows = t.latest()
+    return prefix.running(rows, ["at", "eval_id"], {"position": F.lit(1)}, by=["task_id"]).select("task_id", "position", "eval_id", "outcome", "version")
+
+
+def tasks_of(spark, sf_dir):
+    """Customers as tasks."""
+    c = views.table(spark, sf_dir, "customer")
+    message = F.concat(F.element_at(F.array(*map(F.lit, ("Fix", "clean", "Spec", "readme", "add", "plan"))), (F.col("c_custkey") % 6 + 1).cast("int")), F.lit(" "), "c_mktsegment")
+    criteria = F.array(F.concat(F.lit("balance over "), F.floor("c_acctbal").cast("string")), F.lit("tests pass"))
+    return c.select(F.col("c_custkey").alias("id"), F.concat(F.lit("task of "), "c_name").alias("description"), X.task_category(message).alias("category"), F.array(F.lower("c_mktsegment"), F.lit("core")).alias("modules"), criteria.alias("success_criteria"))
+
+
+@query
+def tasks_view(spark, sf_dir):
+    return dashboard.tasks_view(tasks_of(spark, sf_dir))
+
+
+@query
+def trials_view(spark, sf_dir):
+    """Orders as trials of their customers; items are graders and symbols; at most three trials and two of each list are shown."""
+    o, li = (views.table(spark, sf_dir, t) for t in ("orders", "lineitem"))
+    rank = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    n = li.groupBy(F.col("l_orderkey").alias("eval_id")).agg(F.count("*").alias("n"), F.sum(F.col("l_suppkey").cast("bigint")).alias("tokens"), F.count_if(F.col("l_returnflag") == "R").alias("gone"))
+    e = o.select(F.col("o_custkey").alias("task_id"), F.col("o_orderkey").alias("eval_id"), rank.alias("trial_index"), F.col("o_orderstatus").alias("outcome"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("created_at"))
+    e = e.join(n, "eval_id").withColumns({
+        "description": F.concat(F.lit("task "), F.col("task_id").cast("string")), "files": F.lit(1), "additions": F.col("n") - F.col("gone"), "deletions": F.col("gone"), "modules": F.array(F.concat(F.lit("m"), (F.col("eval_id") % 7).cast("string"))),
+        "tool_pattern": F.when(F.col("outcome") != "P", F.struct(F.col("n").alias("total_tool_calls"), F.col("tokens").alias("total_tokens"))),
+    })
+    graders = li.select(F.col("l_orderkey").alias("eval_id"), F.concat(F.lit("g"), F.col("l_linenumber").cast("string")).alias("name"), (F.col("l_returnflag") != "R").alias("passed"))
+    action = F.when(F.col("l_returnflag") == "R", "removed").otherwise("added")
+    symbols = li.select(F.col("l_orderkey").alias("eval_id"), action.alias("action"), F.concat(F.lit("s"), F.col("l_partkey").cast("string")).alias("name"), F.lit("function").alias("kind"), F.concat(F.lit("f"), F.col("l_suppkey").cast("string")).alias("file"))
+    v = dashboard.trials_view(e, graders, symbols, most_trials=3, most_each=2)
+    return v.select("task_id", "n_trials", F.md5(F.col("json").cast("binary")).alias("digest"), F.length("json").alias("n_chars"))
+
+
+def changed_symbols(spark, sf_dir):
+    """Items as symbols of their order's change, in files named after suppliers."""
+    li = views.table(spark, sf_dir, "lineitem")
+    return li.select(F.col("l_orderkey").alias("change"), F.col("l_linenumber").cast("int").alias("ordinal"), F.concat(F.lit("s"), F.col("l_partkey").cast("string")).alias("name"), F.lit("function").alias("kind"), F.concat(F.lit("f"), (F.col("l_suppkey") % 3).cast("string")).alias("file"), F.when(F.col("l_returnflag") == "R", "removed").otherwise("added").alias("action"))
+
+
+@query
+def capability_nodes(spark, sf_dir):
+    return dashboard.capability_nodes(changed_symbols(spark, sf_dir))
+
+
+@query
+def capability_links(spark, sf_dir):
+    return dashboard.capability_links(changed_symbols(spark, sf_dir))
+
+
+def replies(spark, sf_dir):
+    """Turns of conversations as answers of a model: JSON in a block, in a block without a name, bare, within the text, broken, or none."""
+    c = views.table(spark, sf_dir, "conversations").where("text is not null")
+    return c.select("conv_id", "turn", F.expr(generated.REPLY).alias("text"))
+
+
+@query
+def json_in_text(spark, sf_dir):
+    r = replies(spark, sf_dir).withColumn("f", jsontext.found(F.col("text")))
+    return r.select("conv_id", "turn", F.col("f.kind").alias("kind"), F.md5(F.col("f.raw").cast("binary")).alias("digest"), F.try_parse_json("f.raw").isNotNull().alias("parses"))
+
+
+@query
+def evidence_confidence(spark, sf_dir):
+    """Customers as capabilities: their items are symbols, their orders rule hits, and a text names some symbols."""
+    symbols, rules, texts = (generated.view(spark, sf_dir, q) for q in (generated.EVIDENCE_SYMBOLS, generated.EVIDENCE_RULES, generated.EVIDENCE_TEXTS))
+    return rounded(evidence.confidence(texts.select("capability"), symbols, rules, texts.where("fragment is not null")))
+
+
+@query
+def time_series(spark, sf_dir):
+    calls, s = graph_of(spark, sf_dir)
+    return rounded(behaviour.time_series(s, states.transitions(s), calls, width=4))
+
+
+@query
+def trace_features(spark, sf_dir):
+    calls, s = graph_of(spark, sf_dir)
+    return rounded(behaviour.trace_features(s, calls))
+
+
+@query
+def skill_reports(spark, sf_dir):
+    """Reports on the runs of all graphs."""
+    r = reports.run_reports(skill_run(spark, sf_dir))
+    return r.select("graph", "risk", *(F.md5(F.col(c).cast("binary")).alias(c) for c in ("markdown", "html", "json")))

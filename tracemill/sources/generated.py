@@ -52,6 +52,17 @@ CALLED = """SELECT o_custkey AS graph, 'o' || CAST(o_orderkey AS STRING) AS sour
   UNION SELECT o_custkey AS graph, 'p' || CAST(l_partkey AS STRING) AS source, 'c' || CAST(o_custkey AS STRING) AS target FROM (SELECT o_custkey, o_orderkey FROM orders) o, (SELECT l_orderkey, l_partkey FROM lineitem) l WHERE l_orderkey = o_orderkey AND l_partkey % 40 = 0
   UNION SELECT o_custkey AS graph, 'c' || CAST(o_custkey AS STRING) AS source, 'o' || CAST(o_orderkey AS STRING) AS target FROM orders"""
 CALLERS = "SELECT o_custkey AS graph, 'o' || CAST(o_orderkey AS STRING) AS node FROM orders"
+_LINE, _SLASH = "', chr(10), '", "', chr(92), '"  # escapes in literals differ between engines
+REPLY = """CASE CAST(conv_id * 3 + turn AS INT) % 9 WHEN 0 THEN concat('Here:~```json~{"path": "f', turn, '", "n": [1, 2, {"a": "}"}]}~```~', text)
+  WHEN 1 THEN concat(text, '~```~text~[', turn, ', 2]~```') WHEN 2 THEN concat(' {"n": ', turn, '} ~') WHEN 3 THEN concat('say ', turn, ' {not} it: {"k": "v } ^" ]", "z": [1, {"y": null}]} and {"b": 2}')
+  WHEN 4 THEN concat('{"broken": [1, 2', text) WHEN 5 THEN concat('[1, 2) }] then [', turn, '] "x') WHEN 6 THEN concat('{"a": [1}', turn, ' {"b": [true, false]}.') WHEN 7 THEN concat('```json {"a" ', turn, '}``` ') ELSE text END""".replace("~", _LINE).replace("^", _SLASH)
+
+EVIDENCE_NAME = "CASE l_partkey % 4 WHEN 0 THEN 'login' WHEN 1 THEN 'hash_' WHEN 2 THEN 'a::tok' ELSE 'f' END || CAST(l_partkey % 12 AS STRING)"
+EVIDENCE_SYMBOLS = f"SELECT o_custkey AS capability, {EVIDENCE_NAME} AS symbol, CASE WHEN l_returnflag = 'R' THEN 'private' ELSE 'pub' END AS visibility FROM (SELECT o_custkey, o_orderkey FROM orders) o, (SELECT l_orderkey, l_partkey, l_returnflag FROM lineitem) l WHERE l_orderkey = o_orderkey"
+EVIDENCE_RULES = "SELECT o_custkey AS capability, CASE WHEN o_orderstatus = 'F' THEN 'high' ELSE 'low' END AS severity FROM orders WHERE o_orderkey % 3 = 0"
+EVIDENCE_TEXTS = """SELECT c_custkey AS capability, CASE c_custkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'calls relogin' || CAST(c_custkey % 12 AS STRING) || '_x and hash_' || CAST(c_custkey % 11 AS STRING) || '.'
+  WHEN 2 THEN 'see a::tok' || CAST(c_custkey % 12 AS STRING) || ', f' || CAST(c_custkey % 12 AS STRING) || ' ' || repeat('login', 20) || CAST(c_custkey % 12 AS STRING) WHEN 3 THEN CAST(NULL AS STRING) ELSE 'nothing, f1 f2 f3 f5 login0 login4 hash_1 hash_9' END AS fragment FROM customer"""
+
 CAME_FROM = "CASE WHEN r = 1 THEN CAST(NULL AS INT) WHEN r % 9 = 3 THEN r * 2 WHEN r % 8 = 0 THEN -r ELSE CAST(floor(r / 2) AS INT) END"
 VERSIONS = f"""SELECT c * 10 + r % 3 AS id, r AS version, CASE WHEN {CAME_FROM} IS NOT NULL THEN c * 10 + {CAME_FROM} % 3 END AS from_id, {CAME_FROM} AS from_version
   FROM (SELECT o_custkey AS c, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS INT) AS r FROM orders) t"""
