@@ -182,11 +182,17 @@ def rfc3339(text: Column) -> Column:
 
 
 def name_tokens(text: Column) -> Column:
-    """Sorted distinct lower-case parts of at least two characters."""
-    parts = F.filter(F.split(F.lower(text), r"[_\- ]+"), lambda x: F.length(x) >= 2)
+    """Sorted distinct lower-case parts of at least two bytes: cut at _, - and spaces, and before a capital after what is none."""
+    cut = F.regexp_replace(text, r"(?<=\P{IsUppercase})(?=\p{IsUppercase})", "_")
+    parts = F.filter(F.transform(F.split(cut, "[_\\- ]+"), F.lower), lambda x: F.octet_length(x) >= 2)
     return F.array_sort(F.array_distinct(parts))
 
 
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def glob_match(text: Column, pattern: str) -> Column:
     """Case-blind: with * as a wildcard over the whole text, else as a part of it."""
     import re

@@ -6,19 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import modules as M
-from ..functions.exprs import ratio
+from ..functions.exprs import ratio, stripped
 
 
 def imported(line: Column) -> Column:
     """The path that a line of source imports, with slashes; null if it imports nothing."""
-    c = F.trim(line)
+    c = stripped(line)
     parts = F.split(F.regexp_replace(F.substr(c, F.lit(5)), ";+$", ""), "::")
     first = F.element_at(parts, 1)
     local = first.isin("crate", "self", "super") & (F.size(parts) >= 2)
     used = F.when(local, F.array_join(F.slice(parts, F.lit(2), F.size(parts)), "/")).when(~first.contains("{"), F.array_join(parts, "/"))
     named = F.replace(F.try_element_at(F.split(c, r"\s+"), F.lit(2)), F.lit("."), F.lit("/"))
     call = r"require\(([^)]*)\)"
-    required = F.when(c.rlike(call), F.regexp_replace(F.trim(F.regexp_extract(c, call, 1)), "^['\"`]+|['\"`]+$", ""))
+    required = F.when(c.rlike(call), F.regexp_replace(stripped(F.regexp_extract(c, call, 1)), "^['\"`]+|['\"`]+$", ""))
     return F.when(c.startswith("use "), used).when(c.startswith("from ") | c.startswith("import "), named).when(c.contains("require("), required)
 
 

@@ -56,3 +56,10 @@ def capability_links(symbols: DataFrame) -> DataFrame:
     s = symbols.select("change", "file", "ordinal", F.concat_ws("::", "file", "name").alias("id"))
     other = s.select("change", "file", F.col("ordinal").alias("_o"), F.col("id").alias("target"))
     return s.join(other, ["change", "file"]).where("ordinal < _o").select("change", F.col("id").alias("source"), "target", F.lit(1).alias("value"))
+
+
+def linked_symbols(symbols: DataFrame) -> DataFrame:
+    """symbols: file, symbol. (symbol, other, n_files): each two symbols that stand in a file together, and in how many."""
+    s = symbols.select("file", "symbol").distinct()
+    j = s.join(s.withColumnRenamed("symbol", "other"), "file").where("symbol < other")
+    return j.groupBy("symbol", "other").agg(F.count("*").alias("n_files"))

@@ -35,6 +35,7 @@ SYMBOLS = {
         (r"^\s*(?:public|private|protected)\s+(?:\w+\s+)+(\w+)\s*[<(]", 1, "function_added", "function_removed", 0.9, 0.9),
     ],
 }
+# Patterns for all languages, languages with the patterns of another, and changes that break callers.
 GENERIC = [
     (r"(?i)(?:\.get|\.post|\.put|\.delete|\.patch)\s*[<(]\s*['\"](/[/\w{}\-]*)['\"]", 1, "http_route_added", "http_route_removed", 0.85, 0.85),
     (r"^[-+]\s*([A-Z_]+)\s*[=:]", 1, "constant_added", "constant_changed", 0.7, 0.7),
@@ -93,19 +94,19 @@ def _symbol(content: Column, added: Column, pattern: str, group: int, on: str, o
 
 
 def raw_changes(diff_lines: DataFrame) -> DataFrame:
-    """Symbols of added, then removed lines of each hunk; first of its kind on (file, line, symbol, type); ids in order within a diff."""
+    """Symbols of added, then removed lines of each hunk, numbered in order within a diff; the first of its kind on (file, line, symbol, type) stays."""
     content, added, lang = F.col("content"), F.col("line_kind") == "add", F.col("language")
     generic = [_symbol(content, added, *p, "generic") for p in GENERIC]
     by_lang = {name: F.coalesce(*(_symbol(content, added, *p, name) for p in ps), *generic) for name, ps in SYMBOLS.items()}
     found = X.case(*((lang.isin(name, *(k for k, v in SAME_AS.items() if v == name)), c) for name, c in by_lang.items()), otherwise=F.coalesce(*generic))
-    d = diff_lines.where("line_kind <> 'ctx'").where(~F.trim("content").rlike("^(//|#)"))
+    d = diff_lines.where("line_kind <> 'ctx'").where(~F.col("content").rlike(r"(?U)^\s*(//|#)"))
     d = d.withColumn("s", found).where("s is not null").withColumn("line_start", F.when(added, F.col("new_start")).otherwise(F.col("old_start")))
     d = d.select("*", "s.*").withColumn("removed", (~added).cast("int"))
-    once = F.row_number().over(Window.partitionBy("diff_id", "file", "line_start", "symbol", "change_type").orderBy("file_no", "hunk_idx", "removed", "line_idx"))
-    d = d.withColumn("_once", once).where("_once = 1")
+    # Every hit takes a number; repeats go afterwards, and leave gaps.
     order = Window.partitionBy("diff_id").orderBy("file_no", "hunk_idx", "removed", "line_idx")
-    change_id = F.format_string("rc_%05d", F.row_number().over(order))
-    return d.select("diff_id", change_id.alias("change_id"), "file", "language", "line_start", "change_type", "symbol", "confidence", "content")
+    once = F.row_number().over(Window.partitionBy("diff_id", "file", "line_start", "symbol", "change_type").orderBy("file_no", "hunk_idx", "removed", "line_idx"))
+    d = d.withColumns({"change_id": F.format_string("rc_%05d", F.row_number().over(order)), "_once": once}).where("_once = 1")
+    return d.select("diff_id", "change_id", "file", "language", "line_start", "change_type", "symbol", "confidence", "content")
 
 
 def is_breaking(change_type: Column) -> Column:
@@ -123,5 +124,5 @@ def file_tree(files: DataFrame) -> DataFrame:
 def behaviour_boundaries(diffs: DataFrame) -> DataFrame:
     """Last token of each hunk header, and whether it is behaviour rather than logging and the like."""
     h = diffs.select("diff_id", F.posexplode(F.split("diff", r"\r?\n")).alias("at", "line")).where(F.col("line").startswith("@@"))
-    name = F.element_at(F.split(F.trim("line"), r"\s+"), -1)
+    name = F.element_at(F.split(X.stripped(F.col("line")), r"\s+"), -1)
     return h.select("diff_id", "at", name.alias("name"), (~F.lower(name).rlike("log|metric|trace|format|cache|debug")).alias("behavioural"))

@@ -34,16 +34,24 @@ LAST = ("eval0 AS (SELECT o_custkey AS task_id, o_orderkey AS e, o_orderdate AS
   "{'metric': 'tool_entropy', 'x': CASE WHEN has AND full_ THEN r / n END, 'low': true}, {'metric': 'phase_entropy', 'x': CASE WHEN has AND full_ THEN f / n END, 'low': true}, {'metric': 'loop_ratio', 'x': CASE WHEN has AND full_ THEN even / n END, 'low': true}, "
   "{'metric': 'backtrack_ratio', 'x': CASE WHEN has AND full_ THEN third / n END, 'low': true}, {'metric': 'state_stability_score', 'x': CASE WHEN has AND full_ THEN a / n END, 'low': false}, {'metric': 'additions', 'x': f, 'low': false}, {'metric': 'deletions', 'x': r, 'low': false}], recursive := true) FROM eval1 WHERE k <= 2)")
 
-FILES = f"files AS (SELECT o_orderkey AS diff_id, {G.path_of('o_orderkey')} AS file, {G.CHANGES} AS change, {G.STARTS[0]} AS a, {G.STARTS[1]} AS b, {G.NAME} AS name FROM orders)"
-HUNKS = f"""{FILES}, items AS (SELECT *, hunk_idx AS k, hunk_idx - min(hunk_idx) OVER (PARTITION BY diff_id) AS h, CASE line_kind WHEN 'add' THEN '+' WHEN 'del' THEN '-' ELSE ' ' END || content AS line FROM ({G.HUNK_LINES})),
+
+def files(path: str) -> str:
+    return f"files AS (SELECT o_orderkey AS diff_id, {path} AS file, {G.CHANGES} AS change, {G.STARTS[0]} AS a, {G.STARTS[1]} AS b, {G.NAME} AS name FROM orders)"
+
+
+def hunks(lines: str, path: str) -> str:
+    return f"""{files(path)}, items AS (SELECT *, hunk_idx AS k, hunk_idx - min(hunk_idx) OVER (PARTITION BY diff_id) AS h, CASE line_kind WHEN 'add' THEN '+' WHEN 'del' THEN '-' ELSE ' ' END || content AS line FROM ({lines})),
 dl AS (SELECT diff_id, file, change, {LANGUAGE.format('file')} AS language, h AS hunk_idx, a + 100 * k AS old_start, b + 100 * k AS new_start,
   CAST(row_number() OVER w - 1 AS INTEGER) AS line_idx, line_kind, content, symbol, shape, row_number() OVER w AS pos,
   CASE line_kind WHEN 'del' THEN a + 100 * k + count(*) FILTER (line_kind <> 'add') OVER w - 1 ELSE b + 100 * k + count(*) FILTER (line_kind <> 'del') OVER w - 1 END AS line_no
   FROM items JOIN files USING (diff_id) WINDOW w AS (PARTITION BY diff_id, k ORDER BY n, line ROWS UNBOUNDED PRECEDING))"""
+
+
+FILES, HUNKS = files(G.path_of("o_orderkey")), hunks(G.HUNK_LINES, G.path_of("o_orderkey"))
 RAW = f"""{HUNKS}, raw0 AS (SELECT diff_id, file, language, hunk_idx, line_idx, CAST(CASE line_kind WHEN 'add' THEN new_start ELSE old_start END AS INTEGER) AS line_start, CASE line_kind WHEN 'add' THEN 'function_added' ELSE 'function_removed' END AS change_type, symbol, content, line_kind = 'del' AS gone
   FROM dl WHERE shape = 0 AND language = 'rust' AND line_kind <> 'ctx'),
-raw1 AS (SELECT * FROM raw0 QUALIFY row_number() OVER (PARTITION BY diff_id, file, line_start, symbol, change_type ORDER BY hunk_idx, line_idx) = 1),
-raw AS (SELECT *, 'rc_' || lpad((row_number() OVER (PARTITION BY diff_id ORDER BY hunk_idx, gone, line_idx))::VARCHAR, 5, '0') AS change_id FROM raw1)"""
+raw1 AS (SELECT *, 'rc_' || lpad((row_number() OVER (PARTITION BY diff_id ORDER BY hunk_idx, gone, line_idx))::VARCHAR, 5, '0') AS change_id FROM raw0),
+raw AS (SELECT * FROM raw1 QUALIFY row_number() OVER (PARTITION BY diff_id, file, line_start, symbol, change_type ORDER BY hunk_idx, gone, line_idx) = 1)"""
 RULES = f"""{RAW}, hits AS (SELECT diff_id, change_id, symbol, unnest(list_filter([CASE WHEN contains(symbol, 'login') THEN {{'rule_id': 'sec_auth_001', 'category': 'security', 'severity': 'high'}} END,
   CASE WHEN contains(symbol, 'hash') THEN {{'rule_id': 'sec_crypto_001', 'category': 'security', 'severity': 'high'}} END, CASE WHEN contains(symbol, 'token') THEN {{'rule_id': 'sec_token_001', 'category': 'security', 'severity': 'high'}} END,
   CASE WHEN change_type = 'function_removed' AND NOT contains(symbol, 'test') THEN {{'rule_id': 'breaking_001', 'category': 'breaking', 'severity': 'high'}} END,
@@ -52,9 +60,9 @@ CLUSTERS = f"""{PATHS}, sym AS (SELECT project, path, l_returnflag <> 'R' AS hot
 tasks AS (SELECT o_custkey AS project, 'm' || (o_orderkey % 7) AS module, count(*) AS n_tasks FROM orders WHERE o_orderstatus = 'F' GROUP BY ALL),
 g AS (SELECT project, {CLUSTER.format('path')} AS module, sum(n)::BIGINT AS n_symbols, bool_or(hot) AS hot FROM (SELECT * FROM sym UNION ALL SELECT * FROM chg) GROUP BY ALL),
 clusters AS (SELECT project, module, n_symbols, coalesce(n_tasks, 0) AS n_tasks, CASE WHEN hot THEN 'Changed' WHEN coalesce(n_tasks, 0) > 0 THEN 'Active' ELSE 'Cold' END AS cluster_type FROM g LEFT JOIN tasks USING (project, module))"""
-LINKS = """s AS (SELECT DISTINCT l_orderkey % 50 AS project, 'm' || l_suppkey AS module, l_partkey AS f FROM lineitem),
+LINKS = """s AS (SELECT DISTINCT l_orderkey AS project, 'm' || l_suppkey AS module, l_partkey % 5 AS f FROM lineitem),
 links AS (SELECT DISTINCT a.project, a.module, b.module AS other, 0.5::DOUBLE AS strength FROM s a JOIN s b ON a.project = b.project AND a.f = b.f AND a.module < b.module)"""
-FLOWS = "flows AS (SELECT (['high', 'medium', 'low', 'odd'])[o_orderkey % 4 + 1] AS risk_level, CASE WHEN o_orderkey % 11 <> 0 THEN 'e' || (o_custkey % 40) END AS entry FROM orders)"
+FLOWS = "flows AS (SELECT (['high', 'medium', 'low', 'odd'])[o_orderkey % 4 + 1] AS risk_level, CASE WHEN o_orderkey % 11 <> 0 THEN 'e' || o_custkey END AS entry FROM orders)"
 RUNS = "runs AS (SELECT l_orderkey AS suite, l_linenumber AS run, (['Ok', 'Skipped', 'Failed', 'TimedOut', 'Ok'])[l_partkey % 5 + 1] AS status, CASE WHEN l_suppkey % 2 = 0 THEN 'e' || l_suppkey END AS detail FROM lineitem)"
 TURNS = "turns AS (SELECT conv_id AS conv, CAST(turn AS INTEGER) AS turn, role, coalesce(text, '') AS text FROM conversations)"
 MOVE1 = "CASE i WHEN 0 THEN 3 WHEN 3 THEN 0 WHEN 1 THEN 5 WHEN 2 THEN 2 WHEN 4 THEN 4 WHEN 5 THEN 5 END"
@@ -68,7 +76,7 @@ ORACLES |= {
     "import_lines": f"WITH {LINES} SELECT i AS import, count(*) AS n FROM imports GROUP BY ALL",
     "import_edges": f"""WITH {LINES}, mods AS (SELECT DISTINCT project, {SHORT.format('file')} AS m FROM src), e AS (SELECT i.project, {SHORT.format('file')} AS s, m FROM imports i JOIN mods USING (project) WHERE starts_with(i.i, m) OR contains(m, i.i))
       SELECT project, least(s, m) AS a, greatest(s, m) AS b, least(count(*), 10)::DOUBLE AS weight FROM e WHERE s <> m GROUP BY ALL""",
-    "flow_phases": """WITH x AS (SELECT (['readAll', 'ParseIt', 'validate', 'double_check', 'saveRow', 'to_DB', 'Display', 'render_main', 'cli', 'order_handler', 'worker_x', 'compute'])[o_orderkey % 12 + 1] || (o_custkey % 50) AS node FROM orders)
+    "flow_phases": """WITH x AS (SELECT (['readAll', 'ParseIt', 'validate', 'double_check', 'saveRow', 'to_DB', 'Display', 'render_main', 'cli', 'order_handler', 'worker_x', 'compute'])[o_orderkey % 12 + 1] || o_custkey AS node FROM orders)
       SELECT node, count(*) AS n, CASE WHEN regexp_matches(lower(node), 'read|parse|input') THEN 'input' WHEN regexp_matches(lower(node), 'valid|check|verify') THEN 'validation' WHEN regexp_matches(lower(node), 'save|write|store|db') THEN 'persistence' WHEN regexp_matches(lower(node), 'output|print|render|display') THEN 'output' ELSE 'business_logic' END AS phase,
       CASE WHEN regexp_matches(node, 'main|cli') THEN 'CLI' WHEN regexp_matches(node, 'handler|route|controller') THEN 'HTTP' WHEN regexp_matches(node, 'consumer|worker') THEN 'MQ' ELSE 'CLI' END AS trigger FROM x GROUP BY ALL""",
     "eval_metrics": f"""WITH {LAST}, c AS (SELECT a.task_id, a.e AS from_eval, b.e AS to_eval, a.metric, a.x AS p, b.x AS q, a.low, CASE WHEN a.x = 0 THEN CASE WHEN b.x = 0 THEN 0.0::DOUBLE ELSE 100.0::DOUBLE END ELSE (b.x - a.x) / a.x * 100.0::DOUBLE END AS pct FROM vals a JOIN vals b ON a.task_id = b.task_id AND a.k = 2 AND b.k = 1 AND a.metric = b.metric WHERE a.x IS NOT NULL AND b.x IS NOT NULL)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..functions import modules as M
 from ..operators import behaviour, code, export, graph, history, registry, states
 from ..sources import generated, logs, store, views
 from .queries import QUERIES, graph_of, query, rounded
@@ -23,7 +22,7 @@ def import_lines(spark, sf_dir):
 def flow_phases(spark, sf_dir):
     """Phase and trigger of nodes named after clerks and priorities, with words of the phases in some names."""
     words = F.array(*map(F.lit, ("readAll", "ParseIt", "validate", "double_check", "saveRow", "to_DB", "Display", "render_main", "cli", "order_handler", "worker_x", "compute")))
-    o = views.table(spark, sf_dir, "orders").select(F.concat(F.element_at(words, (F.col("o_orderkey") % 12 + 1).cast("int")), (F.col("o_custkey") % 50).cast("string")).alias("node"))
+    o = views.table(spark, sf_dir, "orders").select(F.concat(F.element_at(words, (F.col("o_orderkey") % 12 + 1).cast("int")), F.col("o_custkey").cast("string")).alias("node"))
     return o.groupBy("node").agg(F.count("*").alias("n")).select("node", "n", graph.node_phase(F.col("node")).alias("phase"), graph.trigger(F.col("node")).alias("trigger"))
 
 
@@ -82,7 +81,7 @@ def module_clusters(spark, sf_dir):
 def shared_files(spark, sf_dir):
     """Suppliers as modules that hold symbols in the file of a part."""
     li = views.table(spark, sf_dir, "lineitem")
-    return li.select((F.col("l_orderkey") % 50).alias("project"), F.concat(F.lit("m"), "l_suppkey").alias("module"), F.concat(F.lit("f"), "l_partkey").alias("file"))
+    return li.select(F.col("l_orderkey").alias("project"), F.concat(F.lit("m"), "l_suppkey").alias("module"), F.concat(F.lit("f"), (F.col("l_partkey") % 5).cast("string")).alias("file"))
 
 
 @query
@@ -112,7 +111,7 @@ def module_discovery(spark, sf_dir):
 def flows_of(spark, sf_dir):
     o = views.table(spark, sf_dir, "orders")
     level = F.element_at(F.array(*map(F.lit, ("high", "medium", "low", "odd"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
-    entry = F.when(F.col("o_orderkey") % 11 != 0, F.concat(F.lit("e"), (F.col("o_custkey") % 40).cast("string")))
+    entry = F.when(F.col("o_orderkey") % 11 != 0, F.concat(F.lit("e"), F.col("o_custkey").cast("string")))
     return o.select(level.alias("risk_level"), entry.alias("entry_point"))
 
 

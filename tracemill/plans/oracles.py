@@ -145,7 +145,7 @@ def rows(name: str, cols: str, data) -> str:
 
 
 DAG = f"nodes AS ({G.NODES}), edges AS ({G.EDGES})"
-CASES = "expected AS ({}), actual AS ({})".format(G.EXPECTED.format("['security']"), G.ACTUAL.format("['security']"))
+CASES = "expected AS ({}), actual AS ({})".format(*G.case_tables("[{}]::VARCHAR[]"))
 EXACT = f"""{CASES},
 miss AS (SELECT case_id, count(*) AS n_missing FROM expected e WHERE NOT EXISTS (SELECT 1 FROM actual a WHERE a.case_id = e.case_id AND a.name = e.name AND a.status = e.status AND a.categories = e.categories) GROUP BY ALL),
 extra AS (SELECT case_id, count(*) AS n_extra FROM actual a WHERE NOT EXISTS (SELECT 1 FROM expected e WHERE a.case_id = e.case_id AND a.name = e.name) GROUP BY ALL),
@@ -153,12 +153,13 @@ exact0 AS (SELECT case_id, coalesce(n_expected, 0) AS n_expected, coalesce(n_act
   FULL JOIN (SELECT case_id, count(*) AS n_actual FROM actual GROUP BY ALL) a USING (case_id) LEFT JOIN miss USING (case_id) LEFT JOIN extra USING (case_id)),
 exact AS (SELECT *, n_missing = 0 AND NOT (n_actual > n_expected AND n_extra > 0) AS exact FROM exact0)"""
 JACC = "CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect({a}, {b})) / len(list_distinct(list_concat({a}, {b}))) END"
-TOKENS = "list_filter(regexp_split_to_array(lower({0}), '[_\\- ]+'), lambda x: length(x) >= 2)"
+TOKENS = "list_filter(regexp_split_to_array(lower({0}), '[_\\- ]+'), lambda x: strlen(x) >= 2)"
 SEMANTIC = f"""{EXACT},
-et AS (SELECT *, {TOKENS.format("name")} AS t FROM expected), atok AS (SELECT *, {TOKENS.format("name")} AS t FROM actual),
-scores AS (SELECT e.case_id, e.name AS expected, a.name AS actual, {JACC.format(a="e.t", b="a.t")} AS names, {JACC.format(a="e.categories", b="a.categories")} AS cats FROM et e LEFT JOIN atok a USING (case_id)),
-sem AS (SELECT case_id, avg(s) AS similarity FROM (SELECT case_id, expected, max(coalesce(0.7::DOUBLE * names + 0.3::DOUBLE * cats, 0)) AS s FROM scores GROUP BY ALL) GROUP BY ALL),
-verdicts AS (SELECT case_id, coalesce(similarity, 0) AS similarity, CASE WHEN exact THEN 'pass' WHEN similarity > 0.85 THEN 'semantic_pass' ELSE 'fail' END AS verdict FROM exact LEFT JOIN sem USING (case_id))"""
+et AS (SELECT *, {TOKENS.format("name")} AS t, list_transform(categories, lambda x: lower(x)) AS c FROM expected), atok AS (SELECT *, {TOKENS.format("name")} AS t, list_transform(categories, lambda x: lower(x)) AS c FROM actual),
+scores AS (SELECT e.case_id, e.name AS expected, e.categories AS wanted, a.name AS actual, CASE WHEN lower(e.name) = lower(a.name) OR len(e.t) = 0 AND len(a.t) = 0 THEN 1.0::DOUBLE ELSE {JACC.format(a="e.t", b="a.t")} END AS names,
+  CASE WHEN len(e.c) = 0 THEN 1.0::DOUBLE WHEN len(a.c) = 0 THEN 0 ELSE len(list_intersect(e.c, a.c)) / len(list_distinct(list_concat(e.c, a.c))) END AS cats FROM et e LEFT JOIN atok a USING (case_id)),
+sem AS (SELECT case_id, avg(s) AS similarity FROM (SELECT case_id, expected, wanted, max(CASE WHEN actual IS NULL THEN 0 ELSE 0.7::DOUBLE * names + 0.3::DOUBLE * cats END) AS s FROM scores GROUP BY ALL) GROUP BY ALL),
+verdicts AS (SELECT case_id, coalesce(similarity, 0) AS similarity, CASE WHEN exact THEN 'pass' WHEN round(similarity, 9) > 0.85 THEN 'semantic_pass' ELSE 'fail' END AS verdict FROM exact LEFT JOIN sem USING (case_id))"""
 
 
 def r(*names, digits=6):
@@ -237,7 +238,7 @@ ORACLES: dict[str, str] = {
     "trend_history": f"WITH {TRIALS} SELECT task_id, trial, outcome, coalesce(c_name, 'Unknown task') AS description FROM trials LEFT JOIN customer ON c_custkey = task_id AND c_acctbal > 0",
     "trend_anomaly_2sigma": f"WITH {TRIALS}, w AS (SELECT *, count(metric) OVER b AS n_before, avg(metric) OVER b AS mean_before, stddev_pop(metric) OVER b AS sd_before FROM trials WINDOW b AS (PARTITION BY task_id ORDER BY trial ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT task_id, trial, n_before, {r('mean_before')}, {r('sd_before', digits=3)} FROM w WHERE n_before >= 3 AND sd_before > 0 AND abs(metric - mean_before) > 2 * sd_before",
     "document_rules": "SELECT rule_id, severity, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN lower(text) LIKE '%sql%' THEN {'rule_id': 'sec_sql_001', 'severity': 'high'} END, CASE WHEN lower(text) LIKE '%deprecat%' THEN {'rule_id': 'deprec_001', 'severity': 'low'} END, CASE WHEN lower(text) LIKE '%todo%' OR lower(text) LIKE '%fixme%' THEN {'rule_id': 'deprec_002', 'severity': 'low'} END], lambda x: x IS NOT NULL), recursive := true) FROM (SELECT text || CASE doc_id % 5 WHEN 0 THEN ' -- TODO' WHEN 1 THEN ' in Sql' WHEN 2 THEN ' deprecated, fixme' ELSE '' END AS text FROM documents)) GROUP BY ALL",
-    "symbol_links": "WITH s AS (SELECT DISTINCT l_partkey AS f, l_suppkey AS s FROM lineitem) SELECT a.s AS symbol, b.s AS other, count(*) AS n_files FROM s a JOIN s b ON a.f = b.f AND a.s < b.s GROUP BY ALL HAVING count(*) >= 2",
+    "symbol_links": "WITH s AS (SELECT DISTINCT l_partkey AS f, l_suppkey AS s FROM lineitem) SELECT a.s AS symbol, b.s AS other, count(*) AS n_files FROM s a JOIN s b ON a.f = b.f AND a.s < b.s GROUP BY ALL",
     "fan_in_out": """WITH e0 AS (SELECT 'c' || o_custkey AS node, 's' || l_suppkey AS dep FROM lineitem JOIN orders ON l_orderkey = o_orderkey), e AS (SELECT * FROM e0 UNION ALL SELECT dep, node FROM e0),
       o AS (SELECT node, count(*) AS fan_out FROM e GROUP BY ALL), i AS (SELECT dep AS node, count(*) AS fan_in FROM e GROUP BY ALL) SELECT node, fan_out, coalesce(fan_in, 0) AS fan_in,
       fan_out + coalesce(fan_in, 0) > 10 AS high_coupling, CASE WHEN fan_out + coalesce(fan_in, 0) > 20 THEN 'high' WHEN fan_out + coalesce(fan_in, 0) > 10 THEN 'medium' ELSE 'low' END AS risk FROM o LEFT JOIN i USING (node)""",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..functions import modules as M
-from ..operators import align, behaviour, code, coupling, diffs, graph, history, redact, rules, similarity, states, validate
+from ..operators import align, behaviour, code, coupling, dashboard, diffs, graph, history, redact, rules, similarity, states, validate
 from ..sources import generated, store, views
 from ..sources.scratch import stash
 from ..streaming import sessions
@@ -365,10 +365,9 @@ def file_modules(spark, sf_dir):
 
 @query
 def symbol_links(spark, sf_dir):
-    """Suppliers that share a part, as symbols that share a file; few suppliers hold a part."""
-    li = views.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("file"), F.col("l_suppkey").alias("symbol")).distinct()
-    j = li.join(li.withColumnRenamed("symbol", "other"), "file").where("symbol < other")
-    return j.groupBy("symbol", "other").agg(F.count("*").alias("n_files")).where("n_files >= 2")
+    """Suppliers that share a part, as symbols that share a file, and how many parts they share."""
+    li = views.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("file"), F.col("l_suppkey").alias("symbol"))
+    return dashboard.linked_symbols(li)
 
 
 @query

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..sources import generated as G
-from .code_oracles import ORACLES
+from .code_oracles import FROM_PATH, ORACLES, hunks
 from .oracles import CATEGORIES, DAG, GRAPH
 
 LOST = "lost AS (SELECT graph, node FROM edges e WHERE NOT EXISTS (SELECT 1 FROM nodes n WHERE n.graph = e.graph AND n.node = e.dep) UNION SELECT e.graph, e.node FROM lost b JOIN edges e ON e.graph = b.graph AND e.dep = b.node)"
@@ -98,3 +98,58 @@ ORACLES |= {
         || array_to_string(list_transform(skills, lambda s: '<li class="' || s.status || '">' || s.node || '</li>'), '') || '</ul>') AS html,
       md5(to_json(struct_pack(graph := graph, summary := struct_pack(total := total, ok := ok, skipped := skipped, failed := failed, risk := risk), skills := skills))::VARCHAR) AS json FROM k""",
 }
+
+
+def detected(patterns) -> str:
+    """The first pattern that a line matches: {type, symbol, sure}."""
+    arms = []
+    for pattern, group, on, off, sure_on, sure_off, *only in patterns:
+        name = f"regexp_extract(content, '{pattern}', {group})"
+        arms.append(f"WHEN regexp_matches(content, '{pattern}'){''.join(f' AND regexp_matches({name}, {o!r})' for o in only)} THEN {{'type': CASE line_kind WHEN 'add' THEN '{on}' ELSE '{off}' END, 'symbol': {name}, 'sure': CASE line_kind WHEN 'add' THEN {sure_on} ELSE {sure_off} END::DOUBLE}}")
+    return "CASE " + " ".join(arms)
+
+
+def two(kind: str) -> tuple[str, str]:
+    return f"{kind}_added", f"{kind}_removed"
+
+
+FUNCTION, IMPORT, STRUCT = two("function"), two("import"), ("struct_added", "unknown")
+# Patterns of declarations, by language, and of exported symbols, by ending; what a pattern stands for, and how sure it is.
+ANY = ((r"(?i)\.(?:get|post|put|delete|patch)\s*[<(]\s*[''\"](/[/\w{}\-]*)[''\"]", 1, *two("http_route"), 0.85, 0.85), (r"^[-+]\s*([A-Z_]+)\s*[=:]", 1, "constant_added", "constant_changed", 0.7, 0.7))
+DETECT = {
+    ("rust",): ((r"^\s*pub\s+(?:async\s+)?fn\s+(\w+)\s*[<(]", 1, *FUNCTION, 1.0, 1.0), (r"^\s*pub\s+struct\s+(\w+)", 1, *STRUCT, 1.0, 0.7), (r"^\s*pub\s+enum\s+(\w+)", 1, "enum_added", "unknown", 1.0, 0.7),
+      (r"^\s*pub\s+trait\s+(\w+)", 1, "trait_added", "unknown", 1.0, 0.7), (r"^\s*use\s+(.+);", 1, *IMPORT, 0.95, 0.95), (r"^\s*pub\s+const\s+(\w+)\s*:", 1, *two("constant"), 0.9, 0.9)),
+    ("typescript", "javascript"): ((r"^\s*export\s+(?:async\s+)?function\s+(\w+)", 1, *FUNCTION, 0.95, 0.95), (r"^\s*(?:export\s+)?class\s+(\w+)", 1, *STRUCT, 1.0, 0.7), (r"^\s*import\s+(.+)\s+from\s+[''\"]\S+[''\"]", 1, *IMPORT, 0.95, 0.95)),
+    ("python",): ((r"^\s*def\s+(\w+)\s*[<(]", 1, *FUNCTION, 0.95, 0.95, "^([^_]|_$|__)"), (r"^\s*class\s+(\w+)\s*[:(]", 1, *STRUCT, 1.0, 0.7)),
+    ("go",): ((r"^\s*func\s+(\w+)\s*[<(]", 1, *FUNCTION, 0.95, 0.95, "^[A-Z]"), (r"^\s*type\s+(\w+)\s+struct", 1, *STRUCT, 1.0, 0.7)),
+    ("java",): ((r"^\s*(?:public\s+)?class\s+(\w+)", 1, *STRUCT, 1.0, 0.7), (r"^\s*(?:public|private|protected)\s+(?:\w+\s+)+(\w+)\s*[<(]", 1, *FUNCTION, 0.9, 0.9)),
+    ("unknown",): (),
+}
+DECLARED = f"""{hunks(G.DECLARED_LINES, G.DECLARED_PATH)}, seen AS (SELECT *, CASE {" ".join(f"WHEN language IN {(*langs, '')} THEN {detected((*patterns, *ANY))} END" for langs, patterns in DETECT.items())} END AS d FROM dl WHERE line_kind <> 'ctx' AND NOT regexp_matches(content, '^\\s*(//|#)')),
+hit AS (SELECT diff_id, 'rc_' || lpad((row_number() OVER (PARTITION BY diff_id ORDER BY hunk_idx, line_kind = 'del', line_idx))::VARCHAR, 5, '0') AS change_id, file, language, CAST(CASE line_kind WHEN 'add' THEN new_start ELSE old_start END AS INTEGER) AS line_start, d.type AS change_type, d.symbol AS symbol, d.sure AS confidence, content FROM seen WHERE d IS NOT NULL),
+found AS (SELECT * FROM hit QUALIFY row_number() OVER (PARTITION BY diff_id, file, line_start, symbol, change_type ORDER BY change_id) = 1)"""
+ONE_OF = lambda c, *words: "(" + " OR ".join(f"contains(lower({c}), '{w}')" for w in words) + ")"
+BUILT_IN = (
+    ("sec_auth_001", "security", "high", ONE_OF("symbol", "auth", "login")), ("sec_auth_002", "security", "high", ONE_OF("symbol", "guard", "permission")), ("sec_crypto_001", "security", "high", ONE_OF("symbol", "hash", "encrypt", "decrypt")), ("sec_sql_001", "security", "high", ONE_OF("content", "sql")),
+    ("sec_token_001", "security", "high", ONE_OF("symbol", "token", "jwt", "session")), ("breaking_001", "breaking", "high", f"change_type IN ('function_removed', 'http_route_removed') AND NOT {ONE_OF('symbol', 'test')}"), ("breaking_005", "breaking", "medium", "change_type = 'constant_removed'"),
+    ("perf_001", "performance", "medium", "lower(file) LIKE '%.sql'"), ("perf_002", "performance", "medium", ONE_OF("file", "migration", "schema")), ("deprec_001", "deprecation", "low", ONE_OF("content", "deprecat")), ("deprec_002", "deprecation", "low", ONE_OF("content", "todo", "fixme")), ("misc_test_001", "domain", "low", ONE_OF("file", "test")),
+)
+MATCHED = f"""{DECLARED}, matched AS (SELECT diff_id, change_id, symbol, unnest(list_filter([{", ".join(f"CASE WHEN {cond} THEN {{'rule_id': '{i}', 'category': '{c}', 'severity': '{s}'}} END" for i, c, s, cond in BUILT_IN)}], lambda x: x IS NOT NULL), recursive := true) FROM found)"""
+# Symbols of an exported line: the first pattern of the file's ending, in the line without white space in front.
+SHAPES = {
+    "rs": ((r"fn\s+(\w+)", "fn"), (r"struct\s+(\w+)", "struct"), (r"enum\s+(\w+)", "enum"), (r"trait\s+(\w+)", "trait"), (r"impl\s+(?:<[^>]+>)?\s*(\w+)", "impl"), (r"const\s+(\w+)", "const"), (r"type\s+(\w+)", "type"), (r"^mod\s+(\w+)", "module")),
+    "py": ((r"def\s+(\w+)\s*\(", "fn"), (r"class\s+(\w+)", "class"), (r"@(\w+)", "method"), (r"^([A-Z][A-Z0-9_]+)\s*=", "const")),
+    "ts": ((r"function\s+(\w+)\s*\(", "fn"), (r"const\s+(\w+)\s*=\s*(?:\([^)]*\)|[\w]+)\s*=>", "=>"), (r"class\s+(\w+)", "class"), (r"interface\s+(\w+)", "interface"), (r"type\s+(\w+)\s*=", "type"), (r"export\s+const\s+(\w+)", "const")),
+    "go": ((r"func\s+(\w+)\s*\(", "fn"), (r"type\s+(\w+)\s+struct", "struct"), (r"type\s+(\w+)\s+interface", "interface"), (r"type\s+(\w+)\s+[^=\s]", "type"), (r"var\s+(\w+)", "const"), (r"const\s+(\w+)", "const")),
+    "": ((r"function\s+(\w+)", "fn"), (r"fn\s+(\w+)", "fn"), (r"def\s+(\w+)", "fn"), (r"class\s+(\w+)", "class")),
+}
+SHAPED = "CASE " + " ".join((f"WHEN file LIKE '%.{end}' THEN " if end else "ELSE ") + "CASE " + " ".join(f"WHEN regexp_matches(c, '{p}') THEN {{'name': regexp_extract(c, '{p}', 1), 'kind': '{k}'}}" for p, k in shapes) + " END" for end, shapes in SHAPES.items()) + " END"
+ORACLES |= {
+    "declared_changes": f"WITH {DECLARED} SELECT diff_id, change_id, file, language, line_start, change_type, symbol, confidence, content FROM found",
+    "declared_rules": f"WITH {MATCHED} SELECT diff_id, change_id, symbol, rule_id, category, severity FROM matched",
+    "declared_status": f"""WITH {MATCHED}, c AS (SELECT diff_id, change_id, string_agg(DISTINCT category, ',' ORDER BY category) AS categories FROM matched GROUP BY ALL)
+      SELECT diff_id, change_id, symbol AS name, CASE WHEN change_type LIKE '%_added' THEN 'added' WHEN change_type LIKE '%_removed' THEN 'removed' ELSE 'modified' END AS status, coalesce(categories, '') AS categories FROM found LEFT JOIN c USING (diff_id, change_id)""",
+    "breaking_changes": f"WITH {DECLARED} SELECT change_type, language, count(*) AS n FROM found WHERE change_type IN ('function_removed', 'http_route_removed', 'constant_removed') GROUP BY ALL",
+    "declared_exports": f"""WITH {hunks(G.DECLARED_LINES, G.DECLARED_PATH)}, t AS (SELECT *, regexp_replace(content, '^\\s+', '') AS c FROM dl WHERE line_kind <> 'ctx'), x AS (SELECT *, {SHAPED} AS s FROM t)
+      SELECT diff_id, file, {FROM_PATH} AS module, s.name AS name, s.kind AS kind, CASE line_kind WHEN 'add' THEN 'added' ELSE 'removed' END AS action, CAST(new_start + line_idx + 1 AS BIGINT) AS line FROM x WHERE s IS NOT NULL""",
+}

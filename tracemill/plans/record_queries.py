@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..functions import jsontext
-from ..operators import behaviour, dashboard, evidence, prefix, reach, states
+from ..operators import behaviour, dashboard, diffs, evidence, export, prefix, reach, rules, states
 from ..sources import generated, logs, reports, versioned, views
 from ..sources.scratch import new_path
 from ..streaming import segments
@@ -181,3 +181,40 @@ def skill_reports(spark, sf_dir):
     """Reports on the runs of all graphs."""
     r = reports.run_reports(skill_run(spark, sf_dir))
     return r.select("graph", "risk", *(F.md5(F.col(c).cast("binary")).alias(c) for c in ("markdown", "html", "json")))
+
+
+def declared(spark, sf_dir):
+    """A diff an order whose lines declare something in one of the languages, with tabs, comments and repeats."""
+    return generated.diffs(spark, sf_dir, generated.DECLARED_LINES, generated.DECLARED_PATH)
+
+
+def declared_raw(spark, sf_dir):
+    return diffs.raw_changes(diffs.lines(declared(spark, sf_dir)))
+
+
+@query
+def declared_changes(spark, sf_dir):
+    return declared_raw(spark, sf_dir)
+
+
+@query
+def declared_rules(spark, sf_dir):
+    return rules.matches(declared_raw(spark, sf_dir)).select("diff_id", "change_id", "symbol", "rule_id", "category", "severity")
+
+
+@query
+def declared_status(spark, sf_dir):
+    c = declared_raw(spark, sf_dir)
+    return rules.capabilities(c, rules.matches(c)).withColumn("categories", F.array_join("categories", ","))
+
+
+@query
+def breaking_changes(spark, sf_dir):
+    """Changes that break callers, by kind and language."""
+    c = declared_raw(spark, sf_dir).where(diffs.is_breaking(F.col("change_type")))
+    return c.groupBy("change_type", "language").agg(F.count("*").alias("n"))
+
+
+@query
+def declared_exports(spark, sf_dir):
+    return export.symbols(declared(spark, sf_dir))
