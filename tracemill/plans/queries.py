@@ -408,16 +408,19 @@ def flow_trace(spark, sf_dir):
     return graph.flows(edges.withColumn("seq", F.col("dep")), edges.select("graph", F.col("node").alias("entry")).distinct())
 
 
+def cohorts(spark, sf_dir):
+    """Vectors in cohorts of forty neighbouring traces, a clustering run each: as many runs as the traces need."""
+    return vectors_of(spark, sf_dir).withColumn("cohort", F.expr("trace_id div 40"))
+
+
 @query
 def dbscan_labels(spark, sf_dir):
-    v = vectors_of(spark, sf_dir).withColumn("capability", views.capability_of(F.col("trace_id")))
-    return similarity.clusters(v, "capability")
+    return similarity.clusters(cohorts(spark, sf_dir), "cohort", eps=0.001)
 
 
 @query
 def similarity_groups(spark, sf_dir):
-    v = vectors_of(spark, sf_dir).withColumn("capability", views.capability_of(F.col("trace_id")))
-    return similarity.similarity_groups(v, "capability")
+    return similarity.similarity_groups(cohorts(spark, sf_dir), "cohort", threshold=0.97)
 
 
 @query

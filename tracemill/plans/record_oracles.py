@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..sources import generated as G
 from .code_oracles import FROM_PATH, ORACLES, hunks
-from .oracles import CATEGORIES, DAG, GRAPH
+from .oracles import CALLS, CATEGORIES, DAG, FULL, GRAPH, MATCH, RUNS, TRACES, pairs
 
 LOST = "lost AS (SELECT graph, node FROM edges e WHERE NOT EXISTS (SELECT 1 FROM nodes n WHERE n.graph = e.graph AND n.node = e.dep) UNION SELECT e.graph, e.node FROM lost b JOIN edges e ON e.graph = b.graph AND e.dep = b.node)"
 WALK = "walk AS (SELECT graph, node, 0 AS layer FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.graph = n.graph AND e.node = n.node) UNION SELECT e.graph, e.node, w.layer + 1 FROM walk w JOIN edges e ON e.graph = w.graph AND e.dep = w.node WHERE w.layer < 20)"
@@ -153,3 +153,48 @@ ORACLES |= {
     "declared_exports": f"""WITH {hunks(G.DECLARED_LINES, G.DECLARED_PATH)}, t AS (SELECT *, regexp_replace(content, '^\\s+', '') AS c FROM dl WHERE line_kind <> 'ctx'), x AS (SELECT *, {SHAPED} AS s FROM t)
       SELECT diff_id, file, {FROM_PATH} AS module, s.name AS name, s.kind AS kind, CASE line_kind WHEN 'add' THEN 'added' ELSE 'removed' END AS action, CAST(new_start + line_idx + 1 AS BIGINT) AS line FROM x WHERE s IS NOT NULL""",
 }
+
+# Alignment of matched runs: rows of least costs, grown one call of A at a time, then the way back from the last calls of both.
+SIDE = lambda s: f"""l{s} AS (SELECT pair_id, match_id, list(tool_name ORDER BY idx) AS t{s}, list(tool_name || '|' || path ORDER BY idx) AS c{s}, min(idx) AS f{s} FROM placed JOIN tp USING (pair_id) JOIN runs r ON r.trace_id = trace_{s} AND r.run_idx = run_{s}
+  JOIN calls c ON c.trace_id = r.trace_id AND c.idx BETWEEN first_idx AND last_idx WHERE kind = 'matched' GROUP BY ALL)"""
+LONE = lambda s, kind: f"""SELECT pair_id, match_id, row_number() OVER (PARTITION BY pair_id, match_id ORDER BY idx) - 1 AS position, tool_name, kind, {"idx" if s == "a" else "NULL"} AS index_a, {"idx" if s == "b" else "NULL"} AS index_b
+  FROM placed JOIN tp USING (pair_id) JOIN runs r ON r.trace_id = trace_{s} AND r.run_idx = run_{s} JOIN calls c ON c.trace_id = r.trace_id AND c.idx BETWEEN first_idx AND last_idx WHERE kind = '{kind}'"""
+ALIGNED = f"""{CALLS},{RUNS},{MATCH}, placed AS (SELECT pair_id, CAST(row_number() OVER (PARTITION BY pair_id ORDER BY coalesce(run_b, run_a), run_b IS NULL, run_a NULLS FIRST, label) - 1 AS INTEGER) AS match_id, label, kind, run_a, run_b FROM matched),
+{SIDE("a")}, {SIDE("b")},
+dp AS (SELECT la.*, tb, cb, fb, 0::BIGINT AS i, [range(0, len(cb) + 1)] AS costs FROM la JOIN lb USING (pair_id, match_id)
+  UNION ALL SELECT * EXCLUDE (i, costs), i + 1, list_append(costs, list_reduce(list_transform(range(1, len(cb) + 1), lambda j: [j]), lambda row, j: list_append(row, least(costs[i + 1][j[1] + 1] + 1, row[j[1]] + 1, costs[i + 1][j[1]] + CASE WHEN ca[i + 1] = cb[j[1]] THEN 0 ELSE 1 END)), [i + 1])) FROM dp WHERE i < len(ca)),
+back AS (SELECT pair_id, match_id, ta, ca, fa, tb, cb, fb, costs, 0 AS step, len(ca) AS i, len(cb) AS j, NULL::VARCHAR AS kind FROM dp WHERE i = len(ca)
+  UNION ALL SELECT * EXCLUDE (step, i, j, kind, move), step + 1, CASE WHEN move IN ('unchanged', 'args_changed', 'deleted') THEN i - 1 ELSE i END, CASE WHEN move = 'deleted' THEN j ELSE j - 1 END, move FROM (SELECT *, CASE WHEN i > 0 AND j > 0 AND ca[i] = cb[j] THEN 'unchanged' WHEN i > 0 AND j > 0 AND ta[i] = tb[j] THEN 'args_changed'
+    WHEN j > 0 AND (i = 0 OR costs[i + 1][j] <= costs[i][j + 1]) THEN 'added' ELSE 'deleted' END AS move FROM back WHERE i > 0 OR j > 0)),
+aligned AS (SELECT pair_id, match_id, row_number() OVER (PARTITION BY pair_id, match_id ORDER BY step DESC) - 1 AS position, CASE kind WHEN 'deleted' THEN ta[i + 1] ELSE tb[j + 1] END AS tool_name, kind, CASE WHEN kind <> 'added' THEN fa + i END AS index_a, CASE WHEN kind <> 'deleted' THEN fb + j END AS index_b FROM back WHERE kind IS NOT NULL
+  UNION ALL {LONE("a", "deleted")} UNION ALL {LONE("b", "added")}),
+segs AS (SELECT pair_id, match_id, label, CASE WHEN kind <> 'matched' THEN kind WHEN EXISTS (SELECT 1 FROM aligned d WHERE d.pair_id = p.pair_id AND d.match_id = p.match_id AND d.kind <> 'unchanged') THEN 'modified' ELSE 'unchanged' END AS kind FROM placed p)"""
+SUMMED = f"""{ALIGNED},{TRACES}, s AS (SELECT pair_id, {", ".join(f"count(*) FILTER (kind = '{k}') AS segments_{k}" for k in ("unchanged", "modified", "added", "deleted"))} FROM segs GROUP BY ALL),
+d AS (SELECT pair_id, {", ".join(f"count(*) FILTER (kind = '{k}') AS calls_{n}" for k, n in (("unchanged", "unchanged"), ("args_changed", "modified"), ("added", "added"), ("deleted", "deleted")))} FROM aligned GROUP BY ALL),
+summed AS (SELECT tp.pair_id, trace_a, trace_b, {", ".join(f"{s}.{c} AS {c}_{s}" for s in "ab" for c in ("tokens", "duration_ms", "n_calls"))}, s.* EXCLUDE (pair_id), d.* EXCLUDE (pair_id), b.tokens - a.tokens AS token_delta, b.duration_ms - a.duration_ms AS duration_delta_ms
+  FROM tp JOIN traces a ON a.trace_id = trace_a JOIN traces b ON b.trace_id = trace_b JOIN s USING (pair_id) JOIN d USING (pair_id))"""
+ORACLES |= {
+    "tool_align": f"WITH RECURSIVE {ALIGNED} SELECT pair_id, match_id, position::INTEGER AS position, tool_name, kind, index_a, index_b FROM aligned",
+    "diff_summary": f"WITH RECURSIVE {SUMMED} SELECT * FROM summed",
+    "trajectory_analysis": f"""WITH RECURSIVE {SUMMED} SELECT pair_id, round((calls_added + calls_deleted) / (n_calls_a + n_calls_b), 6) AS tool_churn, round(calls_modified / (n_calls_a + n_calls_b), 6) AS capability_shift,
+      round((segments_added + segments_deleted) / (segments_unchanged + segments_modified + segments_added + segments_deleted), 6) AS phase_reorder FROM summed""",
+    "phase_changes": f"""WITH RECURSIVE {ALIGNED} SELECT pair_id, match_id, g.label, g.kind, count(*) FILTER (d.kind <> 'added') AS calls_before, count(*) FILTER (d.kind <> 'deleted') AS calls_after,
+      coalesce(string_agg(tool_name, ',' ORDER BY position) FILTER (d.kind = 'added'), '') AS added_tools, coalesce(string_agg(tool_name, ',' ORDER BY position) FILTER (d.kind = 'deleted'), '') AS deleted_tools
+      FROM aligned d JOIN segs g USING (pair_id, match_id) WHERE g.kind <> 'unchanged' GROUP BY ALL""",
+}
+
+NEAR = f"""{FULL}, {pairs("vecs", "trace_id").strip()}, member AS (SELECT trace_id, trace_id // 40 AS cohort FROM vecs),
+sides AS (SELECT a, b, similarity FROM pairs UNION ALL SELECT b, a, similarity FROM pairs), alike AS (SELECT m.cohort, a, b, similarity FROM sides JOIN member m ON m.trace_id = a JOIN member o ON o.trace_id = b AND o.cohort = m.cohort)"""
+ORACLES |= {
+    # Clusters of core points are numbered by their least member; a border point goes to the first cluster with a core point near it.
+    "dbscan_labels": f"""WITH RECURSIVE {NEAR}, near AS (SELECT * FROM alike WHERE 1 - similarity <= 0.001), core AS (SELECT cohort, a AS id FROM near GROUP BY ALL HAVING count(*) >= 2),
+      grown AS (SELECT cohort, id AS seed, id FROM core UNION SELECT g.cohort, g.seed, n.b FROM grown g JOIN near n ON n.cohort = g.cohort AND n.a = g.id JOIN core c ON c.id = n.b), least AS (SELECT cohort, id, min(seed) AS seed FROM grown GROUP BY ALL),
+      ranked AS (SELECT *, dense_rank() OVER (PARTITION BY cohort ORDER BY seed) AS label FROM least), border AS (SELECT n.b AS id, min(label) AS label FROM near n JOIN ranked k ON k.id = n.a GROUP BY ALL)
+      SELECT member.cohort, trace_id, CAST(coalesce(k.label, b.label, -1) AS INTEGER) AS label FROM member LEFT JOIN ranked k ON k.id = trace_id LEFT JOIN border b ON b.id = trace_id""",
+    # A vector joins the first set of whose members it resembles all, one vector after the other.
+    "similarity_groups": f"""WITH RECURSIVE {NEAR}, near AS (SELECT cohort, m.trace_id AS id, row_number() OVER (PARTITION BY cohort ORDER BY m.trace_id) AS k, coalesce((SELECT list(b) FROM alike x WHERE x.a = m.trace_id AND similarity >= 0.97), []) AS l FROM member m),
+      walk AS (SELECT DISTINCT cohort, 0::BIGINT AS k, []::BIGINT[][] AS sets, NULL::BIGINT AS id, NULL::BIGINT AS set_id FROM member
+        UNION ALL SELECT cohort, k, CASE WHEN place IS NULL THEN list_append(sets, [id]) ELSE list_transform(sets, lambda s, q: CASE WHEN q = place THEN list_append(s, id) ELSE s END) END, id, coalesce(place - 1, len(sets))
+          FROM (SELECT w.cohort, n.k, w.sets, n.id, list_filter(range(1, len(w.sets) + 1), lambda q: list_has_all(n.l, w.sets[q]))[1] AS place FROM walk w JOIN near n ON n.cohort = w.cohort AND n.k = w.k + 1))
+      SELECT cohort, id AS trace_id, set_id FROM walk WHERE id IS NOT NULL""",
+}
