@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tracemill.functions import jsontext
 from tracemill.operators import dashboard, evidence
-from tracemill.sources import reports, versioned
+from tracemill.sources import reports, store, versioned
 
 
 def table(spark, path):
@@ -188,3 +188,36 @@ def test_mermaid_draws_the_strongest_edges(spark):
     e = spark.createDataFrame([("p", "a", "b", 0.5), ("p", "a", "c", 0.25), ("p", "b", "c", 0.75), ("q", "x", "y", 1.0)], "project string, a string, b string, w double")
     out = {r.project: r.mermaid for r in reports.mermaid(e, "project", "a", "b", "w", most=2).collect()}
     assert out == {"p": "graph LR\n  b -- 0.75 --> c\n  a -- 0.5 --> b", "q": "graph LR\n  x -- 1.0 --> y"}
+
+
+def test_lines_go_to_files_that_end_by_size(spark, tmp_path):
+    path = f"{tmp_path}/log"
+    batch = lambda days, n, start: spark.createDataFrame([(f"{d} 00:{k // 60:02}:{k % 60:02}", start + k, "x" * (k % 40)) for d in days for k in range(n)], "started_at string, id int, text string").withColumn("started_at", F.to_timestamp("started_at"))
+    first, second = batch(["2024-01-01", "2024-01-02"], 60, 0), batch(["2024-01-02", "2024-01-03"], 30, 100)
+    store.append_lines(first, path, most_bytes=1000)
+    store.append_lines(second, path, most_bytes=1000)
+    files = {}
+    for folder, _, names in os.walk(path):
+        for n in names:
+            if n.endswith(".txt"):
+                day, no = (x.split("=")[1] for x in folder.split("/")[-2:])
+                assert (day, int(no)) not in files
+                files[day, int(no)] = open(f"{folder}/{n}").read().splitlines()
+    assert all(sum(len(x) + 1 for x in lines[:-1]) < 1100 for lines in files.values())
+    for day, count in (("2024-01-01", 60), ("2024-01-02", 90), ("2024-01-03", 30)):
+        numbers = sorted(n for d, n in files if d == day)
+        assert numbers == list(range(1, len(numbers) + 1)) and sum(len(files[day, n]) for n in numbers) == count and len(numbers) > 1
+        ids = [[json.loads(x)["id"] for x in files[day, n]] for n in numbers]
+        assert all(max(a) < min(b) for a, b in zip(ids, ids[1:]))
+    with pytest.raises(ValueError):
+        store.append_lines(first, path, most_bytes=10, most_files=20)
+    assert len(spark.read.text(path).collect()) == 180
+
+
+def test_export_summary_counts_lines_of_the_text(spark):
+    from tracemill.operators import export
+
+    text = "--- a/src/x/a.rs\n+++ b/src/x/b.rs\n@@ -1 +1 @@\n+one\n-two\n++ three\n+++ b/crates/k/c.rs\n--- no header\n same"
+    got = {r.diff_id: tuple(r)[1:] for r in export.summary(spark.createDataFrame([(1, text), (2, " \n\t"), (3, None), (4, "+++ b/README")], "diff_id int, diff string")).collect()}
+    assert got[1] == (["crates/k/c.rs", "src/x/a.rs", "src/x/b.rs"], 2, 1, len(text), ["crates/k", "src/x"])
+    assert got[2] == got[3] == ([], 0, 0, 0, []) and got[4] == (["README"], 0, 0, 12, ["."])

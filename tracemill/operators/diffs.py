@@ -121,8 +121,13 @@ def file_tree(files: DataFrame) -> DataFrame:
     return n.select(node(F.col("depth") + 1).alias("node"), F.when(F.col("depth") == 0, "").otherwise(node(F.greatest("depth", F.lit(1)))).alias("parent"), "depth", (F.size("p") == F.col("depth") + 1).alias("is_file")).groupBy("node", "parent", "depth").agg(F.max("is_file").alias("is_file"))
 
 
+# Parts of names that are no behaviour, in order, and what they are for.
+REASONS = (("log", "logging"), ("metric", "metrics"), ("trace", "tracing"), ("cache", "cache"), ("format", "formatting"), ("debug", "internal"))
+
+
 def behaviour_boundaries(diffs: DataFrame) -> DataFrame:
-    """Last token of each hunk header, and whether it is behaviour rather than logging and the like."""
+    """Last token of each hunk header, its module (what stands before its first dot), and whether it is behaviour; if not, why."""
     h = diffs.select("diff_id", F.posexplode(F.split("diff", r"\r?\n")).alias("at", "line")).where(F.col("line").startswith("@@"))
-    name = F.element_at(F.split(X.stripped(F.col("line")), r"\s+"), -1)
-    return h.select("diff_id", "at", name.alias("name"), (~F.lower(name).rlike("log|metric|trace|format|cache|debug")).alias("behavioural"))
+    h = h.withColumn("name", F.element_at(F.split(X.stripped(F.col("line")), r"\s+"), -1))
+    reason = X.case(*((F.col("name").contains(part), why) for part, why in REASONS), otherwise=F.lit(None).cast("string"))
+    return h.select("diff_id", "at", "name", F.substring_index("name", ".", 1).alias("module"), reason.isNull().alias("behavioural"), reason.alias("reason"))

@@ -120,3 +120,15 @@ def degradations(evals: DataFrame) -> DataFrame:
     verdict = X.case((some("critical"), "Degraded"), (some("high", "medium"), "Watch"), otherwise="Pass")
     rules = F.concat_ws(",", *(F.when(c, rule) for rule, (_, c) in hit.items()))
     return e.select("task_id", "from_eval", F.col("eval_id").alias("to_eval"), rules.alias("rules"), verdict.alias("verdict"))
+
+
+def recommendations(rolled: DataFrame) -> DataFrame:
+    """rolled: as of rollup(), by task_id. A line of advice each: what to do next, by outcome."""
+    partial = F.concat(F.col("n_passed").cast("string"), F.lit("/"), F.col("n").cast("string"), F.lit(" graders passed. Focus on the failing graders."))
+    # Advice by outcome.
+    advice = X.case(
+        (F.col("outcome") == "Fail", F.array(F.lit("All graders failed. Review the code for syntax errors or breaking changes."), F.lit("Evaluate again after fixing build/test/lint failures."))),
+        (F.col("outcome") == "Partial", F.array(partial, F.lit("Review grader details for specific error messages."))),
+        otherwise=F.array(F.lit("All automated checks passed. Review LLM rubric scores for quality insights.")),
+    )
+    return rolled.select("task_id", "outcome", F.posexplode(advice).alias("position", "advice"))

@@ -115,7 +115,7 @@ ORACLES |= {
     "file_tree": f"""WITH {FILES}, p AS (SELECT DISTINCT string_split(file, '/') AS p FROM files JOIN (SELECT DISTINCT l_orderkey AS diff_id FROM lineitem) USING (diff_id)), n AS (SELECT p, unnest(range(len(p))) AS depth FROM p)
       SELECT array_to_string(p[1:depth + 1], '/') AS node, CASE WHEN depth = 0 THEN '' ELSE array_to_string(p[1:depth], '/') END AS parent, depth, bool_or(len(p) = depth + 1) AS is_file FROM n GROUP BY ALL""",
     "behaviour_boundaries": f"""WITH {FILES}, h AS (SELECT l_orderkey AS diff_id, CASE WHEN l_linenumber <= 4 THEN 0 ELSE 1 END AS k, count(*) AS n FROM lineitem GROUP BY ALL), first AS (SELECT diff_id, n FROM h WHERE k = 0)
-      SELECT diff_id, CAST(CASE change WHEN 'modified' THEN 3 WHEN 'renamed' THEN 5 ELSE 4 END + CASE WHEN k = 1 AND first.n IS NOT NULL THEN 1 + first.n ELSE 0 END AS INTEGER) AS "at", name, NOT contains(name, 'log') AS behavioural FROM h JOIN files USING (diff_id) LEFT JOIN first USING (diff_id)""",
+      SELECT diff_id, CAST(CASE change WHEN 'modified' THEN 3 WHEN 'renamed' THEN 5 ELSE 4 END + CASE WHEN k = 1 AND first.n IS NOT NULL THEN 1 + first.n ELSE 0 END AS INTEGER) AS "at", name, split_part(name, '.', 1) AS module, name IN ('serve', 'parseIt', 'api.Log_it') AS behavioural, CASE name WHEN 'log_metrics' THEN 'logging' WHEN 'x.y.trace_format' THEN 'tracing' WHEN 'fmt.reformat' THEN 'formatting' WHEN 'lru_cache' THEN 'cache' WHEN 'debug.on' THEN 'internal' END AS reason FROM h JOIN files USING (diff_id) LEFT JOIN first USING (diff_id)""",
     "log_completions": f"""WITH {TURNS} SELECT conv AS source, 'c' || conv || '-' || turn AS session_id, md5(text) AS digest, strftime(make_timestamp((1700000000 + conv * 60 + turn) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS started_at, length(text)::BIGINT AS tokens_in, 1 AS n_calls,
       CASE WHEN turn % 2 = 0 THEN 'read' ELSE 'edit' END AS tool, CASE WHEN turn % 3 <> 0 THEN 'src/f' || turn || '.rs' END AS path FROM turns""",
     "log_import_stats": f"WITH {TURNS} SELECT count(*) AS imported, count(DISTINCT CASE WHEN conv % 10 = 0 THEN conv END) AS skipped FROM turns",

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from ..sources import generated as G
 from .code_oracles import FROM_PATH, ORACLES, hunks
-from .oracles import CALLS, CATEGORIES, DAG, FULL, GRAPH, MATCH, RUNS, TRACES, pairs
+from .code_oracles import RUNS as CODE_RUNS
+from .oracles import CALLS, CATEGORIES, COUPLING, DAG, FULL, GRAPH, MATCH, RUNS, TRACES, VECTOR, pairs
 
 LOST = "lost AS (SELECT graph, node FROM edges e WHERE NOT EXISTS (SELECT 1 FROM nodes n WHERE n.graph = e.graph AND n.node = e.dep) UNION SELECT e.graph, e.node FROM lost b JOIN edges e ON e.graph = b.graph AND e.dep = b.node)"
 WALK = "walk AS (SELECT graph, node, 0 AS layer FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.graph = n.graph AND e.node = n.node) UNION SELECT e.graph, e.node, w.layer + 1 FROM walk w JOIN edges e ON e.graph = w.graph AND e.dep = w.node WHERE w.layer < 20)"
@@ -198,3 +199,24 @@ ORACLES |= {
           FROM (SELECT w.cohort, n.k, w.sets, n.id, list_filter(range(1, len(w.sets) + 1), lambda q: list_has_all(n.l, w.sets[q]))[1] AS place FROM walk w JOIN near n ON n.cohort = w.cohort AND n.k = w.k + 1))
       SELECT cohort, id AS trace_id, set_id FROM walk WHERE id IS NOT NULL""",
 }
+
+CHANGED = f"""{hunks(G.DECLARED_LINES, G.DECLARED_PATH)}, per AS (SELECT diff_id, any_value(file) AS file, any_value(change) AS change, count(*) FILTER (line_kind = 'add' AND NOT starts_with(content, '++')) AS additions, count(*) FILTER (line_kind = 'del' AND NOT starts_with(content, '--')) AS deletions FROM dl GROUP BY diff_id)"""
+GROUPED = "CASE WHEN f LIKE 'src/%' OR f LIKE 'crates/%' THEN split_part(f, '/', 1) || '/' || split_part(f, '/', 2) ELSE '.' END"
+ORACLES |= {
+    "export_summary": f"""WITH {CHANGED}, f AS (SELECT *, list_sort(list_distinct(CASE change WHEN 'added' THEN [file] WHEN 'deleted' THEN [file] ELSE [file, 'old.txt'] END)) AS files FROM per), h AS (SELECT diff_id, hunk_idx, old_start, new_start, sum(strlen(content) + 2) AS body FROM dl GROUP BY ALL), t AS (SELECT h.diff_id, sum(strlen('@@ -' || old_start || ',9 +' || new_start || ' @@ ' || name) + body)::BIGINT
+        + any_value(strlen('diff --git a/old.txt b/' || h2.file || chr(10) || CASE h2.change WHEN 'added' THEN 'new file mode 100644' || chr(10) WHEN 'deleted' THEN 'deleted file mode 100644' || chr(10) WHEN 'renamed' THEN 'rename from old.txt' || chr(10) || 'rename to ' || h2.file || chr(10) ELSE '' END || '--- ' || CASE h2.change WHEN 'added' THEN '/dev/null' WHEN 'deleted' THEN 'a/' || h2.file ELSE 'a/old.txt' END || chr(10) || '+++ ' || CASE h2.change WHEN 'deleted' THEN '/dev/null' ELSE 'b/' || h2.file END)) + count(*) AS n FROM h JOIN files h2 USING (diff_id) GROUP BY h.diff_id)
+      SELECT diff_id, array_to_string(files, ',') AS files, array_to_string(list_sort(list_distinct(list_transform(files, lambda f: {GROUPED}))), ',') AS modules, additions, deletions, n::INTEGER AS diff_length FROM f JOIN t USING (diff_id)""",
+    "module_symbols": f"""WITH {hunks(G.DECLARED_LINES, G.DECLARED_PATH)}, t AS (SELECT *, regexp_replace(content, '^\\s+', '') AS c FROM dl WHERE line_kind <> 'ctx'), x AS (SELECT *, {SHAPED} AS s FROM t),
+      e AS (SELECT o_custkey AS diff_id, split_part({FROM_PATH}, '/', 1) AS module, file, s.name AS name, CASE line_kind WHEN 'add' THEN 'added' ELSE 'removed' END AS action, new_start + line_idx + 1 AS line FROM x JOIN orders ON o_orderkey = diff_id WHERE s IS NOT NULL),
+      k AS (SELECT *, row_number() OVER (PARTITION BY diff_id, module ORDER BY action, file, line, name) AS k FROM e)
+      SELECT diff_id, module, count(*) FILTER (action = 'added') AS n_added, count(*) FILTER (action = 'removed') AS n_removed, string_agg(name, ',' ORDER BY k) FILTER (k <= 5) AS symbols FROM k GROUP BY ALL""",
+    "top_side_effects": "WITH e AS (SELECT 'writes ' || o_orderpriority AS side_effect FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT 'sends ' || o_orderstatus FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT 'logs' FROM orders WHERE o_orderkey % 7 = 0) SELECT side_effect, count(*) AS n FROM e GROUP BY ALL ORDER BY n DESC, side_effect LIMIT 3",
+    "vector_diff": f"WITH {FULL},{pairs('vecs', 'trace_id')} SELECT p.a, p.b, {', '.join(f'round(p.{c}, 5) AS {c}' for c in ('similarity', 'entropy', 'structural', 'temporal', 'density'))}, {', '.join(f'round(x.{c} - y.{c}, 5) AS d_{c}' for c in VECTOR)} FROM pairs p JOIN vecs x ON x.trace_id = p.a JOIN vecs y ON y.trace_id = p.b WHERE p.b = p.a + 1",
+    "coupling_over": f"WITH {COUPLING} SELECT cap_a, cap_b, round(correlation, 6) AS correlation FROM ce WHERE correlation >= 0.3",
+    "suite_risk": f"WITH {CODE_RUNS} SELECT suite, CASE WHEN count(*) FILTER (status IN ('Failed', 'TimedOut')) > 0 THEN 'high' WHEN count(*) FILTER (status = 'Skipped') > 0 THEN 'medium' ELSE 'low' END AS risk FROM runs GROUP BY ALL",
+    "eval_recommendations": """WITH n AS (SELECT l_orderkey AS task_id, count(*) AS n, count(*) FILTER (l_returnflag <> 'R') AS ok FROM lineitem GROUP BY ALL), o AS (SELECT *, CASE WHEN ok = n THEN 'Pass' WHEN ok > 0 THEN 'Partial' ELSE 'Fail' END AS outcome FROM n),
+      a AS (SELECT task_id, outcome, CASE outcome WHEN 'Fail' THEN ['All graders failed. Review the code for syntax errors or breaking changes.', 'Evaluate again after fixing build/test/lint failures.'] WHEN 'Partial' THEN [ok || '/' || n || ' graders passed. Focus on the failing graders.', 'Review grader details for specific error messages.'] ELSE ['All automated checks passed. Review LLM rubric scores for quality insights.'] END AS l FROM o)
+      SELECT task_id, outcome, CAST(k - 1 AS INTEGER) AS position, l[k] AS advice FROM (SELECT *, unnest(range(1, len(l) + 1)) AS k FROM a)""",
+    "turn_previews": "SELECT conv_id, turn, CASE WHEN length(text) > 80 THEN substring(text, 1, 80) || '...' ELSE text END AS preview FROM conversations",
+    "log_session_lines": """WITH t AS (SELECT conv_id AS source, role, coalesce(text, '') AS text FROM conversations) SELECT source, count(*) AS n, count(*) AS n_calls, sum(length(text))::BIGINT AS n_chars, CASE WHEN source % 5 = 0 THEN 1 ELSE 0 END::BIGINT AS n_bad FROM t WHERE role <> 'user' GROUP BY source""",
+}

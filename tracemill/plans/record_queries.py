@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..functions import jsontext
-from ..operators import behaviour, dashboard, diffs, evidence, export, prefix, reach, rules, states
+from ..operators import behaviour, code, coupling, dashboard, diffs, evidence, export, graph, history, prefix, reach, rules, similarity, states
 from ..sources import generated, logs, reports, versioned, views
 from ..sources.scratch import new_path
 from ..streaming import segments
-from .code_queries import QUERIES
-from .queries import DAY, graph_of, query, rounded
+from .code_queries import QUERIES, runs_of, turns
+from .queries import DAY, coupling_of, graph_of, query, rounded, vectors_of
 
 __all__ = ["QUERIES"]
 
@@ -218,3 +218,75 @@ def breaking_changes(spark, sf_dir):
 @query
 def declared_exports(spark, sf_dir):
     return export.symbols(declared(spark, sf_dir))
+
+
+@query
+def export_summary(spark, sf_dir):
+    """Files, line totals and modules of each diff."""
+    s = export.summary(declared(spark, sf_dir))
+    return s.select("diff_id", *(F.array_join(c, ",").alias(c) for c in ("files", "modules")), "additions", "deletions", "diff_length")
+
+
+@query
+def module_symbols(spark, sf_dir):
+    """The first symbols of each module of a customer's diffs."""
+    o = views.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("diff_id"), "o_custkey")
+    found = export.symbols(declared(spark, sf_dir)).join(o, "diff_id").withColumn("diff_id", F.col("o_custkey")).drop("o_custkey").withColumn("module", F.substring_index("module", "/", 1))
+    return export.module_symbols(found).withColumn("symbols", F.array_join("symbols", ","))
+
+
+@query
+def top_side_effects(spark, sf_dir):
+    """The most frequent side effects of flows: an order has up to three."""
+    o = views.table(spark, sf_dir, "orders")
+    effects = F.array_compact(F.array(F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("writes "), "o_orderpriority")), F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("sends "), F.col("o_orderstatus"))), F.when(F.col("o_orderkey") % 7 == 0, F.lit("logs"))))
+    return code.most_common(o.select(F.explode(effects).alias("side_effect")), "side_effect")
+
+
+@query
+def vector_diff(spark, sf_dir):
+    """Neighbouring traces' vectors: likeness, what contributes to it, and the change of each field."""
+    v = vectors_of(spark, sf_dir)
+    side = lambda s, shift: v.select(F.col("trace_id").alias(s), (F.col("trace_id") + shift).alias("k"), *(F.col(c).alias(f"{s}_{c}") for c in behaviour.VECTOR))
+    p = similarity.with_similarity(side("a", 0).join(side("b", -1), "k").drop("k"))
+    return rounded(similarity.differences(similarity.contributions(p)).select("a", "b", "similarity", "entropy", "structural", "temporal", "density", *(f"d_{c}" for c in behaviour.VECTOR)), 5)
+
+
+@query
+def coupling_over(spark, sf_dir):
+    """Couplings of at least 0.3."""
+    return rounded(coupling.threshold_prune(coupling_of(spark, sf_dir), 0.3).select("cap_a", "cap_b", "correlation"))
+
+
+@query
+def suite_risk(spark, sf_dir):
+    """Risk of each suite's run, by what failed or was skipped."""
+    n = code.degradation(runs_of(spark, sf_dir))
+    return n.select("suite", graph.run_risk(F.col("n_failed"), F.col("n_skipped")).alias("risk"))
+
+
+@query
+def eval_recommendations(spark, sf_dir):
+    li = views.table(spark, sf_dir, "lineitem")
+    return history.recommendations(history.rollup(li.select(F.col("l_orderkey").alias("task_id"), (F.col("l_returnflag") != "R").alias("passed"))))
+
+
+@query
+def turn_previews(spark, sf_dir):
+    """Texts cut to eighty characters, and whether they were longer."""
+    c = views.table(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", X.preview(F.col("text"), 80).alias("preview"))
+
+
+@query
+def log_session_lines(spark, sf_dir):
+    """A log a conversation with a message a line; user lines count for nothing, and every fifth log has a broken line."""
+    t = turns(spark, sf_dir)
+    block = lambda kind, text, name: F.struct(F.lit(kind).alias("type"), text.alias("text"), name.alias("name"))
+    blank = F.lit(None).cast("string")
+    line = F.to_json(F.struct(F.concat(F.lit("m"), F.col("conv").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("id"), F.when(F.col("role") == "user", "user").otherwise("assistant").alias("type"), F.array(block("text", F.col("text"), blank), block("tool_use", blank, F.lit("grep"))).alias("content")))
+    raw = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"]), "\n")
+    texts = t.groupBy(F.col("conv").alias("source")).agg(raw.alias("raw")).withColumn("raw", F.when(F.col("source") % 5 == 0, F.concat("raw", F.lit("\n{oops"))).otherwise(F.col("raw")))
+    good, bad = logs.session_lines(texts)
+    n_bad = bad.groupBy("source").agg(F.count("*").alias("n_bad"))
+    return good.groupBy("source").agg(F.count("*").alias("n"), F.sum(F.size("tool_calls")).alias("n_calls"), F.sum(F.length("final_output")).alias("n_chars")).join(n_bad, "source", "left").fillna(0, ["n_bad"])

@@ -37,7 +37,7 @@ HUNK_LINES = f"""SELECT l_orderkey AS diff_id, l_linenumber AS n, CASE WHEN l_li
   CASE l_suppkey % 3 WHEN 0 THEN 'pub fn ' || {SYMBOL} || '(x: u8) {{' WHEN 1 THEN '    let y = ' || CAST(l_suppkey AS STRING) || ';' ELSE '// pub fn gone() TODO' END AS content FROM lineitem"""
 CHANGES = "CASE o_orderkey % 4 WHEN 0 THEN 'modified' WHEN 1 THEN 'added' WHEN 2 THEN 'deleted' ELSE 'renamed' END"
 STARTS = ("CAST(o_custkey % 50 + 1 AS INT)", "CAST(o_custkey % 40 + 2 AS INT)")  # of the first hunk on the old and the new side; the second: 100 more
-NAME = "CASE o_orderkey % 3 WHEN 0 THEN 'log_metrics' WHEN 1 THEN 'serve' ELSE 'parseIt' END"
+NAME = "CASE o_orderkey % 8 WHEN 0 THEN 'log_metrics' WHEN 1 THEN 'serve' WHEN 2 THEN 'parseIt' WHEN 3 THEN 'api.Log_it' WHEN 4 THEN 'x.y.trace_format' WHEN 5 THEN 'fmt.reformat' WHEN 6 THEN 'lru_cache' ELSE 'debug.on' END"
 
 # Lines that declare something in some language, or nothing: ~ is a name in lower case, ^ one that begins with a capital, | a tab, ` a quote.
 DECLARATIONS = (

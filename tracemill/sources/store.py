@@ -7,6 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import prefix
+from .scratch import stash, unstash
+
 
 @dataclass(frozen=True)
 class TraceFilter:
@@ -86,7 +89,24 @@ def allocate_ids(rows: DataFrame, order: list[str], date_col: str = "started_at"
     return rows.withColumn("id", F.concat(F.lit("trace_"), day, F.lit("_"), F.format_string("%03d", n)))
 
 
-def render_mermaid(edges: DataFrame, a: str = "cap_a", b: str = "cap_b", w: str = "correlation") -> str:
-    """For a small table, such as the strongest couplings."""
-    rows = edges.select(a, b, F.round(w, 3).alias("w")).collect()
-    return "\n".join(["graph LR", *(f"  {r[0]} -- {r[2]} --> {r[1]}" for r in rows)])
+def append_lines(rows: DataFrame, path: str, date_col: str = "started_at", most_bytes: int = 100 << 20, most_files: int = 999) -> None:
+    """A JSON line a row, in folders by date and file number: a file ends with the row by which `most_bytes` have passed since the last end, counted
+    in order of time and line. Numbers go on after those that are there; more than `most_files` a date are an error, before anything is written."""
+    spark = rows.sparkSession
+    lines = stash(rows.select(F.date_format(date_col, "yyyy-MM-dd").alias("date"), F.col(date_col).alias("at"), F.to_json(F.struct(*rows.columns)).alias("value")), "lines")
+    there = spark.createDataFrame([], "date string, last bigint")
+    if not_empty(spark, path):
+        old = spark.read.option("basePath", path).text(path).select(F.col("date").cast("string").alias("date"), "file_no").distinct()
+        there = old.groupBy("date").agg(F.max("file_no").cast("bigint").alias("last"))
+    numbered = prefix.rolled(lines, ["at", "value"], F.octet_length("value") + 1, most_bytes, by=["date"])
+    out = stash(numbered.join(there, "date", "left").select("date", (F.col("file_no") + F.coalesce("last", F.lit(0))).alias("file_no"), "value"), "numbered")
+    if not out.where(F.col("file_no") > most_files).isEmpty():
+        raise ValueError(f"more than {most_files} files of a date")
+    out.repartition("date", "file_no").write.mode("append").partitionBy("date", "file_no").text(path)
+    unstash(lines, out)
+
+
+def not_empty(spark, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.exists(p) and len(fs.listStatus(p)) > 0
