@@ -68,3 +68,15 @@ def test_few_ids_are_open_at_the_end(docs, share):
     pieces += sum(map(len, p.flush()))
     assert p.placed == sizes.sum() and p.relaid < share * p.placed
     assert pieces < 1.4 * docs
+
+
+def test_workers_forget_what_other_operators_remember():
+    from tracemill.llm import runtime, text
+
+    runtime.enter("tracemill.llm.packing")
+    packing._loaded[PATH, 2]("some words")
+    text.word_hashes([b"a", b"b"])
+    runtime.enter("tracemill.llm.packing")
+    assert packing._loaded and text._hashes
+    runtime.enter("tracemill.llm.minhash")
+    assert not packing._loaded and not text._hashes

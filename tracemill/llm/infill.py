@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import giants
-from .runtime import ship
+from .runtime import enter, forgets, ship
 from .text import Memo
 
 BLOCK, STATES, STRETCH, BATCH, PAD = 128, 8, 1 << 16, 1 << 20, 255
@@ -236,6 +236,7 @@ class Cutter:
 
 
 _loaded = Memo(lambda key: Cutter(*key), 4)
+forgets(__name__, _loaded)
 FOUND = "struct<units bigint, marks bigint, low bigint, high bigint, low_at bigint, high_at bigint>"
 NAMES = [x.split()[0] for x in FOUND[7:-1].split(", ")]
 
@@ -251,6 +252,7 @@ def _numbers(a: pa.Array, b: pa.Array) -> np.ndarray:
 def cuts(key: tuple, text: Column, a: Column, b: Column) -> Column:
     @F.arrow_udf(FOUND)
     def found(texts: pa.Array, a: pa.Array, b: pa.Array) -> pa.Array:
+        enter(__name__)
         return _struct(_loaded[key].cut([t or b"" for t in texts.to_pylist()], _numbers(a, b)))
 
     return found(text, a, b)
@@ -259,6 +261,7 @@ def cuts(key: tuple, text: Column, a: Column, b: Column) -> Column:
 def giant_cuts(key: tuple, text: Column, sums: Column, a: Column, b: Column) -> Column:
     @F.arrow_udf(FOUND)
     def found(texts: pa.Array, sums: pa.Array, a: pa.Array, b: pa.Array) -> pa.Array:
+        enter(__name__)
         cutter, draws = _loaded[key], _numbers(a, b)
         return _struct(np.array([cutter.cut_giant(t.as_py(), s.as_py(), d) for t, s, d in zip(texts, sums, draws, strict=True)], np.int64))
 
@@ -268,6 +271,7 @@ def giant_cuts(key: tuple, text: Column, sums: Column, a: Column, b: Column) ->
 def chunk_sums(key: tuple, chunk: Column) -> Column:
     @F.arrow_udf("binary")
     def sums(chunks: pa.Array) -> pa.Array:
+        enter(__name__)
         return pa.array([_loaded[key].sums(c.as_py()) for c in chunks], pa.binary())
 
     return sums(chunk)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import map_batches
+from .runtime import forgets, map_batches
 from .text import Memo
 
 letters = re.compile(r"[^\W\d_]+").findall
@@ -222,6 +222,7 @@ class WordScores(dict):
 
 
 _scorers: dict[bytes, WordScores] = {}
+forgets(__name__, _vocabularies, _prefixes, _scorers)
 
 
 def predict(docs: DataFrame, vocab: str, langs: list[str], probs: np.ndarray, most: int = 700_000) -> DataFrame:

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .runtime import map_batches
+from .runtime import forgets, map_batches
 from .text import Memo
 
 ODD_SPACE = re.compile("[\x1c-\x1f]").search  # str.split() takes these for white space, the tokenizer doesn't
@@ -80,6 +80,7 @@ def byte_letters() -> dict[int, int]:
 
 
 _loaded = Memo(lambda key: WordTokens(*key), 8)
+forgets(__name__, _loaded)
 
 
 class SquaresPacker:

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .runtime import map_batches
+from .runtime import forgets, map_batches
 from .text import Memo
 
 SPACE = "▁"
@@ -115,6 +115,7 @@ class Pieces:
 
 
 _loaded = Memo(Pieces, 4)
+forgets(__name__, _loaded)
 
 
 def _fields(df: DataFrame) -> str:

@@ -2,34 +2,33 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
 from collections.abc import Callable, Iterable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.scratch import new_path, stash, unstash
+from ..sources.ship import ship
 
-_shipped: set[str] = set()
+_caches: list[tuple[str, Callable[[], None]]] = []
+_entered = ""
 
 
-def ship(spark: SparkSession) -> None:
-    """Give this package to the executors' Python once per application."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    root = Path(__file__).resolve().parents[1]
-    target = os.path.join(tempfile.mkdtemp(prefix="tracemill-"), "tracemill_pkg.zip")
-    with zipfile.ZipFile(target, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, str(p.relative_to(root.parent)))
-    spark.sparkContext.addPyFile(target)
-    _shipped.add(app)
+def forgets(module: str, *caches) -> None:
+    """A worker process drops these caches of a module when it starts with the operator of another module: processes outlive a query,
+    and what the operators of a pipeline remember would add up."""
+    _caches.extend((module, c.clear) for c in caches)
+
+
+def enter(module: str) -> None:
+    global _entered
+    if module != _entered:
+        for owner, clear in _caches:
+            if owner != module:
+                clear()
+        _entered = module
 
 
 def arrow_schema(ddl: T.StructType) -> pa.Schema:
@@ -42,9 +41,10 @@ def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterable[
     """mapInArrow where f yields dicts of columns; empty dicts are left out."""
     ship(df.sparkSession)
     struct = T._parse_datatype_string(schema)
-    arrow = arrow_schema(struct)
+    arrow, module = arrow_schema(struct), f.__module__
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter(module)
         for cols in f(batches):
             n = len(cols[arrow.names[0]])
             if n:
@@ -69,4 +69,4 @@ def attach(rows: DataFrame, table: DataFrame, keys: list[str], copies: str, tota
     return near.unionByName(far).unionByName(bare)
 
 
-__all__ = ["attach", "map_batches", "new_path", "ship", "stash", "unstash"]
+__all__ = ["attach", "enter", "forgets", "map_batches", "new_path", "ship", "stash", "unstash"]

@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from .runtime import forgets
+
 _K1, _K2, _K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -28,6 +30,7 @@ class Memo(dict):
 
 
 _hashes = Memo(xxhash.xxh3_64_intdigest)
+forgets(__name__, _hashes)
 
 
 def word_hashes(ws: list[bytes]) -> np.ndarray:

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import giants
-from .runtime import map_batches, ship
+from .runtime import enter, forgets, map_batches, ship
 from .text import Memo
 
 PIECE, BATCH, CALL, KEPT = 1 << 16, 1 << 20, 1 << 18, 64
@@ -168,6 +168,7 @@ def kind_of(spec: dict) -> str | None:
 
 
 _loaded = Memo(Lengths, 4)
+forgets(__name__, _loaded)
 
 
 def counted(text: Column, tokenizer: str) -> Column:
@@ -175,6 +176,7 @@ def counted(text: Column, tokenizer: str) -> Column:
 
     @F.arrow_udf("bigint")
     def n_tokens(texts: pa.Array) -> pa.Array:
+        enter(__name__)
         return pa.array(_loaded[tokenizer](texts.to_pylist()), pa.int64())
 
     return n_tokens(text)
