@@ -98,3 +98,11 @@ def test_components_of_chains_stars_and_loops(spark):
     for r in got:
         groups.setdefault(r.root, set()).add(r.id)
     assert sorted(map(len, groups.values())) == [3, 100, 201] and all(k in v for k, v in groups.items())
+
+
+def test_without_drops_the_ids_and_nothing_else(spark):
+    docs = spark.range(5000).selectExpr("id * 7 AS doc_id", "concat('text ', id) AS text", "id AS n_chars").repartition(3)
+    gone = spark.range(900).selectExpr("id * 21 AS doc_id")
+    left = {r.doc_id: r.text for r in minhash.without(docs, gone).collect()}
+    assert left == {7 * k: f"text {k}" for k in range(5000) if k % 3 or k >= 2700}
+    assert minhash.without(docs, gone.limit(0)).count() == 5000 and minhash.without(docs, docs.select("doc_id")).count() == 0

@@ -301,12 +301,25 @@ def near_documents(docs: DataFrame, words: int = 5, percent: int = 80, positions
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows whose doc_id is in gone (doc_id, no nulls). A bitmap of these ids passes most other rows where they are; only the
+    rows that it holds meet the ids in a shuffle, with their texts."""
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap.build(gone, "doc_id"))
+
+    @F.arrow_udf("boolean")
+    def held(ids: pa.Array) -> pa.Array:
+        return pa.array(bitmap.holds(shared.value, ids.to_numpy(zero_copy_only=False).astype(np.int64)), pa.bool_())
+
+    doubt = held(F.col("doc_id").cast("bigint"))
+    met = docs.where(doubt).join(gone.withColumnRenamed("doc_id", "_gone"), F.col("doc_id") == F.col("_gone"), "left_anti")
+    return docs.where(~doubt).unionByName(met)
+
+
 def keep_first(docs: DataFrame, **options) -> DataFrame:
     """One row of docs for each group of texts: that of the smallest id (null is largest); of rows with equal ids any one, all
     columns from it. Rows without words stay, as they link with nothing."""
     if docs.groupBy("doc_id").agg(F.count("*").alias("times")).where("doc_id is null or times > 1").isEmpty():
-        kept = near_documents(docs.select("doc_id", "text"), **options).where("kept")
-        return docs.join(kept.select(F.col("doc_id").alias("_id")), F.col("doc_id") == F.col("_id"), "left_semi")
+        return without(docs, near_documents(docs.select("doc_id", "text"), **options).where("not kept").select("doc_id"))
     numbered = stash(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
     found = near_documents(numbered.select(F.col("_row").alias("doc_id"), "text"), **options).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group"))
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row")
