@@ -2,6 +2,7 @@ import re
 from html.parser import HTMLParser
 
 import numpy as np
+import pytest
 
 from tracemill.llm import html
 
@@ -69,7 +70,7 @@ class Plain(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack, self.found, self.now, self.raw, self.link = [], [], [], None, False
+        self.stack, self.found, self.now, self.raw, self.link, self.opened = [], [], [], None, False, 0
 
     def cut(self):
         text = " ".join("".join(t for t, _ in self.now).split())
@@ -92,7 +93,8 @@ class Plain(HTMLParser):
             self.cut()
             while self.stack and (self.stack[-1][0] == "p" or self.stack[-1][0] == tag == "li"):
                 self.stack.pop()
-            self.stack.append((tag, dict(attrs)))
+            self.opened += 1
+            self.stack.append((tag, dict(attrs), self.opened))
 
     def handle_endtag(self, tag):
         if self.raw:
@@ -101,7 +103,7 @@ class Plain(HTMLParser):
             self.link = False
         elif tag not in ("b", "br", "meta"):
             self.cut()
-            at = [k for k, (t, _) in enumerate(self.stack) if t == tag]
+            at = [k for k, (t, _, _) in enumerate(self.stack) if t == tag]
             if at:
                 del self.stack[at[-1] :]
 
@@ -116,16 +118,26 @@ def plain_text(page):
     p.feed(page)
     p.close()
     p.cut()
-    rows = []
+    rows, forms, total, articles = [], {}, 0, 0
     for text, linked, stack in p.found:
-        bad = any(t in ("nav", "footer", "aside", "form", "head") or a.get("class") in ("ad", "comments", "sidebar") or (t == "header" and "article" not in [x for x, _ in stack[:k]]) for k, (t, a) in enumerate(stack))
-        article = any(t == "article" for t, _ in stack)
+        bad = any(t in ("nav", "footer", "aside", "head") or a.get("class") in ("ad", "comments", "sidebar") or (t == "header" and "article" not in [x[0] for x in stack[:k]]) for k, (t, a, _) in enumerate(stack))
+        article = any(x[0] == "article" for x in stack)
         words = re.findall(r"[^\W\d_]+", text.lower())
         stops = sum(w in html.STOP_WORDS for w in words) / max(1, len(words))
-        rows.append([text, bad, article, stops, linked / max(1, len(text.replace(" ", "")))])
-    known = any(s >= 0.2 and len(t) >= 40 and share <= 0.4 and not bad for t, bad, _, s, share in rows)
+        around = [n for t, _, n in stack if t == "form"]
+        if not bad and len(text) >= 70 and linked <= 0.4 * len(text):
+            total += len(text)
+            articles += len(text) if article and not around else 0
+            for n in around:
+                forms[n] = forms.get(n, 0) + len(text)
+        inside = [0] + [n for t, _, n in stack if t not in html.OWN_TAGS or stack[-1][2] != n]
+        rows.append([text, bad, article, stops, linked / max(1, len(text.replace(" ", ""))), inside[-1], around])
+    for r in rows:
+        r[1] = r[1] or any(2 * forms.get(n, 0) <= total or articles for n in r[6])
+    rows = [r[:6] for r in rows]
+    known = any(s >= 0.2 and len(t) >= 40 and share <= 0.4 and not bad for t, bad, _, s, share, _ in rows)
     labels = []
-    for t, bad, article, s, share in rows:
+    for t, bad, article, s, share, _ in rows:
         if bad or (share > 0.4 and not article):
             labels.append("bad")
         elif len(t) >= 70 and (s >= 0.2 or not known) and share <= 0.4:
@@ -133,11 +145,12 @@ def plain_text(page):
         else:
             labels.append("bad" if 40 <= len(t) < 280 and s < 0.1 and known and not article else "")
     out = []
-    for k, (t, _, article, _, _) in enumerate(rows):
+    for k, (t, _, article, _, _, inside) in enumerate(rows):
         label = labels[k]
         if not label:
             sides = [next((j for j in order if labels[j]), None) for order in (range(k - 1, -1, -1), range(k + 1, len(rows)))]
-            near = [j for j in sides if j is not None and not (article and rows[j][1])]
+            kin = any(j is not None and labels[j] == "good" and rows[j][5] == inside for j in sides)
+            near = [j for j in sides if j is not None and not ((article or kin) and rows[j][1])]
             kinds = {labels[j] for j in near}
             if not near:
                 label = "good" if article or "good" not in labels else "bad"
@@ -173,3 +186,40 @@ def test_random_pages_equal_a_plain_implementation():
         seen += bool(want)
         assert html.main_text(page) == want, page
     assert seen > 800
+
+
+LONG_TEXT = "The river was high that year and the people of the town had to go to the hills with all that they could carry, which was not much."
+SHORT_TEXT = "They came back in the spring."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<div title="A hidden gem"><p>{0}</p><p>{1}</p></div>',
+        '<div class="article-with-ads"><p>{0}</p><p>{1}</p></div>',
+        '<div class="post-with-comments"><p>{0}</p><p>{1}</p></div>',
+        '<div class="recipe cookie"><p>{0}</p><p>{1}</p></div>',
+        '<body><form id="aspnetForm" action="/x"><p>{0}</p><p>{1}</p></form></body>',
+        '<body><a name="top"><p>{0}</p><p>{1}</p></body>',
+        '<body><a href="#top">Top<p>{0}</p><p>{1}</p><p>{0}</p><a href="/">Home</a></body>',
+        '<article><p data-caption="the hidden valley">{0}</p><p>{1}</p></article>',
+        '<body><p>{0}</p><p>{1}</p><footer><p>Company 2024, all rights reserved by the owners of it.</p></footer></body>',
+        '<body><nav><a href="/">Home</a></nav><div><h1>A year</h1><p>{0}</p><p>{1}</p></div><footer>Company</footer></body>',
+    ],
+)
+def test_articles_that_names_and_anchors_must_not_lose(page):
+    got = html.main_text(page.format(LONG_TEXT, SHORT_TEXT))
+    assert LONG_TEXT in got and SHORT_TEXT in got and "Company" not in got and "Home" not in got
+
+
+@pytest.mark.parametrize(
+    "extra",
+    [
+        '<div class="cookie-banner">{0}</div>', '<div class="comments">{0}</div>', '<div hidden>{0}</div>', '<div aria-hidden="TRUE">{0}</div>', "<div style='color:red; display : none'>{0}</div>", '<form class="newsletter"><p>{0}</p></form>',
+        '<a href="/x"><h3>A story that is told</h3><p>{0}</p></a>', '<div class="row comments"><p>{0}</p></div>',
+    ],
+)
+def test_what_is_no_article_stays_out(extra):
+    other = LONG_TEXT.replace("river", "lake")
+    got = html.main_text(f"<body><div><p>{LONG_TEXT}</p><p>{LONG_TEXT}</p></div>{extra.format(other)}</body>")
+    assert got == f"{LONG_TEXT} {LONG_TEXT}"

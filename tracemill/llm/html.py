@@ -3,7 +3,8 @@
 A page is cut into blocks at block-level tags. First each block is decided on its own: link density, stop-word density and
 length make it good or bad, and blocks in navigation, page headers, footers, asides, forms, notices, adverts or comments
 are bad. Elements say what they are by tag, role, or the words of a class or id that name a block; an element that only a layout name makes bad
-keeps its text where it holds more than half of the page's prose and no article lies outside. Blocks that are short, or lie in an article
+keeps its text where it holds more than half of the page's prose and no article lies outside, and so does a form. Anchors without a target are
+no links. Blocks that are short, or lie in an article
 and lack stop words, stay open. In the second pass open blocks take the label of their nearest decided neighbours on both sides;
 where these differ, an article's block is good, another's takes the nearer one. On a page without any decided block, open blocks are
 good. Where no block of a page that could be text reaches the stop-word density, as in a language that the list lacks, its blocks
@@ -55,12 +56,15 @@ ALWAYS = frozenset(  # names that no amount of prose overrules: comments, advert
     gdpr newsletter notice notices notification paywall popup promo promoted promotion sponsor sponsored subscribe subscription""".split()
 )
 GOOD_TAGS = frozenset(("article", "main"))
+OWN_TAGS = frozenset("p h1 h2 h3 h4 h5 h6".split())  # elements of a single block
+UNENDED = "a without an end"  # before the next anchor: it ends with its block
 SHORT, LONG = 40, 70  # characters
 LINKED, STOPPED = 0.4, 0.2  # shares
 
 _tag = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>?""")
-_attribute = re.compile(r"""(?<![^\s"'])(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I).findall
-_hidden = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I).search
+_attribute = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""").findall
+_invisible = re.compile(r"display\s*:\s*none", re.I).search
+_next_anchor = re.compile(r"<(/?)a(?=[\s/>])", re.I).search
 _names = re.compile("[A-Z]*[a-z]+|[A-Z]+").findall
 _words = re.compile(r"[^\W\d_]+").findall
 
@@ -97,52 +101,70 @@ def pieces(page: str) -> Iterator[tuple[str, str, str]]:
             end = re.compile(f"</{re.escape(name)}(?=[\\s/>])[^>]*>", re.I).search(page, at)
             at = end.end() if end else n
             yield "raw", name, ""
+        elif name == "a" and not close:
+            after = _next_anchor(page, at)
+            yield "open", "a" if after and after[1] else UNENDED, attributes
         else:
             yield ("close" if close else "open"), name, attributes
 
 
+def attributes_of(text: str) -> dict[str, str]:
+    """By lower-case name; the first of a name counts."""
+    out: dict[str, str] = {}
+    for name, value in _attribute(text):
+        out.setdefault(name.lower(), value.strip("\"'"))
+    return out
+
+
+def hidden(given: dict[str, str]) -> bool:
+    return "hidden" in given or given.get("aria-hidden", "").lower() == "true" or bool(_invisible(given.get("style", "")))
+
+
 def role_of(name: str) -> str:
-    """What a class name or id says its block is: its last word that is no shape; nothing where it states a condition."""
+    """What a class name or id says its block is: its last word that is no shape, before a word that says what it has or lacks; nothing where
+    it begins with a condition."""
     parts = [x.lower() for x in _names(name)]
-    if not parts or parts[0] in CONDITIONS:
-        return ""
+    parts = parts[: next((k for k, x in enumerate(parts) if x in CONDITIONS), len(parts))]
     while len(parts) > 1 and parts[-1] in SHAPES:
         parts.pop()
-    return parts[-1]
+    return parts[-1] if parts else ""
 
 
 def bad_element(name: str, attributes: str, in_article: bool) -> str:
-    """Why an element's blocks are no main text: "element" (its tag, role, a name in ALWAYS or being hidden) or "name"; "" if nothing says so."""
-    if name in BAD_TAGS or (name == "header" and not in_article):
+    """Why an element's blocks are no main text: "element" (its tag, role, a name in ALWAYS or being hidden), "name" (a layout name, or a form),
+    "later name" (a name in ALWAYS after another one that isn't bad); "" if nothing says so."""
+    if name in BAD_TAGS and name != "form" or (name == "header" and not in_article):
         return "element"
+    why = "name" if name == "form" else ""
     if not attributes or name in ("html", "body", "article", "main"):
-        return ""
-    if _hidden(attributes):
+        return why
+    given = attributes_of(attributes)
+    if hidden(given) or given.get("role", "").lower() in BAD_ROLES:
         return "element"
-    why = ""
-    for key, value in _attribute(attributes):
-        value = value.strip("\"'")
-        if key.lower() == "role":
-            if value.lower() in BAD_ROLES:
+    for key in ("class", "id"):
+        before = False  # a name that says something else came first
+        for role in map(role_of, given.get(key, "").split()):
+            if role in ALWAYS and not before:
                 return "element"
-            continue
-        for role in map(role_of, value.split()):
             if role in ALWAYS:
-                return "element"
-            if role in BAD_NAMES and not (role == "header" and in_article):
-                why = "name"
+                why = "later name"
+            elif role in BAD_NAMES and not (role == "header" and in_article):
+                why = why or "name"
+            else:
+                before = True
     return why
 
 
 class Block:
-    """`marks`: numbers of the elements around it that only a name makes bad."""
+    """`marks`: numbers of the elements around it that only a name makes bad, negative for a later name. `inside`: number of the element that it
+    stands in, its own paragraph or heading aside."""
 
-    __slots__ = ("text", "linked", "bad", "article", "label", "marks")
+    __slots__ = ("text", "linked", "bad", "article", "label", "marks", "inside")
 
-    def __init__(self, parts: list[tuple[str, bool]], bad: bool, article: bool, marks: frozenset[int] = frozenset()):
+    def __init__(self, parts: list[tuple[str, bool]], bad: bool, article: bool, marks: frozenset[int] = frozenset(), inside: int = 0):
         self.text = " ".join(entities.unescape("".join(p for p, _ in parts)).split())
         self.linked = sum(len("".join(p.split())) for p, link in parts if link)
-        self.bad, self.article, self.label, self.marks = bad, article, "", marks
+        self.bad, self.article, self.label, self.marks, self.inside = bad, article, "", marks, inside
 
     def prose(self) -> int:
         """Characters, if the block is long and has few links."""
@@ -151,27 +173,30 @@ class Block:
 
 
 def blocks(page: str) -> list[Block]:
-    stack: list[tuple[str, bool, bool, frozenset[int]]] = [("", False, False, frozenset())]  # name, bad, in an article, marks
+    stack: list[tuple[str, bool, bool, frozenset[int], int]] = [("", False, False, frozenset(), 0)]  # name, bad, in an article, marks, number
     out: list[Block] = []
     parts: list[tuple[str, bool]] = []
-    link = marked = 0
+    link, marked, opened = "", 0, 0
 
     def cut() -> None:
-        nonlocal parts
+        nonlocal parts, link
         if parts:
-            b = Block(parts, *stack[-1][1:])
+            name, bad, article, marks, number = stack[-1]
+            b = Block(parts, bad, article, marks, stack[-2][4] if name in OWN_TAGS else number)
             if b.text:
                 out.append(b)
             parts = []
+        if link == UNENDED:
+            link = ""
 
     for kind, name, attributes in pieces(page):
         if kind == "text":
-            parts.append((name, link > 0))
+            parts.append((name, bool(link)))
         elif kind == "raw":
             if name in BLOCK_TAGS:
                 cut()
-        elif name == "a":
-            link = 0 if kind == "close" else 1
+        elif name in ("a", UNENDED):
+            link = name if kind == "open" and "href" in attributes_of(attributes) else ""
         elif name == "br":
             parts.append(("\n", False))
         elif kind == "open":
@@ -183,9 +208,12 @@ def blocks(page: str) -> list[Block]:
                     while stack[-1][0] == "p" or (stack[-1][0] == name and name in ("li", "dt", "dd", "tr", "td", "th", "option")):
                         stack.pop()
             if name not in VOID_TAGS and (block or bad):
-                _, over, article, marks = stack[-1]
-                marked += bad == "name"
-                stack.append((name, over or bad == "element", article or name in GOOD_TAGS, marks | {marked} if bad == "name" else marks))
+                _, over, article, marks, _ = stack[-1]
+                opened += 1
+                if bad in ("name", "later name"):
+                    marked += 1
+                    marks = marks | {marked if bad == "name" else -marked}
+                stack.append((name, over or bad == "element", article or name in GOOD_TAGS, marks, opened))
         else:
             depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name), 0)
             if depth:
@@ -198,7 +226,8 @@ def blocks(page: str) -> list[Block]:
 
 
 def judged_by_name(found: list[Block]) -> list[Block]:
-    """Elements that only a name makes bad are bad, unless one holds more than half of the page's prose and no article lies outside."""
+    """Elements that only a name makes bad are bad, unless one holds more than half of the page's prose (all of it, if a later name says what
+    no prose overrules) and no article lies outside."""
     held: Counter = Counter()
     total = articles = 0
     for b in found:
@@ -206,7 +235,7 @@ def judged_by_name(found: list[Block]) -> list[Block]:
             total += n
             held.update(dict.fromkeys(b.marks, n))
             articles += n if b.article and not b.marks else 0
-    lifted = {m for m, n in held.items() if 2 * n > total and not articles}
+    lifted = {m for m, n in held.items() if (2 * n > total if m > 0 else n == total) and not articles}
     for b in found:
         b.bad = b.bad or bool(b.marks - lifted)
     return found
@@ -238,7 +267,9 @@ def decide(found: list[Block]) -> list[Block]:
     for k, b in enumerate(found):
         if b.label:
             continue
-        near = [x for x in (left[k], right[k]) if x >= 0 and not (b.article and found[x].bad)]
+        # What an element makes bad has no say beside a good block that stands in the same element as the open one, or in an article.
+        kin = any(x >= 0 and labels[x] == "good" and found[x].inside == b.inside for x in (left[k], right[k]))
+        near = [x for x in (left[k], right[k]) if x >= 0 and not ((b.article or kin) and found[x].bad)]
         if not near:
             b.label = "good" if b.article or not any(v == "good" for v in labels.values()) else "bad"
         elif len({labels[x] for x in near}) == 1:
