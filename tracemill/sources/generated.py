@@ -43,7 +43,7 @@ NAME = "CASE o_orderkey % 8 WHEN 0 THEN 'log_metrics' WHEN 1 THEN 'serve' WHEN 2
 DECLARATIONS = (
     "pub fn ~(x: u8) {", "pub async fn ~<T>(", "|pub struct ^", "pub enum ^ {", " pub trait ^", "use crate::~;", "pub const ^ : u8 = 1;", "export async function ~(", "export class ^ {", "class ^:", "import ~ from `./~`",
     "  def ~(", "def _~(", "class ^(", "func ^(", "func ~(", "type ^ struct {", "public class ^ {", "private static int ~(", "app.get(`/~`)", "|// app.post(`/~`) TODO", "+ MAX_A = 1", "| # def ~(", "let y = 1; // Sql deprecated",
-    "r.delete( `/api/~` ) -- sql", "def __~(", "x.Patch(`/a/~`) fixme", "", "export function ~<", "||use super::~;", "- LIMIT: 2", "protected final String ~ (",
+    "r.delete( `/api/~` ) -- sql Deprecated", "def __~(", "x.Patch(`/a/~`) fixme", "", "export function ~<", "||use super::~;", "- LIMIT: 2", "protected final String ~ (",
 )
 DECLARED_NAME = "CASE CAST(l_partkey % 9 AS INT) WHEN 0 THEN 'login' WHEN 1 THEN 'guard' WHEN 2 THEN 'hash' WHEN 3 THEN 'token' WHEN 4 THEN 'test_it' WHEN 5 THEN 'jwt' WHEN 6 THEN 'permission' WHEN 7 THEN 'encrypt' ELSE 'f' END || CAST(l_partkey % 3 AS STRING)"
 
