@@ -220,3 +220,7 @@ ORACLES |= {
     "turn_previews": "SELECT conv_id, turn, CASE WHEN length(text) > 80 THEN substring(text, 1, 80) || '...' ELSE text END AS preview FROM conversations",
     "log_session_lines": """WITH t AS (SELECT conv_id AS source, role, coalesce(text, '') AS text FROM conversations) SELECT source, count(*) AS n, count(*) AS n_calls, sum(length(text))::BIGINT AS n_chars, CASE WHEN source % 5 = 0 THEN 1 ELSE 0 END::BIGINT AS n_bad FROM t WHERE role <> 'user' GROUP BY source""",
 }
+# From each entry, the least successor that wasn't visited, up to twenty nodes.
+ORACLES["flow_trace"] = f"""WITH RECURSIVE {DAG}, succ AS (SELECT graph, node, list_sort(list(dep)) AS l FROM edges GROUP BY ALL),
+  walk AS (SELECT graph, node AS entry, [node] AS p FROM succ UNION ALL SELECT graph, entry, list_append(p, nxt) FROM (SELECT w.graph, w.entry, w.p, list_filter(s.l, lambda x: NOT list_contains(w.p, x))[1] AS nxt FROM walk w JOIN succ s ON s.graph = w.graph AND s.node = w.p[-1] WHERE len(w.p) < 20) WHERE nxt IS NOT NULL)
+  SELECT graph, entry, array_to_string(p, '>') AS path, len(p)::INTEGER AS n_nodes FROM walk QUALIFY row_number() OVER (PARTITION BY graph, entry ORDER BY len(p) DESC) = 1"""
