@@ -70,3 +70,13 @@ def test_degradations(spark, before, after, rules, verdict):
     rows = [("t", 1, "e1", *cast(before)), ("t", 2, "e2", *cast(after)), ("alone", 1, "e3", *cast(after))]
     got = history.degradations(spark.createDataFrame(rows, f"task_id string, trial int, eval_id string, {names}")).collect()
     assert [tuple(r) for r in got] == [("t", "e1", "e2", rules, verdict)]
+
+
+def test_module_symbols_in_one_pass(spark):
+    rows = [(1, "m", "f", f"n{i}", "fn", "removed" if i % 3 else "added", i) for i in range(9)] + [(1, "x", "f", "y", "fn", "removed", 1), (2, "m", "f", "z", "fn", "added", 1)]
+    found = spark.createDataFrame(rows, "diff_id int, module string, file string, name string, kind string, action string, line bigint")
+    out = export.module_symbols(found)
+    assert {tuple(map(str, r)) for r in out.collect()} == {("1", "m", "3", "6", "['n0', 'n3', 'n6', 'n1', 'n2']"), ("1", "x", "0", "1", "['y']"), ("2", "m", "1", "0", "['z']")}
+    assert out.columns == ["diff_id", "module", "n_added", "n_removed", "symbols"]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 1 and "Join" not in plan
