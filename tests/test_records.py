@@ -221,3 +221,19 @@ def test_export_summary_counts_lines_of_the_text(spark):
     got = {r.diff_id: tuple(r)[1:] for r in export.summary(spark.createDataFrame([(1, text), (2, " \n\t"), (3, None), (4, "+++ b/README")], "diff_id int, diff string")).collect()}
     assert got[1] == (["crates/k/c.rs", "src/x/a.rs", "src/x/b.rs"], 2, 1, len(text), ["crates/k", "src/x"])
     assert got[2] == got[3] == ([], 0, 0, 0, []) and got[4] == (["README"], 0, 0, 12, ["."])
+
+
+def test_cases_meet_within_their_task(spark, monkeypatch):
+    from tracemill.operators import validate
+    from tracemill.sources import generated
+
+    pair = lambda rows: spark.createDataFrame(rows, "case_id string, name string, categories array<string>")
+    e = pair([("a", "get_user", []), ("a", "zzz", []), ("b", "get_user", []), ("b", None, [])])
+    a = pair([("a", "user_put", []), ("a", "put_user", []), ("a", None, [])])
+    out = validate.best_matches(e, a)
+    assert {tuple(r) for r in out.collect()} == {("a", "get_user", "put_user", 1 / 3), ("a", "zzz", None, 0.0), ("b", "get_user", None, 0.0), ("b", None, None, 0.0)}
+    monkeypatch.setattr(generated, "ITEMS_A_TASK", 100)
+    cases = generated.cases(spark, "/root/testdata/sf0.001")
+    assert "Window" not in validate.best_matches(*cases)._jdf.queryExecution().executedPlan().toString()
+    items = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    assert [c.rdd.getNumPartitions() for c in cases] == [-(-items // 100)] * 2

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
@@ -22,10 +22,19 @@ def exact(expected: DataFrame, actual: DataFrame) -> DataFrame:
     return j.withColumn("exact", (F.col("n_missing") == 0) & ~(more & (F.col("n_extra") > 0)))
 
 
+def words(name: Column) -> Column:
+    """A name in lower case and its words: what `alike` compares. Worked out once a name, not once a pair."""
+    return F.struct(F.lower(name).alias("name"), X.name_tokens(F.lower(name)).alias("words"))
+
+
+def alike(a: Column, b: Column) -> Column:
+    x, y = a["words"], b["words"]
+    return X.case((a["name"] == b["name"], 1.0), ((F.size(x) == 0) & (F.size(y) == 0), 1.0), otherwise=X.set_jaccard(x, y))
+
+
 def word_similarity(a: Column, b: Column) -> Column:
     """Jaccard of the words of two lower-cased names; 1 for equal names or where both have no words, 0 where one has none."""
-    x, y = X.name_tokens(F.lower(a)), X.name_tokens(F.lower(b))
-    return X.case((F.lower(a) == F.lower(b), 1.0), ((F.size(x) == 0) & (F.size(y) == 0), 1.0), otherwise=X.set_jaccard(x, y))
+    return alike(words(a), words(b))
 
 
 def category_similarity(expected: Column, actual: Column) -> Column:
@@ -37,19 +46,21 @@ def category_similarity(expected: Column, actual: Column) -> Column:
 
 def semantic(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """Mean over expected of the best 0.7 name + 0.3 category likeness among the case's actual capabilities."""
-    side = lambda d, p: d.select("case_id", *(F.col(c).alias(f"{p}_{c}") for c in ("name", "categories")))
+    side = lambda d, p: d.select("case_id", *(F.col(c).alias(f"{p}_{c}") for c in ("name", "categories")), words(F.col("name")).alias(f"{p}_words"))
     j = side(expected, "e").join(side(actual, "a"), "case_id", "left")
-    score = 0.7 * word_similarity(F.col("e_name"), F.col("a_name")) + 0.3 * category_similarity(F.col("e_categories"), F.col("a_categories"))
+    score = 0.7 * alike(F.col("e_words"), F.col("a_words")) + 0.3 * category_similarity(F.col("e_categories"), F.col("a_categories"))
     best = j.withColumn("score", F.when(F.col("a_name").isNull(), 0.0).otherwise(score)).groupBy("case_id", "e_name", "e_categories").agg(F.max("score").alias("score"))
     return best.groupBy("case_id").agg(F.avg("score").alias("similarity"))
 
 
 def best_matches(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """The most alike actual name of each expected one; ties go to the first name. Without any, null with score 0."""
-    j = expected.select("case_id", F.col("name").alias("expected")).join(actual.select("case_id", F.col("name").alias("actual")), "case_id", "left")
-    j = j.withColumn("score", F.when(F.col("actual").isNull(), 0.0).otherwise(word_similarity(F.col("expected"), F.col("actual"))))
-    top = F.row_number().over(Window.partitionBy("case_id", "expected").orderBy(F.desc("score"), "actual"))
-    return j.withColumn("_r", top).where("_r = 1").select("case_id", "expected", "actual", "score")
+    side = lambda d, name: d.select("case_id", F.col("name").alias(name), words(F.col("name")).alias(f"_{name}"))
+    j = side(expected, "expected").join(side(actual, "actual"), "case_id", "left")
+    score = F.when(F.col("actual").isNull(), 0.0).otherwise(alike(F.col("_expected"), F.col("_actual")))
+    # The least of (-score, name) is the first name of the highest score.
+    best = F.min(F.struct((-score).alias("less"), "actual")).alias("_b")
+    return j.groupBy("case_id", "expected").agg(best).select("case_id", "expected", F.col("_b.actual").alias("actual"), (-F.col("_b.less") + 0.0).alias("score"))
 
 
 def verdicts(exact_rows: DataFrame, semantic_rows: DataFrame, threshold: float = 0.85) -> DataFrame:
