@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -22,12 +25,23 @@ def forgets(module: str, *caches) -> None:
     _caches.extend((module, c.clear) for c in caches)
 
 
+def give_back() -> None:
+    """What was dropped goes back to the machine; the allocators would keep it for the process."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim:
+            trim(0)
+
+
 def enter(module: str) -> None:
     global _entered
     if module != _entered:
         for owner, clear in _caches:
             if owner != module:
                 clear()
+        give_back()
         _entered = module
 
 
