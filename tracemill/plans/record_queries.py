@@ -205,7 +205,7 @@ def declared_rules(spark, sf_dir):
 @query
 def declared_status(spark, sf_dir):
     c = declared_raw(spark, sf_dir)
-    return rules.capabilities(c, rules.matches(c)).withColumn("categories", F.array_join("categories", ","))
+    return rules.capabilities(c).withColumn("categories", F.array_join("categories", ","))
 
 
 @query
