@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 
 from tracemill.llm import maxent
+from tracemill.llm.text import words
 
 
 def rows():
@@ -146,3 +147,22 @@ def test_nothing_to_learn(spark):
     assert maxent.score_documents(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
     r = maxent.score_documents(spark.createDataFrame([(i, "a b") for i in range(60) if zlib.crc32(str(i).encode()) % 7 == 2], "doc_id bigint, text string")).first()
     assert (r.n_known, r.train_tokens, r.base_score) == (0, 0, 0.0)
+
+
+def test_words_split_in_bulk_are_those_of_each_text():
+    texts = ["  A b\x1cc \t\x0bd\x85e F  ", "", None, " ", "É x", "a\x00b a", " Q r\n", "A a"]
+    ws, code, sizes = maxent.split(texts)
+    start = 0
+    for t, n in zip(texts, sizes.tolist(), strict=True):
+        assert [ws[k] for k in code[start : start + n]] == words(t)
+        start += n
+    assert start == len(code) and len({*ws}) == len(ws)
+    assert [len(x) for x in maxent.slices(iter(["ab", None, "c", "defgh", "i"]), 3)] == [3, 1, 1]
+
+
+def test_products_of_raised_weights_keep_their_range():
+    w = np.full((10, 4), -50, np.float32)
+    w[:, 0] = 20
+    e, f = maxent.odds_of(w, 1, 5), np.arange(10, dtype=np.int32).reshape(2, 5)
+    assert e.dtype == np.float64 and maxent.odds_of(w / 10, 1, 5).dtype == np.float32
+    assert np.allclose(maxent.own_scores(e, f, np.array([0, 1])), [0, -350])

@@ -29,12 +29,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .runtime import map_batches, stash
-from .text import mix, words
+from .text import Memo, mix
 
 SINGLE, CLASSES = 24, 64  # classes of one word each, and all classes
 OWN, SLOTS = 16, 32  # slots of one word each in a class, and all its slots
@@ -53,10 +54,43 @@ def word_class(w: bytes) -> int:
     return SINGLE + zlib.crc32(w[-2:]) % (CLASSES - SINGLE)
 
 
+_kinds = Memo(word_class)  # by the last two bytes
+
+
+def hashes_and_leaves(ws) -> tuple[np.ndarray, np.ndarray]:
+    """Hash, and class with hashed slot, of each word."""
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, ws), dtype=np.uint64, count=len(ws))
+    kind = np.fromiter([_kinds[w[-2:]] for w in ws], dtype=np.int64, count=len(ws))
+    return h, kind * SLOTS + hashed_slot(h)
+
+
 def hashed_slot(h: np.ndarray) -> np.ndarray:
     return (OWN + (h >> np.uint64(40)) % np.uint64(SLOTS - OWN)).astype(np.int64)
 
 
+def slices(texts: Iterator[str | None], most: int = 1 << 20) -> Iterator[list[str | None]]:
+    """Lists of whole texts of about `most` characters, a longer text by itself: words that repeat in one are looked up once."""
+    held, size = [], 0
+    for t in texts:
+        if held and size + len(t or "") > most:
+            yield held
+            held, size = [], 0
+        held.append(t)
+        size += len(t or "")
+    if held:
+        yield held
+
+
+def split(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct words of texts, the number of each word of all texts in a row, and how many words each text has: as `text.words` does."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(pa.array([t or "" for t in texts], pa.large_string())))
+    flat, ends = parts.values, parts.offsets.to_numpy()
+    real = pc.binary_length(flat).to_numpy() > 0  # white space at an end leaves an empty part
+    known = flat.filter(pa.array(real)).dictionary_encode()
+    sizes = np.diff(np.concatenate([[0], np.cumsum(real)])[ends])
+    return known.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False), known.indices.to_numpy(), sizes
+
+
 def counted(train: DataFrame) -> DataFrame:
     """h, leaf (class and hashed slot), c of all words, from counts made within tasks."""
 
@@ -64,17 +98,16 @@ def counted(train: DataFrame) -> DataFrame:
         held: Counter = Counter()
 
         def rows() -> dict[str, list]:
-            h = np.fromiter(map(word_hash, held), dtype=np.uint64, count=len(held))
-            kind = np.fromiter(map(word_class, held), dtype=np.int64, count=len(held))
-            return {"h": h.view(np.int64), "leaf": kind * SLOTS + hashed_slot(h), "c": list(held.values())}
-
-        for b in batches:
-            for t in b.column(0):
-                held.update(words(t.as_py()))
-                held[END] += 1
-                if len(held) > 1_000_000:
-                    yield rows()
-                    held.clear()
+            h, leaf = hashes_and_leaves(held)
+            return {"h": h.view(np.int64), "leaf": leaf, "c": list(held.values())}
+
+        for texts in slices(t.as_py() for b in batches for t in b.column(0)):
+            ws, code, _ = split(texts)
+            held.update(dict(zip(ws, np.bincount(code, minlength=len(ws)).tolist(), strict=True)))
+            held[END] += len(texts)
+            if len(held) > 1_000_000:
+                yield rows()
+                held.clear()
         yield rows()
 
     parts = map_batches(train.select("text"), run, "h bigint, leaf int, c bigint")
@@ -91,31 +124,25 @@ class Vocabulary(dict):
 
     def reset(self) -> None:
         self.clear()
-        self.fresh: list[bytes] = []
         self.h, self.leaf, self.count = (np.zeros(1 << 16, kind) for kind in (np.uint64, np.int32, np.int64))
 
-    def __missing__(self, w: bytes) -> int:
-        self[w] = n = len(self)
-        self.fresh.append(w)
-        return n
-
-    def places(self, ws: list[bytes]) -> np.ndarray:
-        out = np.fromiter(map(self.__getitem__, ws), dtype=np.int64, count=len(ws))
-        if self.fresh:
-            h = np.fromiter(map(word_hash, self.fresh), dtype=np.uint64, count=len(self.fresh))
-            leaf = np.fromiter(map(word_class, self.fresh), dtype=np.int64, count=len(self.fresh)) * SLOTS + hashed_slot(h)
+    def places(self, ws) -> np.ndarray:
+        """Places of distinct words; those that are new get the next ones."""
+        fresh = [w for w in ws if w not in self]
+        new = slice(len(self), len(self) + len(fresh))
+        if fresh:
+            h, leaf = hashes_and_leaves(fresh)
             known, count = self.head["h"], np.full(len(h), -1)  # -1: not in the head
             if len(known):
                 at = np.minimum(np.searchsorted(known, h), len(known) - 1)
                 hit = known[at] == h
                 count[hit] = self.head["c"][at[hit]]
                 leaf[hit] = self.head["leaf"][at[hit]]
-            while len(self) > len(self.h):
+            while new.stop > len(self.h):
                 self.h, self.leaf, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.h, self.leaf, self.count))
-            new = slice(len(self) - len(h), len(self))
             self.h[new], self.leaf[new], self.count[new] = h, leaf, count
-            self.fresh = []
-        return out
+            self.update(zip(fresh, range(new.start, new.stop), strict=True))
+        return np.fromiter(map(self.__getitem__, ws), dtype=np.int64, count=len(ws))
 
 
 class Batch:
@@ -146,13 +173,18 @@ class Batch:
         return at[keep], past[keep], back[:, keep]
 
 
+def place_in(h: np.ndarray, n: int) -> np.ndarray:
+    """A number below n for each hash, by its upper half: numpy divides whole numbers slowly."""
+    return ((h >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
+
+
 def class_features(past: np.ndarray, back: np.ndarray, rows: int) -> np.ndarray:
     """Weight rows active at each token: n x 5. Row 0: the bias; rows 1 to 4 stand for words before the text's start."""
     out = np.empty((len(past), 5), dtype=np.int32)
     out[:, 0] = 0
     two = back[0] ^ mix(back[1] + _B)
     for k, (x, need) in enumerate(((back[0], 1), (two, 1), (back[1], 2), (back[2], 3))):
-        out[:, k + 1] = np.where(past < need, k + 1, 5 + mix(x * _A + _KIND[k]) % np.uint64(rows - 5))
+        out[:, k + 1] = np.where(past < need, k + 1, 5 + place_in(mix(x * _A + _KIND[k]), rows - 5))
     return out
 
 
@@ -162,75 +194,88 @@ def slot_features(kind: np.ndarray, back: np.ndarray, rows: int) -> np.ndarray:
     out[:, 0] = kind
     own = mix(kind.astype(np.uint64) + _KIND[6])
     for k in (0, 1):
-        out[:, k + 1] = CLASSES + mix(back[k] * _A + _KIND[4 + k] ^ own) % np.uint64(rows - CLASSES)
+        out[:, k + 1] = CLASSES + place_in(mix(back[k] * _A + _KIND[4 + k] ^ own), rows - CLASSES)
     return out
 
 
-def raw_scores(w: np.ndarray, f: np.ndarray) -> np.ndarray:
-    """Sums of the weight rows active at each token, less the largest."""
-    z = w.take(f[:, 0], axis=0)
+def odds_of(w: np.ndarray, biases: int, active: int) -> np.ndarray:
+    """exp of the weights, so that a product of rows takes the place of a sum and its exp. Doubles where a product of `active` rows, one of
+    them among the first `biases`, could leave the range of floats: a step is bounded, so only many rounds lead there."""
+    furthest = np.abs(w[:biases]).max() + (active - 1) * np.abs(w).max(initial=0, where=(np.arange(len(w)) >= biases)[:, None])
+    return np.exp(w if furthest < 80 else w.astype(np.float64))
+
+
+def odds(e: np.ndarray, f: np.ndarray) -> np.ndarray:
+    """Odds of all outcomes: products of the rows active at each token."""
+    z = e.take(f[:, 0], axis=0)
     row = np.empty_like(z)
     for k in range(1, f.shape[1]):
-        z += w.take(f[:, k], axis=0, out=row, mode="clip")
-    z -= z.max(axis=1, keepdims=True)
+        z *= e.take(f[:, k], axis=0, out=row, mode="clip")
     return z
 
 
-def own_scores(w: np.ndarray, f: np.ndarray, own: np.ndarray, block: int = 512) -> np.ndarray:
+def own_scores(e: np.ndarray, f: np.ndarray, own: np.ndarray, block: int = 512) -> np.ndarray:
     """Log probability of each token's own outcome; blocks stay in the cache."""
-    out = np.empty(len(f), w.dtype)
+    out, ones = np.empty(len(f), e.dtype), np.ones(e.shape[1], e.dtype)
     for k in range(0, len(f), block):
-        z = raw_scores(w, f[k : k + block])
-        mine = z[np.arange(len(z)), own[k : k + block]]
-        out[k : k + block] = mine - np.log(np.exp(z, out=z).sum(axis=1))
-    return out
+        z = odds(e, f[k : k + block])
+        out[k : k + block] = z[np.arange(len(z)), own[k : k + block]] / (z @ ones)
+    return np.log(out, out=out)
 
 
 def batched(texts: Iterator[str | None], v: Vocabulary, most: int = 8192) -> Iterator[Batch]:
     out = Batch(v)
-    for t in texts:
-        ws = words(t)
-        ws.append(END)
-        if len(v) + len(ws) > v.most:  # places of one batch belong to one state of the vocabulary
+    for some in slices(texts):
+        ws, code, sizes = split(some)
+        if len(v) + len(ws) >= v.most:  # places of one batch belong to one state of the vocabulary
             if out.held:
                 yield out
                 out = Batch(v)
             v.reset()
-        at = v.places(ws)
-        for k in range(0, len(at), most):
-            out.add(at, k, min(len(at), k + most))
-            if out.held >= most:
-                yield out
-                out = Batch(v)
+        at_all, end, start = v.places(ws)[code], v.places([END])[0], 0
+        for n in sizes.tolist():
+            at, start = np.append(at_all[start : start + n], end), start + n
+            for k in range(0, len(at), most):
+                out.add(at, k, min(len(at), k + most))
+                if out.held >= most:
+                    yield out
+                    out = Batch(v)
     if out.held:
         yield out
 
 
-def feature_sums(own: np.ndarray, f: np.ndarray, w: np.ndarray, seen: np.ndarray, hoped: np.ndarray, draws: np.random.Generator) -> None:
+def feature_sums(own: np.ndarray, f: np.ndarray, w: np.ndarray, seen: np.ndarray, hoped: np.ndarray, draws: np.random.Generator, biases: int = 1) -> None:
     """Adds observed counts of (row, outcome), and expected ones from DRAWS outcomes of each token, drawn from the model in even
-    steps of its distribution: their mean is the expectation, at a cost that does not grow with the number of outcomes."""
-    wide, share = w.shape[1], np.float32(1 / DRAWS)
-    up_to = np.triu(np.ones((wide, wide), np.float32))
+    steps of its distribution: their mean is the expectation, at a cost that does not grow with the number of outcomes. The first feature
+    of all tokens is one of the first `biases` rows."""
+    odds_sums(own, f, odds_of(w, biases, f.shape[1]), seen, hoped, draws)
+
+
+def odds_sums(own: np.ndarray, f: np.ndarray, e: np.ndarray, seen: np.ndarray, hoped: np.ndarray, draws: np.random.Generator) -> None:
+    """feature_sums for weights that `odds_of` has raised."""
+    wide, share, one = e.shape[1], np.float32(1 / DRAWS), np.float32(1)
+    up_to = np.triu(np.ones((wide, wide), e.dtype))
+    seen, hoped = seen.reshape(-1), hoped.reshape(-1)
     for at in range(0, len(own), 512):
-        rows, mine = f[at : at + 512].astype(np.int64) * wide, own[at : at + 512]
-        p = raw_scores(w, f[at : at + 512])
-        sums = np.exp(p, out=p) @ up_to
-        np.add.at(seen.reshape(-1), rows + mine[:, None], np.float32(1))
-        u = draws.random(len(p), dtype=np.float32)
+        rows = f[at : at + 512].astype(np.int64) * wide
+        sums = odds(e, f[at : at + 512]) @ up_to
+        np.add.at(seen, (rows + own[at : at + 512, None]).ravel(), one)  # flat places: numpy's quick way
         most = sums[:, -1] * np.float32(1 - 1e-6)
+        steps = draws.random(len(sums), dtype=np.float32)[:, None] + np.arange(DRAWS, dtype=np.float32)
+        drawn = np.empty((len(sums), DRAWS), np.int64)
         for k in range(DRAWS):
-            drawn = (sums <= ((k + u) * share * most)[:, None]).argmin(axis=1)
-            np.add.at(hoped.reshape(-1), rows + drawn[:, None], share)
+            drawn[:, k] = (sums <= (steps[:, k] * share * most)[:, None]).argmin(axis=1)
+        np.add.at(hoped, (rows[:, :, None] + drawn[:, None, :]).ravel(), share)
 
 
-def token_sums(batch: Batch, w: tuple[np.ndarray, np.ndarray], seen: list[np.ndarray], hoped: list[np.ndarray], draws: np.random.Generator) -> None:
-    """Adds the counts of both factors over a batch."""
+def token_sums(batch: Batch, e: tuple[np.ndarray, np.ndarray], seen: list[np.ndarray], hoped: list[np.ndarray], draws: np.random.Generator) -> None:
+    """Adds the counts of both factors over a batch; e: their raised weights."""
     at, past, back = batch.arrays()
     leaf = batch.v.leaf[at]
     kind, slot = leaf // SLOTS, leaf % SLOTS
-    feature_sums(kind, class_features(past, back, len(w[0])), w[0], seen[0], hoped[0], draws)
+    odds_sums(kind, class_features(past, back, len(e[0])), e[0], seen[0], hoped[0], draws)
     inner = kind >= SINGLE
-    feature_sums(slot[inner], slot_features(kind[inner], back[:, inner], len(w[1])), w[1], seen[1], hoped[1], draws)
+    odds_sums(slot[inner], slot_features(kind[inner], back[:, inner], len(e[1])), e[1], seen[1], hoped[1], draws)
 
 
 def moved(w: np.ndarray, seen: np.ndarray, hoped: np.ndarray, rate: float, smooth: float) -> np.ndarray:
@@ -247,10 +292,11 @@ def updated(train: DataFrame, w: tuple[np.ndarray, np.ndarray], head: dict[str,
         from pyspark import TaskContext
 
         weights, known = shared.value
+        e = raised(weights)
         v, draws = Vocabulary(known), np.random.default_rng(TaskContext.get().partitionId())  # a task that runs again draws the same
         seen, hoped = ([np.zeros(s, np.float32) for s in shapes] for _ in range(2))
         for batch in batched((t.as_py() for b in batches for t in b.column(0)), v, 32768):
-            token_sums(batch, weights, seen, hoped, draws)
+            token_sums(batch, e, seen, hoped, draws)
         for factor, (x, y) in enumerate(zip(seen, hoped, strict=True)):
             cut = [np.stack([x[k : k + PER], y[k : k + PER]]) for k in range(0, len(x), PER)]
             full = [k for k, c in enumerate(cut) if c.any()]
@@ -310,12 +356,21 @@ def first_weights(n_of: np.ndarray, v_of: np.ndarray, rows: int) -> tuple[np.nda
     return w
 
 
+def raised(w: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return odds_of(w[0], 1, 5), odds_of(w[1], CLASSES, 3)
+
+
 def token_logs(w: tuple[np.ndarray, np.ndarray], past: np.ndarray, back: np.ndarray, leaf: np.ndarray) -> np.ndarray:
     """Natural log of p(class) p(slot | class) at each token."""
+    return odds_logs(raised(w), past, back, leaf)
+
+
+def odds_logs(e: tuple[np.ndarray, np.ndarray], past: np.ndarray, back: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+    """token_logs for raised weights."""
     kind, slot = leaf // SLOTS, leaf % SLOTS
-    out = own_scores(w[0], class_features(past, back, len(w[0])), kind).astype(np.float64)
+    out = own_scores(e[0], class_features(past, back, len(e[0])), kind).astype(np.float64)
     inner = np.flatnonzero(kind >= SINGLE)
-    out[inner] += own_scores(w[1], slot_features(kind[inner], back[:, inner], len(w[1])), slot[inner])
+    out[inner] += own_scores(e[1], slot_features(kind[inner], back[:, inner], len(e[1])), slot[inner])
     return out
 
 
@@ -374,7 +429,7 @@ def score_documents(docs: DataFrame, **options) -> DataFrame:
         from pyspark import TaskContext
 
         m = shared.value
-        v, row = Vocabulary(m.head), TaskContext.get().partitionId() << 33
+        v, row, e = Vocabulary(m.head), TaskContext.get().partitionId() << 33, raised(m.weights)
         ids: list = []
         empty = lambda: {k: [] for k in ("row", "doc_id", "n_tokens", "n_known", "base", "score", "tail", "times")}
         out, now, rare, at_doc = empty(), [0, 0, 0.0, 0.0], [], 0
@@ -388,7 +443,7 @@ def score_documents(docs: DataFrame, **options) -> DataFrame:
         for batch in batched(texts(), v):
             at, past, back = batch.arrays()
             leaf, count = v.leaf[at], v.count[at]
-            logs = token_logs(m.weights, past, back, leaf) / log10 - m.leaf_log[leaf]
+            logs = odds_logs(e, past, back, leaf) / log10 - m.leaf_log[leaf]
             head_log = np.log10(np.maximum(count, 0) + 1)
             start = 0
             for size in batch.sizes:
