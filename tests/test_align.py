@@ -77,3 +77,14 @@ def test_runs_at_and_over_the_limit(spark, n):
     a, b = ([(tool, f"{tool}|{args}") for t, _, tool, args in rows if t == k] for k in (1, 2))
     want = (first_free if n > 200 else way_back)(a, b)
     assert [x[1:] for x in out] == want
+
+
+def test_runs_reach_python_in_batches(spark):
+    from tracemill.plans.record_queries import QUERIES
+    from tracemill.sources import views
+
+    sf = "/root/testdata/sf0.001"
+    calls = views.tool_calls(spark, sf)
+    pairs = calls.select("trace_id").distinct().selectExpr("trace_id AS pair_id", "trace_id AS trace_a", "trace_id + 1 AS trace_b")
+    plan = align.align_calls(align.match_segments(pairs, calls), pairs, calls)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroupsInPandas" not in plan and "tool_align" in QUERIES

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..sources.ship import ship
 from .states import phase_runs
 
 EDIT_LIMIT = 200  # calls; longer runs are matched greedily
 DIFFS = "pair_id bigint, match_id int, position int, tool_name string, kind string, index_a bigint, index_b bigint"
+DIFF_TYPES = {"pair_id": pa.int64(), "match_id": pa.int32(), "position": pa.int32(), "tool_name": pa.string(), "kind": pa.string(), "index_a": pa.int64(), "index_b": pa.int64()}
 
 
 def match_segments(pairs: DataFrame, calls: DataFrame) -> DataFrame:
@@ -70,6 +74,7 @@ def greedy_align(a: list[tuple[str, str]], b: list[tuple[str, str]]) -> list[tup
 
 def align_calls(matches: DataFrame, pairs: DataFrame, calls: DataFrame) -> DataFrame:
     """Tool differences of all matches: matched runs are aligned, a task holding one run of each side; others are listed."""
+    ship(calls.sparkSession)
     call = calls.select("trace_id", "idx", F.struct(F.col("tool_name").alias("tool"), X.canonical_call(F.col("tool_name"), F.col("args")).alias("call")).alias("c"))
     m = matches.join(pairs, "pair_id").select("pair_id", "match_id", "kind", *(c for s in "ab" for c in (f"trace_{s}", f"first_{s}", f"last_{s}")))
     sides = []
@@ -78,17 +83,22 @@ def align_calls(matches: DataFrame, pairs: DataFrame, calls: DataFrame) -> DataF
         sides.append(at.join(call, ["trace_id", "idx"]).select("pair_id", "match_id", "kind", F.lit(s).alias("side"), "idx", "c.tool", "c.call"))
     rows = sides[0].unionByName(sides[1])
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("idx")
-        a, b = (p[p["side"] == s] for s in "ab")
-        seq = [list(zip(x["tool"], x["call"], strict=True)) for x in (a, b)]
-        align = greedy_align if max(map(len, seq)) > EDIT_LIMIT else edit_align
-        ia, ib = a["idx"].tolist(), b["idx"].tolist()
-        got = [(t, k, None if i is None else ia[i], None if j is None else ib[j]) for t, k, i, j in align(*seq)]
-        out = pd.DataFrame(got, columns=["tool_name", "kind", "index_a", "index_b"]).astype({"index_a": "Int64", "index_b": "Int64"})
-        return out.assign(pair_id=p["pair_id"].iloc[0], match_id=p["match_id"].iloc[0], position=range(len(out)))[["pair_id", "match_id", "position", "tool_name", "kind", "index_a", "index_b"]]
-
-    aligned = rows.where("kind = 'matched'").groupBy("pair_id", "match_id").applyInPandas(run, DIFFS)
+    # A row a matched run with the calls of both sides in order: Python gets many runs in a batch instead of a table each.
+    of = lambda s: F.array_sort(F.collect_list(F.when(F.col("side") == s, F.struct("idx", "tool", "call")))).alias(s)
+    runs = rows.where("kind = 'matched'").groupBy("pair_id", "match_id").agg(of("a"), of("b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for pair, match, *sides in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                seq = [[(c["tool"], c["call"]) for c in x] for x in sides]
+                align = greedy_align if max(map(len, seq)) > EDIT_LIMIT else edit_align
+                for at, (tool, kind, i, j) in enumerate(align(*seq)):
+                    out.append((pair, match, at, tool, kind, None if i is None else sides[0][i]["idx"], None if j is None else sides[1][j]["idx"]))
+            columns = zip(*out, strict=True) if out else [()] * len(DIFF_TYPES)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, DIFF_TYPES.values(), strict=True)], names=[*DIFF_TYPES])
+
+    aligned = runs.select("pair_id", "match_id", "a", "b").mapInArrow(run, DIFFS)
     lone = rows.where("kind <> 'matched'")
     place = (F.row_number().over(Window.partitionBy("pair_id", "match_id").orderBy("idx")) - 1).alias("position")
     lone = lone.select("pair_id", "match_id", place, F.col("tool").alias("tool_name"), "kind", F.when(F.col("side") == "a", F.col("idx")).alias("index_a"), F.when(F.col("side") == "b", F.col("idx")).alias("index_b"))
