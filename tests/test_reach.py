@@ -1,6 +1,7 @@
 from collections import deque
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tracemill.operators import reach
@@ -25,6 +26,30 @@ def test_impact_is_a_breadth_first_search(spark):
     assert sorted(map(tuple, out)) == sorted(want) and max(r.hops for r in out) == 25
 
 
+@pytest.mark.parametrize(("small", "shuffles"), [(1000, 0), (0, 2)])
+def test_what_was_found_is_not_shuffled_again(spark, monkeypatch, small, shuffles):
+    plans, deal = [], reach.deal
+
+    def seen(df, *how):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return deal(df, *how)
+
+    monkeypatch.setattr(reach, "deal", seen)
+    monkeypatch.setattr(reach, "SMALL_GRAPH", small)
+    names = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.requireAllClusterKeysForCoPartition"
+    before = [spark.conf.get(n) for n in names]
+    spark.conf.set(names[0], "-1")
+    try:
+        edges = [("g", f"n{k}", f"n{k + 1}") for k in range(10)] * 2 + [("g", "n10", "n0")]
+        out = reach.impact(spark.createDataFrame(edges, "graph string, source string, target string"), spark.createDataFrame([("g", "n0")], "graph string, node string"))
+        assert sorted((r.node, r.hops) for r in out.collect()) == sorted((f"n{k}", k) for k in range(1, 11))
+    finally:
+        spark.conf.set(names[0], before[0])
+    assert spark.conf.get(names[1]) == before[1]
+    # A round meets up to eight tables of what was found; it shuffles at most the rows to step from and those of the step.
+    assert plans[9].count("LeftAnti") == 8 and plans[9].count("Exchange hashpartitioning") == shuffles
+
+
 def test_nothing_is_downstream_of_nothing(spark):
     e = spark.createDataFrame([(1, "a", "b")], "graph int, source string, target string")
     s = spark.createDataFrame([], "graph int, node string")

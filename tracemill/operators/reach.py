@@ -1,38 +1,66 @@
 """What follows from what: everything downstream of a capability, a capability's way through snapshot versions, and the run of a skill graph.
 
 Downstream nodes grow round by round: each round joins what the last one found with the edges and drops what was found before, so
-cycles end by themselves. Rounds are written to the shared folder. Ways through versions are a recursive query, a row a step and start,
-which ends where a step was visited before. A run goes layer by layer and carries values forward.
+cycles end by themselves. Rounds are written to the shared folder in buckets, so that only what is new is shuffled. Ways through versions
+are a recursive query, a row a step and start, which ends where a step was visited before. A run goes layer by layer and carries
+values forward.
 """
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..sources.scratch import stash, unstash
+from ..sources.scratch import deal, stash, unstash
 from . import graph
 
 MERGE = 8  # rounds are put together when so many tables are open
+ROWS_A_TASK, SMALL_GRAPH = 100_000, 1000  # edges
 
 
 def impact(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """edges: graph, source, target; starts: graph, node. (graph, start, node, hops): all nodes that are reached by outgoing edges, with the
     fewest edges to them; a start that lies on a cycle is not downstream of itself. Repeated edges and starts count once, null ends
-    reach nothing."""
-    e = stash(edges.select("graph", "source", "target").where("source is not null and target is not null").distinct(), "edges")
-    last = stash(starts.select("graph", F.col("node").alias("start"), "node").distinct().withColumn("hops", F.lit(0)), "reach")
+    reach nothing. Where every graph is small, whole graphs are dealt to tasks and rounds shuffle nothing; else rows are dealt by node."""
+    e = stash(edges.select("graph", "source", "target").where("source is not null and target is not null"), "edges")
+    n, largest = e.groupBy("graph").count().agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.max("count"), F.lit(0))).first()
+    parts = max(e.sparkSession.sparkContext.defaultParallelism, -(-n // ROWS_A_TASK))
+    by_source, by_node = (["graph"], ["graph"]) if largest <= SMALL_GRAPH else (["graph", "source"], ["graph", "start", "node"])
+    with _some_keys_suffice(e.sparkSession):
+        return _rounds(e, starts, parts, by_source, by_node)
+
+
+@contextmanager
+def _some_keys_suffice(spark):
+    """Rows that were dealt by some of the keys of a join are not dealt again."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def _rounds(edges: DataFrame, starts: DataFrame, parts: int, by_source: list[str], by_node: list[str]) -> DataFrame:
+    key = ["graph", "start", "node"]
+    e = deal(edges.repartition(parts, *by_source).distinct(), "edges", parts, *by_source)
+    unstash(edges)
+    begin = starts.select("graph", F.col("node").alias("start"), "node").repartition(parts, *by_node).distinct()
+    last = deal(begin.withColumn("hops", F.lit(0)), "reach", parts, *by_node)
     found, hops = [last], 0
     while not last.isEmpty():
         hops += 1
-        step = last.select("graph", "start", F.col("node").alias("source")).join(e, ["graph", "source"]).select("graph", "start", F.col("target").alias("node")).distinct()
-        known = reduce(DataFrame.unionByName, found).select("graph", "start", "node")
-        last = stash(step.join(known, ["graph", "start", "node"], "left_anti").withColumn("hops", F.lit(hops)), "reach")
+        step = last.select("graph", "start", F.col("node").alias("source")).join(e, ["graph", "source"]).select("graph", "start", F.col("target").alias("node"))
+        # What was found stands where the step is dealt to, and is met there.
+        step = reduce(lambda s, f: s.join(f, key, "left_anti"), found, step.repartition(parts, *by_node).distinct())
+        last = deal(step.withColumn("hops", F.lit(hops)), "reach", parts, *by_node)
         if len(found) == MERGE:
-            merged = stash(reduce(DataFrame.unionByName, found), "reach")
+            merged = deal(reduce(DataFrame.unionByName, found), "reach", parts, *by_node)
             unstash(*found)
             found = [merged]
         found.append(last)
