@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import Row
 
 from tracemill.operators import states
 from tracemill.streaming import segments
@@ -53,3 +54,30 @@ def test_late_calls_are_left_out_and_a_pause_does_not_end_a_trace(spark, tmp_pat
     late = [("a", 13, START + dt.timedelta(seconds=50), "edit", None)]
     out = run(spark, tmp_path, [rows, far, later, late], late="1 minute")
     assert sorted(map(tuple, out.select("trace_id", *segments.OUT).collect())) == expected(spark, rows + far + later)
+
+
+class Handle:
+    """State of one trace, in memory."""
+
+    def __init__(self):
+        self.value, self.rows, self.timers = None, [], []
+
+    def getValueState(self, name, schema):
+        return self
+
+    def getListState(self, name, schema):
+        return self
+
+    def appendList(self, rows):
+        self.rows += rows
+
+    def registerTimer(self, ms):
+        self.timers.append(ms)
+
+
+def test_calls_reach_the_state_as_rows():
+    s, handle = segments.Segmenter(10_000, 1), Handle()
+    s.init(handle)
+    rows = [Row(idx=k, us=9_000 - 1_000 * k, category="locate", failed=False, scope="") for k in range(2)]
+    assert list(s.handleInputRows(("a",), iter(rows), None)) == []
+    assert handle.rows == [(0, 9_000, "locate", False, ""), (1, 8_000, "locate", False, "")] and handle.timers == [8]

@@ -9,8 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -44,14 +43,14 @@ class Segmenter(StatefulProcessor):
         self.open = handle.getValueState("open", OPEN)
         self.waiting = handle.getListState("waiting", CALL)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        calls = [tuple(r) for pdf in rows for r in pdf[["idx", "us", "category", "failed", "scope"]].astype(object).itertuples(index=False)]
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        calls = [(r.idx, r.us, r.category, r.failed, r.scope) for r in rows]
         if calls and key[0] is not None:
             self.waiting.appendList(calls)
             self.handle.registerTimer(min(c[1] for c in calls) // 1000)
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         mark = timerValues.getCurrentWatermarkInMs()
         calls = sorted(tuple(c) for c in self.waiting.get()) if self.waiting.exists() else []
         ready = [c for c in calls if c[1] // 1000 < mark]
@@ -79,8 +78,8 @@ class Segmenter(StatefulProcessor):
             self.waiting.put(held) if held else self.waiting.clear()
         if held:
             self.handle.registerTimer(min(c[1] for c in held) // 1000)
-        if out:
-            yield pd.DataFrame([(key[0], *r) for r in out], columns=["trace_id", *OUT])
+        for r in out:
+            yield Row(trace_id=key[0], **dict(zip(OUT, r, strict=True)))
 
     def close(self) -> None:
         pass
@@ -95,7 +94,7 @@ def segments(calls: DataFrame, idle_gap_ms: int = 10_000, late: str = "1 minute"
     name = F.col("tool_name")
     c = c.select("trace_id", F.col("idx").cast("bigint").alias("idx"), "ts", F.unix_micros("ts").alias("us"), X.tool_category(name).alias("category"), name.rlike("test|check|lint").alias("failed"), F.coalesce(X.file_scope(F.col("path")), F.lit("")).alias("scope"))
     schema = f"trace_id {dict(calls.dtypes)['trace_id']}, segment_idx int, first_idx bigint, last_idx bigint, n_calls bigint, category string, boundary_reason string"
-    return c.groupBy("trace_id").transformWithStateInPandas(Segmenter(idle_gap_ms, close_after_ms), schema, "Append", "EventTime")
+    return c.groupBy("trace_id").transformWithState(Segmenter(idle_gap_ms, close_after_ms), schema, "Append", "EventTime")
 
 
 def use_state(spark) -> None:
