@@ -88,3 +88,37 @@ def test_runs_reach_python_in_batches(spark):
     pairs = calls.select("trace_id").distinct().selectExpr("trace_id AS pair_id", "trace_id AS trace_a", "trace_id + 1 AS trace_b")
     plan = align.align_calls(align.match_segments(pairs, calls), pairs, calls)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "FlatMapGroupsInPandas" not in plan and "tool_align" in QUERIES
+
+
+def test_long_runs_by_edit_distance():
+    g = np.random.default_rng(3)
+    for n in (1, 64, 150, 230):
+        a, b = random_calls(g, n), random_calls(g, max(0, n - g.integers(-40, 40)))
+        assert align.edit_align(a, b) == way_back(tuple(a), tuple(b))
+    a, b = random_calls(g, 20_000, 9, 50), random_calls(g, 15_000, 9, 50)  # a table of costs would have 300 million cells
+    got = align.edit_align(a, b)
+    assert [i for _, _, i, _ in got if i is not None] == list(range(len(a))) and [j for *_, j in got if j is not None] == list(range(len(b)))
+
+
+def test_queries_align_runs_of_any_length_as_their_sql(spark, tmp_path):
+    """Two traces of failing checks only: one run each, longer than the reference's limit."""
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from tracemill.plans.record_oracles import ORACLES
+    from tracemill.plans.record_queries import QUERIES
+
+    g = np.random.default_rng(4)
+    users = [1] * 240 + [2] * 215
+    like = pq.read_schema("/root/testdata/sf0.001/events.parquet")
+    n = len(users)
+    columns = {"event_id": [*range(n)], "user_id": users, "ts": [1_700_000_000_000_000 + k * 1_000_000 for k in range(n)], "event_type": ["error"] * n, "value": [1.0] * n, "props": [f'{{"k": {g.integers(20)}}}' for _ in users]}
+    pq.write_table(pa.table([pa.array(columns[f.name]).cast(f.type) for f in like], schema=like), f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    rows = lambda df: df.astype(object).where(df.notna(), -1).sort_values(["pair_id", "match_id", "position"]).to_numpy().tolist()
+    want = con.execute(ORACLES["tool_align"]).df()
+    got = QUERIES["tool_align"](spark, str(tmp_path)).toPandas()[[*want.columns]]
+    assert len(want) >= 240 and rows(got) == rows(want)

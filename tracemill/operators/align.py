@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import isqrt
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -12,7 +13,7 @@ from ..functions import exprs as X
 from ..sources.ship import ship
 from .states import phase_runs
 
-EDIT_LIMIT = 200  # calls; longer runs are matched greedily
+EDIT_LIMIT = 200  # calls; the reference matches longer runs greedily
 DIFFS = "pair_id bigint, match_id int, position int, tool_name string, kind string, index_a bigint, index_b bigint"
 DIFF_TYPES = {"pair_id": pa.int64(), "match_id": pa.int32(), "position": pa.int32(), "tool_name": pa.string(), "kind": pa.string(), "index_a": pa.int64(), "index_b": pa.int64()}
 
@@ -29,21 +30,42 @@ def match_segments(pairs: DataFrame, calls: DataFrame) -> DataFrame:
     return m.withColumns({"kind": kind, "match_id": F.row_number().over(order) - 1})
 
 
+def cost_row(equal: int, up: int, down: int, whole: int) -> tuple[int, int, int]:
+    """The next row of edit costs in bits, a bit a call of b: where costs rise and fall along it, and where the gap in a is the cheaper one or as cheap.
+
+    equal: calls of b that equal this call of a; up, down: the row before; whole: a bit for each call of b."""
+    diagonal = ((equal & up) + up ^ up) | equal | down
+    more = ((down | whole & ~(diagonal | up)) << 1 | 1) & whole
+    less = (diagonal & up) << 1 & whole
+    return less | whole & ~(diagonal | more), diagonal & more, up | whole & ~(down | more) | less
+
+
 def edit_align(a: list[tuple[str, str]], b: list[tuple[str, str]]) -> list[tuple[str, str, int | None, int | None]]:
-    """Aligned (tool, kind, place in a, place in b). Walking back from the end, equal calls pair first, then equal tools, then the cheaper gap."""
-    m, n = len(a), len(b)
-    cost = [[i + j if not i or not j else 0 for j in range(n + 1)] for i in range(m + 1)]
-    for i in range(1, m + 1):
-        for j in range(1, n + 1):
-            cost[i][j] = min(cost[i - 1][j] + 1, cost[i][j - 1] + 1, cost[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
-    out = []
-    i, j = m, n
+    """Aligned (tool, kind, place in a, place in b). Walking back from the end, equal calls pair first, then equal tools, then the cheaper gap.
+
+    Costs are held as bits, and only each `step`-th row is kept; the rows between are made again on the way back. So runs of any length fit."""
+    i, j, whole, step = len(a), len(b), (1 << len(b)) - 1, isqrt(2 * len(a)) + 1
+    places: dict[tuple, int] = {}
+    for k, x in enumerate(b):
+        places[x] = places.get(x, 0) | 1 << k
+    kept, up, down = [], whole, 0
+    for k, x in enumerate(a):
+        if k % step == 0:
+            kept.append((up, down))
+        up, down, _ = cost_row(places.get(x, 0), up, down, whole)
+    out, first, added = [], i, []
     while i or j:
+        if i and j and i <= first:
+            first = (i - 1) // step * step
+            (up, down), added = kept[first // step], []
+            for x in a[first:i]:
+                up, down, bits = cost_row(places.get(x, 0), up, down, whole)
+                added.append(bits)
         if i and j and a[i - 1][0] == b[j - 1][0]:
             kind = "unchanged" if a[i - 1] == b[j - 1] else "args_changed"
             i, j = i - 1, j - 1
             out.append((b[j][0], kind, i, j))
-        elif j and (not i or cost[i][j - 1] <= cost[i - 1][j]):
+        elif j and (not i or added[i - 1 - first] >> j - 1 & 1):
             j -= 1
             out.append((b[j][0], "added", None, j))
         else:
@@ -72,8 +94,10 @@ def greedy_align(a: list[tuple[str, str]], b: list[tuple[str, str]]) -> list[tup
     return out + [(x[0], "deleted", i, None) for i, x in enumerate(a) if i not in used]
 
 
-def align_calls(matches: DataFrame, pairs: DataFrame, calls: DataFrame) -> DataFrame:
-    """Tool differences of all matches: matched runs are aligned, a task holding one run of each side; others are listed."""
+def align_calls(matches: DataFrame, pairs: DataFrame, calls: DataFrame, limit: int | None = EDIT_LIMIT) -> DataFrame:
+    """Tool differences of all matches: matched runs are aligned, a task holding one run of each side; others are listed.
+
+    limit: runs of more calls are matched greedily, as the reference does; None aligns all runs by edit distance, which the queries ask for."""
     ship(calls.sparkSession)
     call = calls.select("trace_id", "idx", F.struct(F.col("tool_name").alias("tool"), X.canonical_call(F.col("tool_name"), F.col("args")).alias("call")).alias("c"))
     m = matches.join(pairs, "pair_id").select("pair_id", "match_id", "kind", *(c for s in "ab" for c in (f"trace_{s}", f"first_{s}", f"last_{s}")))
@@ -92,7 +116,7 @@ def align_calls(matches: DataFrame, pairs: DataFrame, calls: DataFrame) -> DataF
             out: list[tuple] = []
             for pair, match, *sides in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 seq = [[(c["tool"], c["call"]) for c in x] for x in sides]
-                align = greedy_align if max(map(len, seq)) > EDIT_LIMIT else edit_align
+                align = edit_align if limit is None or max(map(len, seq)) <= limit else greedy_align
                 for at, (tool, kind, i, j) in enumerate(align(*seq)):
                     out.append((pair, match, at, tool, kind, None if i is None else sides[0][i]["idx"], None if j is None else sides[1][j]["idx"]))
             columns = zip(*out, strict=True) if out else [()] * len(DIFF_TYPES)
